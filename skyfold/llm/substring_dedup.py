@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from skyfold.llm import store, words
 
 #: Text bytes of a chunk, census entries of a bucket, and suffixes of a group that one task holds in memory.
-CHUNK_BYTES, BUCKET_ENTRIES, GROUP_SUFFIXES = 6_000_000, 1_500_000, 1_000_000
-#: Chunks and suffixes per chunk that the sample for the prefix cuts takes.
+CHUNK_BYTES, BUCKET_ENTRIES, GROUP_SUFFIXES = 4_000_000, 1_500_000, 1_000_000
+#: Chunks, about, and suffixes per chunk that the sample for the prefix cuts takes.
 SAMPLE_CHUNKS, SAMPLE_SUFFIXES = 48, 2_000
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,13 +84,14 @@ def _chunks(text: str) -> object:
             return pa.record_batch({"chunk": pa.array([base + ordinal]), "n_words": pa.array([n]), "docs": pa.array([_packed(batch)], pa.binary())})
 
         for batch in batches:
-            for begin, end in words.pieces(batch.column(text), CHUNK_BYTES):
+            for begin, end in words.pieces(batch.column(text), CHUNK_BYTES // 4):
                 piece = batch.slice(begin, end - begin)
-                held.append(piece)
-                size += int(words.text_buffer(piece.column(text))[1][-1])
-                if size >= CHUNK_BYTES:
+                more = int(words.text_buffer(piece.column(text))[1][-1])
+                if held and size + more > CHUNK_BYTES:
                     yield flush()
                     held, size, ordinal = [], 0, ordinal + 1
+                held.append(piece)
+                size += more
         if held:
             yield flush()
 
@@ -175,7 +176,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """Chunks (chunk, n_words, docs) of the documents, and per chunk the marked windows (chunk, marks)."""
     spark = docs.sparkSession
     chunks = store.materialize(docs.mapInArrow(_chunks(text), "chunk long, n_words long, docs binary"), "chunks")
-    n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    n_chunks, n_words = chunks.agg(F.count("chunk"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     least = store.shuffle_partitions(spark)
     n_buckets = max(least, n_words // 5 // BUCKET_ENTRIES + 1)
     n_groups = max(least, n_words // 3 // GROUP_SUFFIXES + 1)
@@ -201,7 +202,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     repeated = chunks.select("chunk", "docs").mapInArrow(census, _CENSUS).groupBy("bucket").applyInArrow(known, _KNOWN)
     repeated = repeated.groupBy(F.col("chunk").alias("of")).agg(F.collect_list("prefixes").alias("prefixes"))
-    cuts = _cuts(chunks, text, window, n_groups)
+    cuts = _cuts(chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(n_chunks // SAMPLE_CHUNKS + 1)) == 0), text, window, n_groups)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +263,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> np.ndarray:
-    """Shortest prefixes that separate the n_groups quantiles of a bounded sample of suffixes (n_groups - 1 numbers)."""
+    """Shortest prefixes that separate the n_groups quantiles of the suffixes of a few sampled chunks (n_groups - 1 numbers)."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +274,7 @@ def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> np.ndarra
                 if len(at):
                     yield pa.record_batch({"keys": pa.array([own.keys(at)[0].tobytes()], pa.binary())})
 
-    few = chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("docs").mapInArrow(sample, "keys binary").collect()
+    few = chunks.select("docs").mapInArrow(sample, "keys binary").collect()
     keys = np.unique(np.frombuffer(b"".join(bytes(r["keys"]) for r in few), np.uint64))
     if len(keys) < 2:
         return np.linspace(0, 2**64, n_groups + 1)[1:-1].astype(np.uint64)

@@ -59,18 +59,19 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 100_000) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a sum of byte and place constants, finalised with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-    at = place + np.repeat(starts, lengths)
-    weights = constants(int(lengths.max()), 29)
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[data[at]] * weights[place], begin)
-        return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(0, len(starts), step):  # bounds the arrays that hold a number per byte
+        first, lengths = starts[k : k + step], ends[k : k + step] - starts[k : k + step]
+        begin = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+        at = place + np.repeat(first, lengths)
+        weights = constants(int(lengths.max()), 29)
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(_BYTE[data[at]] * weights[place], begin)
+            out[k : k + step] = mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def pieces(column: pa.Array, most: int) -> list[tuple[int, int]]:
