@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyfold.llm import bpe, html_extract, packing, sharding, simhash, substring_dedup, topk, warc
 
-from skyfold.llm import substring_dedup
+#: Where the public tokenizer files lie.
+TOKENIZERS = os.environ.get("SKYFOLD_TOKENIZERS", "/opt/tokenizers")
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +23,80 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, seed=42, most=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_bundles(warc.write_bundles(_table(spark, sf_dir, "pages"), least_bytes=0))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_bpe, op3_sharding, op4_simhash, op5_html_extraction, op8_packing, op9_warc, op10_topk)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH listed AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM listed
+        ), windows AS (
+            SELECT doc_id, pos, list_slice(w, pos + 1, pos + 20) AS seq FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS pos FROM listed WHERE len(w) >= 20)
+        ), later AS (
+            SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) AS k FROM windows) WHERE k > 1
+        ), marked AS (
+            SELECT words.doc_id, words.pos, word,
+                   max(later.pos) OVER (PARTITION BY words.doc_id ORDER BY words.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+            FROM words LEFT JOIN later ON words.doc_id = later.doc_id AND words.pos = later.pos
+        ), summed AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id
+        )
+        SELECT documents.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN summed USING (doc_id)
+    """,
+    "op9_warc": """
+        WITH named AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), last AS (
+            SELECT *, max(page_id) OVER (PARTITION BY hex) AS kept FROM named
+        )
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> ((3 - i % 4) * 5)::BIGINT) & 31)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN kept <> page_id THEN kept END AS refers_to
+        FROM last
+    """,
+    "op10_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
