@@ -154,6 +154,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[c for c in pieces.columns if c != "length"]))
     ranked = salted.withColumn("_rank", rank).join(before, ["length", "_salt"]).select(*pieces.columns, (F.col("_rank") + F.col("_before") - 1).alias("_rank"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
+    names = list(pieces.columns)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.int64(1) << 48
@@ -162,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             rank = batch.column("_rank").to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, batch.column("length").to_numpy(zero_copy_only=False) * width + rank, "right") - 1
             sequence = table["sequence"][at] + rank - table["low"][at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in pieces.schema.fields), pa.array(sequence), pa.array(table["offset"][at])], names=[*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(table["offset"][at])], names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 

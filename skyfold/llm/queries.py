@@ -57,7 +57,7 @@ QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_bpe, op3_sharding, o
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH listed AS (
-            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), words AS (
             SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM listed
         ), windows AS (
@@ -81,7 +81,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, max(page_id) OVER (PARTITION BY hex) AS kept FROM named
         )
         SELECT page_id, payload_bytes,
-               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> ((3 - i % 4) * 5)::BIGINT) & 31)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
                CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN kept <> page_id THEN kept END AS refers_to
@@ -89,8 +89,8 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op10_topk": """
         WITH whole AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
