@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import bpe, html_extract, packing, sharding, simhash, substring_dedup, topk, warc
+from skyfold.llm import bpe, flac, html_extract, packing, sharding, simhash, substring_dedup, topk, toxicity, warc
 
 #: Where the public tokenizer files lie.
 TOKENIZERS = os.environ.get("SKYFOLD_TOKENIZERS", "/opt/tokenizers")
@@ -40,6 +40,14 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.describe_column(flac.encode_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
 
@@ -52,7 +60,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_bpe, op3_sharding, op4_simhash, op5_html_extraction, op8_packing, op9_warc, op10_topk)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, and it needs this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_substring_dedup, op2_bpe, op3_sharding, op4_simhash, op5_html_extraction, op6_flac, op7_toxicity, op8_packing, op9_warc, op10_topk, pipeline)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
