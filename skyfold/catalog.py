@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from skyfold.plans import stacking
+
 FLAGSHIP = "stack_sigma_clip"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (stacking,)
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
