@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyfold.plans import frames, imaging, matching, stacking
+from skyfold.plans import frames, imaging, matching, neighbourhood, stacking
 
 FLAGSHIP = "stack_sigma_clip"
-_MODULES = (stacking, frames, matching, imaging)
+_MODULES = (stacking, frames, matching, imaging, neighbourhood)
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
