@@ -395,6 +395,11 @@ def decode(streams: list[bytes]) -> list[bytes]:
         at += len(s)
     data = np.frombuffer(raw, np.uint8)
     start, size, end = _starts(data, raw, spans)
+    first = 0
+    for head, (begin, _, count) in zip(heads, spans, strict=True):
+        if any(sample % BLOCK or sample >= head["samples"] or start[first + sample // BLOCK] != begin + offset for sample, offset, _ in head["points"]):
+            raise ValueError("a seek point is wrong")
+        first += count
     step, parts = STEP_BYTES // BLOCK, []
     for k in range(0, len(start), step):
         a, b = int(start[k]), int(end[min(k + step, len(end)) - 1])
