@@ -139,3 +139,75 @@ def write_xisf(a: np.ndarray, keywords: dict[str, Any] | None = None) -> bytes:
     if 16 + len(xml) > start:
         raise ValueError("too many keywords")
     return b"XISF0100" + struct.pack("<II", len(xml), 0) + xml + bytes(start - 16 - len(xml)) + body
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """First page of an uncompressed strip TIFF as float64: (height, width) or (height, width, channels), three at most."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+        raise ValueError("no TIFF file")
+    at = struct.unpack(order + "I", data[4:8])[0]
+    sizes = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+    tags: dict[int, list[int]] = {}
+    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
+        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+        if kind in sizes:
+            code, width = sizes[kind]
+            raw = entry[8:12] if n * width <= 4 else data[(o := struct.unpack(order + "I", entry[8:12])[0]) : o + n * width]
+            tags[tag] = list(struct.unpack(f"{order}{n}{code}", raw[: n * width]))
+    if tags.get(259, [1])[0] != 1:
+        raise ValueError("only uncompressed TIFF is read")
+    width, height, channels = tags[256][0], tags[257][0], tags.get(277, [1])[0]
+    bits, form = tags.get(258, [1])[0], tags.get(339, [1])[0]
+    kind = np.dtype(f"{order}{'f' if form == 3 else 'i' if form == 2 else 'u'}{bits // 8}")
+    body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
+    a = np.frombuffer(body, kind, width * height * channels).astype(np.float64)
+    if channels == 1:
+        return a.reshape(height, width)
+    a = a.reshape(channels, height, width).transpose(1, 2, 0) if tags.get(284, [1])[0] == 2 else a.reshape(height, width, channels)
+    return a[..., :3]
+
+
+def write_tiff(a: np.ndarray) -> bytes:
+    """(channels, height, width) as planar 32-bit floats scaled to a peak of one."""
+    channels, height, width = a.shape
+    top = float(np.nanmax(a, initial=0)) or 1.0
+    body = (a / top).astype("<f4").tobytes()
+    plane = len(body) // channels
+    many = channels > 1
+    start = 8 + len(body)
+    extra = start + 2 + 12 * 11 + 4
+    rows = [
+        (256, 4, 1, width), (257, 4, 1, height), (258, 3, channels, extra if channels > 2 else 32 | (32 << 16 if channels == 2 else 0)), (259, 3, 1, 1), (262, 3, 1, 2 if channels == 3 else 1),
+        (273, 4, channels, extra + 16 if many else 8), (277, 3, 1, channels), (278, 4, 1, height), (279, 4, channels, extra + 48 if many else plane), (284, 3, 1, 2 if many else 1), (339, 3, channels, extra + 80 if channels > 2 else 3 | (3 << 16 if channels == 2 else 0)),
+    ]
+    tail = struct.pack("<8H", *[32] * 8) + struct.pack("<8I", *[8 + plane * i for i in range(8)]) + struct.pack("<8I", *[plane] * 8) + struct.pack("<8H", *[3] * 8)
+    directory = struct.pack("<H", len(rows)) + b"".join(struct.pack("<HHII", *r) for r in rows) + bytes(4)
+    return b"II" + struct.pack("<HI", 42, start) + body + directory + tail
+
+
+def write_png(a: np.ndarray) -> bytes:
+    """8-bit samples (height, width) or (height, width, 3) as PNG."""
+    import zlib
+
+    def part(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    height, width = a.shape[:2]
+    rows = b"".join(b"\0" + a[y].astype("u1").tobytes() for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if a.ndim == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def preview(a: np.ndarray, stretch: str = "arcsinh", black_sigma: float = 1.0) -> np.ndarray:
+    """8-bit preview of (channels, height, width): one black point and one white point for all channels, unless linear."""
+    if stretch == "linear":
+        low, high = np.maximum(np.percentile(a, 1, axis=(1, 2)), 0)[:, None, None], np.percentile(a, 99, axis=(1, 2))[:, None, None]
+        v = np.clip((a - low) / np.maximum(high - low, 1e-12), 0, 1)
+    else:
+        middle = float(np.median(a))
+        black = middle + black_sigma * 1.4826 * float(np.median(np.abs(a - middle)))
+        v = np.clip((a - black) / max(float(np.percentile(a, 99.5)) - black, 1e-12), 0, 1)
+        v = np.arcsinh(10 * v) / np.arcsinh(10)
+    out = np.rint(v * 255).astype("u1")
+    return out[0] if len(out) == 1 else out.transpose(1, 2, 0)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.functions import scalars as S
@@ -35,13 +35,16 @@ def _decode(path: str, data: bytes, samples: bool) -> list[tuple]:
         h = formats.ser_header(data)
         text = {k: str(v) for k, v in h.items()}
         return [(i, "ser", text, formats.read_ser(data, i) if samples else None) for i in range(h["frames"])]
+    if kind in ("tif", "tiff"):
+        a = formats.read_tiff(data)
+        return [(0, "tiff", {"NAXIS1": str(a.shape[1]), "NAXIS2": str(a.shape[0])}, a if samples else None)]
     if kind == "xisf":
         a, header = formats.read_xisf(data)
         return [(0, "xisf", header, a if samples else None)]
     return []
 
 
-def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = "*.{fits,fit,ser,xisf}", recursive: bool = False) -> DataFrame:
+def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = "*.{fits,fit,ser,xisf,tif,tiff}", recursive: bool = False) -> DataFrame:
     """Frames under a path: path, frame_index, format, header, channels, height, width and data (channels, rows, columns)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
@@ -70,9 +73,14 @@ def discover(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return found.withColumn("frame_type", kind).filter(F.coalesce(head("COMBINED"), F.lit("F")) != "T").drop("data")
 
 
+def _one_slash(path: Column) -> Column:
+    """Spark's sources write local paths with one or three slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def with_sidecars(frames: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Fills header gaps from JSON sidecars (stem, meta map): values that a header has stay."""
-    stem = F.regexp_replace(F.col("path"), r"\.[^./]+$", "")
+    stem = _one_slash(F.regexp_replace(F.col("path"), r"\.[^./]+$", ""))
     j = frames.withColumn("_stem", stem).join(sidecars.select(F.col("stem").alias("_stem"), "meta"), "_stem", "left")
     fresh = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("header", k))
     return j.withColumn("header", F.map_concat("header", fresh)).drop("_stem", "meta")
@@ -81,7 +89,7 @@ def with_sidecars(frames: DataFrame, sidecars: DataFrame) -> DataFrame:
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """(stem, meta) of the JSON files under a path, with the camera's names turned into header keys."""
     names = {"iso": "ISOSPEED", "gain": "GAIN", "captureTemperatureC": "CCD-TEMP", "bayerPattern": "BAYERPAT"}
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path).select(F.regexp_replace(F.input_file_name(), r"\.json$", "").alias("stem"), F.from_json("value", "map<string,string>").alias("m"))
+    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path).select(_one_slash(F.regexp_replace(F.input_file_name(), r"\.json$", "")).alias("stem"), F.from_json("value", "map<string,string>").alias("m"))
     pairs = [F.struct(F.lit(v).alias("key"), (F.upper(F.col("m")[k]) if k == "bayerPattern" else F.col("m")[k]).alias("value")) for k, v in names.items()]
     pairs.append(F.struct(F.lit("EXPTIME").alias("key"), (F.col("m")["exposureTimeMS"].try_cast("double") / 1000).cast("string").alias("value")))
     return raw.select("stem", F.map_filter(F.map_from_entries(F.array(*pairs)), lambda k, v: v.isNotNull()).alias("meta"))
@@ -133,6 +141,10 @@ def encode(frames: DataFrame, kind: str = "fits") -> DataFrame:
                     out.append(formats.write_fits(a[0] if c == 1 else a, dict(header or {})))
                 elif kind == "xisf":
                     out.append(formats.write_xisf(a, dict(header or {})))
+                elif kind == "tiff":
+                    out.append(formats.write_tiff(a))
+                elif kind == "png":
+                    out.append(formats.write_png(formats.preview(a)))
                 elif kind == "ser":
                     out.append(formats.write_ser(np.rint(a)))
                 else:
