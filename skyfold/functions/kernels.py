@@ -467,7 +467,7 @@ def fill_trails(a: np.ndarray, sigma: float = 5.0, share: float = 0.6) -> tuple[
     ys, xs = np.nonzero(bright)
     mask = np.zeros(a.shape, bool)
     if len(ys) >= 3:
-        angles = np.deg2rad(np.arange(0, 180, 2))
+        angles = np.deg2rad(np.arange(0, 180, 1))
         rho = np.rint(ys[:, None] * np.sin(angles) + xs[:, None] * np.cos(angles)).astype(int)
         low = rho.min()
         votes = np.stack([np.bincount(rho[:, i] - low, minlength=rho.max() - low + 1) for i in range(len(angles))])
