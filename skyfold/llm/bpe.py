@@ -6,8 +6,8 @@ that a later merge made, until either a merge across the boundary turns out to c
 runs over all pairs of a batch at once. Words whose greedy proposal fails it, a minority, are merged exactly.
 
 Work is per Arrow batch inside mapInArrow: texts are cut at single spaces (which the pre-tokenizer's pattern never looks
-across), the distinct pieces not yet in the worker's bounded cache are encoded in bulk, and each text is the concatenation of
-its pieces' ids. A text with runs of white space goes through the pattern as a whole.
+across), the batch's distinct pieces that the worker's bounded cache lacks are encoded in bulk, and the ids of all texts are
+gathered from their pieces' ids at once. A text with runs of white space goes through the pattern as a whole.
 
 Edge cases: null is the empty text and has no ids; special tokens' strings in a text become their ids, as the vocabulary file
 says; undecodable bytes decode to U+FFFD.
@@ -24,22 +24,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skyfold.llm import words
+
 #: Pieces and words in the newer of the two generations that a worker remembers.
-CACHE_PIECES, CACHE_WORDS = 300_000, 250_000
-#: Bytes up to which a word's pairs are searched one by one.
-SHORT_WORD = 64
+CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+#: Bytes up to which words are merged side by side, and how many at once.
+SHORT_WORD, STEP_WORDS = 64, 4_000
 NO_RANK = 1 << 62
 #: Text bytes encoded in one go.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 8_000_000
 
 # fixed values: the white space of Unicode, and the byte-level pre-tokenizer's pattern over it
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-_RUN = re.compile(f"[{_SPACES}]{{2}}")
+_RUN = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}"
 
 
 def _byte_characters() -> dict[str, int]:
@@ -49,6 +52,39 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Lookup:
+    """Numbers by key for whole arrays: an open-addressing table with linear probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self._bits = max(4, int(len(keys) * 2.5).bit_length())
+        self._keys, self._values, self._missing = np.full(1 << self._bits, -1, np.int64), np.full(1 << self._bits, missing, np.int64), missing
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self._keys[slot] < 0
+            self._keys[slot[free]] = keys[left[free]]
+            won = self._keys[slot] == keys[left]
+            self._values[slot[won]] = values[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & ((1 << self._bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        held = self._keys[slot]
+        out = self._values[slot]
+        again = np.flatnonzero((held != keys) & (held >= 0))
+        out[held != keys] = self._missing
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self._bits) - 1)
+            held = self._keys[slot[again]]
+            found = held == keys[again]
+            out[again[found]] = self._values[slot[again[found]]]
+            again = again[~found & (held >= 0)]
+        return out
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file."""
 
@@ -74,13 +110,15 @@ class Vocabulary:
             self.pairs.setdefault((a, b), (rank, made))
             if not self.born[made]:
                 self.left[made], self.right[made], self.born[made] = a, b, rank
-        self._pair_keys = np.array([a * n + b for a, b in self.pairs], np.int64)
-        order = np.argsort(self._pair_keys)
-        self._pair_keys = self._pair_keys[order]
-        self._pair_ranks = np.array([r for r, _ in self.pairs.values()], np.int64)[order]
+        self._rank_of = _Lookup(np.array([a * n + b for a, b in self.pairs], np.int64), np.array([r for r, _ in self.pairs.values()], np.int64), NO_RANK)
+        self._made_by = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
+        for rank, made in self.pairs.values():
+            self._made_by[rank] = made
+        self._trie(raw)
         self._pair_rank = {p: rank for p, (rank, _) in self.pairs.items()}
         self._made = {rank: made for rank, made in self.pairs.values()}
         self._byte_ids = [raw[bytes([b])] for b in range(256)]
+        self._of_byte = np.array(self._byte_ids, np.int64)
         self._sound: dict[int, bool] = {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._decimal: list[str] = [str(i) for i in range(n)]
@@ -88,22 +126,28 @@ class Vocabulary:
         self._pieces: dict[str, bytes] = {}
         self._old_words: dict[str, bytes] = {}
         self._old_pieces: dict[str, bytes] = {}
-        self._reach: dict[bytes, int] = {}
+
+    def _trie(self, raw: dict[bytes, int]) -> None:
+        """Edges (node, byte) of the tree of all tokens, and the token that ends at each node."""
+        nodes: dict[bytes, int] = {b"": 0}
         for token in raw:
-            head = token[:2]
-            self._reach[head] = max(self._reach.get(head, 1), len(token))
+            for end in range(1, len(token) + 1):
+                nodes.setdefault(token[:end], len(nodes))
+        prefixes = [p for p in nodes if p]
+        self._edge = _Lookup(np.array([nodes[p[:-1]] * 256 + p[-1] for p in prefixes], np.int64), np.array([nodes[p] for p in prefixes], np.int64), -1)
+        self._ends = np.full(len(nodes), -1, np.int64)
+        for token, i in raw.items():
+            self._ends[nodes[token]] = i
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or a number above all ranks."""
-        keys = a * len(self.bytes) + b
-        at = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
-        return np.where(self._pair_keys[at] == keys, self._pair_ranks[at], np.iinfo(np.int64).max)
+        return self._rank_of(a * len(self.bytes) + b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each pair of adjacent tokens would stay two tokens."""
         ok = np.ones(len(a), bool)
         live, x, y = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
-        before = np.full(len(a), np.iinfo(np.int64).max)
+        before = np.full(len(a), NO_RANK)
         while len(live):
             crossed = self._rank(x, y) < before
             ok[live[crossed]] = False
@@ -152,29 +196,90 @@ class Vocabulary:
                     heapq.heappush(heap, (found[0], k, found[1], p))
         return [i for i in ids if i >= 0]
 
-    def proposed(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, at, n, ids, reach = [], 0, len(word), self.ids, self._reach
-        while at < n:
-            end = min(n, at + reach.get(word[at : at + 2], 1))
-            while (found := ids.get(word[at:end])) is None:
-                end -= 1
-            out.append(found)
-            at = end
+    def proposed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of words in a byte buffer: (word, token) in order. All words walk the tree of tokens in step."""
+        word, at = np.arange(len(starts)), starts.copy()
+        node, look = np.zeros(len(starts), np.int64), starts.copy()
+        best, after = np.full(len(starts), -1, np.int64), starts.copy()
+        words, tokens = [], []
+        while len(word):
+            inside = look < ends[word]
+            nxt = np.where(inside, self._edge(node * 256 + data[np.minimum(look, len(data) - 1)]), -1)
+            stuck = nxt < 0
+            if stuck.any():
+                words.append(word[stuck])
+                tokens.append(best[stuck])
+                at = np.where(stuck, after, at)
+                look = np.where(stuck, at, look)
+                node = np.where(stuck, 0, node)
+            node = np.where(stuck, node, nxt)
+            look = np.where(stuck, look, look + 1)
+            token = np.where(stuck, -1, self._ends[node])
+            best, after = np.where(token >= 0, token, best), np.where(token >= 0, look, after)
+            going = ~(stuck & (at >= ends[word]))
+            if not going.all():
+                word, at, node, look, best, after = (x[going] for x in (word, at, node, look, best, after))
+        words, tokens = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, tokens))
+        order = np.argsort(words, kind="stable")
+        return words[order], tokens[order]
+
+    def merged_in_step(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Exact encoding of many short words: each step merges the lowest-ranked leftmost pair of every word."""
+        out: list[bytes] = [b""] * len(starts)
+        for low, width in ((0, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, SHORT_WORD)):  # words of like length share a matrix
+            every = np.flatnonzero((sizes > low) & (sizes <= width))
+            for k in range(0, len(every), STEP_WORDS):
+                self._merge_matrix(data, every[k : k + STEP_WORDS], starts, sizes, width, out)
         return out
 
+    def _merge_matrix(self, data: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, out: list[bytes]) -> None:
+        place = np.arange(width, dtype=np.int32)
+        count = sizes[rows]
+        ids = np.where(place < count[:, None], self._of_byte[data[np.minimum(starts[rows][:, None] + place, len(data) - 1)]], -1)
+        ranks = np.full(ids.shape, NO_RANK, np.int64)
+        r, c = np.nonzero(place[1:] < count[:, None])
+        ranks[r, c] = self._rank(ids[r, c], ids[r, c + 1])
+        live = np.arange(len(rows))
+        while len(live):
+            part = ranks[live]
+            j = part.argmin(1)
+            least = part[np.arange(len(live)), j]
+            going = least < NO_RANK
+            live, j, least = live[going], j[going], least[going]
+            if not len(live):
+                break
+            move = np.minimum(place + (place > j[:, None]), width - 1)
+            own = np.take_along_axis(ids[live], move, 1)
+            part = np.take_along_axis(part[going], move, 1)
+            own[:, -1], part[:, -1] = -1, NO_RANK
+            at = np.arange(len(live))
+            own[at, j] = self._made_by[least]
+            right = np.where(j + 1 < width, own[at, np.minimum(j + 1, width - 1)], -1)
+            near = np.where(right >= 0, self._rank(own[at, j], np.maximum(right, 0)), NO_RANK)
+            before = np.flatnonzero(j > 0)
+            part[at, j] = near
+            part[before, j[before] - 1] = self._rank(own[before, j[before] - 1], own[before, j[before]])
+            ids[live], ranks[live] = own, part
+        kept = ids >= 0
+        flat = ids[kept].astype("<u4").tobytes()
+        ends = np.cumsum(kept.sum(1)) * 4
+        for k, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[k] = flat[a:b]
+
     def _is_sound(self, token: int) -> bool:
         if token not in self._sound:
             self._sound[token] = self.merged(self.bytes[token]) == [token]
         return self._sound[token]
 
-    def encode_words(self, listed: list[str]) -> list[np.ndarray]:
-        """Ids of pre-tokenized words."""
+    def encode_words(self, listed: list[str]) -> list[bytes]:
+        """Ids of pre-tokenized words, each as little-endian 32-bit numbers."""
+        if not listed:
+            return []
         raw = [w.encode() for w in listed]
-        guess = [self.proposed(w) for w in raw]
-        flat = np.fromiter((i for g in guess for i in g), np.int64)
-        sizes = np.array([len(g) for g in guess], np.int64)
-        word = np.repeat(np.arange(len(raw)), sizes)
+        sizes = np.array([len(w) for w in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(sizes)
+        word, flat = self.proposed(data, ends - sizes, ends)
         bad = np.zeros(len(raw), bool)
         unsound = [t for t in np.unique(flat).tolist() if not self._is_sound(t)]
         if unsound:
@@ -183,50 +288,78 @@ class Vocabulary:
         pairs, inverse = np.unique(flat[inner] * len(self.bytes) + flat[inner + 1], return_inverse=True)
         ok = self.compatible(pairs // len(self.bytes), pairs % len(self.bytes))
         bad[word[inner[~ok[inverse]]]] = True
-        for k in np.flatnonzero(bad).tolist():
-            guess[k] = self.merged(raw[k])
-        return [np.array(g, "<u4") for g in guess]
+        cuts = np.searchsorted(word, np.arange(len(raw) + 1)) * 4
+        good = flat.astype("<u4").tobytes()
+        out = [good[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        short = np.flatnonzero(bad & (sizes <= SHORT_WORD))
+        for k, ids in zip(short.tolist(), self.merged_in_step(data, (ends - sizes)[short], sizes[short]), strict=True):
+            out[k] = ids
+        for k in np.flatnonzero(bad & (sizes > SHORT_WORD)).tolist():
+            out[k] = np.array(self.merged(raw[k]), "<u4").tobytes()
+        return out
 
     def _resolve(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that the pattern cuts into words, each as little-endian 32-bit numbers."""
         cut = [_WORD.findall(t) for t in texts]
         if len(self._words) > CACHE_WORDS:
             self._old_words, self._words = self._words, {}
-        fresh = _recall({w for ws in cut for w in ws if w not in self._words}, self._words, self._old_words)
-        self._words.update(zip(fresh, (a.tobytes() for a in self.encode_words(fresh)), strict=True))
+        missing = {w for ws in cut for w in ws}.difference(self._words)
+        known = [w for w in missing if w in self._old_words]
+        self._words.update(zip(known, map(self._old_words.__getitem__, known), strict=True))
+        fresh = list(missing.difference(known))
+        self._words.update(zip(fresh, self.encode_words(fresh), strict=True))
         return [b"".join(map(self._words.__getitem__, ws)) for ws in cut]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        parts: list[tuple[int, str | bytes | list[str]]] = []  # whole texts, special ids, or pieces at single spaces
-        whole: list[str] = []
-        needed: set[str] = set()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that cannot be cut at single spaces, special tokens included."""
+        cut = [self.split_special.split(t) if self.split_special else [t] for t in texts]
+        plain = [p for parts in cut for p in parts if p and p not in self.special]
+        found = iter(self._resolve(plain))
+        number = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        return [b"".join(number[p] if p in number else next(found) for p in parts if p) for parts in cut]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a space, from the cache or made now."""
         if len(self._pieces) > CACHE_PIECES:
             self._old_pieces, self._pieces = self._pieces, {}
-        for k, text in enumerate(texts):
-            for part in self.split_special.split(text) if self.split_special and "<" in text else (text,):
-                if part in self.special:
-                    parts.append((k, np.array([self.special[part]], "<u4").tobytes()))
-                elif _RUN.search(part):
-                    parts.append((k, part))
-                    whole.append(part)
-                elif part:
-                    first, *rest = part.split(" ")
-                    if first:
-                        parts.append((k, first))
-                        whole.append(first)
-                    parts.append((k, rest))
-                    needed.update(rest)
-        fresh = _recall(needed.difference(self._pieces), self._pieces, self._old_pieces)
+        missing = set(pieces).difference(self._pieces)
+        known = [p for p in missing if p in self._old_pieces]
+        self._pieces.update(zip(known, map(self._old_pieces.__getitem__, known), strict=True))
+        fresh = list(missing.difference(known))
         self._pieces.update(zip(fresh, self._resolve([" " + p for p in fresh]), strict=True))
-        direct = dict(zip(whole, self._resolve(whole), strict=True))
-        out: list[list[bytes]] = [[] for _ in texts]
-        for k, part in parts:
-            if isinstance(part, list):
-                out[k].extend(map(self._pieces.__getitem__, part))
-            else:
-                out[k].append(part if isinstance(part, bytes) else direct[part])
-        return [b"".join(x) for x in out]
+        return list(map(self._pieces.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a string column as one array, and the n + 1 offsets of the texts in it; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        slow = pc.match_substring_regex(texts, _RUN)
+        for special in self.special:
+            slow = pc.or_(slow, pc.match_substring(texts, special))
+        cut = pc.split_pattern(pc.if_else(slow, "", texts), " ")
+        coded = cut.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        distinct = coded.dictionary.to_pylist()
+        # a text's first piece follows no space, and a slow text is a piece of its own
+        own = self._whole(texts.filter(slow).to_pylist())
+        is_slow = slow.to_numpy(zero_copy_only=False)
+        heads = [distinct[c] for c in code[edges[:-1]].tolist()]
+        alone = {h: None for h in heads}
+        alone.update(zip(alone, self._resolve(list(alone)), strict=True))
+        rest = iter(own)
+        firsts = [next(rest) if s else alone[h] for s, h in zip(is_slow.tolist(), heads, strict=True)]
+        code[edges[:-1]] = len(distinct) + np.arange(n)
+        held = [*self._known(distinct), *firsts]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[code]
+        ends = np.cumsum(sizes)
+        blob = np.frombuffer(b"".join(held), "<u4")
+        ids = blob[np.repeat(start[code] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+        return ids, np.concatenate([[0], ends])[edges]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -235,29 +368,16 @@ class Vocabulary:
         return ",".join(map(self._decimal.__getitem__, ids))
 
 
-def _recall(missing: set[str], new: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
-    """Moves what the older generation still knows into the newer one; the rest returns."""
-    known = missing & old.keys()
-    new.update((k, old[k]) for k in known)
-    return list(missing - known)
-
-
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """One per worker and file."""
     return Vocabulary(path)
 
 
-def batches_of(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Start and texts of slices of about BATCH_BYTES; null becomes empty."""
-    begin = 0
-    while begin < len(texts):
-        end, size = begin, 0
-        while end < len(texts) and (end == begin or size < BATCH_BYTES):
-            size += len(texts[end] or "")
-            end += 1
-        yield begin, [t or "" for t in texts[begin:end]]
-        begin = end
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Start and texts of slices of about BATCH_BYTES."""
+    for begin, end in words.pieces(column, BATCH_BYTES):
+        yield begin, column.slice(begin, end - begin)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -267,10 +387,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in batches_of(batch.column(text).to_pylist()):
-                found = [np.frombuffer(x, "<u4").astype(np.int32) for x in vocabulary(path).encode(texts)]
+            for begin, texts in slices(batch.column(text)):
+                flat, offsets = vocabulary(path).encode(texts)
+                found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 part = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(found, pa.list_(pa.int32()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), found], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -297,10 +418,11 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for begin, texts in batches_of(batch.column(text).to_pylist()):
+            for begin, texts in slices(batch.column(text)):
                 counts, listed, decoded = [], [], []
-                for raw in vocab.encode(texts):
-                    ids = np.frombuffer(raw, "<u4").tolist()
+                flat, offsets = vocab.encode(texts)
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    ids = flat[a:b].tolist()
                     counts.append(len(ids))
                     listed.append(hashlib.sha256(vocab.decimal(ids).encode()).hexdigest())
                     decoded.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())

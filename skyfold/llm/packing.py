@@ -126,10 +126,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, doc_id: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, end = bpe.vocabulary(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for begin, texts in bpe.batches_of(batch.column(text).to_pylist()):
+            for begin, texts in bpe.slices(batch.column(text)):
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, raw in enumerate(vocab.encode(texts)):
-                    raw += end
+                flat, offsets = vocab.encode(texts)
+                for k, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    raw = flat[low:high].tobytes() + end
                     n = len(raw) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
