@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyfold.plans import files, frames, imaging, live, matching, neighbourhood, stacking, stars
+from skyfold.plans import files, frames, imaging, live, matching, neighbourhood, stacking, stars, targets
 
 FLAGSHIP = "stack_sigma_clip"
-_MODULES = (stacking, frames, matching, imaging, neighbourhood, stars, files, live)
+_MODULES = (stacking, frames, matching, imaging, neighbourhood, stars, targets, files, live)
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

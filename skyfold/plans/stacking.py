@@ -18,7 +18,7 @@ PIXELS_SQL = """px AS (
 
 
 def _rounded(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
+    return df.withColumns({n: F.round(n, places) + 0.0 for n in names})
 
 
 def _stack(method: str, **params: object):
