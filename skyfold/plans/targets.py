@@ -52,7 +52,7 @@ def radial_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affine_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = star_match(spark, sf_dir).withColumn("shift", F.col("ry") - F.col("y"))
-    return _rounded(T.affine_residual(m, KEYS, "shift"), "by_y", "by_x", "rms")
+    return _rounded(_rounded(T.affine_residual(m, KEYS, "shift"), "by_y", "by_x", places=6), "rms", places=5)
 
 
 def comet_track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ ORACLE_SQL = {
     "affine_residual": f"""{_MATCH}, s AS (SELECT *, ry - y AS shift FROM matched), c AS (SELECT *, y - avg(y) OVER w AS cy, x - avg(x) OVER w AS cx, shift - avg(shift) OVER w AS cv FROM s WINDOW w AS (PARTITION BY session, frame_id)),
         a AS (SELECT session, frame_id, sum(cy * cy) AS yy, sum(cx * cx) AS xx, sum(cy * cx) AS yx, sum(cy * cv) AS yv, sum(cx * cv) AS xv, sum(cv * cv) AS vv, count(*) AS n FROM c GROUP BY ALL),
         b AS (SELECT *, CASE WHEN n >= 3 AND abs(yy * xx - yx * yx) > 1e-9 THEN (yv * xx - xv * yx) / (yy * xx - yx * yx) END AS ky, CASE WHEN n >= 3 AND abs(yy * xx - yx * yx) > 1e-9 THEN (xv * yy - yv * yx) / (yy * xx - yx * yx) END AS kx FROM a)
-        SELECT session, frame_id, n, round(ky, 3) + 0.0 AS by_y, round(kx, 3) + 0.0 AS by_x, round(sqrt(CASE WHEN ky IS NOT NULL THEN greatest(vv - ky * yv - kx * xv, 0) END / n), 3) AS rms FROM b""",
+        SELECT session, frame_id, n, round(ky, 6) + 0.0 AS by_y, round(kx, 6) + 0.0 AS by_x, round(sqrt(CASE WHEN ky IS NOT NULL THEN greatest(vv - ky * yv - kx * xv, 0) END / n), 5) AS rms FROM b""",
     "hierarchical_stack": f"""WITH {PIXELS_SQL}, o AS (SELECT session, y, x, median(v) AS v FROM px GROUP BY ALL), k AS (SELECT * FROM o WHERE y >= session % 2 AND x < 8 - session % 3) SELECT y, x, round(avg(v), 3) AS value, count(*) AS sessions FROM k WHERE y >= 1 AND x < 6 GROUP BY y, x""",
     "channel_scales": f"""WITH {PIXELS_SQL}, r AS (SELECT session, frame_id, CAST(x % 3 AS INTEGER) AS c, avg(v) AS m FROM px GROUP BY ALL), q AS (SELECT *, (1000 + 40 * c) / m AS q FROM r) SELECT session, c, round(greatest(least(median(q), 2), 0.5), 6) AS scale, count(*) AS stars FROM q GROUP BY session, c""",
     "annotation_objects": """(SELECT 'star' AS kind, p_partkey AS id, p_name AS name FROM part WHERE p_size < 10 ORDER BY p_retailprice, p_partkey LIMIT 30) UNION ALL SELECT 'object', p_partkey, p_name FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND p_name LIKE 'small %'""",
