@@ -16,9 +16,9 @@ def calibrate(px: DataFrame, dark: DataFrame, flat: DataFrame, scale: float = 1.
 
 
 def flat_norm(flat: DataFrame) -> DataFrame:
-    """A master flat over its median, held to [0.4, 2.5]."""
-    middle = F.median("value").over(Window.partitionBy())
-    return flat.withColumn("value", F.greatest(F.least(F.col("value") / middle, F.lit(2.5)), F.lit(0.4)))
+    """A master flat over its median, held to [0.4, 2.5]; the median is one number, found by its own aggregation."""
+    middle = flat.agg(F.median("value")).first()[0]
+    return flat.withColumn("value", F.greatest(F.least(F.col("value") / F.lit(middle), F.lit(2.5)), F.lit(0.4)))
 
 
 def cfa(y: Column, x: Column, pattern: str = "RGGB") -> Column:
@@ -58,12 +58,11 @@ def phase_offsets(px: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_pixels(dark: DataFrame, sigma: float = 5.0) -> DataFrame:
-    """Positions of a master dark (y, x, value) over the robust threshold."""
-    w = Window.partitionBy()
-    d = dark.withColumn("_m", F.median("value").over(w))
-    d = d.withColumns({"_s": 1.4826 * F.median(F.abs(F.col("value") - F.col("_m"))).over(w), "_d": F.stddev_pop("value").over(w)})
-    s = F.when(F.col("_s") < 1e-12, F.col("_d")).otherwise(F.col("_s"))
-    return d.filter(F.col("value") > F.col("_m") + sigma * s).select("y", "x", "value")
+    """Positions of a master dark (y, x, value) over the robust threshold, whose two numbers come from aggregations."""
+    middle, deviation = dark.agg(F.median("value"), F.stddev_pop("value")).first()
+    spread = dark.agg(1.4826 * F.median(F.abs(F.col("value") - F.lit(middle)))).first()[0]
+    limit = (middle or 0.0) + sigma * (spread if spread and spread >= 1e-12 else deviation or 0.0)
+    return dark.filter(F.col("value") > limit).select("y", "x", "value")
 
 
 def gray_world(px: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -128,9 +128,10 @@ def classify_target(fill: Column, diffuse: Column, peak: Column, stars: Column)
     )
 
 
-def blend_weights(signals: DataFrame, anchors: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    """Weights of the anchor presets for each signal row: 1 / (distance + 0.05)^2, normalised. The anchors are a fixed small table."""
-    joined = signals.join(F.broadcast(anchors.select("preset", *[F.col(a).alias(f"_{a}") for a in axes])))
+def blend_weights(signals: DataFrame, anchors: Sequence[tuple], keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """Weights of the anchor presets (name, place on each axis) for each signal row: 1 / (distance + 0.05)^2, normalised."""
+    table = F.array(*[F.struct(F.lit(name).alias("preset"), *[F.lit(float(x)).alias(f"_{axis}") for axis, x in zip(axes, place, strict=True)]) for name, *place in anchors])
+    joined = signals.withColumn("_a", F.explode(table)).select(*keys, *axes, "_a.*")
     d = F.sqrt(sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in axes), F.lit(0.0)))
     raw = joined.withColumn("_w", 1 / (d + 0.05) ** 2)
     return raw.select(*keys, "preset", (F.col("_w") / F.sum("_w").over(Window.partitionBy(*keys))).alias("weight"))

@@ -131,7 +131,7 @@ def session_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def advisor_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preset weights of each session's signals."""
-    anchors = spark.createDataFrame([("galaxy", 0.4, 0.3, 0.5), ("emission", 0.7, 0.6, 0.3), ("star_field", 0.5, 0.1, 0.9)], "preset string, fill double, diffuse double, peak double")
+    anchors = [("galaxy", 0.4, 0.3, 0.5), ("emission", 0.7, 0.6, 0.3), ("star_field", 0.5, 0.1, 0.9)]
     return _rounded(S.blend_weights(session_signals(spark, sf_dir), anchors, ["session"], ["fill", "diffuse", "peak"]), "weight", places=5)
 
 

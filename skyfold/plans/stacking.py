@@ -86,9 +86,9 @@ def stack_online_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def master_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median master frame of all sessions' frames, with its flat-field normalisation."""
     master = C.median(pixels(spark, sf_dir), ["y", "x"]).select("y", "x", F.col("value").alias("master"))
-    middle = master.agg(F.median("master").alias("middle"))  # one row
-    flat = F.greatest(F.least(F.col("master") / F.col("middle"), F.lit(2.5)), F.lit(0.4))
-    return _rounded(master.join(F.broadcast(middle)).select("y", "x", "master", flat.alias("flat_norm")), "master", "flat_norm", places=6)
+    middle = master.agg(F.median("master")).first()[0]  # one number
+    flat = F.greatest(F.least(F.col("master") / F.lit(middle), F.lit(2.5)), F.lit(0.4))
+    return _rounded(master.select("y", "x", "master", flat.alias("flat_norm")), "master", "flat_norm", places=6)
 
 
 def part_price_sigma_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
