@@ -31,12 +31,15 @@ _PARAGRAPH = frozenset("p pre blockquote li dd td h1 h2 h3 h4 h5 h6 figcaption".
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w+|signup|login|"
     r"nav\w*|menus?|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|footer|masthead|header|toolbar|pagination|pager|"
-    r"comments?|commentlist|respond|replies|reply|disqus|discussion|tags?|skip\w*|hidden|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"tags?|skip\w*|hidden|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus|discussion)(?:$|[\s_-])", re.I)
 _KEEP = re.compile(r"(?:^|[\s_-])(?:article|main|content|story|post|entry|body)(?:$|[\s_-])", re.I)
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_LIKELY, _UNLIKELY = 25, 25
+_LIKELY = 25
+#: Why an element is left out; what a name alone says is taken back where the article turns out to lie inside (`has-sidebar`).
+_ALWAYS, _BY_NAME = 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -54,12 +57,12 @@ class _Node:
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
         self.children: list = []
-        self.drop, self.hint, self.score, self.text_chars, self.link_chars = False, 0, 0.0, 0, 0
+        self.drop, self.hint, self.score, self.text_chars, self.link_chars = 0, 0, 0.0, 0, 0
 
 
 def _describe(node: _Node, attributes: str) -> None:
     if node.tag in _DROP:
-        node.drop = True
+        node.drop = _ALWAYS
     if node.tag in ("article", "main"):
         node.hint += _LIKELY
     if not attributes.strip():
@@ -70,12 +73,14 @@ def _describe(node: _Node, attributes: str) -> None:
         if name in ("class", "id"):
             names.append(value)
         elif (name == "role" and value.lower() in _ROLE) or (name == "style" and _HIDDEN.search(value)) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            node.drop = True
+            node.drop = _ALWAYS
     for value in names:
+        if _COMMENTS.search(value) and node.tag not in ("html", "body"):
+            node.drop = _ALWAYS
         if _KEEP.search(value) and node.tag in ("article", "main", "section", "div", "body"):
             node.hint += _LIKELY
-        if _FURNITURE.search(value) and node.tag not in ("html", "body", "article", "main"):
-            node.drop = True
+        if not node.drop and _FURNITURE.search(value) and node.tag not in ("html", "body", "article", "main"):
+            node.drop = _BY_NAME
 
 
 def parse(page: str) -> _Node:
@@ -114,14 +119,20 @@ def parse(page: str) -> _Node:
                 node = up.parent
         child = _Node(tag, node)
         node.children.append(child)
+        if tag in ("article", "main"):
+            up = node
+            while up is not None and up.drop != _ALWAYS:
+                up.drop = 0
+                up = up.parent
         _describe(child, found[3] or "")
         if tag not in _VOID and not (found[3] or "").rstrip().endswith("/"):
             node = child
     return root
 
 
-def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
-    """(innermost block element, text with single spaces, characters in links) in page order."""
+def _blocks(root: _Node, strict: int) -> list[tuple[_Node, str, int]]:
+    """(innermost block element, text with single spaces, characters in links) in page order; leaves out what is dropped for a
+    reason up to `strict`."""
     out: list[tuple[_Node, str, int]] = []
     held: list[str] = []
     linked = 0
@@ -149,7 +160,7 @@ def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
                     linked += len(child.strip())
             elif child.tag == "br":
                 held.append("\n")
-            elif child.drop:
+            elif 0 < child.drop <= strict:
                 if child.tag in _BLOCK:
                     flush(owner)
             elif child.tag in _BLOCK:
@@ -172,7 +183,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    blocks = _blocks(root)
+    blocks = _blocks(root, _BY_NAME) or _blocks(root, _ALWAYS)
     if not blocks:
         return ""
     touched: dict[int, _Node] = {}

@@ -204,6 +204,18 @@ def test_html_extraction():
     assert html_extract.extract("<p>" * 3000 + "deep") == "deep"
 
 
+def test_html_furniture_names_do_not_hide_the_article():
+    body = "word " * 40
+    wrapped = f"<div class='layout has-sidebar'><article><p>Main, {body}</p></article><div class='sidebar'><p>Side, {body}</p></div></div>"
+    assert html_extract.extract(wrapped).startswith("Main") and "Side" not in html_extract.extract(wrapped)
+    assert html_extract.extract(f"<div class='banner'><p>Only, {body}</p></div>").startswith("Only")
+    talk = f"<main><p>Main, {body}</p></main><section id='comments'><article class='comment'><p>Talk, {body}</p></article></section>"
+    assert "Talk" not in html_extract.extract(talk)
+    inner = f"<article><p>A, {body}</p><div class='ad'>Buy</div><p>B</p><div class='comments'><p>C, {body}</p></div></article>"
+    assert html_extract.extract(inner).split("\n")[1:] == ["B"]
+    assert html_extract.extract("<article><table><tr><td>1</td><td>2</td></tr></table><pre>a\n  b</pre><blockquote>q</blockquote></article>") == "1\n2\na b\nq"
+
+
 def test_html_extraction_of_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE.format("word " * 40), "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
