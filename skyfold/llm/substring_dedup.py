@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from skyfold.llm import store, words
 
 #: Text bytes of a chunk, census entries of a bucket, and suffixes of a group that one task holds in memory.
-CHUNK_BYTES, BUCKET_ENTRIES, GROUP_SUFFIXES = 4_000_000, 1_500_000, 1_000_000
+CHUNK_BYTES, BUCKET_ENTRIES, GROUP_SUFFIXES = 3_000_000, 600_000, 500_000
 #: Chunks, about, and suffixes per chunk that the sample for the prefix cuts takes.
 SAMPLE_CHUNKS, SAMPLE_SUFFIXES = 48, 2_000
 
@@ -277,7 +277,7 @@ def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> np.ndarra
     few = chunks.select("docs").mapInArrow(sample, "keys binary").collect()
     keys = np.unique(np.frombuffer(b"".join(bytes(r["keys"]) for r in few), np.uint64))
     if len(keys) < 2:
-        return np.linspace(0, 2**64, n_groups + 1)[1:-1].astype(np.uint64)
+        return np.array([(k << 64) // n_groups for k in range(1, n_groups)], np.uint64)
     places = np.clip(np.arange(1, n_groups) * len(keys) // n_groups, 1, len(keys) - 1)
     quarter = keys[places] >> np.uint64(32) << np.uint64(32)  # the first label alone where it already separates
     return np.sort(np.where(keys[places - 1] < quarter, quarter, keys[places]))
