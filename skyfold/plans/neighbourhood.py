@@ -92,4 +92,33 @@ QUERIES = {f"filter_{name}": _filtered(name) for name in I.FILTERS} | {q.__name_
 _MEDIAN_SQL = f"""WITH {PIXELS_SQL}, n AS (SELECT a.session, a.frame_id, a.y, a.x, b.v FROM px a, (VALUES (-1), (0), (1)) s(dy), (VALUES (-1), (0), (1)) t(dx), px b
     WHERE b.session = a.session AND b.frame_id = a.frame_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7))
     SELECT session, frame_id, y, x, round(median(v), 3) AS v FROM n GROUP BY ALL"""
-ORACLE_SQL = {"filter_median": _MEDIAN_SQL, "tiled_median": _MEDIAN_SQL}
+
+
+def _around(radius: int) -> str:
+    """Neighbours (dy, dx, u) of every pixel within a square, edges mirrored."""
+    steps = f"(SELECT unnest(generate_series(-{radius}, {radius})) AS d)"
+    mirror = lambda c: f"CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} > 7 THEN 15 - ({c}) ELSE {c} END"
+    return f"""SELECT a.session, a.frame_id, a.y, a.x, a.v, s.d AS dy, t.d AS dx, b.v AS u FROM px a, {steps} s, {steps} t, px b
+        WHERE b.session = a.session AND b.frame_id = a.frame_id AND b.y = {mirror("a.y + s.d")} AND b.x = {mirror("a.x + t.d")}"""
+
+
+def _diffusion_sql(rounds: int, kappa: float, gamma: float) -> str:
+    parts = [PIXELS_SQL, "d0 AS (SELECT * FROM px)"]
+    flow = " + ".join(f"({n}.v - a.v) * exp(-(({n}.v - a.v) / {kappa}) * (({n}.v - a.v) / {kappa}))" for n in "pqrs")
+    for i in range(rounds):
+        near = " ".join(f"JOIN d{i} {n} ON {n}.session = a.session AND {n}.frame_id = a.frame_id AND {n}.y = (a.y + {8 + dy}) % 8 AND {n}.x = (a.x + {8 + dx}) % 8" for n, (dy, dx) in zip("pqrs", ((1, 0), (-1, 0), (0, 1), (0, -1)), strict=True))
+        parts.append(f"d{i + 1} AS (SELECT a.session, a.frame_id, a.y, a.x, a.v + {gamma} * ({flow}) AS v FROM d{i} a {near})")
+    return "WITH " + ", ".join(parts) + f" SELECT session, frame_id, y, x, round(v, 3) AS v FROM d{rounds}"
+
+
+_WEIGHT = "exp(-0.5 * dy * dy) * exp(-0.5 * dx * dx)"
+ORACLE_SQL = {
+    "filter_median": _MEDIAN_SQL,
+    "tiled_median": _MEDIAN_SQL,
+    "filter_hot_pixels": f"""WITH {PIXELS_SQL}, n AS ({_around(1)}), m AS (SELECT session, frame_id, y, x, any_value(v) AS v, median(u) AS m FROM n GROUP BY ALL), d AS (SELECT *, v - m AS d, median(v - m) OVER w AS c, stddev_pop(v - m) OVER w AS sd FROM m WINDOW w AS (PARTITION BY session, frame_id)),
+        s AS (SELECT *, 1.4826 * median(abs(d - c)) OVER (PARTITION BY session, frame_id) AS s FROM d) SELECT session, frame_id, y, x, round(CASE WHEN d > 5 * greatest(CASE WHEN s > 1e-12 THEN s ELSE sd END, 1e-6) THEN m ELSE v END, 3) AS v FROM s""",
+    "filter_gaussian": f"WITH {PIXELS_SQL}, n AS ({_around(4)}) SELECT session, frame_id, y, x, round(sum({_WEIGHT} * u) / sum({_WEIGHT}), 3) AS v FROM n GROUP BY session, frame_id, y, x",
+    "filter_bilateral": f"""WITH {PIXELS_SQL}, n AS ({_around(3)}), w AS (SELECT *, exp(-(dy * dy + dx * dx) / 4.5::DOUBLE) * exp(-((u - v) * (u - v)) / 7200.0::DOUBLE) AS w FROM n)
+        SELECT session, frame_id, y, x, round(sum(w * u) / sum(w), 3) AS v FROM w GROUP BY session, frame_id, y, x""",
+    "filter_diffusion": _diffusion_sql(5, 200.0, 0.1),
+}
