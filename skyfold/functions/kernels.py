@@ -99,31 +99,46 @@ def debayer_directional(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
     return np.maximum(np.stack(out, -1), 0)
 
 
+def spread_about_zero(d: np.ndarray, fallback: bool = True) -> float:
+    """Scaled median of the magnitudes; the deviation where that vanishes, or nothing."""
+    s = MAD_SCALE * float(np.median(np.abs(d)))
+    return s if s >= 1e-6 else float(d.std()) if fallback else 0.0
+
+
 def fix_hot_pixels(a: np.ndarray, sigma: float = 5.0) -> np.ndarray:
     """Samples `sigma` deviations over the median of their neighbours take that median."""
     m = median_filter(a, 1)
-    d = a - m
-    return np.where(d > sigma * max(mad_sigma(d), 1e-6), m, a)
+    return np.where(a - m > sigma * spread_about_zero(a - m), m, a)
+
+
+def fix_hot_colour(rgb: np.ndarray, sigma: float = 12.0) -> np.ndarray:
+    """Where the luminance is hot, every channel takes the mean of its 3x3 box."""
+    lum = rgb @ np.array([0.299, 0.587, 0.114])
+    d = lum - median_filter(lum, 1)
+    hot = d > sigma * spread_about_zero(d)
+    return np.stack([np.where(hot, windows(rgb[..., c], 1).mean((2, 3)), rgb[..., c]) for c in range(rgb.shape[2])], -1)
 
 
-def fix_hot_bayer(raw: np.ndarray, sigma: float = 5.0) -> np.ndarray:
-    """The same on each colour lattice of a mosaic."""
+def fix_hot_bayer(raw: np.ndarray, sigma: float = 5.0, known: np.ndarray | None = None) -> np.ndarray:
+    """The same on each colour lattice of a mosaic; pixels of a known map take the median first."""
     out = raw.astype(float).copy()
     for dy in (0, 1):
         for dx in (0, 1):
-            out[dy::2, dx::2] = fix_hot_pixels(raw[dy::2, dx::2].astype(float), sigma)
+            own = out[dy::2, dx::2]
+            m = median_filter(own, 1)
+            if known is not None:
+                own = np.where(known[dy::2, dx::2], m, own)
+            s = spread_about_zero(own - m, False)
+            out[dy::2, dx::2] = np.where((own - m > sigma * s) & (s > 0), m, own)
     return out
 
 
-def reject_cosmics(a: np.ndarray, sigclip: float = 4.5, objlim: float = 5.0, gain: float = 1.0, read_noise: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """Cosmic-ray hits by the Laplacian edge test: cleaned frame and mask."""
-    edge = np.maximum(-laplacian(a), 0) / 4
+def reject_cosmics(a: np.ndarray, sigclip: float = 4.5, objlim: float = 5.0, gain: float = 1.0, read_noise: float = 6.5) -> tuple[np.ndarray, np.ndarray]:
+    """Cosmic-ray hits by the Laplacian edge test against a noise model: cleaned frame and mask."""
     smooth = median_filter(a, 2)
-    noise = np.sqrt(np.maximum(smooth, 0) / gain + (read_noise / gain) ** 2)
-    s = edge / np.maximum(2 * noise, 1e-12)
-    s = s - median_filter(s, 2)
-    fine = np.maximum(median_filter(a, 1) - smooth, 0.01 * noise)
-    mask = (s > sigclip) & (edge / fine > objlim)
+    noise = np.maximum(np.sqrt(np.maximum(smooth, 0) / gain + (read_noise / gain) ** 2), 1e-6)
+    edge = np.maximum(-laplacian(a), 0) / (2 * noise)  # a Laplacian doubles the noise
+    mask = (edge > sigclip) & (edge / np.maximum(median_filter(edge, 1), 1e-6) > objlim)
     return np.where(mask, smooth, a), mask
 
 
@@ -208,22 +223,32 @@ def non_local_means(a: np.ndarray, h: float, patch: int = 1, distance: int = 3)
     return total / weights
 
 
-def median_cascade(a: np.ndarray, levels: int = 3, k: float = 3.0) -> np.ndarray:
-    """Multiscale median denoising: medians of growing size, soft thresholds on the differences."""
-    c, out = a.astype(float), np.zeros(a.shape)
+def median_cascade(a: np.ndarray, levels: int = 4, k: float = 3.0, scale: float = 1.0) -> np.ndarray:
+    """Multiscale medians (3, 5, 9, 17 wide): the finest layer gives the noise, each layer a soft threshold that falls with the
+    root of its level; `scale` raises it for colour planes."""
+    c, layers = a.astype(float), []
     for j in range(levels):
         s = median_filter(c, 2**j)
-        d = c - s
-        t = k * mad_sigma(d) / (j + 1) ** 0.5
-        out += np.sign(d) * np.maximum(np.abs(d) - t, 0)
+        layers.append(c - s)
         c = s
-    return out + c
+    noise = max(scale * float(np.median(np.abs(layers[0]))) / 0.6745, 1e-12)
+    return c + sum(np.sign(d) * np.maximum(np.abs(d) - k * noise / (j + 1) ** 0.5, 0) for j, d in enumerate(layers))
+
+
+def neighbour_noise(a: np.ndarray) -> float:
+    """Noise from differences of neighbours that both lie in (0, 80th percentile)."""
+    sky = (a > 0) & (a < np.percentile(a, 80))
+    d = np.concatenate([(a[:, 1:] - a[:, :-1])[sky[:, 1:] & sky[:, :-1]], (a[1:] - a[:-1])[sky[1:] & sky[:-1]]])
+    return float(np.median(np.abs(d - np.median(d))) / (0.6745 * 2**0.5)) if len(d) else 0.0
 
 
 def contrast_denoise(a: np.ndarray, sigma: float = 1.5, k: float = 3.0) -> np.ndarray:
-    """Blends towards a Gaussian where the local contrast is low."""
+    """Blends towards a Gaussian where the local contrast is within the noise."""
+    noise = neighbour_noise(a)
+    if noise < 1e-10:
+        return a.astype(float)
     s = gaussian(a, sigma)
-    w = np.exp(-0.5 * ((a - s) / max(k * mad_sigma(a - s), 1e-12)) ** 2)
+    w = np.exp(-0.5 * (np.abs(a - s) / max(k * noise, 1e-12)) ** 2)
     return w * s + (1 - w) * a
 
 
@@ -254,14 +279,14 @@ def block_match(a: np.ndarray, sigma: float, block: int = 4, group: int = 8, sea
 
 def diffuse(a: np.ndarray, rounds: int = 10, kappa: float = 50.0, gamma: float = 0.1, option: int = 1) -> np.ndarray:
     """Anisotropic diffusion with periodic edges."""
-    a = a.astype(float)
+    a, gamma = a.astype(float), min(max(gamma, 1e-6), 0.25)
     for _ in range(rounds):
         flow = np.zeros(a.shape)
         for axis, by in ((0, 1), (0, -1), (1, 1), (1, -1)):
             d = np.roll(a, by, axis) - a
             flow += d * (np.exp(-((d / kappa) ** 2)) if option == 1 else 1 / (1 + (d / kappa) ** 2))
         a = a + gamma * flow
-    return a
+    return np.maximum(a, 0)
 
 
 def richardson_lucy(a: np.ndarray, psf: np.ndarray, rounds: int = 10) -> np.ndarray:

@@ -94,11 +94,11 @@ _MEDIAN_SQL = f"""WITH {PIXELS_SQL}, n AS (SELECT a.session, a.frame_id, a.y, a.
     SELECT session, frame_id, y, x, round(median(v), 3) AS v FROM n GROUP BY ALL"""
 
 
-def _around(radius: int) -> str:
-    """Neighbours (dy, dx, u) of every pixel within a square, edges mirrored."""
+def _around(radius: int, source: str = "px") -> str:
+    """Neighbours (dy, dx, u) of every pixel of a source (session, frame_id, y, x, v) within a square, edges mirrored."""
     steps = f"(SELECT unnest(generate_series(-{radius}, {radius})) AS d)"
     mirror = lambda c: f"CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} > 7 THEN 15 - ({c}) ELSE {c} END"
-    return f"""SELECT a.session, a.frame_id, a.y, a.x, a.v, s.d AS dy, t.d AS dx, b.v AS u FROM px a, {steps} s, {steps} t, px b
+    return f"""SELECT a.session, a.frame_id, a.y, a.x, a.v, s.d AS dy, t.d AS dx, b.v AS u FROM {source} a, {steps} s, {steps} t, {source} b
         WHERE b.session = a.session AND b.frame_id = a.frame_id AND b.y = {mirror("a.y + s.d")} AND b.x = {mirror("a.x + t.d")}"""
 
 
@@ -115,8 +115,14 @@ _WEIGHT = "exp(-0.5 * dy * dy) * exp(-0.5 * dx * dx)"
 ORACLE_SQL = {
     "filter_median": _MEDIAN_SQL,
     "tiled_median": _MEDIAN_SQL,
-    "filter_hot_pixels": f"""WITH {PIXELS_SQL}, n AS ({_around(1)}), m AS (SELECT session, frame_id, y, x, any_value(v) AS v, median(u) AS m FROM n GROUP BY ALL), d AS (SELECT *, v - m AS d, median(v - m) OVER w AS c, stddev_pop(v - m) OVER w AS sd FROM m WINDOW w AS (PARTITION BY session, frame_id)),
-        s AS (SELECT *, 1.4826 * median(abs(d - c)) OVER (PARTITION BY session, frame_id) AS s FROM d) SELECT session, frame_id, y, x, round(CASE WHEN d > 5 * greatest(CASE WHEN s > 1e-12 THEN s ELSE sd END, 1e-6) THEN m ELSE v END, 3) AS v FROM s""",
+    "filter_hot_pixels": f"""WITH {PIXELS_SQL}, n AS ({_around(1)}), m AS (SELECT session, frame_id, y, x, any_value(v) AS v, median(u) AS m FROM n GROUP BY ALL),
+        s AS (SELECT *, 1.4826 * median(abs(v - m)) OVER w AS s, stddev_pop(v - m) OVER w AS sd FROM m WINDOW w AS (PARTITION BY session, frame_id)) SELECT session, frame_id, y, x, round(CASE WHEN v - m > 5 * CASE WHEN s >= 1e-6 THEN s ELSE sd END THEN m ELSE v END, 3) AS v FROM s""",
+    "filter_cosmics": f"""WITH {PIXELS_SQL}, n5 AS ({_around(2)}), m5 AS (SELECT session, frame_id, y, x, any_value(v) AS v, median(u) AS m5, greatest(4 * any_value(v) - sum(u) FILTER (abs(dy) + abs(dx) = 1), 0) AS edge FROM n5 GROUP BY ALL),
+        e AS (SELECT session, frame_id, y, x, v AS a, m5, edge / (2 * greatest(sqrt(greatest(m5, 0) + 6.5 * 6.5), 1e-6)) AS v FROM m5), n3 AS ({_around(1, "e")}), m3 AS (SELECT session, frame_id, y, x, median(u) AS m3 FROM n3 GROUP BY ALL)
+        SELECT session, frame_id, y, x, round(CASE WHEN e.v > 4.5 AND e.v / greatest(m3, 1e-6) > 5 THEN m5 ELSE a END, 3) AS v FROM e JOIN m3 USING (session, frame_id, y, x)""",
+    "filter_median_cascade": f"""WITH {PIXELS_SQL}, n1 AS ({_around(1)}), c1 AS (SELECT session, frame_id, y, x, any_value(v) AS a, median(u) AS v FROM n1 GROUP BY ALL), n2 AS ({_around(2, "c1")}), c2 AS (SELECT session, frame_id, y, x, median(u) AS v FROM n2 GROUP BY ALL),
+        d AS (SELECT session, frame_id, y, x, a - c1.v AS d1, c1.v - c2.v AS d2, c2.v AS c FROM c1 JOIN c2 USING (session, frame_id, y, x)), t AS (SELECT *, 3 * greatest(median(abs(d1)) OVER (PARTITION BY session, frame_id) / 0.6745, 1e-12) AS t FROM d)
+        SELECT session, frame_id, y, x, round(c + sign(d1) * greatest(abs(d1) - t, 0) + sign(d2) * greatest(abs(d2) - t / sqrt(2), 0), 3) AS v FROM t""",
     "filter_gaussian": f"WITH {PIXELS_SQL}, n AS ({_around(4)}) SELECT session, frame_id, y, x, round(sum({_WEIGHT} * u) / sum({_WEIGHT}), 3) AS v FROM n GROUP BY session, frame_id, y, x",
     "filter_bilateral": f"""WITH {PIXELS_SQL}, n AS ({_around(3)}), w AS (SELECT *, exp(-(dy * dy + dx * dx) / 4.5::DOUBLE) * exp(-((u - v) * (u - v)) / 7200.0::DOUBLE) AS w FROM n)
         SELECT session, frame_id, y, x, round(sum(w * u) / sum(w), 3) AS v FROM w GROUP BY session, frame_id, y, x""",
