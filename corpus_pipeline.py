@@ -20,10 +20,11 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled rows among them, does not reject."""
+    store.bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.score(named, model).filter("predicted = 0").select("row.*")
+    added = tuple(store.free_name(docs, n) for n in ("score", "predicted", "matched_clauses"))
+    return toxicity.score(docs, model, added=added).filter(F.col(added[1]) == 0).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents; each stage's result is stored in the shared folder and read again."""
+    store.bound_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = store.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -29,15 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skyfold.llm import words
+from skyfold.llm import store, words
 
 #: Pieces and words in the newer of the two generations that a worker remembers.
-CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+CACHE_PIECES, CACHE_WORDS = 250_000, 250_000
 #: Bytes up to which words are merged side by side, and how many at once.
 SHORT_WORD, STEP_WORDS = 64, 4_000
 NO_RANK = 1 << 62
 #: Text bytes encoded in one go.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 # fixed values: the white space of Unicode, and the byte-level pre-tokenizer's pattern over it
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -358,8 +358,10 @@ class Vocabulary:
         sizes = size[code]
         ends = np.cumsum(sizes)
         blob = np.frombuffer(b"".join(held), "<u4")
-        ids = blob[np.repeat(start[code] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
-        return ids, np.concatenate([[0], ends])[edges]
+        narrow = np.int32 if max(len(blob), int(ends[-1])) < 1 << 31 else np.int64
+        at = np.repeat((start[code] - ends + sizes).astype(narrow), sizes)
+        at += np.arange(len(at), dtype=narrow)
+        return blob[at], np.concatenate([[0], ends])[edges]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -385,6 +387,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in slices(batch.column(text)):
@@ -401,6 +404,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     kept = [f for f in docs.schema.fields if f.name != ids]
     schema = T.StructType([*kept, T.StructField(text, T.StringType())])
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [vocabulary(path).decode(x or []) for x in batch.column(ids).to_pylist()]
@@ -415,6 +419,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     One pass: the ids of a batch are encoded, digested and decoded where they are made and never stored.
     """
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyfold.llm import store
+
 #: Samples of a frame, frames from one seek point to the next, and payload bytes worked on at once.
 BLOCK, SEEK_EVERY, STEP_BYTES = 576, 16, 2_000_000
 _ORDER, _PRECISION, _SHIFT = 4, 12, 10
@@ -457,6 +459,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 def encode_column(rows: DataFrame, key: str, data: str) -> DataFrame:
     """(key, n_bytes, media) for a string or binary column."""
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, held in _slices(batch.column("data")):
@@ -469,6 +472,7 @@ def encode_column(rows: DataFrame, key: str, data: str) -> DataFrame:
 def describe_column(media: DataFrame, key: str) -> DataFrame:
     """Decodes the streams: digests of payload and stream, the payload's tail and its features."""
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, held in _slices(batch.column("media")):
@@ -494,6 +498,7 @@ def describe_column(media: DataFrame, key: str) -> DataFrame:
 def pcm_blocks(media: DataFrame, key: str) -> DataFrame:
     """Decoded blocks: (key, block, sample_offset, n_samples, pcm), pcm as unsigned 8-bit samples."""
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, held in _slices(batch.column("media")):

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skyfold.llm import store
+
 # fixed values: HTML element names and the usual names of page furniture
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title xmp svg math object audio video canvas".split())
@@ -231,6 +233,7 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(x) for x in batch.column(html).to_pylist()]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfold.llm import store
+
 from skyfold.llm import bpe, store
 
 #: Pieces of one length that share a salt, about.
@@ -123,6 +125,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, doc_id: str = "doc_i
     """Per piece: doc_id, piece, start, length and the CRC-32 of its ids as little-endian 32-bit numbers."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, end = bpe.vocabulary(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -157,6 +160,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
     names = list(pieces.columns)
 
+    @store.trimmed
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.int64(1) << 48
         keys = table["length"] * width + table["low"]

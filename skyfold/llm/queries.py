@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import bpe, flac, html_extract, packing, sharding, simhash, substring_dedup, topk, toxicity, warc
+from skyfold.llm import bpe, flac, html_extract, packing, sharding, simhash, store, substring_dedup, topk, toxicity, warc
 
 #: Where the public tokenizer files lie.
 TOKENIZERS = os.environ.get("SKYFOLD_TOKENIZERS", "/opt/tokenizers")
@@ -15,6 +15,7 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -59,6 +59,7 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """Per row: doc_id and its fingerprint as a signed 64-bit number."""
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out, held, sizes = batch.column(text).to_pylist(), [], [], []
@@ -121,6 +122,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     heavy = keyed.filter(F.col("n") > LIGHT_KEY).withColumn("other", other).select("fingerprint", "key", F.explode(_variants("other", 2, 16)).alias("part"))
     heavy = heavy.groupBy("key", "part").agg(F.collect_list("fingerprint").alias("members")).filter(F.size("members") > 1).select("members")
 
+    @store.trimmed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {e for group in batch.column("members") for e in forest(group.values.to_numpy(), most)}

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 4_000, 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one set here where it is unset."""
@@ -27,3 +35,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores put before it until no column has it."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches hold whole texts here, so they are bounded by bytes as well as rows, where the session allows more."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))  # another unit is somebody's choice
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map function that gives its freed memory back when its partition ends: Python workers live on between stages."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner

@@ -70,6 +70,7 @@ def _from_planes(blob: bytes, kind: type) -> np.ndarray:
 
 
 def _chunks(text: str) -> object:
+    @store.trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, ordinal = TaskContext.get(), 0
         base = (context.partitionId() if context else 0) << 32
@@ -181,6 +182,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     n_buckets = max(least, n_words // 5 // BUCKET_ENTRIES + 1)
     n_groups = max(least, n_words // 3 // GROUP_SUFFIXES + 1)
 
+    @store.trimmed
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True):
@@ -204,6 +206,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     repeated = repeated.groupBy(F.col("chunk").alias("of")).agg(F.collect_list("prefixes").alias("prefixes"))
     cuts = _cuts(chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(n_chunks // SAMPLE_CHUNKS + 1)) == 0), text, window, n_groups)
 
+    @store.trimmed
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, prefixes in zip(batch.column("chunk").to_pylist(), batch.column("docs"), batch.column("prefixes"), strict=True):
@@ -265,6 +268,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> np.ndarray:
     """Shortest prefixes that separate the n_groups quantiles of the suffixes of a few sampled chunks (n_groups - 1 numbers)."""
 
+    @store.trimmed
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("docs"):
@@ -295,6 +299,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"columns to be added exist already: {sorted(taken)}")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
+    @store.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, found in zip(batch.column("docs"), batch.column("marks"), strict=True):

@@ -118,8 +118,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     rings = index.select("annulus", "pivot", "low", "high", "n")
 
     asked = keyed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v", "pivot", "distance")
-    place = F.row_number().over(Window.partitionBy("pivot", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("distance", "vec_id"))
-    asked = asked.withColumn("part", F.concat_ws("-", F.pmod(F.xxhash64("vec_id"), F.lit(16)), F.floor((place - 1) / QUERY_BLOCK).cast("long")))
+    # queries of one cell are dealt to salts, so that a cell with many is many tasks' work
+    salts = asked.count() // (QUERY_BLOCK * 256) + 1
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
+    place = F.row_number().over(Window.partitionBy("pivot", salt).orderBy("distance", "vec_id"))
+    asked = asked.withColumn("part", F.concat_ws("-", salt, F.floor((place - 1) / QUERY_BLOCK).cast("long")))
     blocks = asked.groupBy("pivot", "part").agg(F.collect_list(F.struct("vec_id", "v", "distance")).alias("queries"), F.min("distance").alias("d_low"), F.max("distance").alias("d_high"))
     blocks = store.materialize(blocks.withColumn("block_id", F.monotonically_increasing_id()), "queries")
 

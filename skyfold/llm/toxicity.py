@@ -190,6 +190,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)).alias("fold"))
 
 
+@store.trimmed
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -231,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     stems = _stems(prefixes.orderBy(F.desc("bound"), "term").limit(ENTRIES).collect())
     lexicon = {r["word"]: r["bound"] for r in terms}
 
+    @store.trimmed
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon, stems)
         for batch in batches:
@@ -256,22 +258,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-6)), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with score, predicted and matched_clauses."""
-    taken = {"score", "predicted", "matched_clauses"} & set(docs.columns)
+def score(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ("score", "predicted", "matched_clauses")) -> DataFrame:
+    """The documents with score, predicted and matched_clauses, under the names `added`."""
+    taken = set(added) & set(docs.columns)
     if taken:
         raise ValueError(f"columns to be added exist already: {sorted(taken)}")
     names = docs.columns
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.words, model.stems)
         for batch in batches:
-            found = [scorer.mass(t) for t in batch.column(names.index(text)).to_pylist()]
+            found = [scorer.mass(t.as_py()) for t in batch.column(names.index(text))]
             value = model.score(np.array([f[0] for f in found], float))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array([f[1] for f in found], pa.int32())], names=[*names, "score", "predicted", "matched_clauses"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array([f[1] for f in found], pa.int32())], names=[*names, *added])
 
-    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("matched_clauses", T.IntegerType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    fields = [T.StructField(n, t) for n, t in zip(added, (T.DoubleType(), T.IntegerType(), T.IntegerType()), strict=True)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

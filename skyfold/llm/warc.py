@@ -143,6 +143,7 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         joined = joined.join(salted, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
     refers = F.when((F.col("size") >= least_bytes) & (F.col("last") != F.col("page_id")), F.col("last"))
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = Bundle()
 
@@ -168,6 +169,7 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """Reads every record through the index and the seek table; a payload whose digest differs from its header fails."""
 
+    @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, entries in zip(batch.column("archive"), batch.column("index").to_pylist(), strict=True):
