@@ -46,8 +46,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of what is left, in sequences of at most 2048."""
-    return packing.pack_documents(docs, BYTE_BPE, capacity=2048, end_id=0)
+    """Every token of what is left, in sequences of at most 2048; with a smaller cache, as the executors hold earlier stages' heap."""
+    return packing.pack_documents(docs, BYTE_BPE, capacity=2048, end_id=0, cache=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

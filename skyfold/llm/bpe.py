@@ -31,13 +31,13 @@ from pyspark.sql import types as T
 
 from skyfold.llm import store, words
 
-#: Pieces and words in the newer of the two generations that a worker remembers.
-CACHE_PIECES, CACHE_WORDS = 250_000, 250_000
+#: Pieces, and as many words, in the newer of the two generations that a worker remembers; some 0.8 KB for each of these.
+CACHE = 400_000
 #: Bytes up to which words are merged side by side, and how many at once.
 SHORT_WORD, STEP_WORDS = 64, 4_000
 NO_RANK = 1 << 62
 #: Text bytes encoded in one go.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 14_000_000
 
 # fixed values: the white space of Unicode, and the byte-level pre-tokenizer's pattern over it
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -88,7 +88,8 @@ class _Lookup:
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self._cache = cache
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         characters = _byte_characters()
@@ -103,20 +104,18 @@ class Vocabulary:
         self.ids = raw
         self.left, self.right = np.arange(n), np.arange(n)
         self.born = np.zeros(n, np.int64)
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        pairs: dict[tuple[int, int], int] = {}
+        self._made = [0] * (len(spec["model"]["merges"]) + 1)
         for rank, merge in enumerate(spec["model"]["merges"], 1):
             a, b = (raw[bytes(characters[c] for c in part)] for part in (merge.split(" ") if isinstance(merge, str) else merge))
             made = raw[self.bytes[a] + self.bytes[b]]
-            self.pairs.setdefault((a, b), (rank, made))
+            self._made[pairs.setdefault((a, b), rank)] = made
             if not self.born[made]:
                 self.left[made], self.right[made], self.born[made] = a, b, rank
-        self._rank_of = _Lookup(np.array([a * n + b for a, b in self.pairs], np.int64), np.array([r for r, _ in self.pairs.values()], np.int64), NO_RANK)
-        self._made_by = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
-        for rank, made in self.pairs.values():
-            self._made_by[rank] = made
+        self._rank_of = _Lookup(np.array([a * n + b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int64), NO_RANK)
+        self._made_by = np.array(self._made, np.int64)
         self._trie(raw)
-        self._pair_rank = {p: rank for p, (rank, _) in self.pairs.items()}
-        self._made = {rank: made for rank, made in self.pairs.values()}
+        self._pair_rank = pairs
         self._byte_ids = [raw[bytes([b])] for b in range(256)]
         self._of_byte = np.array(self._byte_ids, np.int64)
         self._sound: dict[int, bool] = {}
@@ -179,21 +178,21 @@ class Vocabulary:
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(*self.pairs[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.pairs]
-        heap = [(r, i, made, p) for r, made, i, p in heap]
+        known, made = self._pair_rank, self._made
+        heap = [(known[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in known]
         heapq.heapify(heap)
         while heap:
-            _, i, made, pair = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else len(ids)
             if j >= len(ids) or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = made[rank], -1
             after[i] = after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < len(ids) and (found := self.pairs.get(p := (ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (found[0], k, found[1], p))
+                if k >= 0 and after[k] < len(ids) and (found := known.get(p := (ids[k], ids[after[k]]))):
+                    heapq.heappush(heap, (found, k, p))
         return [i for i in ids if i >= 0]
 
     def proposed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +300,7 @@ class Vocabulary:
     def _resolve(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that the pattern cuts into words, each as little-endian 32-bit numbers."""
         cut = [_WORD.findall(t) for t in texts]
-        if len(self._words) > CACHE_WORDS:
+        if len(self._words) > self._cache:
             self._old_words, self._words = self._words, {}
         missing = {w for ws in cut for w in ws}.difference(self._words)
         known = [w for w in missing if w in self._old_words]
@@ -320,7 +319,7 @@ class Vocabulary:
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that follow a space, from the cache or made now."""
-        if len(self._pieces) > CACHE_PIECES:
+        if len(self._pieces) > self._cache:
             self._old_pieces, self._pieces = self._pieces, {}
         missing = set(pieces).difference(self._pieces)
         known = [p for p in missing if p in self._old_pieces]
@@ -371,14 +370,14 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    """One per worker and file."""
-    return Vocabulary(path)
+def vocabulary(path: str, cache: int = CACHE) -> Vocabulary:
+    """One per worker, file and cache size."""
+    return Vocabulary(path, cache)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Start and texts of slices of about BATCH_BYTES."""
-    for begin, end in words.pieces(column, BATCH_BYTES):
+def slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Start and texts of slices of about `most` bytes."""
+    for begin, end in words.pieces(column, most):
         yield begin, column.slice(begin, end - begin)
 
 

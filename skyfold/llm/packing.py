@@ -121,15 +121,15 @@ def _intervals(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> di
     return {"length": table[:, 0], "low": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, cache: int = bpe.CACHE) -> DataFrame:
     """Per piece: doc_id, piece, start, length and the CRC-32 of its ids as little-endian 32-bit numbers."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, end = bpe.vocabulary(path), np.array([end_id], "<u4").tobytes()
+        vocab, end = bpe.vocabulary(path, cache), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for begin, texts in bpe.slices(batch.column(text)):
+            for begin, texts in bpe.slices(batch.column(text), min(bpe.BATCH_BYTES, 35 * cache)):
                 row, piece, start, length, crc = [], [], [], [], []
                 flat, offsets = vocab.encode(texts)
                 for k, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -173,6 +173,6 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Tokenizes, cuts and packs whole documents."""
-    return pack(store.materialize(token_pieces(docs, path, capacity, doc_id, text, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, cache: int = bpe.CACHE) -> DataFrame:
+    """Tokenizes, cuts and packs whole documents. `cache` trades a worker's memory against encoding rare words again."""
+    return pack(store.materialize(token_pieces(docs, path, capacity, doc_id, text, end_id, cache), "pieces"), capacity)
