@@ -1,0 +1,147 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+A document is the set of its shingles' 64-bit hashes; equal sets count once. Sets sorted by one global order that are similar to
+at least `least` (up to hash collisions) share an element among the first n - ceil(least n) + 1 of each, so only these prefixes
+are indexed. The order puts shingles that are frequent in a bounded sample last; the sample decides the work, never the result.
+
+Candidates share a prefix element and pass the bounds by sizes and positions; each is verified on the whole sets. First every
+set is compared with the smallest one under each of its keys. Keys whose sets then lie in one component are settled, so that a
+large group of copies costs a link a member; under the others all pairs of different components are compared.
+
+Edge cases: null or wordless texts are equal to each other and to nothing else; with fewer words than a shingle the whole
+sequence is the one shingle; ASCII case and white space don't count; repeated rows are kept; rows with a null identifier take part
+under a null component unless another row has their set, so callers leave them out.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from skyfold.llm import store
+from skyfold.llm.components import connected_components
+from skyfold.llm.simhash import _hashes
+
+#: Documents of the sample for the order, shingles it may rank, and the documents of the sample from which one counts as frequent.
+SAMPLE, RANKED, FREQUENT = 20_000, 100_000, 4
+
+
+def _set(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(_hashes((text or "").encode(), shingle, seed), np.uint64))
+
+
+def _set_key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _frequent(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of the sample, sorted, and their counts."""
+    every = docs.count() // SAMPLE + 1
+    sample = docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).select(text)
+
+    @store.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(text).to_pylist():
+                yield pa.record_batch([pa.array(_set(t, shingle, seed).view(np.int64))], names=["h"])
+
+    rows = sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(RANKED).collect()
+    found = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, least: float) -> DataFrame:
+    """Per row: doc_id, set_key, n (elements of the set) and its prefix."""
+    ranked, counts = _frequent(docs, doc_id, text, shingle, seed)
+
+    @store.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, prefixes = [], [], []
+            for t in batch.column(text).to_pylist():
+                own = _set(t, shingle, seed)
+                keys.append(_set_key(own))
+                sizes.append(len(own))
+                if len(ranked) and len(own):
+                    at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
+                    own = own[np.argsort(np.where(ranked[at] == own, counts[at], 0), kind="stable")]
+                prefixes.append(own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64))
+            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n", "prefix"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, n int, prefix array<long>")
+
+
+def _whole(docs: DataFrame, text: str, shingle: int, seed: int) -> DataFrame:
+    @store.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_set(t, shingle, seed) for t in batch.column(text).to_pylist()]
+            yield pa.record_batch([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "hashes"])
+
+    return docs.select(text).mapInArrow(run, "set_key binary, hashes binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+
+    @store.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    named = pairs.join(sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y")), "b")
+    named = named.join(sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x")), "a")
+    return named.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _possible(least: float) -> Column:
+    """Whether sizes and positions of the first element that a pair shares allow the similarity."""
+    need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m"))
+    return (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need - 1e-9)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+    """Per row: doc_id and component_id, the smallest doc_id that links of similarity `least` or more reach."""
+    marked = store.materialize(_marked(docs, doc_id, text, shingle, seed, least), "shingle-sets")
+    distinct = marked.groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    distinct = store.materialize(distinct, "distinct-sets")
+    indexed = marked.dropDuplicates(["set_key"]).select("set_key", "n", F.posexplode("prefix").alias("pos", "key"))
+    by_key = Window.partitionBy("key")
+    keyed = indexed.withColumn("shared", F.count(F.lit(1)).over(by_key)).filter("shared > 1")
+    keyed = store.materialize(keyed.withColumn("pivot", F.min(F.struct("set_key", "n", "pos")).over(by_key)), "shingle-keys")
+
+    taken = keyed.select("set_key").distinct()
+    ids = marked.select("set_key", "doc_id").join(taken, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    own = docs.join(ids.select("id").distinct(), docs[doc_id] == F.col("id"), "left_semi")
+    sets = store.materialize(_whole(own, text, shingle, seed).dropDuplicates(["set_key"]).join(taken, "set_key", "left_semi"), "whole-sets")
+
+    stars = keyed.select(F.col("pivot.set_key").alias("a"), F.col("pivot.n").alias("n"), F.col("pivot.pos").alias("pos"), F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    found = store.materialize(_verified(stars.filter((F.col("a") != F.col("b")) & _possible(least)).select("a", "b").distinct(), sets, least), "star-links")
+
+    # keys that still hold several components: all their pairs between these
+    joined = connected_components(found)
+    group = store.materialize(keyed.drop("pivot").join(joined, F.col("set_key") == F.col("node"), "left").select("key", "set_key", "n", "pos", F.coalesce("component", "set_key").alias("group")), "shingle-groups")
+    group = group.withColumns({"_l": F.min("group").over(by_key), "_h": F.max("group").over(by_key), "_c": F.count(F.lit(1)).over(by_key)}).filter("_l != _h AND _c > 2")
+    group = store.materialize(group.select("key", "set_key", "n", "pos", "group"), "open-keys")
+    left = group.select("key", F.col("set_key").alias("a"), "n", "pos", F.col("group").alias("g"))
+    right = group.select("key", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("group").alias("h"))
+    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("g") != F.col("h")) & _possible(least)).select("a", "b").distinct()
+    found = store.materialize(found.unionByName(_verified(rest, sets, least)), "links")
+
+    name = distinct.select(F.col("set_key").alias("f"), "first")
+    edges = found.join(name, F.col("a") == F.col("f")).select("b", F.col("first").alias("x")).join(name, F.col("b") == F.col("f")).select(F.col("x").alias("a"), F.col("first").alias("b"))
+    groups = distinct.join(connected_components(edges), F.col("first") == F.col("node"), "left").select(F.col("set_key").alias("f"), F.coalesce("component", "first").alias("component_id"))
+    return marked.join(groups, F.col("set_key") == F.col("f")).select("doc_id", "component_id")

@@ -1,0 +1,46 @@
+"""Near-duplicates by exact shingle similarity against brute force over all pairs."""
+
+from __future__ import annotations
+
+import random
+
+from skyfold.llm import similar
+
+
+def shingles(text: str | None) -> frozenset:
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+
+def brute(docs: list) -> dict:
+    sets = {i: shingles(t) for i, t in docs}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 > 0):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    return group
+
+
+def corpus(seed: int = 5) -> list:
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = [word() for _ in range(60)]
+    docs = []
+    for base in range(12):
+        text = [word() for _ in range(rng.randint(30, 250))] + (common if base % 2 else [])
+        for copy in range(12):  # a copy differs by 0 to 11 words, so that similarities lie on both sides of 0.8
+            own = list(text)
+            for at in rng.sample(range(len(own)), copy):
+                own[at] = word()
+            docs.append((20 * base + copy, " ".join(own)))
+    return [*docs, (900, None), (901, ""), (902, "A b"), (903, "a  B"), (904, "a b c"), (905, "x " * 50), (906, "x " * 90)]
+
+
+def test_similar_documents_are_linked_at_every_similarity(spark, monkeypatch):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for frequent in (4, 10**9):
+        monkeypatch.setattr(similar, "FREQUENT", frequent)
+        assert {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(df).collect()} == brute(docs)
