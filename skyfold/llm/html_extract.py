@@ -2,7 +2,8 @@
 
 A page becomes a light tree of elements and blocks of text. Every paragraph block passes points for its length and its commas
 to its ancestors, less with each level; a container's points are discounted by the share of its text that stands in links. The
-best container is the article, together with siblings that score well or read like prose. What is never article (navigation,
+best container is the article, raised to the article (or main) element that it lies in, together with siblings that score well
+or read like prose. What is never article (navigation,
 headers, footers, asides, forms, scripts, adverts, notices, comments, by tag, role, class or id) is left out before scoring.
 
 Edge cases: null or empty html, and pages without text, give the empty string; unclosed or cut tags, comments and attributes
@@ -211,6 +212,11 @@ def extract(page: str | None) -> str:
         value = (node.score + (node.hint if node.score else 0)) * (1 - node.link_chars / max(1, node.text_chars))
         if value > most:
             best, most = node, value
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None:  # an article that is split into sections is kept whole
+        best = up
     chosen = {id(best)}
     if best.parent is not None:
         for sibling in best.parent.children:

@@ -216,6 +216,16 @@ def test_html_furniture_names_do_not_hide_the_article():
     assert html_extract.extract("<article><table><tr><td>1</td><td>2</td></tr></table><pre>a\n  b</pre><blockquote>q</blockquote></article>") == "1\n2\na b\nq"
 
 
+def test_html_sections_of_an_article_stay():
+    long = ", ".join(["word " * 30] * 30)
+    short = "".join(f"<section><h2>Part {k}</h2><p>Short {k}.</p></section>" for k in range(4))
+    for tag in ("article", "main"):
+        text = html_extract.extract(f"<body><nav>menu</nav><{tag}><h1>Head</h1><section><p>{long}</p></section>{short}<aside>Side</aside></{tag}><div><p>Elsewhere</p></div></body>").split("\n")
+        assert text[0] == "Head" and text[2:] == [x for k in range(4) for x in (f"Part {k}", f"Short {k}.")]
+    nested = f"<main><article><p>{long}</p></article><div class='list'><p>More</p></div></main>"
+    assert "More" not in html_extract.extract(nested)
+
+
 def test_html_extraction_of_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE.format("word " * 40), "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
