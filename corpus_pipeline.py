@@ -38,10 +38,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 20-word windows that start earlier in the corpus; n_chars follows where a text changed."""
-    found = substring_dedup.remove_repeats(docs, window=20)
+    added = tuple(store.free_name(docs, n) for n in substring_dedup.ADDED)
+    found = substring_dedup.remove_repeats(docs, window=20, added=added)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col(added[1]) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 

@@ -287,17 +287,22 @@ def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> np.ndarra
     return np.sort(np.where(keys[places - 1] < quarter, quarter, keys[places]))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
+#: Columns that remove_repeats adds.
+ADDED = ("n_words", "n_removed", "kept_sha256", "spans")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
     """The documents with the words of repeated windows removed.
 
     All columns return; a text that lost words becomes its kept words joined by one space, any other stays as it was. Added:
-    n_words, n_removed, kept_sha256 (of the kept words joined by one space) and spans, the removed word ranges.
+    n_words, n_removed, kept_sha256 (of the kept words joined by one space) and spans, the removed word ranges, under the names
+    `added`; names that docs already has are refused.
     """
     chunks, marked = find_repeats(docs, doc_id, text, window)
-    taken = {"n_words", "n_removed", "kept_sha256", "spans"} & set(docs.columns)
+    taken = set(added) & set(docs.columns)
     if taken:
         raise ValueError(f"columns to be added exist already: {sorted(taken)}")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.LongType(), T.LongType(), T.StringType(), T.ArrayType(T.ArrayType(T.LongType()))))])
 
     @store.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,8 @@ distance to the pivot is within the k-th distance of the annulus. Queries travel
 has a row for each block of queries and annulus that some query of the block must open. Scores are exact: integers, computed
 in float64 where that is exact and in 64-bit integers beyond; the bounds carry a margin for rounding.
 
-Pivots are a bounded sample (the `pivots` smallest hashes of distinct identifiers). Edge cases: vectors that are null or hold
-null, NaN or infinite components take no part; vectors of other lengths are compared over zero-filled components; fewer than k
+Pivots are a bounded sample (the `pivots` smallest hashes of distinct identifiers). Edge cases: vectors that are null, hold
+null, NaN or infinite components or have a null identifier take no part; vectors of other lengths are compared over zero-filled components; fewer than k
 candidates give fewer rows; equal scores go by smaller identifier; repeated identifiers are all candidates and, if divisible,
 asked once; an empty table gives no rows.
 """
@@ -75,7 +75,7 @@ def _distances(vectors: np.ndarray, lift: np.ndarray, pivots: np.ndarray, pivot_
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(256 x) of every component of the vectors that take part."""
     whole = F.col(embedding).isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(whole).select(F.col(vec_id).alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v"))
+    return vectors.filter(whole & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS) -> DataFrame:

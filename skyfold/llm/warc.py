@@ -11,7 +11,9 @@ digest's rows are reduced to their maximum before the shuffle, and only digests
 pages, by broadcast if they are small and else by a join salted against a very common payload.
 
 Edge cases: null html is an empty payload; payloads below `least_bytes` are always responses; pages of one identifier and
-payload that stand there twice are both responses; null urls give an empty target; extra columns are ignored.
+payload that stand there twice are both responses; null urls give an empty target; extra columns are ignored. A page
+with a null identifier is never referred to: its record has an identifier of its own (hashed from its place), is a revisit
+without a reference (as in the query's SQL) unless it is below `least_bytes`, and keeps its payload.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +50,26 @@ def record_id(page_id: int) -> str:
     return f"<urn:uuid:{n >> 32:08x}-{n >> 16 & 0xFFFF:04x}-8000-8000-00000000{n & 0xFFFF:04x}>"
 
 
-def page_of(record: str) -> int:
-    a, b, *_, e = record.removeprefix("<urn:uuid:").removesuffix(">").split("-")
+def nameless_id(place: str) -> str:
+    """A version 5 UUID for a page without an identifier."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
+
+
+def page_of(record: str) -> int | None:
+    a, b, kind, _, e = record.removeprefix("<urn:uuid:").removesuffix(">").split("-")
+    if kind[0] == "5":
+        return None
     n = int(a, 16) << 32 | int(b, 16) << 16 | int(e, 16)
     return n - (1 << 64) if n >> 63 else n
 
 
-def write_record(page_id: int, url: str, date: str, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
+def write_record(page_id: int, url: str, date: str, payload: bytes, digest: bytes, refers_to: int | None, nameless: str | None = None, again: bool = False) -> bytes:
+    """The record's bytes; a page without an identifier takes the record identifier `nameless` and is a revisit if `again`."""
     name = base64.b32encode(digest).decode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     lines = [
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Type: {'response' if refers_to is None and not again else 'revisit'}",
+        f"WARC-Record-ID: {nameless or record_id(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{name}",
@@ -66,6 +78,8 @@ def write_record(page_id: int, url: str, date: str, payload: bytes, digest: byte
     ]
     if refers_to is None:
         block += payload
+        if again:
+            lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     else:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
     lines.append(f"Content-Length: {len(block)}")
@@ -89,7 +103,7 @@ class Bundle:
         self._open, self._frames, self._sizes, self.index = bytearray(), [], [], []
         self.size = 0
 
-    def add(self, identifier: int, record: bytes) -> None:
+    def add(self, identifier: int | None, record: bytes) -> None:
         self.index.append((identifier, len(self._frames), len(self._open)))
         self._open += record
         self.size += len(record)
@@ -145,7 +159,7 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle = Bundle()
+        bundle, part, nameless = Bundle(), TaskContext.get().partitionId(), 0
 
         def out() -> pa.RecordBatch:
             ids, frames, offsets = zip(*bundle.index, strict=True)
@@ -154,8 +168,10 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
         for batch in batches:
             for p, u, b, d, r in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                p = p.as_py()
-                bundle.add(p, write_record(p, u.as_py(), date, b.as_py(), d.as_py(), r.as_py()))
+                p, name, payload = p.as_py(), None, b.as_py()
+                if p is None:
+                    name, nameless = nameless_id(f"{d.as_py().hex()}-{part}-{nameless}"), nameless + 1
+                bundle.add(p, write_record(p, u.as_py(), date, payload, d.as_py(), r.as_py(), name, p is None and len(payload) >= least_bytes))
                 if bundle.size >= BUNDLE_BYTES:
                     yield out()
                     bundle = Bundle()

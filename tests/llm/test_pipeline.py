@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from skyfold.llm import queries
+from skyfold.llm import queries, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -99,6 +99,40 @@ def test_repeated_rows_of_one_number_leave_one(spark, tmp_path):
     assert sorted(r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()) == [1, 2]
 
 
+def test_pipeline_takes_columns_named_like_those_it_adds(spark, tmp_path):
+    body = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, body, "a", 7, "s"), (2, "x " + body, "b", 8, "t")], "doc_id long, text string, kept_sha256 string, n_removed int, spans string")
+    got = dict(corpus_pipeline.STAGES)["substring dedup"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, body, "a", 7, "s"), (2, "x", "b", 8, "t")]
+
+
+@pytest.mark.parametrize("name", ["op9_warc", "op10_topk"])
+def test_null_identifiers_follow_the_oracle(spark, tmp_path, name):
+    pages = [(1, "u", "same"), (None, "u", "same"), (None, "u", "same"), (None, None, "alone"), (2, "u", None), (3, "u", "")]
+    vectors = [(k, [float(k % 7), 1.0]) for k in range(120)] + [(None, [9.0, 9.0]), (None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(cursor.fetchall(), key=str)
+
+
+def test_nameless_pages_keep_their_payload(spark):
+    pages = spark.createDataFrame([(None, "u", "alone")] * 2, "page_id long, url string, html string")
+    found = set()
+    for b in warc.write_bundles(pages).collect():
+        for e in b["index"]:
+            fields, block = warc.read_record(warc.read_frame(bytes(b["archive"]), warc.seek_table(bytes(b["archive"])), e["frame"]), e["offset"])
+            assert block.endswith(b"\r\n\r\nalone") and warc.page_of(fields["WARC-Record-ID"]) is None
+            found.add(fields["WARC-Record-ID"])
+    assert len(found) == 2
+
+
 def test_pipeline_takes_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
