@@ -5,9 +5,10 @@ would stay two tokens when encoded alone. Whether a pair does is settled by undo
 that a later merge made, until either a merge across the boundary turns out to come first or only bytes are left; the check
 runs over all pairs of a batch at once. Words whose greedy proposal fails it, a minority, are merged exactly.
 
-Work is per Arrow batch inside mapInArrow: texts are cut at single spaces (which the pre-tokenizer's pattern never looks
-across), the batch's distinct pieces that the worker's bounded cache lacks are encoded in bulk, and the ids of all texts are
-gathered from their pieces' ids at once. A text with runs of white space goes through the pattern as a whole.
+Work is per Arrow batch inside mapInArrow: all texts are cut into words at once by the kinds of neighbouring characters, which
+is what the pre-tokenizer's pattern comes to; the words, which cover the batch's text buffer without gaps, are numbered by
+Arrow's dictionary encoding, those that the worker's bounded cache lacks are encoded in bulk, and the ids of all texts are
+gathered from their words' ids at once.
 
 Edge cases: null is the empty text and has no ids; special tokens' strings in a text become their ids, as the vocabulary file
 says; undecodable bytes decode to U+FFFD.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from skyfold.llm import store, words
 
-#: Pieces, and as many words, in the newer of the two generations that a worker remembers; some 0.8 KB for each of these.
+#: Words in the newer of the two generations that a worker remembers; some 0.2 KB for each of these.
 CACHE = 400_000
 #: Bytes up to which words are merged side by side, and how many at once.
 SHORT_WORD, STEP_WORDS = 64, 4_000
@@ -39,10 +40,40 @@ NO_RANK = 1 << 62
 #: Text bytes encoded in one go.
 BATCH_BYTES = 14_000_000
 
-# fixed values: the white space of Unicode, and the byte-level pre-tokenizer's pattern over it
-_SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-_RUN = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}"
+# fixed values: the white space of Unicode, and the suffixes that the byte-level pre-tokenizer's pattern cuts off at a quote;
+# the rest of that pattern is runs of letters, of numbers and of other characters, each with the space before it
+_BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+
+
+@lru_cache(maxsize=1)
+def _kind_table() -> np.ndarray:
+    """Kind of every code point."""
+    table = np.zeros(0x110000, np.uint8)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(low, high)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, f"[{_BLANKS}]+")):
+            for m in regex.finditer(pattern, every):
+                table[low + m.start() : low + m.end()] = kind
+    return table
+
+
+def character_kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of the character that each byte of a UTF-8 buffer belongs to."""
+    table = _kind_table()
+    kinds = table[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+        for k in range(4):
+            kinds[lead[size > k] + k] = table[point[size > k]]
+    return kinds
 
 
 def _byte_characters() -> dict[str, int]:
@@ -119,12 +150,11 @@ class Vocabulary:
         self._byte_ids = [raw[bytes([b])] for b in range(256)]
         self._of_byte = np.array(self._byte_ids, np.int64)
         self._sound: dict[int, bool] = {}
-        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split_special = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._decimal: list[str] = [str(i) for i in range(n)]
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._old_words: dict[str, bytes] = {}
-        self._old_pieces: dict[str, bytes] = {}
+        self._special_bytes = {t.encode(): i for t, i in self.special.items()}
+        self._words: dict[bytes, bytes] = {}
+        self._old_words: dict[bytes, bytes] = {}
 
     def _trie(self, raw: dict[bytes, int]) -> None:
         """Edges (node, byte) of the tree of all tokens, and the token that ends at each node."""
@@ -270,11 +300,10 @@ class Vocabulary:
             self._sound[token] = self.merged(self.bytes[token]) == [token]
         return self._sound[token]
 
-    def encode_words(self, listed: list[str]) -> list[bytes]:
-        """Ids of pre-tokenized words, each as little-endian 32-bit numbers."""
-        if not listed:
+    def encode_words(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokenized words and special tokens, each as little-endian 32-bit numbers."""
+        if not raw:
             return []
-        raw = [w.encode() for w in listed]
         sizes = np.array([len(w) for w in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(sizes)
@@ -295,63 +324,76 @@ class Vocabulary:
             out[k] = ids
         for k in np.flatnonzero(bad & (sizes > SHORT_WORD)).tolist():
             out[k] = np.array(self.merged(raw[k]), "<u4").tobytes()
+        if self.special:
+            for k, w in enumerate(raw):
+                if w in self._special_bytes:
+                    out[k] = np.array([self._special_bytes[w]], "<u4").tobytes()
         return out
 
-    def _resolve(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that the pattern cuts into words, each as little-endian 32-bit numbers."""
-        cut = [_WORD.findall(t) for t in texts]
+    def _known(self, listed: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, from the cache or made now."""
         if len(self._words) > self._cache:
             self._old_words, self._words = self._words, {}
-        missing = {w for ws in cut for w in ws}.difference(self._words)
-        known = [w for w in missing if w in self._old_words]
-        self._words.update(zip(known, map(self._old_words.__getitem__, known), strict=True))
-        fresh = list(missing.difference(known))
-        self._words.update(zip(fresh, self.encode_words(fresh), strict=True))
-        return [b"".join(map(self._words.__getitem__, ws)) for ws in cut]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that cannot be cut at single spaces, special tokens included."""
-        cut = [self.split_special.split(t) if self.split_special else [t] for t in texts]
-        plain = [p for parts in cut for p in parts if p and p not in self.special]
-        found = iter(self._resolve(plain))
-        number = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
-        return [b"".join(number[p] if p in number else next(found) for p in parts if p) for parts in cut]
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that follow a space, from the cache or made now."""
-        if len(self._pieces) > self._cache:
-            self._old_pieces, self._pieces = self._pieces, {}
-        missing = set(pieces).difference(self._pieces)
-        known = [p for p in missing if p in self._old_pieces]
-        self._pieces.update(zip(known, map(self._old_pieces.__getitem__, known), strict=True))
-        fresh = list(missing.difference(known))
-        self._pieces.update(zip(fresh, self._resolve([" " + p for p in fresh]), strict=True))
-        return list(map(self._pieces.__getitem__, pieces))
+        found = list(map(self._words.get, listed))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        older = self._old_words.get
+        fresh = []
+        for k in missing:
+            found[k] = older(listed[k])
+            if found[k] is None:
+                fresh.append(k)
+        for k, ids in zip(fresh, self.encode_words([listed[k] for k in fresh]), strict=True):
+            found[k] = ids
+        self._words.update((listed[k], found[k]) for k in missing)
+        return found
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First bytes of all words: each text cut as the pre-tokenizer's pattern does, special tokens left whole."""
+        texts = np.zeros(len(data) + 1, bool)
+        texts[offsets] = True
+        inside = np.zeros(0, np.int64)
+        if self.split_special:
+            raw = data.tobytes()
+            spans = [m.span() for m in self.split_special.finditer(raw)] if any(t in raw for t in self._special_bytes) else []
+            # a span across two texts is none
+            spans = [(a, b) for a, b in spans if not texts[a + 1 : b].any()]
+            for a, b in spans:
+                texts[[a, b]] = True
+            if spans:
+                inside = np.concatenate([np.arange(a + 1, b) for a, b in spans])
+        kind = character_kinds(data)
+        at = np.flatnonzero((kind[1:] != kind[:-1]) & ~texts[1:-1]) + 1
+        after_space = kind[at - 1] == _SPACE
+        starts = texts[:-1].copy()
+        starts[at[~after_space | (data[at - 1] != 32)]] = True
+        # of white space before a word the last character stands apart; a plain space there belongs to the word
+        last = at[after_space] - 1
+        while (inner := (data[last] & 0xC0) == 0x80).any():
+            last[inner] -= 1
+        starts[last] = True
+        quote = np.flatnonzero((data == 39) & starts)
+        for suffix in _CONTRACTIONS:
+            n = len(suffix)
+            cut = quote[quote + n < len(data)] if len(quote) else quote
+            for k, letter in enumerate(suffix, 1):
+                cut = cut[(data[cut + k] == letter) & ~texts[cut + k]]
+            starts[cut + 1] = False
+            cut = cut[cut + n + 1 < len(data)]
+            starts[cut + n + 1] = True
+        starts[inside] = False
+        return np.flatnonzero(starts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column as one array, and the n + 1 offsets of the texts in it; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        slow = pc.match_substring_regex(texts, _RUN)
-        for special in self.special:
-            slow = pc.or_(slow, pc.match_substring(texts, special))
-        cut = pc.split_pattern(pc.if_else(slow, "", texts), " ")
-        coded = cut.flatten().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-        distinct = coded.dictionary.to_pylist()
-        # a text's first piece follows no space, and a slow text is a piece of its own
-        own = self._whole(texts.filter(slow).to_pylist())
-        is_slow = slow.to_numpy(zero_copy_only=False)
-        heads = [distinct[c] for c in code[edges[:-1]].tolist()]
-        alone = {h: None for h in heads}
-        alone.update(zip(alone, self._resolve(list(alone)), strict=True))
-        rest = iter(own)
-        firsts = [next(rest) if s else alone[h] for s, h in zip(is_slow.tolist(), heads, strict=True)]
-        code[edges[:-1]] = len(distinct) + np.arange(n)
-        held = [*self._known(distinct), *firsts]
+        data, offsets = words.text_buffer(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        starts = self._cut(data, offsets)
+        kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+        edges = np.append(starts, len(data)).astype(width)
+        coded = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        held = self._known(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         start = np.cumsum(size) - size
         sizes = size[code]
@@ -360,7 +402,7 @@ class Vocabulary:
         narrow = np.int32 if max(len(blob), int(ends[-1])) < 1 << 31 else np.int64
         at = np.repeat((start[code] - ends + sizes).astype(narrow), sizes)
         at += np.arange(len(at), dtype=narrow)
-        return blob[at], np.concatenate([[0], ends])[edges]
+        return blob[at], np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

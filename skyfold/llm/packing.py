@@ -21,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.llm import store
-
 from skyfold.llm import bpe, store
 
 #: Pieces of one length that share a salt, about.

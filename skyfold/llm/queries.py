@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import bpe, flac, html_extract, packing, sharding, simhash, store, substring_dedup, topk, toxicity, warc
 
-#: Where the public tokenizer files lie.
-TOKENIZERS = os.environ.get("SKYFOLD_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The public tokenizer's file; SKYFOLD_TOKENIZERS names another folder.
+_FOLDER = os.environ.get("SKYFOLD_TOKENIZERS")
+BYTE_BPE = f"{_FOLDER}/byte_bpe_50k.json" if _FOLDER else str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

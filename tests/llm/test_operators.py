@@ -98,9 +98,28 @@ def test_bpe_round_trip_and_columns(spark):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, ids2 string")
     back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE).collect()}
     assert back == {i: t for i, t in enumerate([*TEXTS, ""])}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
     for r in bpe.round_trip(docs, BYTE_BPE).collect():
         text = [*TEXTS, ""][r["doc_id"]]
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.round_trip(docs.limit(0), BYTE_BPE).count() == 0
+
+
+def test_bpe_cuts_words_as_the_pattern_does():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rng = random.Random(6)
+    parts = ["'s", "'ll", "'", "''", "don't", "'tis", " ", "  ", "\n", "\u3000", "\xa0", "a", "Z9", "²", "é", "日本", "!", "<|endoftext|>", "<|", "|>", "\u0301", "🙂", "\x1c", "\x85", "\u200b", "Ⅷ", "'S", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    flat, offsets = bpe.vocabulary(BYTE_BPE).encode(pa.array(texts))
+    for k, found in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert flat[offsets[k] : offsets[k + 1]].tolist() == found.ids, texts[k]
 
 
 def test_bpe_pairs_are_checked_like_merges():
