@@ -43,7 +43,7 @@ def _hashes(text: bytes, size: int, seed: int) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, shingles, repeat(seed)))
 
 
-def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Fingerprints of documents whose hashes follow each other: a bit is set if it is in over half of them."""
     counts = np.zeros((len(sizes), 64), np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             texts, out, held, sizes = batch.column(text).to_pylist(), [], [], []
 
             def flush(out=out, held=held, sizes=sizes) -> None:
-                out.append(_majority(np.array(held, np.uint64), np.array(sizes, np.int64)))
+                out.append(majority(np.array(held, np.uint64), np.array(sizes, np.int64)))
                 held.clear()
                 sizes.clear()
 
