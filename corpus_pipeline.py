@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import packing, simhash, store, substring_dedup, toxicity
+from skyfold.llm import near_copies, packing, store, substring_dedup, toxicity
 from skyfold.llm.queries import BYTE_BPE
 
 #: The packing stage and the approximate groups of the SimHash stage have no SQL form; tests compare run() with brute force.
@@ -28,8 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints the document with the smallest doc_id."""
-    groups = store.materialize(simhash.near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    """Of every group linked by a similarity of 0.8 or more on five-word shingles the document with the smallest doc_id.
+
+    SimHash segments find the candidates, the whole shingle sets decide. Several rows with that number leave one row.
+    """
+    groups = store.materialize(near_copies.near_copies(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     kept = docs.join(groups.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if groups.filter("n > 1").limit(1).count():  # the same row several times
         kept = kept.dropDuplicates(["doc_id"])
