@@ -4,32 +4,37 @@ A suffix is a word position; a repeat is a run of `window` consecutive words tha
 the same document and an earlier word). The job runs in four distributed steps over *chunks*, bounded groups of whole
 documents that are written once to the shared folder:
 
-1. prefix census: every chunk sends the distinct hashes of its sampled half-window prefixes (the minimum over each window,
-   so equal windows always sample the same prefix) to hash buckets. A prefix that occurs once in the corpus can have no
-   internal tree node above it, so its suffixes are never shipped.
-2. partition: the suffixes that remain go to groups cut by variable-length prefixes. The cuts are the shortest prefixes
-   that separate quantiles of a bounded sample, so that a group fits in memory. Each chunk ships a window's sequence once:
-   its later copies inside the chunk are already known to be repeats, so a passage that stands in a third of all documents
-   puts one row per chunk into its group.
-3. subtrees: each group sorts its suffixes by their path labels and reads the common-prefix lengths of neighbours; the
+1. prefix census: of every window the half-window prefix with the least hash is its anchor, so equal windows have equal
+   anchors, and neighbouring windows mostly share one. Every chunk sends the distinct hashes of its anchors to hash buckets.
+   An anchor that occurs once in the corpus can have no internal tree node of full depth, so its suffixes are never shipped.
+2. partition: the suffixes that remain go, with their words, to groups cut by variable-length prefixes: the cuts are the
+   shortest word prefixes that separate quantiles of the anchors of sampled chunks, so that a group fits in memory. Runs of
+   suffixes with one anchor travel as one piece of text. Each chunk ships a window's sequence once: its later copies inside
+   the chunk are known to be repeats, so a passage that stands in a third of all documents puts one row per chunk into its
+   group.
+3. subtrees: each group numbers its words in their order, sorts its suffixes by their words (names of runs of three, nine
+   and more words, as in building a suffix array) and counts the words that each suffix shares with its neighbour; the
    internal nodes of full depth are the repeats. Of the leaves below such a node all but the first are marked.
 4. the marks return to their chunks, which merge marked windows into spans and drop the covered words.
 
-Path labels are hashes of a suffix's first 5, 10 and 20 words (a quarter, a half and the whole window); the last has 64
-bits on top of the 64 of the other two.
+Hashes only choose anchors and candidates; what counts as equal is decided by the words themselves.
 
 Edge cases: a null or empty text has no words; texts shorter than the window keep everything; repeated rows with the same
-doc_id count as one document read again, later rows being the later copies; extra columns of any name pass through.
+doc_id count as one document read again, later rows being the later copies; a null doc_id comes last; an empty table gives no
+rows; extra columns of any name pass through, and an added column whose name is taken gets underscores before it. The
+identifier is an integer.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,9 +48,6 @@ CHUNK_BYTES, BUCKET_ENTRIES, GROUP_SUFFIXES = 3_000_000, 600_000, 500_000
 #: Chunks, about, and suffixes per chunk that the sample for the prefix cuts takes.
 SAMPLE_CHUNKS, SAMPLE_SUFFIXES = 48, 2_000
 
-_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -99,8 +101,19 @@ def _chunks(text: str) -> object:
     return pack
 
 
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the words at these places of a buffer: equal for equal words, and in the words' order."""
+    edges = np.stack([starts, ends], axis=1).ravel()
+    kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+    # every other element is what stands between two words
+    coded = pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(edges.astype(width)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+    return place[coded.indices.to_numpy()[::2]]
+
+
 class _Suffixes:
-    """The suffixes of one chunk: path labels, validity and the sampled prefix of every window."""
+    """The suffixes of one chunk: validity, and the anchor of every window."""
 
     def __init__(self, batch: pa.RecordBatch, text: str, window: int):
         self.data, self.offsets = words.text_buffer(batch.column(text))
@@ -109,37 +122,53 @@ class _Suffixes:
         n = len(self.starts)
         self.n_windows = max(0, n - window + 1)
         if not self.n_windows:
-            self.valid = np.zeros(0, bool)
+            self.valid, self.anchor, self.sampled = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64)
             return
-        h = words.hash_words(self.data, self.starts, self.ends)
-        with np.errstate(over="ignore"):
-            sums, self.labels = np.zeros(n, np.uint64), {}
-            for j, c in enumerate(words.constants(window, 71)):
-                sums[: n - j] += h[j:] * c
-                if j + 1 in (max(1, window // 4), self.half, window):
-                    self.labels[j + 1] = words.mix(sums[: self.n_windows + (window - j - 1)] + np.uint64(j))
+        self.hashes = words.hash_words(self.data, self.starts, self.ends)
         end_of_doc = np.repeat(self.docs[1:], np.diff(self.docs))
         self.valid = np.arange(self.n_windows) + window <= end_of_doc[: self.n_windows]
         # prefixes that would cross a document's end never belong to a valid window
-        prefix, width = self.labels[self.half], window - self.half + 1
-        self.sampled = _sliding(prefix, width, np.minimum)[: self.n_windows]
-        self.prefix = prefix
+        self.prefix, width = self.labels(self.half), window - self.half + 1
+        self.sampled = _sliding(self.prefix, width, np.minimum)[: self.n_windows]
+        self.anchor = np.full(self.n_windows, -1)
+        for k in range(width):
+            found = np.flatnonzero((self.anchor < 0) & (self.prefix[k : k + self.n_windows] == self.sampled))
+            self.anchor[found] = found + k
+
+    def labels(self, length: int) -> np.ndarray:
+        """A hash of the `length` words from every word on."""
+        n = len(self.hashes) - length + 1
+        sums = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j, c in enumerate(words.constants(length, 71)):
+                sums += self.hashes[j : j + n] * c
+        return words.mix(sums)
 
     def census(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct sampled prefixes, and whether each stands at two or more places of the chunk."""
+        """Distinct anchors' hashes, and whether each stands at two or more places of the chunk."""
         if not self.n_windows:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        width = self.window - self.half + 1
-        least = np.where(self.valid, self.sampled, np.uint64(0))
-        padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-        chosen = _sliding(padded, width, np.maximum)[: len(self.prefix)] == self.prefix
-        found, counts = np.unique(self.prefix[chosen], return_counts=True)
+        found, counts = np.unique(self.prefix[np.unique(self.anchor[self.valid])], return_counts=True)
         return found, counts > 1
 
-    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The path labels of suffixes as two sortable numbers: 5 and 10 words, then 20."""
-        quarter = self.labels[max(1, self.window // 4)][at] >> np.uint64(32)
-        return quarter << np.uint64(32) | self.labels[self.half][at] >> np.uint64(32), self.labels[self.window][at]
+    def known(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which of these windows also start earlier among them: equal hashes propose, the words decide."""
+        label = self.labels(self.window)[at]
+        order = np.lexsort((at, doc, label))
+        first = np.flatnonzero(np.diff(label[order], prepend=~label[order[:1]]))
+        head = np.repeat(at[order[first]], np.diff(np.append(first, len(at))))
+        same = head != at[order]
+        rows = np.flatnonzero(same)
+        numbers = word_numbers(self.data, self.starts, self.ends)
+        for k in range(self.window):
+            rows = rows[numbers[head[rows] + k] == numbers[at[order[rows]] + k]]
+        again = np.zeros(len(at), bool)
+        again[order[rows]] = True
+        return again
+
+    def words_from(self, first: int, n: int, raw: bytes) -> bytes:
+        """n words from the given one on, joined by one space."""
+        return b" ".join(raw[self.starts[first] : self.ends[first + n - 1]].split())
 
 
 def _sliding(values: np.ndarray, width: int, fold: np.ufunc) -> np.ndarray:
@@ -150,26 +179,41 @@ def _sliding(values: np.ndarray, width: int, fold: np.ufunc) -> np.ndarray:
     return fold(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def subtree(high: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
-    """Common-prefix length in words of each sorted suffix with the one before it, as far as the path labels tell."""
-    depth = np.zeros(len(high), np.int32)
-    if len(high) > 1:
-        same_quarter = (high[1:] >> np.uint64(32)) == (high[:-1] >> np.uint64(32))
-        same_half = high[1:] == high[:-1]
-        same_all = same_half & (low[1:] == low[:-1])
-        depth[1:] = np.where(same_all, window, np.where(same_half, max(1, window // 2), np.where(same_quarter, max(1, window // 4), 0)))
+def _names(parts: list[np.ndarray]) -> np.ndarray:
+    """One number for each tuple that stands at a place of all parts; numbers are in the order of the tuples."""
+    key, size = parts[0], int(parts[0].max(initial=0)) + 1
+    for part in parts[1:]:
+        more = int(part.max(initial=0)) + 1
+        if size.bit_length() + more.bit_length() > 62:
+            key = np.unique(key, return_inverse=True)[1]
+            size = int(key.max(initial=0)) + 1
+        key, size = key * more + part, size * more
+    return np.unique(key, return_inverse=True)[1]
+
+
+def suffix_order(numbers: np.ndarray, at: np.ndarray, ties: tuple[np.ndarray, ...], window: int) -> np.ndarray:
+    """Order of the suffixes that start at `at` of a word sequence, by their first `window` words and then by the ties."""
+    named, length = numbers, 1
+    while length * 3 <= window:
+        n = len(named) - 2 * length
+        named, length = _names([named[k * length : k * length + n] for k in range(3)]), length * 3
+    steps = [*range(0, window - length, length), window - length]
+    return np.lexsort((*ties[::-1], _names([named[at + k] for k in steps])))
+
+
+def common_prefixes(numbers: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Words, up to `window`, that each suffix shares with the one before it."""
+    depth = np.zeros(len(at), np.int64)
+    rows = np.arange(1, len(at))
+    for k in range(window):
+        rows = rows[numbers[at[rows] + k] == numbers[at[rows - 1] + k]]
+        depth[rows] += 1
     return depth
 
 
-def _repeats(high: np.ndarray, low: np.ndarray, doc: np.ndarray, chunk: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes in the tree, and which of them hang below a full-depth node without being its first leaf."""
-    order = np.lexsort((at, chunk, doc, low, high))
-    return order, subtree(high[order], low[order], window) >= window
-
-
 _CENSUS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("prefixes", T.BinaryType()), T.StructField("many", T.BinaryType())])
 _KNOWN = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("prefixes", T.BinaryType())])
-_SUFFIXES = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "chunk")] + [T.StructField(n, T.BinaryType()) for n in ("high", "low", "doc", "at")])
+_SUFFIXES = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "chunk")] + [T.StructField(n, T.BinaryType()) for n in ("text", "doc", "at", "n")])
 _MARKS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("at", T.BinaryType())])
 
 
@@ -221,39 +265,44 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     continue
                 ids = _ids(docs.column(doc_id))
                 doc = ids[np.searchsorted(own.docs, at, "right") - 1]
-                high, low = own.keys(at)
-                order, again = _repeats(high, low, doc, np.zeros(len(at), np.int8), at, window)
-                rows = [(-1 - chunk, order[again], False)] if again.any() else []
-                first = order[~again]
-                part = np.searchsorted(cuts, high[first], "right")
-                ends = np.searchsorted(part, np.arange(n_groups + 1))
-                rows += [(int(p), first[ends[p] : ends[p + 1]], True) for p in np.flatnonzero(np.diff(ends))]
-                yield pa.record_batch(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([chunk] * len(rows), pa.int64()),
-                        pa.array([high[r[1]].tobytes() if r[2] else b"" for r in rows], pa.binary()),
-                        pa.array([low[r[1]].tobytes() if r[2] else b"" for r in rows], pa.binary()),
-                        pa.array([_planes(doc[r[1]]) if r[2] else b"" for r in rows], pa.binary()),
-                        pa.array([at[r[1]].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-                    ],
-                    names=["part", "chunk", "high", "low", "doc", "at"],
-                )
+                again = own.known(at, doc)
+                rows = [(-1 - chunk, b"", b"", at[again].astype(np.uint32).tobytes(), b"")] if again.any() else []
+                at, doc = at[~again], doc[~again]
+                # a run: suffixes at neighbouring words, with one anchor and so in one document
+                first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(own.anchor[at], prepend=-1) != 0))
+                n = np.diff(np.append(first, len(at)))
+                raw = own.data.tobytes()
+                part = np.array([bisect_right(cuts, own.words_from(a, own.half, raw)) for a in own.anchor[at[first]].tolist()], np.int64)
+                listed = [own.words_from(a, k + window - 1, raw) for a, k in zip(at[first].tolist(), n.tolist(), strict=True)]
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(n_groups + 1))
+                for p in np.flatnonzero(np.diff(ends)).tolist():
+                    runs = order[ends[p] : ends[p + 1]]
+                    packed = zstandard.ZstdCompressor(level=1).compress(b"\n".join([listed[r] for r in runs.tolist()]))
+                    rows.append((p, packed, _planes(doc[first[runs]]), at[first[runs]].astype(np.uint32).tobytes(), n[runs].astype(np.uint16).tobytes()))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], names=_SUFFIXES.names)
 
     def marks(group: pa.Table) -> pa.Table:
         if group["part"][0].as_py() < 0:  # known inside their chunk
             return group.select(["chunk", "at"])
-        at = [np.frombuffer(x.as_buffer(), np.uint32) for x in group["at"]]
-        high, low = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group[n]]) for n in ("high", "low"))
-        doc = np.concatenate([_from_planes(x.as_py(), np.int64) for x in group["doc"]])
-        row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        unpack = zstandard.ZstdDecompressor().decompress
+        data = np.frombuffer(b"\n".join(unpack(x.as_buffer(), max_output_size=1 << 31) for x in group["text"]), np.uint8)
+        numbers = word_numbers(data, *words.find_words(data, np.array([0, len(data)]))[:2])
+        places, n = ([np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in group[name]] for name, kind in (("at", np.uint32), ("n", np.uint16)))
+        row = np.repeat(np.arange(len(n)), [int(x.sum()) for x in n])
+        n = np.concatenate(n)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        size = n + window - 1
+        at = np.repeat(np.cumsum(size) - size, n) + inside
+        place = np.repeat(np.concatenate(places), n) + inside
+        doc = np.repeat(np.concatenate([_from_planes(x.as_py(), np.int64) for x in group["doc"]]), n)
         chunk_of = np.array(group["chunk"].to_pylist(), np.int64)
-        places = np.concatenate(at)
-        order, again = _repeats(high, low, doc, chunk_of[row], places, window)
-        hit = np.sort(order[again])
-        ends = np.searchsorted(row[hit], np.arange(len(at) + 1))
+        order = suffix_order(numbers, at, (doc, chunk_of[row], place), window)
+        deep = common_prefixes(numbers, at[order], window) >= window
+        hit = np.sort(order[deep])
+        ends = np.searchsorted(row[hit], np.arange(len(chunk_of) + 1))
         used = np.flatnonzero(np.diff(ends))
-        return pa.table({"chunk": pa.array(chunk_of[used]), "at": pa.array([places[hit[ends[r] : ends[r + 1]]].tobytes() for r in used], pa.binary())})
+        return pa.table({"chunk": pa.array(chunk_of[used]), "at": pa.array([place[hit[ends[r] : ends[r + 1]]].astype(np.uint32).tobytes() for r in used], pa.binary())})
 
     shipped = chunks.select("chunk", "docs").join(repeated, F.col("chunk") == F.col("of"), "left").select("chunk", "docs", "prefixes").mapInArrow(ship, _SUFFIXES)
     found = shipped.groupBy("part").applyInArrow(marks, _MARKS)
@@ -265,26 +314,27 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.array(column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_pylist(), np.int64)
 
 
-def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> np.ndarray:
-    """Shortest prefixes that separate the n_groups quantiles of the suffixes of a few sampled chunks (n_groups - 1 numbers)."""
+def _cuts(chunks: DataFrame, text: str, window: int, n_groups: int) -> list[bytes]:
+    """Shortest word prefixes that separate the n_groups quantiles of the anchors of a few sampled chunks."""
 
     @store.trimmed
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("docs"):
                 own = _Suffixes(_unpacked(blob.as_buffer()), text, window)
-                at = np.flatnonzero(own.valid)
+                at = np.unique(own.anchor[own.valid])
                 at = at[:: max(1, len(at) // SAMPLE_SUFFIXES)][:SAMPLE_SUFFIXES]
-                if len(at):
-                    yield pa.record_batch({"keys": pa.array([own.keys(at)[0].tobytes()], pa.binary())})
+                raw = own.data.tobytes()
+                yield pa.record_batch({"prefix": pa.array([own.words_from(a, own.half, raw) for a in at.tolist()], pa.binary())})
 
-    few = chunks.select("docs").mapInArrow(sample, "keys binary").collect()
-    keys = np.unique(np.frombuffer(b"".join(bytes(r["keys"]) for r in few), np.uint64))
-    if len(keys) < 2:
-        return np.array([(k << 64) // n_groups for k in range(1, n_groups)], np.uint64)
-    places = np.clip(np.arange(1, n_groups) * len(keys) // n_groups, 1, len(keys) - 1)
-    quarter = keys[places] >> np.uint64(32) << np.uint64(32)  # the first label alone where it already separates
-    return np.sort(np.where(keys[places - 1] < quarter, quarter, keys[places]))
+    few = sorted({bytes(r["prefix"]) for r in chunks.select("docs").mapInArrow(sample, "prefix binary").collect()})
+    cuts = set()
+    for k in range(1, n_groups) if len(few) > 1 else ():
+        place = min(max(1, k * len(few) // n_groups), len(few) - 1)
+        before, after = few[place - 1].split(), few[place].split()
+        same = next((i for i, (x, y) in enumerate(zip(before, after, strict=False)) if x != y), min(len(before), len(after)))
+        cuts.add(b" ".join(after[: same + 1]))
+    return sorted(cuts)
 
 
 #: Columns that remove_repeats adds.
@@ -296,12 +346,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     All columns return; a text that lost words becomes its kept words joined by one space, any other stays as it was. Added:
     n_words, n_removed, kept_sha256 (of the kept words joined by one space) and spans, the removed word ranges, under the names
-    `added`; names that docs already has are refused.
+    `added`, with underscores before those that docs already has.
     """
     chunks, marked = find_repeats(docs, doc_id, text, window)
-    taken = set(added) & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns to be added exist already: {sorted(taken)}")
+    added = tuple(store.free_name(docs, name) for name in added)
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, (T.LongType(), T.LongType(), T.StringType(), T.ArrayType(T.ArrayType(T.LongType()))))])
 
     @store.trimmed

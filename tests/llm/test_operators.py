@@ -61,11 +61,57 @@ def test_substring_dedup(spark):
     assert removed_any
 
 
-def test_substring_dedup_refuses_clashing_columns_and_takes_empty_tables(spark):
-    with pytest.raises(ValueError, match="n_words"):
-        substring_dedup.remove_repeats(spark.createDataFrame(corpus(), DOCS))
-    empty = spark.createDataFrame([], "doc_id long, text string")
-    assert substring_dedup.remove_repeats(empty).count() == 0
+def test_substring_dedup_takes_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame(corpus(), DOCS)
+    got = substring_dedup.remove_repeats(docs)
+    assert got.columns == [*docs.columns, "_n_words", "n_removed", "kept_sha256", "spans"]
+    assert {r["n_words"] for r in got.collect()} == {"clash"}
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_substring_dedup_of_repeated_and_null_numbers(spark):
+    body = " ".join(f"w{k}" for k in range(25))
+    docs = spark.createDataFrame([(7, body), (7, body), (None, body), (3, "x " + body), (9, body + " y")], "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == [(False, 3, "x " + body), (False, 7, ""), (False, 7, ""), (False, 9, "y"), (True, None, "")]
+
+
+@pytest.mark.parametrize("chunk", [3_000_000, 2000])
+def test_words_decide_where_all_hashes_collide(spark, monkeypatch, chunk):
+    """All words of one length have one hash, so every anchor and every label is shared by differing windows."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    docs = [(i, t) for i, t, *_ in corpus(4)]
+    seen, expected = set(), {}
+    for doc_id, text in docs:
+        words = (text or "").split()
+        gone = [False] * len(words)
+        for s in range(len(words) - 19):
+            key = tuple(words[s : s + 20])
+            if key in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(key)
+        expected[doc_id] = sum(gone)
+    found = substring_dedup._Suffixes
+
+    class Colliding(found):
+        def labels(self, length):
+            return np.zeros(len(self.hashes) - length + 1, np.uint64)
+
+    monkeypatch.setattr(substring_dedup, "_Suffixes", Colliding)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == expected
+
+
+def test_suffixes_are_in_the_order_of_their_words():
+    rng = np.random.default_rng(3)
+    numbers = rng.integers(0, 3, 400)
+    at = np.arange(380)
+    order = substring_dedup.suffix_order(numbers, at, (at,), 20)
+    assert order.tolist() == sorted(range(380), key=lambda k: (numbers[k : k + 20].tolist(), k))
+    depths = substring_dedup.common_prefixes(numbers, order, 20)
+    for k in range(1, 380):
+        a, b = numbers[order[k] : order[k] + 20], numbers[order[k - 1] : order[k - 1] + 20]
+        assert depths[k] == np.cumprod(a == b).sum()
 
 
 def test_suffix_groups_split_by_prefix_give_the_same(spark, monkeypatch):
