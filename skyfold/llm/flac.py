@@ -4,10 +4,12 @@ The encoder chooses for each frame of `BLOCK` samples the cheapest of a constant
 linear predictor with quantized coefficients, and plain samples; residuals are Rice-coded. The decoder takes constant, plain,
 fixed (0 to 4) and linear (1 to 32) subframes with any partition order and escaped partitions; frames of one kind are decoded
 side by side, one sample of every frame a step. Header CRC-8, frame CRC-16 and the stream's MD5 are verified. A stream has a
-seek table (one point in SEEK_EVERY frames), and `pcm_blocks` writes decoded blocks with their sample offsets.
+seek table (one point in SEEK_EVERY frames); `pcm_column` gives decoded blocks with their sample offsets, from which
+`describe_column` derives digests and features, so that each of the two can be stored and read again.
 
 Edge cases: null bytes or texts are empty; payloads are padded with byte 255 to a positive multiple of the block; equal
-payloads give equal streams; any damage raises ValueError.
+payloads give equal streams; a long payload is many frames of one stream; repeated rows and null keys pass through; an empty
+table gives no rows; columns other than key and data are ignored; any damage raises ValueError.
 """
 
 from __future__ import annotations
@@ -53,13 +55,11 @@ def _crc(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndar
 
 
 def _numbers(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers in the format's UTF-8 manner: an (n, 4) byte matrix and how many bytes count."""
-    if len(n) and n.max() >= 1 << 21:
-        raise ValueError("a stream of over two million frames")
-    size = 1 + (n >= 1 << 7).astype(np.int64) + (n >= 1 << 11) + (n >= 1 << 16)
-    out = np.zeros((len(n), 4), np.uint8)
-    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0])
-    for s in range(1, 5):
+    """Frame numbers in the format's UTF-8 manner: an (n, 7) byte matrix and how many bytes count."""
+    size = 1 + sum((n >= 1 << k).astype(np.int64) for k in (7, 11, 16, 21, 26, 31))
+    out = np.zeros((len(n), 7), np.uint8)
+    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0, 0xF8, 0xFC, 0xFE])
+    for s in range(1, 8):
         rows = size == s
         out[rows, 0] = lead[s] | n[rows] >> 6 * (s - 1)
         for j in range(1, s):
@@ -469,43 +469,54 @@ def encode_column(rows: DataFrame, key: str, data: str) -> DataFrame:
     return rows.select(F.col(key), F.col(data).cast("binary").alias("data")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def describe_column(media: DataFrame, key: str) -> DataFrame:
-    """Decodes the streams: digests of payload and stream, the payload's tail and its features."""
+def pcm_column(media: DataFrame, key: str) -> DataFrame:
+    """Decoded streams: (key, n_bytes, media_bytes, media_sha256, blocks), the blocks with their sample offsets in order."""
+    block = pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())])
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, held in _slices(batch.column("media")):
                 payloads = decode(held)
+                counts = np.array([len(p) // BLOCK for p in payloads], np.int64)
+                ends = np.cumsum(counts)
+                offset = (np.arange(int(counts.sum())) - np.repeat(ends - counts, counts)) * BLOCK
+                pcm = pa.Array.from_buffers(pa.binary(), len(offset), [None, pa.py_buffer(np.arange(len(offset) + 1, dtype=np.int32) * BLOCK), pa.py_buffer(b"".join(payloads))])
+                blocks = pa.StructArray.from_arrays([pa.array(offset), pa.array(np.full(len(offset), BLOCK, np.int32)), pcm], fields=list(block))
                 yield pa.record_batch(
                     [
                         batch.column(key).slice(begin, len(held)),
                         batch.column("n_bytes").slice(begin, len(held)),
-                        pa.array([len(p) for p in payloads], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                        pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
                         pa.array([len(h) for h in held], pa.int64()),
                         pa.array([hashlib.sha256(h).hexdigest() for h in held]),
-                        pa.array([features(p) for p in payloads]),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), blocks),
                     ],
-                    names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    names=[key, "n_bytes", "media_bytes", "media_sha256", "blocks"],
                 )
 
     kind = media.schema[key].dataType.simpleString()
-    return media.mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, f"`{key}` {kind}, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:bigint,n_samples:int,pcm:binary>>")
 
 
-def pcm_blocks(media: DataFrame, key: str) -> DataFrame:
-    """Decoded blocks: (key, block, sample_offset, n_samples, pcm), pcm as unsigned 8-bit samples."""
+def describe_column(decoded: DataFrame, key: str) -> DataFrame:
+    """Of decoded streams: digests of payload and stream, the payload's tail and its features."""
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, held in _slices(batch.column("media")):
-                payloads = decode(held)
-                row = [k for k, p in enumerate(payloads) for _ in range(0, len(p), BLOCK)]
-                offset = [o for p in payloads for o in range(0, len(p), BLOCK)]
-                yield pa.record_batch([batch.column(key).slice(begin, len(held)).take(pa.array(row, pa.int64())), pa.array([o // BLOCK for o in offset], pa.int64()), pa.array(offset, pa.int64()), pa.array([BLOCK] * len(row), pa.int32()), pa.array([payloads[k][o : o + BLOCK] for k, o in zip(row, offset, strict=True)], pa.binary())], names=[key, "block", "sample_offset", "n_samples", "pcm"])
+            blocks = batch.column("blocks")
+            edges = blocks.offsets.to_numpy() - blocks.offsets[0].as_py()
+            pcm = blocks.flatten().field("pcm").to_pylist()
+            payloads = (b"".join(pcm[a:b]) for a, b in zip(edges, edges[1:], strict=False))
+            found = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), features(p)) for p in payloads]
+            size, digest, tail, feature = (pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string())))
+            columns = {key: batch.column(key), "n_bytes": batch.column("n_bytes"), "payload_bytes": size, "payload_sha256": digest, "tail_crc32": tail, "media_bytes": batch.column("media_bytes"), "media_sha256": batch.column("media_sha256"), "feature": feature}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    kind = media.schema[key].dataType.simpleString()
-    return media.mapInArrow(run, f"`{key}` {kind}, block long, sample_offset long, n_samples int, pcm binary")
+    kind = decoded.schema[key].dataType.simpleString()
+    return decoded.mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def pcm_blocks(media: DataFrame, key: str) -> DataFrame:
+    """Decoded blocks: (key, block, sample_offset, n_samples, pcm), pcm as unsigned 8-bit samples."""
+    return pcm_column(media, key).select(key, F.posexplode("blocks").alias("block", "b")).select(key, F.col("block").cast("long").alias("block"), "b.sample_offset", "b.n_samples", "b.pcm")

@@ -43,7 +43,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.describe_column(flac.encode_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    media = store.materialize(flac.encode_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
+    return flac.describe_column(store.materialize(flac.pcm_column(media, "doc_id"), "pcm"), "doc_id")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,11 +319,75 @@ def test_flac_round_trip_damage_and_seeking():
             flac.decode([bytes(broken)])
 
 
+def plain_decode(stream: bytes) -> bytes:
+    """A second decoder, bit by bit from the format's description, for mono streams of blocks of 576 samples."""
+    at, last = 4, False
+    while not last:
+        last, size = bool(stream[at] >> 7), int.from_bytes(stream[at + 1 : at + 4], "big")
+        at += 4 + size
+    bits = "".join(f"{b:08b}" for b in stream[at:])
+    pos, out = 0, []
+
+    def take(n: int, signed: bool = False) -> int:
+        nonlocal pos
+        value = int(bits[pos : pos + n], 2) if n else 0
+        pos += n
+        return value - (1 << n) if signed and n and value >> (n - 1) else value
+
+    while pos < len(bits):
+        assert take(16) == 0xFFF8 and take(8) == 0x24 and take(8) == 0x02
+        more = take(8)
+        for _ in range(0 if more < 128 else f"{more:08b}".index("0") - 1):
+            take(8)
+        take(8)
+        kind = take(8) >> 1
+        if kind == 0:
+            x = [take(8, True)] * 576
+        elif kind == 1:
+            x = [take(8, True) for _ in range(576)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [take(8, True) for _ in range(order)]
+            shift, c = 0, {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}.get(order, [])
+            if kind >= 32:
+                precision, shift = take(4) + 1, take(5, True)
+                c = [take(precision, True) for _ in range(order)]
+            width, parts = (5 if take(2) else 4), 1 << take(4)
+            for k in range(parts):
+                rice = take(width)
+                for _ in range(576 // parts - (order if not k else 0)):
+                    high = bits.index("1", pos) - pos
+                    pos += high + 1
+                    value = high << rice | take(rice)
+                    residual = value >> 1 if not value & 1 else -(value >> 1) - 1
+                    x.append(residual + (sum(a * b for a, b in zip(c, x[::-1])) >> shift))
+        pos += -pos % 8 + 16
+        out += x
+    return bytes(v + 128 for v in out)
+
+
+def test_flac_streams_decode_with_a_second_decoder():
+    rng = random.Random(7)
+    payloads = [b"", b"x" * 1200, rng.randbytes(600), "Ein Text, ünd mehr. ".encode() * 80, bytes(int(128 + 100 * np.sin(i / 9)) for i in range(2000)), bytes(range(256)) * 3]
+    padded = [flac.padded(p) for p in payloads]
+    assert [plain_decode(s) for s in flac.encode(padded)] == padded
+
+
+def test_flac_numbers_of_very_long_streams():
+    n = np.array([0, 127, 128, 2047, 2048, 65535, 65536, (1 << 21) - 1, 1 << 21, 1 << 26, 1 << 31, (1 << 36) - 1])
+    out, size = flac._numbers(n)
+    assert size.tolist() == [1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 7, 7]
+    for k in range(8):
+        assert bytes(out[k, : size[k]]) == chr(int(n[k])).encode("utf-8", "surrogatepass") if n[k] < 0x110000 else True
+    assert bytes(out[-1]) == b"\xfe" + b"\xbf" * 6
+
+
 def test_flac_columns(spark):
     docs = spark.createDataFrame([(i, t) for i, t, *_ in corpus()], "doc_id long, text string")
     media = flac.encode_column(docs, "doc_id", "text")
     texts = {i: flac.padded((t or "").encode()) for i, t, *_ in corpus()}
-    for r in flac.describe_column(media, "doc_id").collect():
+    assert flac.describe_column(flac.pcm_column(media.limit(0), "doc_id"), "doc_id").count() == 0
+    for r in flac.describe_column(flac.pcm_column(media, "doc_id"), "doc_id").collect():
         p = texts[r["doc_id"]]
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     blocks = flac.pcm_blocks(media, "doc_id").orderBy("doc_id", "sample_offset").collect()
