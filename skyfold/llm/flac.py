@@ -255,7 +255,7 @@ def _starts(data: np.ndarray, raw: bytes, spans: list[tuple[int, int, int]]) ->
     start, head, end = np.concatenate(starts), np.concatenate(heads), np.concatenate(ends)
     number = np.concatenate([np.arange(c) for _, _, c in spans])
     digits, width = _numbers(number)
-    for j in range(4):
+    for j in range(7):
         rows = width > j
         if (data[start[rows] + 4 + j] != digits[rows, j]).any():
             raise ValueError("a frame's number is wrong")

@@ -94,6 +94,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT documents.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents LEFT JOIN summed USING (doc_id)
     """,
+    "op3_sharding": """
+        WITH bits AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+        ), sized AS (
+            SELECT doc_id, md5(coalesce(text, '')) AS digest, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents
+        ), summed AS (
+            SELECT doc_id, digest, size, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32
+            FROM sized, bits
+        ), placed AS (
+            SELECT *, coalesce(sum(size) OVER (ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM summed
+        ), cut AS (
+            SELECT *, least(7, (2 * before + size) * 8 // (2 * total))::INTEGER AS shard FROM placed
+        )
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+               (row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+        FROM cut
+    """,
     "op9_warc": """
         WITH named AS (
             SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages

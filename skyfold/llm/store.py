@@ -17,9 +17,11 @@ BATCH_ROWS, BATCH_BYTES = 4_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-skyfold-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -11,8 +11,10 @@ hash), terms are counted by distinct contexts (the words before and after), so t
 a term or a stem that covers many words enters with the lower bound of its log-odds. A third of the sample is held back from
 the lexicon and fits the curve. Neither labels nor lang, source or doc_id are inputs of a score.
 
-Edge cases: null, empty and wordless texts have no matches and get the curve's base score; labels with null marks are left
-out, repeated ones count by their maximum; without labelled rows of both kinds every score is the base score 0.
+Edge cases: null, empty and wordless texts have no matches and get the curve's base score; texts of any length are read whole;
+labels with null marks are left out, repeated ones count by their maximum; repeated rows and equal texts score alike; without
+labelled rows of both kinds every score is the base score 0; an empty table gives no rows; an added column whose name is taken
+gets underscores before it.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from skyfold.llm import store
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
-#: Entries of the lexicon, lower bounds of the log-odds from which a word or stem enters, and the lengths of stems.
-ENTRIES, WORD_BOUND, STEM_BOUND, STEMS = 20_000, 1.0, 2.5, (3, 8)
+#: Lower bounds of the log-odds from which a word or stem enters the lexicon, and the lengths of stems. The sample bounds the
+#: lexicon: a word needs three contexts in its toxic rows, a stem four words.
+WORD_BOUND, STEM_BOUND, STEMS = 1.0, 2.5, (3, 8)
 THRESHOLD = 0.3
 
 # fixed values: function words of the grammar in the corpus's languages
@@ -225,11 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     if not all_a or not all_b:
         return Model({}, {}, 0.0, 0.0)
     bound = _bound(F.col("a"), F.col("b"), all_a, all_b)
-    terms = words.withColumn("bound", bound).filter((F.col("a") >= 3) & (F.col("bound") >= WORD_BOUND)).orderBy(F.desc("bound"), "word").limit(ENTRIES).collect()
+    terms = words.withColumn("bound", bound).filter((F.col("a") >= 3) & (F.col("bound") >= WORD_BOUND)).collect()
     prefixes = words.select(F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1] - 1)), lambda n: F.when(F.length("word") > n, F.substring("word", F.lit(1), n)))).alias("term"), "a", "b").filter("term is not null")
     prefixes = prefixes.groupBy("term").agg(F.max("a").alias("top"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.when(F.col("a") > 0, 1)).alias("words"))
     prefixes = prefixes.withColumn("bound", bound).filter((F.col("words") >= 4) & (F.col("top") < 0.6 * F.col("a")) & (F.col("bound") >= STEM_BOUND))
-    stems = _stems(prefixes.orderBy(F.desc("bound"), "term").limit(ENTRIES).collect())
+    stems = _stems(prefixes.collect())
     lexicon = {r["word"]: r["bound"] for r in terms}
 
     @store.trimmed
@@ -259,10 +262,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ("score", "predicted", "matched_clauses")) -> DataFrame:
-    """The documents with score, predicted and matched_clauses, under the names `added`."""
-    taken = set(added) & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns to be added exist already: {sorted(taken)}")
+    """The documents with score, predicted and matched_clauses, under the names `added`, with underscores before taken ones."""
+    added = tuple(store.free_name(docs, name) for name in added)
     names = docs.columns
 
     @store.trimmed

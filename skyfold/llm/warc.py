@@ -11,7 +11,8 @@ digest's rows are reduced to their maximum before the shuffle, and only digests
 pages, by broadcast if they are small and else by a join salted against a very common payload.
 
 Edge cases: null html is an empty payload; payloads below `least_bytes` are always responses; pages of one identifier and
-payload that stand there twice are both responses; null urls give an empty target; extra columns are ignored. A page
+payload that stand there twice are both responses; null urls give an empty target, and control characters and spaces at a
+url's ends are percent-encoded in the header; extra columns are ignored; an empty table gives no bundles. A page
 with a null identifier is never referred to: its record has an identifier of its own (hashed from its place), is a revisit
 without a reference (as in the query's SQL) unless it is below `least_bytes`, and keeps its payload.
 """
@@ -23,6 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,12 @@ def page_of(record: str) -> int | None:
     return n - (1 << 64) if n >> 63 else n
 
 
+def target(url: str) -> str:
+    """The url as a header value: what could end or trim a header line is percent-encoded."""
+    ends = len(url) - len(url.lstrip()), len(url.rstrip())
+    return "".join(quote(c) if not c.isprintable() and not c.isalpha() or c.isspace() and not ends[0] <= k < ends[1] else c for k, c in enumerate(url))
+
+
 def write_record(page_id: int, url: str, date: str, payload: bytes, digest: bytes, refers_to: int | None, nameless: str | None = None, again: bool = False) -> bytes:
     """The record's bytes; a page without an identifier takes the record identifier `nameless` and is a revisit if `again`."""
     name = base64.b32encode(digest).decode()
@@ -71,7 +79,7 @@ def write_record(page_id: int, url: str, date: str, payload: bytes, digest: byte
         f"WARC-Type: {'response' if refers_to is None and not again else 'revisit'}",
         f"WARC-Record-ID: {nameless or record_id(page_id)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{name}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
@@ -182,6 +190,38 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return store.materialize(shaped.mapInArrow(run, "archive binary, index array<struct<page_id:long,frame:int,offset:int>>"), "bundles")
 
 
+def record_index(bundles: DataFrame) -> DataFrame:
+    """(page_id, bundle, frame, offset) of every record that has an identifier, for equality joins; bundle is a digest of its bytes."""
+    return bundles.select(F.sha1("archive").alias("bundle"), F.explode("index").alias("e")).filter("e.page_id IS NOT NULL").select("e.page_id", "bundle", "e.frame", "e.offset")
+
+
+def read_by_id(bundles: DataFrame, wanted: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """(page_id, record) of the wanted identifiers: only the frames that hold them are decompressed.
+
+    Identifiers that no record has give no row; one that several records have gives each.
+    """
+    # the index is cut down to the wanted records before it meets the archives
+    entries = bundles.select(F.sha1("archive").alias("of"), F.explode("index").alias("e")).join(wanted.select(F.col(page_id).alias("_wanted")).distinct(), F.col("e.page_id") == F.col("_wanted"), "left_semi")
+    entries = entries.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("e.frame", "e.offset", "e.page_id"))).alias("entries"))
+    held = bundles.select("archive").dropDuplicates(["archive"]).join(entries, F.sha1("archive") == F.col("of")).select("archive", "entries")
+
+    @store.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, entries in zip(batch.column("archive"), batch.column("entries").to_pylist(), strict=True):
+                archive = blob.as_py()
+                table, held, data = seek_table(archive), -1, b""
+                for e in entries:
+                    if e["frame"] != held:
+                        held, data = e["frame"], read_frame(archive, table, e["frame"])
+                    fields, block = read_record(data, e["offset"])
+                    if page_of(fields["WARC-Record-ID"]) != e["page_id"]:
+                        raise ValueError("the index points at another record")
+                    yield pa.record_batch([pa.array([e["page_id"]], pa.int64()), pa.array([block], pa.binary())], names=["page_id", "record"])
+
+    return held.mapInArrow(run, "page_id long, record binary")
+
+
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """Reads every record through the index and the seek table; a payload whose digest differs from its header fails."""
 

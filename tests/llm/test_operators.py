@@ -191,7 +191,9 @@ def test_sharding(spark):
     for shard in range(4):
         own = sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == shard)
         assert [s for s, _ in own] == list(range(len(own)))
-        assert [d for _, d in own] == sorted(d for _, d in own)  # contiguous in document order
+    texts = {(i, zlib.crc32((t or "").encode())): t or "" for i, t, *_ in docs}
+    ordered = [(hashlib.md5(texts[r["doc_id"], r["text_crc32"]].encode()).hexdigest(), r["doc_id"]) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert ordered == sorted(ordered)  # contiguous, equal texts together
     assert sharding.assign_shards(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -504,6 +506,20 @@ def test_warc_salted_join_gives_the_same(spark, monkeypatch):
     assert sorted(rows_of(warc.read_bundles(warc.write_bundles(df)).select("page_id", "refers_to")), key=str) == whole
 
 
+def test_warc_takes_any_url_and_finds_records(spark):
+    urls = ["http://a\r\n\r\nb", "\x00\x1f\x7f", " pad ", "ünï: x", "a\u2028b\x85c", "", None, "http://x/%20y?z=1"]
+    df = spark.createDataFrame([(i, u, f"page {i % 6}") for i, u in enumerate(urls * 9)], "page_id long, url string, html string").repartition(3)
+    bundles = warc.write_bundles(df)
+    got = {r["page_id"]: r for r in warc.read_bundles(bundles).collect()}
+    assert len(got) == 72 and all(r["payload_bytes"] == 6 for r in got.values())
+    assert warc.target("http://a\r\n\r\nb") == "http://a%0D%0A%0D%0Ab" and warc.target("http://x/ä b") == "http://x/ä b"
+    assert sorted(r["page_id"] for r in warc.record_index(bundles).collect()) == list(range(72))
+    wanted = spark.createDataFrame([(70,), (71,), (3,), (1000,), (3,)], "page_id long")
+    found = {r["page_id"]: bytes(r["record"]) for r in warc.read_by_id(bundles, wanted).collect()}
+    assert set(found) == {3, 70, 71}
+    assert found[71].endswith(b"\r\n\r\npage 5") and found[3].endswith(b"\r\n\r\n")
+
+
 def test_warc_archive_is_plain_zstandard():
     import zstandard
 
