@@ -6,10 +6,13 @@ distance, are cut into annuli, and an annulus is one row of the index (its least
 vectors; a cell that holds a third of all vectors is merely many annuli).
 
 A query starts in the annulus of its home cell that lies nearest its own distance, which gives a first k-th score. From there
-the search expands: an annulus is opened only if the triangle inequality lets it hold a better score, that is if the query's
-distance to the pivot is within the k-th distance of the annulus. Queries travel in blocks of one home cell, so the work list
-has a row for each block of queries and annulus that some query of the block must open. Scores are exact: integers, computed
-in float64 where that is exact and in 64-bit integers beyond; the bounds carry a margin for rounding.
+the search expands in rounds: annuli are sorted by their distance from the query, a round opens the nearest ones that are still
+closed (FIRST_ROUND of them, then GROWTH times as many each round), and the k-th score it gives tightens the bound of the next.
+An annulus is opened only if the triangle inequality lets it hold a better score, that is if the query's distance to the pivot
+is within the k-th distance of the annulus; a query stops when no such annulus is left, the search when no query has one.
+Queries travel in blocks of one home cell, so a round's work list has a row for each block of queries and annulus that some
+query of the block must open. Scores are exact: integers, computed in float64 where that is exact and in 64-bit integers
+beyond (a product that outgrows those wraps around); the bounds carry a margin for rounding.
 
 Pivots are a bounded sample (the `pivots` smallest hashes of distinct identifiers). Edge cases: vectors that are null, hold
 null, NaN or infinite components or have a null identifier take no part; vectors of other lengths are compared over zero-filled components; fewer than k
@@ -32,6 +35,8 @@ from skyfold.llm import store
 PIVOTS, ANNULUS, QUERY_BLOCK = 64, 1024, 256
 #: Annuli of a part of the ring table.
 RING_PART = 4096
+#: Annuli that a query block opens in the first round, and how many times as many in each later one.
+FIRST_ROUND, GROWTH = 4, 4
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -111,8 +116,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
                     ids = part.column("vec_id").to_numpy()
                     d = part.column("distance").to_numpy()
                     x = _matrix(part.column("v"), width)
-                    yield pa.record_batch({"pivot": pa.array([pivot[a]], pa.int32()), "low": [d[0]], "high": [d[-1]], "n": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "block": pa.array([x.tobytes()], pa.binary())})
+                    yield pa.record_batch({"pivot": pa.array([pivot[a]], pa.int32()), "low": [d[0]], "high": [d[-1]], "n": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "block": pa.array([x.astype(narrow).tobytes()], pa.binary())})
 
+    # no component is larger than its vector's norm, so that the blocks take no more bytes than they need
+    narrow = next((t for t in (np.int16, np.int32) if largest < float(np.iinfo(t).max) ** 2), np.int64)
     index = ordered.mapInArrow(annuli, "pivot int, low double, high double, n long, ids binary, block binary").withColumn("annulus", F.monotonically_increasing_id())
     index = store.materialize(index, "annuli")
     rings = index.select("annulus", "pivot", "low", "high", "n")
@@ -123,24 +130,28 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
     place = F.row_number().over(Window.partitionBy("pivot", salt).orderBy("distance", "vec_id"))
     asked = asked.withColumn("part", F.concat_ws("-", salt, F.floor((place - 1) / QUERY_BLOCK).cast("long")))
-    blocks = asked.groupBy("pivot", "part").agg(F.collect_list(F.struct("vec_id", "v", "distance")).alias("queries"), F.min("distance").alias("d_low"), F.max("distance").alias("d_high"))
-    blocks = store.materialize(blocks.withColumn("block_id", F.monotonically_increasing_id()), "queries")
+    blocks = asked.groupBy("pivot", "part").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"), F.min("distance").alias("d_low"))
 
-    def unpack(row_ids: bytes, row_block: bytes) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(row_ids, np.int64)
-        return ids, np.frombuffer(row_block, np.int64).reshape(len(ids), width)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pivot, low, queries in zip(batch.column("pivot").to_pylist(), batch.column("d_low").to_pylist(), batch.column("queries"), strict=True):
+                ids, q = queries.values.field("vec_id").to_numpy(), _matrix(queries.values.field("v"), width)
+                yield pa.record_batch([pa.array([pivot], pa.int32()), pa.array([low]), pa.array([ids.tobytes()], pa.binary()), pa.array([q.astype(narrow).tobytes()], pa.binary())], names=["pivot", "d_low", "q_ids", "q"])
 
-    def asked_of(queries: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-        values = queries.values
-        return values.field("vec_id").to_numpy(), _matrix(values.field("v"), width)
+    blocks = blocks.select("pivot", "d_low", "queries").mapInArrow(packed, "pivot int, d_low double, q_ids binary, q binary")
+    blocks = store.materialize(blocks.withColumn("block_id", F.monotonically_increasing_id()), "queries")
+
+    def unpack(row_ids: pa.Scalar, row_block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row_ids.as_buffer(), np.int64)
+        return ids, np.frombuffer(row_block.as_buffer(), narrow).reshape(len(ids), width).astype(np.int64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """k best of each query block in an annulus; `floor` (the k-th scores so far) leaves out what cannot count."""
         for batch in batches:
             floors = batch.column("floor") if "floor" in batch.schema.names else [None] * len(batch)
-            for b, queries, ids, block, floor in zip(batch.column("block_id").to_pylist(), batch.column("queries"), batch.column("ids"), batch.column("block"), floors, strict=True):
-                q_ids, q = asked_of(queries)
-                ids, x = unpack(ids.as_buffer(), block.as_buffer())
+            for b, names, queries, ids, block, floor in zip(batch.column("block_id").to_pylist(), *(batch.column(c) for c in ("q_ids", "q", "ids", "block")), floors, strict=True):
+                q_ids, q = unpack(names, queries)
+                ids, x = unpack(ids, block)
                 rows, columns, scores = _best(_scores(q, x), ids, q_ids, k)
                 if floor is not None:
                     keep = scores >= np.array(floor.as_py(), np.int64)[rows]
@@ -154,40 +165,54 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     )
     so_far = Window.partitionBy("pivot").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
     nearest = events.withColumn("annulus", F.last("annulus", True).over(so_far)).filter(F.col("block_id").isNotNull() & F.col("annulus").isNotNull()).select("block_id", "annulus")
-    first = nearest.join(blocks.select("block_id", "queries"), "block_id").join(index.select("annulus", "ids", "block"), "annulus")
-    started = store.materialize(first.select("block_id", "annulus", "queries", "ids", "block").mapInArrow(search, found_schema), "first")
-    kth = started.groupBy("block_id", "row").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("block_id", F.struct("row", F.get("s", F.lit(k - 1)).alias("kth")).alias("r"))
-    kth = kth.groupBy("block_id").agg(F.collect_list("r").alias("kths"))
+    nearest = store.materialize(nearest, "nearest")
 
-    # then every other annulus that the bound leaves open: each query block reads the ring table (one row an annulus) by parts
-    parts = rings.count() // RING_PART + 1
-    part = F.pmod(F.xxhash64("annulus"), F.lit(parts)).cast("int")
-    ring_parts = rings.groupBy(part.alias("ring_part")).agg(F.collect_list(F.struct("annulus", "pivot", "low", "high")).alias("rings"))
+    def searched(work: DataFrame) -> DataFrame:
+        pairs = work.join(blocks.select("block_id", "q_ids", "q"), "block_id").join(index.select("annulus", "ids", "block"), "annulus")
+        return pairs.drop("annulus").mapInArrow(search, found_schema)
 
-    def open_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, queries, kths, seen, ring in zip(batch.column("block_id").to_pylist(), batch.column("queries"), batch.column("kths").to_pylist(), batch.column("annulus").to_pylist(), batch.column("rings"), strict=True):
-                q_ids, q = asked_of(queries)
-                floor = np.full(len(q_ids), np.iinfo(np.int64).min)
-                for r in kths or []:
-                    if r["kth"] is not None:
-                        floor[r["row"]] = r["kth"]
-                d = _distances(q, np.zeros(len(q)), centres, centre_lift)
-                known = floor > np.iinfo(np.int64).min
-                reach = np.where(known, np.sqrt(np.maximum(0, (q.astype(np.float64) ** 2).sum(1) + largest - 2 * np.where(known, floor, 0))), np.inf)
-                values = ring.values
-                pivot, low, high, names = (values.field(n).to_numpy() for n in ("pivot", "low", "high", "annulus"))
-                own = d[:, pivot]
-                gap = np.maximum(0, np.maximum(low[None, :] - own, own - high[None, :]))
-                slack = 1e-6 * (1 + own + high[None, :])
-                opened = np.flatnonzero(((gap <= reach[:, None] + slack).any(0)) & (names != (-1 if seen is None else seen)))
-                yield pa.record_batch([pa.array(np.full(len(opened), b)), pa.array(names[opened]), pa.array([floor] * len(opened), pa.list_(pa.int64()))], names=["block_id", "annulus", "floor"])
-
-    state = blocks.select("block_id", "queries").join(kth, "block_id", "left").join(nearest, "block_id", "left")
-    state = state.withColumn("ring_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    work = state.join(ring_parts, "ring_part").select("block_id", "queries", "kths", "annulus", "rings").mapInArrow(open_rings, "block_id long, annulus long, floor array<long>")
-    rest = work.join(blocks.select("block_id", "queries"), "block_id").join(index.select("annulus", "ids", "block"), "annulus")
-    later = rest.select("block_id", "queries", "ids", "block", "floor").mapInArrow(search, found_schema)
-    best = started.unionByName(later).select("query_id", "vec_id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = store.materialize(searched(nearest).withColumn("rank", rank).filter(F.col("rank") <= k), "best-0")
+    opened = nearest.groupBy("block_id").agg(F.collect_list("annulus").alias("seen"))
+    # each query block reads the ring table (one row an annulus) by parts
+    parts = rings.count() // RING_PART + 1
+    part = F.pmod(F.xxhash64("annulus"), F.lit(parts)).cast("int")
+    ring_parts = store.materialize(rings.groupBy(part.alias("ring_part")).agg(F.collect_list(F.struct("annulus", "pivot", "low", "high")).alias("rings")), "rings")
+    step, turn = FIRST_ROUND, 0
+    while True:
+        kth = best.groupBy("block_id", "row").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+        kth = kth.groupBy("block_id").agg(F.collect_list(F.struct("row", "kth")).alias("kths"))
+
+        def open_rings(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            """The `step` nearest closed annuli of each block that the bound leaves open."""
+            for batch in batches:
+                for b, names, queries, kths, seen, ring in zip(batch.column("block_id").to_pylist(), batch.column("q_ids"), batch.column("q"), batch.column("kths").to_pylist(), batch.column("seen").to_pylist(), batch.column("rings"), strict=True):
+                    q_ids, q = unpack(names, queries)
+                    floor = np.full(len(q_ids), np.iinfo(np.int64).min)
+                    for r in kths or []:
+                        if r["kth"] is not None:
+                            floor[r["row"]] = r["kth"]
+                    d = _distances(q, np.zeros(len(q)), centres, centre_lift)
+                    known = floor > np.iinfo(np.int64).min
+                    reach = np.where(known, np.sqrt(np.maximum(0, (q.astype(np.float64) ** 2).sum(1) + largest - 2 * np.where(known, floor, 0))), np.inf)
+                    pivot, low, high, annulus = (ring.values.field(n).to_numpy() for n in ("pivot", "low", "high", "annulus"))
+                    own = d[:, pivot]
+                    gap = np.maximum(0, np.maximum(low[None, :] - own, own - high[None, :]))
+                    slack = 1e-6 * (1 + own + high[None, :])
+                    left = np.flatnonzero((gap <= reach[:, None] + slack).any(0) & ~np.isin(annulus, seen or []))
+                    near = gap[:, left].min(0) if len(left) else np.zeros(0)
+                    left = left[np.argsort(near, kind="stable")[:step]]
+                    yield pa.record_batch([pa.array(np.full(len(left), b)), pa.array(annulus[left]), pa.array(gap[:, left].min(0) if len(left) else np.zeros(0)), pa.array([floor] * len(left), pa.list_(pa.int64()))], names=["block_id", "annulus", "gap", "floor"])
+
+        state = blocks.select("block_id", "q_ids", "q").join(kth, "block_id", "left").join(opened, "block_id", "left")
+        state = state.withColumn("ring_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        work = state.join(ring_parts, "ring_part").select("block_id", "q_ids", "q", "kths", "seen", "rings").mapInArrow(open_rings, "block_id long, annulus long, gap double, floor array<long>")
+        work = work.withColumn("place", F.row_number().over(Window.partitionBy("block_id").orderBy("gap", "annulus"))).filter(F.col("place") <= step)
+        work = store.materialize(work.select("block_id", "annulus", "floor"), f"work-{turn}")
+        turn, step = turn + 1, step * GROWTH
+        if not work.limit(1).count():
+            break
+        found = best.select("block_id", "row", "query_id", "vec_id", "score").unionByName(searched(work))
+        best = store.materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k), f"best-{turn}")
+        opened = store.materialize(opened.select("block_id", F.explode("seen").alias("annulus")).unionByName(work.select("block_id", "annulus")).groupBy("block_id").agg(F.collect_list("annulus").alias("seen")), f"seen-{turn}")
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -537,16 +537,19 @@ def test_warc_archive_is_plain_zstandard():
     assert warc.page_of(warc.record_id(-5)) == -5
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ANNULUS", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "FIRST_ROUND", 1)
     rng = np.random.default_rng(2)
     vectors = [(i, (rng.normal(0, 0.2, 8) + (i % 4)).tolist()) for i in range(400)]
     vectors += [(500 + i, vectors[3][1]) for i in range(60)]  # ties
-    vectors += [(700, None), (750, [float("nan")] * 8), (800, [float("inf")] * 8), (850, [None] * 8), (900, [1.0, 2.0])]
+    vectors += [(700, None), (750, [float("nan")] * 8), (None, [9.0] * 8), (800, [float("inf")] * 8), (850, [None] * 8), (900, [1.0, 2.0])]
     got: dict[int, list] = {}
     for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 5, 50, pivots=6).orderBy("query_id", "rank").collect():
         assert r["rank"] == len(got.setdefault(r["query_id"], [])) + 1
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    whole = {i: np.pad(np.floor(256 * np.array(v)).astype(int), (0, 8 - len(v))) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = {i: np.pad(np.floor(256 * np.array(v)).astype(int), (0, 8 - len(v))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     for q in whole:
         if q % 50 == 0:
             best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]

@@ -163,4 +163,13 @@ def test_held_out_accuracy(spark):
     rows = queries.op7_toxicity(spark, f"{DATA}/../sf0.1").filter("held_out").collect()
     pairs = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["doc_id"] in labels]
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.98
+    assert sum(b for a, b in pairs if a) >= 0.93 * sum(a for a, _ in pairs)  # recall
+    assert sum(b for a, b in pairs if not a) <= 0.01 * sum(not a for a, _ in pairs)  # false alarms
+    scored = sorted((r["score"], labels[r["doc_id"]]) for r in rows if r["doc_id"] in labels)
+    ranks: dict[float, list[int]] = {}
+    for k, (value, _) in enumerate(scored, 1):
+        ranks.setdefault(value, []).append(k)
+    toxic = sum(y for _, y in scored)
+    area = (sum(sum(ranks[v]) / len(ranks[v]) for v, y in scored if y) - toxic * (toxic + 1) / 2) / (toxic * (len(scored) - toxic))
+    assert area >= 0.96
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows)
