@@ -44,7 +44,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = store.materialize(flac.encode_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
-    return flac.describe_column(store.materialize(flac.pcm_column(media, "doc_id"), "pcm"), "doc_id")
+    return flac.describe_column(flac.pcm_column(media, "doc_id"), "doc_id")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
