@@ -102,10 +102,11 @@ def merge_stacks(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*keys, ((zero("_na") * F.coalesce("_a", F.lit(0.0)) + zero("_nb") * F.coalesce("_b", F.lit(0.0))) / n).alias("value"), n.alias("frames"))
 
 
-def merge_guard(a: DataFrame, b: DataFrame, keys: Sequence[str], pixels: int) -> DataFrame:
-    """One row: overlap and correlation of two stacks, and whether they may be merged (25 % overlap, correlation 0.15)."""
-    both = a.select(*keys, F.col("value").alias("_a")).join(b.select(*keys, F.col("value").alias("_b")), list(keys))
-    s = both.agg((F.count(F.lit(1)) / pixels).alias("overlap"), F.corr("_a", "_b").alias("correlation"))
+def merge_guard(a: DataFrame, b: DataFrame, keys: Sequence[str], pixels: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one of each `by`: overlap and correlation of two stacks, and whether they may be merged (25 % overlap, correlation 0.15)."""
+    keys = [*by, *keys]
+    both = a.select(*keys, F.col("value").alias("_a")).join(b.select(*keys, F.col("value").alias("_b")), keys)
+    s = both.groupBy(*by).agg((F.count(F.lit(1)) / pixels).alias("overlap"), F.corr("_a", "_b").alias("correlation"))
     return s.withColumn("allowed", (F.col("overlap") >= 0.25) & (F.col("correlation") >= 0.15))
 
 

@@ -80,20 +80,22 @@ def affine_residual(matches: DataFrame, keys: Sequence[str], value: str) -> Data
 def track(frames: DataFrame, group: str, frame: str, radius: float) -> DataFrame:
     """Follows the brightest spot of a group's frames in order, within the radius of where it was before.
 
-    A position depends on the last one, so a group (one session's frames) is one sequential task; sessions run side by side.
+    A position depends on the last one, so a group's frames stream through one task in order; sessions run side by side.
     """
-    listed = frames.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(frame, "height", "width", "data"))).alias("f"))
+    ordered = frames.select(group, frame, "height", "width", "data").repartition(group).sortWithinPartitions(group, frame)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
         for batch in batches:
-            for g, items in zip(batch.column(group).to_pylist(), batch.column("f"), strict=True):
-                last, out = None, []
-                for item in items.values.to_pylist():
-                    a = np.array(item["data"]).reshape(item["height"], item["width"])
-                    y, x = np.indices(a.shape)
-                    near = np.ones(a.shape, bool) if last is None else np.hypot(y - last[0], x - last[1]) <= radius
-                    last = np.unravel_index(np.where(near, a, -np.inf).argmax(), a.shape)
-                    out.append((item[frame], int(last[0]), int(last[1])))
-                yield pa.record_batch([pa.array([g] * len(out), batch.column(group).type), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=[group, frame, "y", "x"])
-
-    return listed.mapInArrow(run, f"{group} {frames.schema[group].dataType.simpleString()}, {frame} long, y int, x int")
+            out = []
+            for g, h, w, data in zip(batch.column(group).to_pylist(), batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("data"), strict=True):
+                if held != (g,):
+                    held, last = (g,), None
+                a = data.values.to_numpy(zero_copy_only=False).reshape(h, w)
+                y, x = np.indices(a.shape)
+                near = np.ones(a.shape, bool) if last is None else np.hypot(y - last[0], x - last[1]) <= radius
+                last = np.unravel_index(np.where(near, a, -np.inf).argmax(), a.shape)
+                out.append((int(last[0]), int(last[1])))
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column(frame).cast(pa.int64()), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32())], names=[group, frame, "y", "x"])
+
+    return ordered.mapInArrow(run, f"{group} {frames.schema[group].dataType.simpleString()}, {frame} long, y int, x int")

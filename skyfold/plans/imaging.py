@@ -41,7 +41,7 @@ def phase_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hot_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    master = C.mean(pixels(spark, sf_dir).filter("frame_id < 60"), ["y", "x"])
+    master = C.mean(pixels(spark, sf_dir), ["y", "x"])
     return _rounded(P.hot_pixels(master, 1.0), "value")
 
 
@@ -217,7 +217,7 @@ ORACLE_SQL = {
         r AS (SELECT *, greatest(g1, g2) / greatest(least(g1, g2), 1e-12) AS ratio FROM g) SELECT session, frame_id, round(ratio, 5) AS ratio, CASE WHEN ratio > 1.02 THEN 'flipped' ELSE 'as given' END AS orientation FROM r""",
     "phase_offsets": f"""WITH {PLAIN_SQL}, m AS (SELECT *, median(v) OVER (PARTITION BY session, frame_id, y % 2, x % 2) AS m FROM px), o AS (SELECT *, max(m) OVER {_W} - min(m) OVER {_W} AS s, m - avg(m) OVER {_W} AS o FROM m)
         SELECT session, frame_id, y, x, round(CASE WHEN s BETWEEN 0.01 AND 100 THEN v - o ELSE v END, 3) AS v FROM o""",
-    "hot_pixels": f"""WITH {PIXELS_SQL}, d AS (SELECT y, x, avg(v) AS value FROM px WHERE frame_id < 60 GROUP BY y, x), m AS (SELECT *, median(value) OVER () AS m, stddev_pop(value) OVER () AS sd FROM d), s AS (SELECT *, 1.4826 * median(abs(value - m)) OVER () AS s FROM m)
+    "hot_pixels": f"""WITH {PIXELS_SQL}, d AS (SELECT y, x, avg(v) AS value FROM px GROUP BY y, x), m AS (SELECT *, median(value) OVER () AS m, stddev_pop(value) OVER () AS sd FROM d), s AS (SELECT *, 1.4826 * median(abs(value - m)) OVER () AS s FROM m)
         SELECT y, x, round(value, 3) AS value FROM s WHERE value > m + 1.0 * CASE WHEN s < 1e-12 THEN sd ELSE s END""",
     "gray_world": f"""WITH {PLAIN_SQL}, c AS (SELECT *, CAST(x % 3 AS INTEGER) AS c FROM px), m AS (SELECT session, frame_id, c, avg(v) AS m FROM c GROUP BY ALL), k AS (SELECT *, avg(m) OVER {_W} / greatest(m, 1e-9) AS k FROM m)
         SELECT session, frame_id, y, x, c, round(greatest(v * k, 0), 3) AS v FROM c JOIN k USING (session, frame_id, c)""",

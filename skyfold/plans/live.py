@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.plans.files import shared_folder
+from skyfold.plans.stacking import ORACLE_SQL as _STACKING
 from skyfold.plans.stacking import PIXELS_SQL, _rounded
 from skyfold.plans.tables import SIDE, table
 from skyfold.streaming import live as L
@@ -13,12 +14,20 @@ from skyfold.streaming import live as L
 KEYS, KINDS = ["session", "y", "x"], "session int, y int, x int"
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, order: str, files: int = 4) -> DataFrame:
-    """The table as a directory of files that arrive, two a micro-batch."""
+#: Rows of an arrival file.
+ARRIVAL_ROWS = 50_000
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> DataFrame:
+    """The table as a directory of files that arrive in two micro-batches, the lower half of the order first; the number of
+    files, and so of a micro-batch's tasks, grows with the table."""
     rows = table(spark, sf_dir, name)
     folder = shared_folder(spark, f"arrivals-{name}")
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    n, middle = rows.agg(F.count(F.lit(1)), F.percentile_approx(order, 0.5)).first()
+    files = max(2, n // (2 * ARRIVAL_ROWS) + 1)
+    for half in (F.col(order) <= F.lit(middle), F.col(order) > F.lit(middle)):
+        rows.filter(half).repartitionByRange(files, order).sortWithinPartitions(order).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _pixels(batch: DataFrame) -> DataFrame:
@@ -52,6 +61,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (live_stack, live_online_clip, event_windows)}
 ORACLE_SQL = {
+    # the streamed clip gives what the batch clip gives
+    "live_online_clip": f"SELECT session, y, x, value, n_used AS n FROM ({_STACKING['stack_online_clip']})",
     "live_stack": f"WITH {PIXELS_SQL} SELECT session, y, x, round(sum((0.5 + (frame_id % 10) / 10.0::DOUBLE) * v) / sum(0.5 + (frame_id % 10) / 10.0::DOUBLE), 3) AS value, count(*) AS n FROM px GROUP BY session, y, x",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(avg(value), 3) AS value, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -73,7 +73,8 @@ def brightest_in_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stack(spark: SparkSession, sf_dir: str, rest: int, keep: str) -> DataFrame:
-    px = pixels(spark, sf_dir).filter(F.col("frame_id") % 3 == rest).filter(keep)
+    """Every other frame of each session; the two stacks cover different parts of the field."""
+    px = pixels(spark, sf_dir).filter(F.col("frame_id") % 2 == rest).filter(keep)
     return px.groupBy("session", "y", "x").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("frames"))
 
 
@@ -83,8 +84,8 @@ def merge_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (_stack(spark, sf_dir, i, k).filter("session = 1") for i, k in ((0, "y < 6"), (1, "x > 0")))
-    return _rounded(J.merge_guard(a, b, ["y", "x"], 64), "overlap", "correlation", places=4)
+    a, b = (_stack(spark, sf_dir, i, k) for i, k in ((0, "y < 6"), (1, "x > 0")))
+    return _rounded(J.merge_guard(a, b, ["y", "x"], 64, by=["session"]), "overlap", "correlation", places=4)
 
 
 def resume_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +151,7 @@ _MATCH_SQL = f"""WITH {_STARS_SQL}, d AS (SELECT s.session, s.frame_id, s.y::DOU
 _CONE_SQL = """WITH sky AS (SELECT vec_id, 180 + 100 * CAST(embedding[1] AS DOUBLE) AS ra, 100 * CAST(embedding[2] AS DOUBLE) AS dec FROM embeddings),
     sep AS (SELECT c.vec_id AS cone, s.vec_id, degrees(2 * asin(least(sqrt(sin(radians(s.dec - c.dec) / 2) ** 2 + cos(radians(s.dec)) * cos(radians(c.dec)) * sin(radians(s.ra - c.ra) / 2) ** 2), 1))) AS d FROM sky s JOIN sky c ON c.vec_id % 50 = 0),
     found AS (SELECT cone, vec_id, round(d, 4) AS separation FROM sep WHERE d <= 5)"""
-_MERGE_SQL = f"""WITH {PIXELS_SQL}, a AS (SELECT session, y, x, avg(v) AS v, count(*) AS n FROM px WHERE frame_id % 3 = 0 AND y < 6 GROUP BY ALL), b AS (SELECT session, y, x, avg(v) AS v, count(*) AS n FROM px WHERE frame_id % 3 = 1 AND x > 0 GROUP BY ALL)"""
+_MERGE_SQL = f"""WITH {PIXELS_SQL}, a AS (SELECT session, y, x, avg(v) AS v, count(*) AS n FROM px WHERE frame_id % 2 = 0 AND y < 6 GROUP BY ALL), b AS (SELECT session, y, x, avg(v) AS v, count(*) AS n FROM px WHERE frame_id % 2 = 1 AND x > 0 GROUP BY ALL)"""
 
 ORACLE_SQL = {
     "dark_match": """WITH lib AS (SELECT p_partkey, p_type AS camera, p_brand AS iso, p_size * 2.0 + 1 AS exptime, string_split(p_name, ' ')[-1] AS dims, p_size - 25 AS temp FROM part),
@@ -172,7 +173,7 @@ ORACLE_SQL = {
     "cone_search": f"{_CONE_SQL} SELECT * FROM found",
     "brightest_in_cone": f"{_CONE_SQL} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cone ORDER BY separation, vec_id) AS INTEGER) AS rank FROM found) WHERE rank <= 3",
     "merge_stacks": f"""{_MERGE_SQL} SELECT session, y, x, round((coalesce(a.n, 0) * coalesce(a.v, 0) + coalesce(b.n, 0) * coalesce(b.v, 0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 3) AS value, coalesce(a.n, 0) + coalesce(b.n, 0) AS frames FROM a FULL JOIN b USING (session, y, x)""",
-    "merge_guard": f"""{_MERGE_SQL}, s AS (SELECT count(*) / 64 AS overlap, corr(a.v, b.v) AS correlation FROM a JOIN b USING (session, y, x) WHERE session = 1) SELECT round(overlap, 4) AS overlap, round(correlation, 4) AS correlation, overlap >= 0.25 AND correlation >= 0.15 AS allowed FROM s""",
+    "merge_guard": f"""{_MERGE_SQL}, s AS (SELECT session, count(*) / 64 AS overlap, corr(a.v, b.v) AS correlation FROM a JOIN b USING (session, y, x) GROUP BY session) SELECT session, round(overlap, 4) AS overlap, round(correlation, 4) AS correlation, overlap >= 0.25 AND correlation >= 0.15 AS allowed FROM s""",
     "resume_check": "WITH d AS (SELECT doc_id FROM documents), l AS (SELECT doc_id FROM labels), o AS ((SELECT doc_id FROM d EXCEPT SELECT doc_id FROM l) UNION ALL (SELECT doc_id FROM l EXCEPT SELECT doc_id FROM d)) SELECT count(*) AS differing, count(*) = 0 AS can_resume FROM o",
     "unseen_frames": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "restored_state": "SELECT lang, quality AS accepted, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, quality",

@@ -58,11 +58,20 @@ class StackPlan:
         return hashlib.sha256(json.dumps(dataclasses.asdict(self), sort_keys=True).encode()).hexdigest()[:16]
 
 
+#: Bytes of a frame up to which it is broadcast as reference or master; Spark's limit is 8 GB.
+REFERENCE_BYTES = 1 << 30
+
+
 class Phases:
-    """Stored phases of a run; a phase counts once its manifest is written."""
+    """Stored phases of a run; a phase counts once it is whole, and only for the inputs it was made from."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: str):
+    def __init__(self, spark: SparkSession, folder: str, key: str, inputs: str = ""):
         self.spark, self.folder, self.key = spark, f"{folder.rstrip('/')}/phases-{key}", key
+        marker = f"{self.folder}/inputs"
+        if not self._done(marker) or spark.read.parquet(marker).first()["inputs"] != inputs:
+            place, fs = self._place(self.folder)
+            fs.delete(place, True)
+            spark.createDataFrame([(inputs,)], "inputs string").write.mode("overwrite").parquet(marker)
 
     def get(self, name: str, make: object) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -72,9 +81,19 @@ class Phases:
 
     def _done(self, path: str) -> bool:
         """Spark's committer marks a whole table."""
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+        marker, fs = self._place(f"{path}/_SUCCESS")
+        return fs.exists(marker)
+
+    def _place(self, path: str) -> tuple:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, directory: str) -> str:
+    """One value for the paths, sizes and times of a directory's frame files."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fit,ser,xisf,tif,tiff}").load(directory).select("path", "length", "modificationTime")
+    n, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")), F.lit(0))).first()
+    return f"{n}-{total}"
 
 
 def _masters(frames: DataFrame, kind: str) -> DataFrame:
@@ -87,13 +106,20 @@ def _calibrated(lights: DataFrame, dark: DataFrame | None, flat: DataFrame | Non
     """Frames less the dark over the flat; masters are joined by position."""
     if dark is None and flat is None:
         return lights
-    px = I.to_pixels(lights, ["frame_id", "height"]).withColumn("width", F.lit(0))
+    out = lights
     for master, name in ((dark, "_d"), (flat, "_f")):
-        px = px.withColumn(name, F.lit(None).cast("double")) if master is None else px.join(master.select("y", "x", F.col("value").alias(name)), ["y", "x"], "left")
-    v = F.greatest((F.col("v") - F.coalesce("_d", F.lit(0.0))) / F.coalesce("_f", F.lit(1.0)), F.lit(0.0))
-    data = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", v.alias("v")))), lambda p: p["v"])
-    rebuilt = px.groupBy("frame_id").agg(data.alias("data"))
-    return lights.drop("data").join(rebuilt, "frame_id").select(*lights.columns)
+        out = out.withColumn(name, F.lit(None).cast("array<double>")) if master is None else out.join(_one_frame(master, name), ["height", "width"], "left")
+    less = F.when(F.col("_d").isNull(), F.col("data")).otherwise(F.zip_with("data", "_d", lambda v, d: v - d))
+    over = F.when(F.col("_f").isNull(), less).otherwise(F.zip_with(less, "_f", lambda v, f: v / f))
+    return out.withColumn("data", F.transform(over, lambda v: F.greatest(v, F.lit(0.0)))).select(*lights.columns)
+
+
+def _one_frame(master: DataFrame, name: str) -> DataFrame:
+    """A master (y, x, value) as one row of the size of its frames, lines first; broadcast where its size allows."""
+    lines = master.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda p: p["value"]).alias("line"))
+    rows = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda r: r["line"]).alias("rows"))
+    one = rows.select(F.size("rows").alias("height"), F.size(F.col("rows")[0]).alias("width"), F.flatten("rows").alias(name))
+    return F.broadcast(one) if master.count() * 8 <= REFERENCE_BYTES else one
 
 
 def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
@@ -111,9 +137,12 @@ def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
 METRICS = {"snr": "double", "star_count": "int", "contrast": "double", "dynamic_range": "double", "fwhm": "double", "score": "double"}
 
 
-def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str) -> dict[str, DataFrame]:
-    """Runs the phases over frames (frame_id, frame_type, height, width, data) and returns metrics, shifts and the stack."""
-    stored = Phases(spark, folder, plan.key())
+def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str, inputs: str = "") -> dict[str, DataFrame]:
+    """Runs the phases over frames (frame_id, frame_type, height, width, data) and returns metrics, shifts and the stack.
+
+    Phases that the folder holds from the same plan and `inputs` (a value that changes with the frames) are not run again.
+    """
+    stored = Phases(spark, folder, plan.key(), inputs)
     kinds = {r[0] for r in frames.select("frame_type").distinct().collect()}
     dark = stored.get("dark", lambda: _masters(frames, "dark")) if "dark" in kinds else None
     flat = None
@@ -132,13 +161,15 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
     session = measured.withColumn("session", F.lit(0))
     gated = stored.get("gate", lambda: G.quality_gate(session, ["session"], threshold=plan.quality_threshold, sigma=plan.outlier_sigma))
     kept = gated.filter("accepted")
-    best = kept.orderBy(F.desc("score"), "frame_id").select("frame_id").first()
+    best = kept.join(cleaned.select("frame_id", "height", "width"), "frame_id").orderBy(F.desc("score"), "frame_id").select("frame_id", "height", "width").first()
     if best is None:
         raise ValueError("no frame passed the quality gate")
 
     def register() -> DataFrame:
         all_frames = cleaned.join(kept.select("frame_id", "score"), "frame_id").withColumn("session", F.lit(0))
         reference = cleaned.filter(F.col("frame_id") == best["frame_id"]).select(F.lit(0).alias("session"), F.col("data").alias("r_data"))
+        if best["height"] * best["width"] * 8 <= REFERENCE_BYTES:
+            reference = F.broadcast(reference)
         return G.shift_outliers(I.shifts_to_reference(all_frames, reference, ["session"], "frame_id"), ["session"], plan.shift_sigma).filter("shift_ok").drop("shift_ok")
 
     shifts = stored.get("shifts", register)
@@ -163,7 +194,7 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
     found = files.discover(spark, directory).select("path", "frame_index", "frame_type")
     data = files.scan(spark, directory).filter("data IS NOT NULL")
     frames = data.join(found, ["path", "frame_index"]).withColumn("frame_id", F.xxhash64("path", "frame_index")).select("frame_id", "path", "frame_type", "height", "width", F.slice("data", 1, F.col("height") * F.col("width")).alias("data"))
-    result = stack_frames(spark, frames, plan, output)
+    result = stack_frames(spark, frames, plan, output, manifest(spark, directory))
     stack = result["stack"]
     height, width = (n + 1 for n in stack.agg(F.max("y"), F.max("x")).first())
     # one image: its samples in row order, zero where no frame reached

@@ -40,7 +40,7 @@ def channel_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aperture_photometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stars joined to their frame's pixels within the aperture and the ring."""
     px = pixels(spark, sf_dir)
-    stars = M.local_maxima(px, KEYS, 3.0).filter("star <= 3").select(*KEYS, "star", F.col("y").alias("sy"), F.col("x").alias("sx"))
+    stars = M.local_maxima(px, KEYS, 3.0).select(*KEYS, "star", F.col("y").alias("sy"), F.col("x").alias("sx"))
     d2 = (F.col("y") - F.col("sy")) ** 2 + (F.col("x") - F.col("sx")) ** 2
     near = stars.join(px, KEYS).withColumn("d2", d2)
     inner, ring = F.col("d2") <= 2, (F.col("d2") >= 6) & (F.col("d2") <= 14)
@@ -106,7 +106,7 @@ _STAR = "m0 AS (SELECT *, median(v) OVER (PARTITION BY session, frame_id) AS md
 
 ORACLE_SQL = {
     "aperture_photometry": f"""WITH {PIXELS_SQL}, {_STAR}, nb AS ({_NB}), st AS (SELECT nb.session, nb.frame_id, y AS sy, x AS sx, CAST(row_number() OVER (PARTITION BY nb.session, nb.frame_id ORDER BY v - md DESC, y, x) AS INTEGER) AS star FROM nb JOIN m1 USING (session, frame_id) WHERE v > around AND v > md + 3 * s),
-        d AS (SELECT st.session, st.frame_id, star, v, (y - sy) ** 2 + (x - sx) ** 2 AS d2 FROM st JOIN px USING (session, frame_id) WHERE star <= 3),
+        d AS (SELECT st.session, st.frame_id, star, v, (y - sy) ** 2 + (x - sx) ** 2 AS d2 FROM st JOIN px USING (session, frame_id)),
         a AS (SELECT session, frame_id, star, sum(v) FILTER (d2 <= 2) AS s, count(*) FILTER (d2 <= 2) AS n, median(v) FILTER (d2 BETWEEN 6 AND 14) AS sky FROM d GROUP BY ALL) SELECT session, frame_id, star, round(s - n * coalesce(sky, 0), 3) AS flux FROM a""",
     "field_tilt": f"""WITH {PLAIN_SQL}, {_STAR}, nb AS ({_NB}), st AS (SELECT nb.session, y / 8.0::DOUBLE - 0.5 AS y, x / 8.0::DOUBLE - 0.5 AS x, v - md AS f FROM nb JOIN m1 USING (session, frame_id) WHERE v > around AND v > md + 1.0 * s),
         c AS (SELECT *, y - avg(y) OVER w AS cy, x - avg(x) OVER w AS cx, f - avg(f) OVER w AS cf FROM st WINDOW w AS (PARTITION BY session)),

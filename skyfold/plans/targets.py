@@ -25,7 +25,7 @@ _PRESETS = [("galaxy", 3.0, 0.6, "esd"), ("emission", 2.5, None, "sigma_clip"),
 def target_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of pages from their hosts (names) and paths (identifiers)."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"://([^/]+)", 1).alias("host"), F.concat(F.lit("NGC "), F.regexp_extract("url", r"/(\d+)", 1)).alias("path"))
-    found = T.candidates(p, ["page_id"], "host", "folder", 0.95, _NAMES).unionByName(T.candidates(p.filter("page_id % 3 = 0"), ["page_id"], "path", "filename", 0.8, _NAMES))
+    found = T.candidates(p, ["page_id"], "host", "folder", 0.95, _NAMES).unionByName(T.candidates(p, ["page_id"], "path", "filename", 0.8, _NAMES))
     return _rounded(T.best_candidate(found, ["page_id"], ["session", "header", "folder", "filename"]), "confidence", places=6)
 
 
@@ -112,7 +112,7 @@ _BLEND = _FRAMES["advisor_blend"]
 ORACLE_SQL = {
     "target_inference": rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regexp_extract(url, '/(\d+)', 1) AS num FROM pages), l(name, target) AS (VALUES {_LOOKUP}),
         c AS (SELECT page_id, 'folder' AS source, target, 0.75 * 0.95 AS confidence, 3 AS o FROM p JOIN l ON length(name) >= 5 AND (contains(host, name) OR contains(name, host))
-              UNION ALL SELECT page_id, 'filename', 'NGC ' || ltrim(num, '0'), 0.95 * 0.8, 4 FROM p WHERE page_id % 3 = 0 AND num <> '')
+              UNION ALL SELECT page_id, 'filename', 'NGC ' || ltrim(num, '0'), 0.95 * 0.8, 4 FROM p WHERE num <> '')
         SELECT page_id, source, target, round(confidence::DOUBLE, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, o, target) AS r FROM c) WHERE r = 1""",
     "advisor_settings": f"""WITH b AS ({_BLEND}), p(preset, sigma, strength, method) AS (VALUES ('galaxy', 3.0::DOUBLE, 0.6::DOUBLE, 'esd'), ('emission', 2.5, NULL, 'sigma_clip'), ('star_field', 4.0, 0.2, NULL)), j AS (SELECT * FROM b JOIN p USING (preset))
         SELECT session, round(sum(weight * sigma) / sum(weight), 4) AS sigma, round(sum(weight * strength) / sum(weight) FILTER (strength IS NOT NULL), 4) AS strength, arg_max(method, weight) FILTER (method IS NOT NULL) AS method FROM j GROUP BY session""",

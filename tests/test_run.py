@@ -51,6 +51,18 @@ def test_stack_directory(spark, tmp_path):
     assert os.path.getmtime(f"{out}/phases-{plan.key()}/stack/_SUCCESS") == stamp  # resumed
 
 
+def test_changed_inputs_are_run_again(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    plan = run.StackPlan(clean=(), quality_threshold=0.0, combine="median", weighted=False)
+    y, x = np.indices((40, 44))
+    spot = 3000 * np.exp(-((y - 20) ** 2 + (x - 22) ** 2) / 8)
+    for level in (100, 5000):
+        for i in range(3):
+            (tmp_path / f"img_{i}.fits").write_bytes(formats.write_fits((level + spot + rng.normal(0, 1, y.shape)).astype("f4"), {"EXPTIME": 30.0 + i}))
+        found = run.stack_directory(spark, str(tmp_path), f"{tmp_path}/out", plan)["stack"]
+        assert abs(found.filter("y < 8 AND x < 8").agg({"value": "avg"}).first()[0] - level) < 3
+
+
 def test_drizzle_presets_and_sweep(spark, tmp_path):
     write_session(tmp_path, 4)
     fine = run.stack_directory(spark, str(tmp_path), f"{tmp_path}/out2", run.StackPlan.preset("quick", drizzle=2.0))
