@@ -184,8 +184,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     # members of keys that still hold several components: those that share a rare shingle are compared too
     joined = connected_components(found)
     group = keyed.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    unsettled = group.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h"), F.count(F.lit(1)).alias("n")).filter("l != h AND n > 2").select("key")
-    members = store.materialize(group.join(unsettled, "key").select("id", "group").distinct(), "open-members")
+    group = group.withColumns({"l": F.min("group").over(by_key), "h": F.max("group").over(by_key), "m": F.count(F.lit(1)).over(by_key)})
+    members = store.materialize(group.filter("l != h AND m > 2").select("id", "group").distinct(), "open-members")
     links = store.materialize(found.unionByName(_verified(_by_rare_shingles(members, sets, least), sets, least)), "links")
     groups = distinct.select("set_key", "id").join(connected_components(links), F.col("id") == F.col("node"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "id").alias("component_id"))
     return marked.join(groups, F.col("set_key") == F.col("_key")).select("doc_id", "component_id")
