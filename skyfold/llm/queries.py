@@ -43,7 +43,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = store.materialize(flac.encode_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
+    media = store.materialize(flac.encode_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), "media", parquet_compression_codec_zstd_level="9", parquet_page_size=str(8 << 20))
     return flac.describe_column(flac.pcm_column(media, "doc_id"), "doc_id")
 
 

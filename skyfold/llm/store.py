@@ -27,11 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there and every later pass sees the same rows."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends there and every later pass sees the same rows.
+
+    `options` are the Parquet writer's, with underscores for dots.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
