@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions import kernels as K
+from skyfold.functions import registration as R
 
 
 def _array(row_data: pa.Scalar, height: int, width: int) -> np.ndarray:
@@ -100,17 +101,64 @@ def shifts_to_reference(frames: DataFrame, references: DataFrame, group: Sequenc
     return joined.select(*group, frame, "height", "width", "data", "r_data").mapInArrow(run, f"{_kinds(frames, (*group, frame))}, dy double, dx double")
 
 
+FITS = {"dy": "double", "dx": "double", "angle": "double", "method": "string", "matched": "int", "residual": "double"}
+
+
+def register_to_reference(frames: DataFrame, references: DataFrame, group: Sequence[str], frame: str, sigma: float = 5.0) -> DataFrame:
+    """(group..., frame, dy, dx, angle, method, matched, residual): rigid placement of each frame on its group's reference.
+
+    References are one row a group (group..., r_data). Stars decide; `method` says whether they were paired near the
+    correlation's shift (`stars`), by their distances (`distances`), or whether the shift alone was left (`shift`, with null
+    residual). A reference's stars are detected once for consecutive frames of its group.
+    """
+    joined = frames.join(references, list(group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+        held, reference, stars = None, None, None
+        for batch in batches:
+            found = []
+            names = zip(*(batch.column(k).to_pylist() for k in group), strict=True)
+            for name, d, r, h, w in zip(names, batch.column("data"), batch.column("r_data"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True):
+                if held != (name, h, w):
+                    held, reference = (name, h, w), _array(r, h, w)
+                    stars = K.detect_stars(reference, k=sigma)
+                a = _array(d, h, w)
+                found.append(R.register(reference, stars, a, K.detect_stars(a, k=sigma)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*group, frame)), *(pa.array([getattr(f, n) for f in found], types[t]) for n, t in FITS.items())], names=[*group, frame, *FITS])
+
+    return joined.select(*group, frame, "height", "width", "data", "r_data").mapInArrow(run, f"{_kinds(frames, (*group, frame))}, " + ", ".join(f"{n} {t}" for n, t in FITS.items()))
+
+
+DEBAYER = {"bilinear": K.debayer_bilinear, "gradient": K.debayer_gradient, "directional": K.debayer_directional}
+
+
+def debayer(frames: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+    """Mosaics as three planes a frame: (keys..., channel, height, width, data), channel 0 to 2 for red, green and blue."""
+    kernel = DEBAYER[method]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (d, h, w) in enumerate(zip(batch.column("data"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)):
+                rgb = np.asarray(kernel(_array(d, h, w)), float)
+                planes = pa.array([rgb[..., c].ravel() for c in range(3)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array([i] * 3)) for k in keys), *(pa.array(v, pa.int32()) for v in (range(3), [h] * 3, [w] * 3)), planes], names=[*keys, "channel", "height", "width", "data"])
+
+    return frames.select(*keys, "height", "width", "data").mapInArrow(run, f"{_kinds(frames, keys)}, channel int, height int, width int, data array<double>")
+
+
 def warp_frames(frames: DataFrame, keys: Sequence[str], scale: float = 1.0) -> DataFrame:
-    """Frames (with dy, dx) resampled onto the reference grid, `scale` times finer: pixels (keys..., y, x, v) that are covered."""
+    """Frames (with dy, dx and, where they turn, angle) resampled onto the reference grid, `scale` times finer: pixels (keys..., y, x, v) that are covered."""
+    frames = frames if "angle" in frames.columns else frames.withColumn("angle", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (d, h, w, dy, dx) in enumerate(zip(batch.column("data"), *(batch.column(c).to_pylist() for c in ("height", "width", "dy", "dx")), strict=True)):
-                a, cover = K.lanczos_warp(_array(d, h, w), np.array([[scale, 0, scale * dy], [0, scale, scale * dx], [0, 0, 1.0]]), (round(h * scale), round(w * scale)))
+            for i, (d, h, w, dy, dx, angle) in enumerate(zip(batch.column("data"), *(batch.column(c).to_pylist() for c in ("height", "width", "dy", "dx", "angle")), strict=True)):
+                a, cover = K.lanczos_warp(_array(d, h, w), np.diag([scale, scale, 1.0]) @ R.matrix((h, w), dy, dx, angle), (round(h * scale), round(w * scale)))
                 y, x = np.nonzero(cover)
                 yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(k)[i].as_py()] * len(y), batch.column(k).type) for k in keys), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(a[y, x])], names=[*keys, "y", "x", "v"])
 
-    return frames.select(*keys, "height", "width", "data", "dy", "dx").mapInArrow(run, f"{_kinds(frames, keys)}, y int, x int, v double")
+    return frames.select(*keys, "height", "width", "data", "dy", "dx", "angle").mapInArrow(run, f"{_kinds(frames, keys)}, y int, x int, v double")
 
 
 def drizzle(frames: DataFrame, keys: Sequence[str], frame: str, scale: float = 2.0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 Each phase is stored under the output folder with a manifest of what went into it; a run with the same inputs and parameters
 resumes after the last phase that is complete.
+
+A row is one plane of a frame (frame_id, channel, height, width, data). Colour frames have three; a mosaic becomes three by
+debayering. The lead plane (green of three, else the only one) is scored and registered, and its placement moves all planes.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions import kernels as K
@@ -55,7 +58,7 @@ class StackPlan:
         return dataclasses.replace(StackPlan(**PRESETS[name]), **explicit)
 
     def key(self) -> str:
-        return hashlib.sha256(json.dumps(dataclasses.asdict(self), sort_keys=True).encode()).hexdigest()[:16]
+        return hashlib.sha256(json.dumps(dataclasses.asdict(self) | {"rows": "planes"}, sort_keys=True).encode()).hexdigest()[:16]
 
 
 #: Bytes of a frame up to which it is broadcast as reference or master; Spark's limit is 8 GB.
@@ -96,30 +99,44 @@ def manifest(spark: SparkSession, directory: str) -> str:
     return f"{n}-{total}"
 
 
+def planes(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames (keys..., channels, height, width, data by planes) as one row a plane (keys..., channel, height, width, data)."""
+    size = F.col("height") * F.col("width")
+    cut = F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda c: F.slice("data", c * size + 1, size))
+    return frames.select(*keys, "height", "width", F.posexplode(cut).alias("channel", "data")).select(*keys, "channel", "height", "width", "data")
+
+
+def _lead(frames: DataFrame) -> DataFrame:
+    """The plane of each frame that is measured: the second of three or more, else the first."""
+    last = F.max("channel").over(Window.partitionBy("frame_id"))
+    leads = frames.select("frame_id", "channel").withColumn("_n", last).filter(F.col("channel") == F.when(F.col("_n") >= 2, 1).otherwise(0))
+    return frames.join(leads.drop("_n"), ["frame_id", "channel"])
+
+
 def _masters(frames: DataFrame, kind: str) -> DataFrame:
-    """Median master (y, x, value) of one kind of calibration frames."""
-    px = I.to_pixels(frames.filter(F.col("frame_type") == kind), ["frame_id"])
-    return C.median(px, ["y", "x"]).select("y", "x", "value")
+    """Median master (channel, y, x, value) of one kind of calibration frames."""
+    px = I.to_pixels(frames.filter(F.col("frame_type") == kind), ["frame_id", "channel"])
+    return C.median(px, ["channel", "y", "x"]).select("channel", "y", "x", "value")
 
 
 def _calibrated(lights: DataFrame, dark: DataFrame | None, flat: DataFrame | None) -> DataFrame:
-    """Frames less the dark over the flat; masters are joined by position."""
+    """Planes less the dark over the flat; masters are joined by channel and size, and a plane without one stays as it is."""
     if dark is None and flat is None:
         return lights
     out = lights
     for master, name in ((dark, "_d"), (flat, "_f")):
-        out = out.withColumn(name, F.lit(None).cast("array<double>")) if master is None else out.join(_one_frame(master, name), ["height", "width"], "left")
+        out = out.withColumn(name, F.lit(None).cast("array<double>")) if master is None else out.join(_whole_planes(master, name), ["channel", "height", "width"], "left")
     less = F.when(F.col("_d").isNull(), F.col("data")).otherwise(F.zip_with("data", "_d", lambda v, d: v - d))
     over = F.when(F.col("_f").isNull(), less).otherwise(F.zip_with(less, "_f", lambda v, f: v / f))
     return out.withColumn("data", F.transform(over, lambda v: F.greatest(v, F.lit(0.0)))).select(*lights.columns)
 
 
-def _one_frame(master: DataFrame, name: str) -> DataFrame:
-    """A master (y, x, value) as one row of the size of its frames, lines first; broadcast where its size allows."""
-    lines = master.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda p: p["value"]).alias("line"))
-    rows = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda r: r["line"]).alias("rows"))
-    one = rows.select(F.size("rows").alias("height"), F.size(F.col("rows")[0]).alias("width"), F.flatten("rows").alias(name))
-    return F.broadcast(one) if master.count() * 8 <= REFERENCE_BYTES else one
+def _whole_planes(pixels: DataFrame, name: str) -> DataFrame:
+    """Planes (channel, y, x, value) as one row each with its size, lines first; broadcast where their size allows."""
+    lines = pixels.groupBy("channel", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda p: p["value"]).alias("line"))
+    rows = lines.groupBy("channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda r: r["line"]).alias("rows"))
+    whole = rows.select("channel", F.size("rows").alias("height"), F.size(F.col("rows")[0]).alias("width"), F.flatten("rows").alias(name))
+    return F.broadcast(whole) if pixels.count() * 8 <= REFERENCE_BYTES else whole
 
 
 def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
@@ -138,7 +155,10 @@ METRICS = {"snr": "double", "star_count": "int", "contrast": "double", "dynamic_
 
 
 def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str, inputs: str = "") -> dict[str, DataFrame]:
-    """Runs the phases over frames (frame_id, frame_type, height, width, data) and returns metrics, shifts and the stack.
+    """Runs the phases over planes (frame_id, channel, frame_type, height, width, data) and returns metrics, shifts and the stack.
+
+    Frames are placed by their stars, or by their shift where too few stars agree. A star fit whose pairs scatter by more than
+    1.5 widths over the frame's signal-to-noise ratio (held to 1.5 to 6 pixels) is left out, as is a shift outlier.
 
     Phases that the folder holds from the same plan and `inputs` (a value that changes with the frames) are not run again.
     """
@@ -150,27 +170,32 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
         from skyfold.operators.pixelwise import flat_norm
 
         flat = stored.get("flat", lambda: flat_norm(_masters(frames, "flat")))
-    lights = frames.filter("frame_type = 'light'").select("frame_id", "height", "width", "data")
+    lights = frames.filter("frame_type = 'light'").select("frame_id", "channel", "height", "width", "data")
 
     def clean() -> DataFrame:
-        steps = [*plan.clean, *([f"green_{plan.debayer}"] if plan.debayer != "none" else [])]
-        return I.chain(_calibrated(lights, dark, flat), ["frame_id"], steps)
+        out = I.chain(_calibrated(lights, dark, flat), ["frame_id", "channel"], plan.clean)
+        return out if plan.debayer == "none" else I.debayer(out, ["frame_id"], plan.debayer)
 
     cleaned = stored.get("cleaned", clean)
-    measured = stored.get("metrics", lambda: I.flat_map_frames(cleaned, ["frame_id"], METRICS, lambda a: _measure(a, plan.star_sigma)))
+    lead = _lead(cleaned)
+    measured = stored.get("metrics", lambda: I.flat_map_frames(lead, ["frame_id"], METRICS, lambda a: _measure(a, plan.star_sigma)))
     session = measured.withColumn("session", F.lit(0))
     gated = stored.get("gate", lambda: G.quality_gate(session, ["session"], threshold=plan.quality_threshold, sigma=plan.outlier_sigma))
     kept = gated.filter("accepted")
-    best = kept.join(cleaned.select("frame_id", "height", "width"), "frame_id").orderBy(F.desc("score"), "frame_id").select("frame_id", "height", "width").first()
+    best = kept.join(lead.select("frame_id", "height", "width"), "frame_id").orderBy(F.desc("score"), "frame_id").select("frame_id", "height", "width").first()
     if best is None:
         raise ValueError("no frame passed the quality gate")
 
     def register() -> DataFrame:
-        all_frames = cleaned.join(kept.select("frame_id", "score"), "frame_id").withColumn("session", F.lit(0))
-        reference = cleaned.filter(F.col("frame_id") == best["frame_id"]).select(F.lit(0).alias("session"), F.col("data").alias("r_data"))
+        size = (F.col("height") == best["height"]) & (F.col("width") == best["width"])
+        all_frames = lead.filter(size).join(kept.select("frame_id"), "frame_id").withColumn("session", F.lit(0))
+        reference = lead.filter(F.col("frame_id") == best["frame_id"]).select(F.lit(0).alias("session"), F.col("data").alias("r_data"))
         if best["height"] * best["width"] * 8 <= REFERENCE_BYTES:
             reference = F.broadcast(reference)
-        return G.shift_outliers(I.shifts_to_reference(all_frames, reference, ["session"], "frame_id"), ["session"], plan.shift_sigma).filter("shift_ok").drop("shift_ok")
+        placed = I.register_to_reference(all_frames, reference, ["session"], "frame_id", plan.star_sigma)
+        most = F.least(F.greatest(1.5 * F.col("fwhm") / F.greatest("snr", F.lit(1e-6)), F.lit(1.5)), F.lit(6.0))
+        near = placed.join(kept.select("frame_id", most.alias("most")), "frame_id").filter("residual IS NULL OR residual <= most").drop("most")
+        return G.shift_outliers(near, ["session"], plan.shift_sigma).filter("shift_ok").drop("shift_ok")
 
     shifts = stored.get("shifts", register)
 
@@ -178,11 +203,11 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
         weight = F.sqrt(F.col("score") / F.lit(max(kept.agg(F.max("score")).first()[0], 1e-9))) if plan.weighted else F.lit(1.0)
         aligned = cleaned.join(shifts, "frame_id").join(kept.select("frame_id", weight.alias("weight")), "frame_id")
         if plan.drizzle != 1.0:
-            return I.drizzle(aligned.withColumn("stack", F.lit(0)), ["stack"], "frame_id", plan.drizzle).select("y", "x", "value", F.col("frames").cast("long").alias("n_used"))
-        px = I.warp_frames(aligned, ["frame_id", "weight"])
+            return I.drizzle(aligned, ["channel"], "frame_id", plan.drizzle).select("channel", "y", "x", "value", F.col("frames").cast("long").alias("n_used"))
+        px = I.warp_frames(aligned, ["frame_id", "channel", "weight"])
         extra = {"sigma": plan.sigma, "iterations": plan.iterations} if plan.combine in ("sigma_clip", "winsorized") else {}
         extra |= {} if plan.combine in ("median", "online") else {"weight": "weight"}
-        return C.combine(px, ["y", "x"], "v", plan.combine, **extra).select("y", "x", "value", "n_used")
+        return C.combine(px, ["channel", "y", "x"], "v", plan.combine, **extra).select("channel", "y", "x", "value", "n_used")
 
     stack = stored.get("stack", combined)
     return {"metrics": gated, "shifts": shifts, "stack": stack}
@@ -193,21 +218,24 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
     plan = plan or StackPlan()
     found = files.discover(spark, directory).select("path", "frame_index", "frame_type")
     data = files.scan(spark, directory).filter("data IS NOT NULL")
-    frames = data.join(found, ["path", "frame_index"]).withColumn("frame_id", F.xxhash64("path", "frame_index")).select("frame_id", "path", "frame_type", "height", "width", F.slice("data", 1, F.col("height") * F.col("width")).alias("data"))
+    named = data.join(found, ["path", "frame_index"]).withColumn("frame_id", F.xxhash64("path", "frame_index"))
+    frames = planes(named, ["frame_id", "frame_type"])
     result = stack_frames(spark, frames, plan, output, manifest(spark, directory))
     stack = result["stack"]
     height, width = (n + 1 for n in stack.agg(F.max("y"), F.max("x")).first())
-    # one image: its samples in row order, zero where no frame reached
-    cells = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
-    whole = cells.join(stack, ["y", "x"], "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda p: p["v"]).alias("data"))
-    image = whole.select(F.lit(0).alias("frame_id"), F.lit(height).alias("height"), F.lit(width).alias("width"), "data")
-    image = I.chain(image, ["frame_id"], plan.post) if plan.post else image
+    # each plane's samples in row order, zero where no frame reached
+    channels = 1 + stack.agg(F.max("channel")).first()[0]
+    size = height * width
+    cells = spark.range(channels * size).select(F.floor(F.col("id") / size).cast("int").alias("channel"), F.floor(F.col("id") % size / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    plane = _whole_planes(cells.join(stack, ["channel", "y", "x"], "left").select("channel", "y", "x", F.coalesce("value", F.lit(0.0)).alias("value")), "data")
+    plane = I.chain(plane, ["channel"], plan.post) if plan.post else plane
+    image = plane.groupBy("height", "width").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "data"))), lambda p: p["data"])).alias("data")).select(F.lit(0).alias("frame_id"), F.lit(channels).alias("channels"), "height", "width", "data")
     counts = result["metrics"].agg(F.count(F.lit(1)), F.count(F.when(F.col("accepted"), 1)), F.avg(F.when(F.col("fwhm") > 0, F.col("fwhm")))).first()
     header = {"RAWSTACK": "T" if not plan.post else "F", "NFRAMES": str(counts[1]), "NTOTAL": str(counts[0]), "COMBINE": plan.combine, "FWHM": f"{counts[2] or 0:.3f}"}
-    named = image.select(F.lit("stack").alias("name"), F.create_map(*[F.lit(x) for kv in header.items() for x in kv]).alias("header"), F.lit(1).alias("channels"), "height", "width", "data")
+    titled = image.select(F.lit("stack").alias("name"), F.create_map(*[F.lit(x) for kv in header.items() for x in kv]).alias("header"), "channels", "height", "width", "data")
     for kind in plan.formats:
-        files.write_files(files.encode(named, kind), output).collect()
-    report(result["metrics"].join(frames.select("frame_id", "path"), "frame_id")).write.mode("overwrite").option("header", True).csv(f"{output.rstrip('/')}/report")
+        files.write_files(files.encode(titled, kind), output).collect()
+    report(result["metrics"].join(named.select("frame_id", "path"), "frame_id")).write.mode("overwrite").option("header", True).csv(f"{output.rstrip('/')}/report")
     config = files.effective_config({k: v for k, v in dataclasses.asdict(plan).items()})
     files.write_files(spark.createDataFrame([("plan.toml", config.encode())], "name string, content binary"), output).collect()
     return result | {"image": image}
@@ -222,7 +250,9 @@ def report(metrics: DataFrame) -> DataFrame:
 def quality_sweep(spark: SparkSession, root: str, sigma: float = 2.0) -> DataFrame:
     """Scores every folder's lights below a root against their own folder; nothing is renamed."""
     found = files.discover(spark, root, recursive=True).filter("frame_type = 'light'").select("path", "frame_index")
-    data = files.scan(spark, root, recursive=True).join(found, ["path", "frame_index"]).select("path", "frame_index", "height", "width", F.slice("data", 1, F.col("height") * F.col("width")).alias("data"))
-    measured = I.flat_map_frames(data, ["path", "frame_index"], METRICS, lambda a: _measure(a, 5.0))
+    data = files.scan(spark, root, recursive=True).filter("data IS NOT NULL").join(found, ["path", "frame_index"])
+    data = planes(data, ["path", "frame_index"])
+    lead = _lead(data.withColumn("frame_id", F.xxhash64("path", "frame_index")))
+    measured = I.flat_map_frames(lead, ["path", "frame_index"], METRICS, lambda a: _measure(a, 5.0))
     gated = G.quality_gate(measured.withColumn("folder", S.folder_label(F.col("path"))), ["folder"], sigma=sigma)
     return gated.select("folder", "path", "frame_index", *METRICS, "accepted", "reject_reason")
