@@ -124,7 +124,8 @@ def register_to_reference(frames: DataFrame, references: DataFrame, group: Seque
                     held, reference = (name, h, w), _array(r, h, w)
                     stars = K.detect_stars(reference, k=sigma)
                 a = _array(d, h, w)
-                found.append(R.register(reference, stars, a, K.detect_stars(a, k=sigma)))
+                # a reference with too few stars leaves the shift, whatever the frame holds
+                found.append(R.register(reference, stars, a, K.detect_stars(a, k=sigma) if len(stars) >= R.LEAST_PAIRS else stars[:0]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*group, frame)), *(pa.array([getattr(f, n) for f in found], types[t]) for n, t in FITS.items())], names=[*group, frame, *FITS])
 
     return joined.select(*group, frame, "height", "width", "data", "r_data").mapInArrow(run, f"{_kinds(frames, (*group, frame))}, " + ", ".join(f"{n} {t}" for n, t in FITS.items()))

@@ -33,6 +33,24 @@ def match_darks(lights: DataFrame, darks: DataFrame, keys: Sequence[str]) -> Dat
     return scored.filter("_r = 1").select(*darks.columns, "score")
 
 
+def match_flats(lights: DataFrame, flats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Flats that suit each group's lights best by filter and dims; all ties at the top score stay.
+
+    Both sides have filter and dims; the lights' profile is their majority (ties by smallest). A null filter counts as an
+    empty one, which neither agrees nor differs, and a flat without dims is not held against them. Letter case is ignored.
+    """
+    def majority(c: Column, name: str) -> DataFrame:
+        n = lights.groupBy(*keys, c.alias(name)).count()
+        return n.groupBy(*keys).agg(F.min_by(name, F.struct(-F.col("count"), F.col(name))).alias(f"l_{name}"))
+
+    own = F.coalesce("filter", F.lit(""))
+    profile = majority(own, "filter").join(majority(F.col("dims"), "dims"), list(keys))
+    score = F.when(F.col("dims") != F.col("l_dims"), -1000).otherwise(0) + F.when((own == "") | (F.col("l_filter") == ""), 0).when(F.lower(own) == F.lower("l_filter"), 50).otherwise(-50)
+    scored = flats.join(profile, list(keys)).withColumn("score", score)
+    best = scored.withColumn("_m", F.max("score").over(Window.partitionBy(*keys)))
+    return best.filter("score = _m").select(*flats.columns, "score")
+
+
 def _neighbours(c: Column, size: float) -> Column:
     cell = F.floor(c / size).cast("int")
     return F.array(cell - 1, cell, cell + 1)

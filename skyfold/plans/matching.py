@@ -25,6 +25,13 @@ def dark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.match_darks(lib.filter("p_partkey % 5 = 0"), lib.filter("p_partkey % 5 <> 0"), ["camera"]).select("p_partkey", "camera", "iso", "score")
 
 
+def flat_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for calibration frames: brand is the optical filter, in capitals on the lights."""
+    lib = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("camera"), F.col("p_brand").alias("filter"), F.element_at(F.split("p_name", " "), -1).alias("dims"))
+    lights = lib.filter("p_partkey % 5 = 0").withColumn("filter", F.upper("filter"))
+    return J.match_flats(lights, lib.filter("p_partkey % 5 <> 0"), ["camera"]).select("p_partkey", "camera", "filter", "score")
+
+
 def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.local_maxima(pixels(spark, sf_dir), FRAME, 1.0)
 
@@ -137,7 +144,7 @@ def object_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        dark_match, star_match, registration_residual, pair_band, cone_search, brightest_in_cone, merge_stacks, merge_guard, resume_check, unseen_frames, restored_state, mosaic_panels, session_union, header_summary, object_mode,
+        dark_match, flat_match, star_match, registration_residual, pair_band, cone_search, brightest_in_cone, merge_stacks, merge_guard, resume_check, unseen_frames, restored_state, mosaic_panels, session_union, header_summary, object_mode,
     )
 }
 
@@ -165,6 +172,13 @@ ORACLE_SQL = {
               + CASE WHEN abs(lib.exptime - e.exptime) < 0.5 THEN 10 WHEN abs(lib.exptime - e.exptime) < 0.5 * e.exptime THEN 5 ELSE 0 END AS score
               FROM lib JOIN p ON lib.camera = p.camera JOIN i ON i.camera = lib.camera AND i.r = 1 JOIN e ON e.camera = lib.camera AND e.r = 1 JOIN d ON d.camera = lib.camera AND d.r = 1 WHERE p_partkey % 5 <> 0)
         SELECT p_partkey, camera, iso, score FROM (SELECT *, rank() OVER (PARTITION BY camera ORDER BY score DESC) AS r FROM s) WHERE r = 1""",
+    "flat_match": """WITH lib AS (SELECT p_partkey, p_type AS camera, p_brand AS filter, string_split(p_name, ' ')[-1] AS dims FROM part),
+        l AS (SELECT * FROM lib WHERE p_partkey % 5 = 0),
+        f AS (SELECT camera, upper(filter) AS filter, row_number() OVER (PARTITION BY camera ORDER BY count(*) DESC, upper(filter)) AS r FROM l GROUP BY camera, upper(filter)),
+        d AS (SELECT camera, dims, row_number() OVER (PARTITION BY camera ORDER BY count(*) DESC, dims) AS r FROM l GROUP BY camera, dims),
+        s AS (SELECT lib.*, CASE WHEN lib.dims <> d.dims THEN -1000 ELSE 0 END + CASE WHEN upper(lib.filter) = f.filter THEN 50 ELSE -50 END AS score
+              FROM lib JOIN f ON f.camera = lib.camera AND f.r = 1 JOIN d ON d.camera = lib.camera AND d.r = 1 WHERE p_partkey % 5 <> 0)
+        SELECT p_partkey, camera, filter, score FROM (SELECT *, rank() OVER (PARTITION BY camera ORDER BY score DESC) AS r FROM s) WHERE r = 1""",
     "star_match": f"{_MATCH_SQL} SELECT * FROM matched",
     "registration_residual": f"{_MATCH_SQL} SELECT session, frame_id, round(sqrt(avg(distance * distance)), 4) AS rms, count(*) AS matched FROM matched GROUP BY session, frame_id",
     "pair_band": f"""WITH {_STARS_SQL}, p AS (SELECT a.session, a.frame_id, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM stars a JOIN stars b USING (session, frame_id) WHERE a.star < b.star AND b.star <= 6),

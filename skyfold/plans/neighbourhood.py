@@ -52,11 +52,12 @@ def frame_fwhm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     first = f.groupBy("session").agg(F.min_by("data", "frame_id").alias("r_data"))  # one frame a session
-    return I.shifts_to_reference(f, first, ["session"], "frame_id")
+    return I.register_to_reference(f, first, ["session"], "frame_id")
 
 
 def register_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_registered(spark, sf_dir), "dy", "dx", places=4)
+    """Placement of every frame on its session's first frame, by stars where enough agree."""
+    return _rounded(_registered(spark, sf_dir), "dy", "dx", "angle", "residual", places=4)
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def batch_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main run: clean, register, gate by shift, warp and combine with sigma clipping."""
     cleaned = I.chain(frames(spark, sf_dir), KEYS, ("cosmics",))
     first = cleaned.groupBy("session").agg(F.min_by("data", "frame_id").alias("r_data"))
-    shifts = S.shift_outliers(I.shifts_to_reference(cleaned, first, ["session"], "frame_id"), ["session"]).filter("shift_ok")
+    shifts = S.shift_outliers(I.register_to_reference(cleaned, first, ["session"], "frame_id"), ["session"]).filter("shift_ok")
     warped = I.warp_frames(cleaned.join(shifts, KEYS), KEYS)
     return _rounded(C.sigma_clip(warped, ["session", "y", "x"]), "value")
 

@@ -93,3 +93,11 @@ def test_scores_and_scalars(spark):
     assert pick(S.compass(F.lit(-90.0))) == "W" and pick(S.strip_date(F.lit("M51_2026-07-01"))) == "M51"
     assert pick(S.hyperbolic_stretch(F.lit(0.5), 0.0, 1.0, 0.0, 0.2)) == 0.5
     assert pick(S.virtual_frame(F.lit("/a/b.ser::7"))[1]) == 7 and pick(S.virtual_frame(F.lit("/a/b.fits"))[1]) is None
+
+
+def test_match_flats(spark):
+    lights = spark.createDataFrame([("a", "R", "10x10"), ("a", "R", "10x10"), ("a", "G", "8x8"), ("b", None, "10x10")], "camera string, filter string, dims string")
+    flats = spark.createDataFrame([(1, "a", "r", "10x10"), (2, "a", "R", None), (3, "a", "R", "8x8"), (4, "a", None, "10x10"), (5, "a", "G", "10x10"), (6, "b", "G", "10x10"), (7, "b", None, "8x8")], "id int, camera string, filter string, dims string")
+    found = J.match_flats(lights, flats, ["camera"])
+    assert sorted((r["id"], r["score"]) for r in found.collect()) == [(1, 50), (2, 50), (6, 0)]
+    assert J.match_flats(lights, flats.limit(0), ["camera"]).count() == 0
