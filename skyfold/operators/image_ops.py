@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import kernels as K
 from skyfold.functions import registration as R
+from skyfold.functions import restore
 
 
 def _array(row_data: pa.Scalar, height: int, width: int) -> np.ndarray:
@@ -191,6 +192,11 @@ FILTERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "background_starlet": lambda a: a - K.starlet(a, 2)[-1] + np.median(a),
     "reduce_stars": lambda a: K.reduce_stars(a, K.star_mask(a.shape, K.detect_stars(a, k=3.0), 2.0)),
     "local_contrast": lambda a: K.local_contrast(a),
+    "deconvolve_by_place": lambda a: restore.deconvolve_by_place(a, K.detect_stars(a, k=3.0), 5, 2, least=1, radius=2, size=5),
+    "saturated": lambda a: restore.repair_saturated(a, least=1, radius=3),
+    "halos": lambda a: restore.remove_halos(a, K.detect_stars(a, k=3.0), 2.0, 0.75),
+    "sky_residual": lambda a: restore.sky_residual(a, 2, wide=1.0),
+    "bior_shrink": lambda a: restore.denoise_bior(a, 2),
     "green_bilinear": lambda a: K.debayer_bilinear(a)[..., 1],
     "green_gradient": lambda a: K.debayer_gradient(a)[..., 1],
     "green_directional": lambda a: K.debayer_directional(a)[..., 1],
