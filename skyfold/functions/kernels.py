@@ -406,11 +406,16 @@ def rigid_ransac(src: np.ndarray, dst: np.ndarray, limit: float = 2.0, trials: i
     return (rigid_fit(src[best], dst[best]) if best.sum() >= 2 else np.eye(3)), best
 
 
-def lanczos_warp(a: np.ndarray, matrix: np.ndarray, shape: tuple[int, int] | None = None, taps: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Resamples by the inverse of a 3x3 matrix over (y, x): frame and coverage; outside is zero."""
+def lanczos_warp(a: np.ndarray, matrix: np.ndarray, shape: tuple[int, int] | None = None, taps: int = 3, moved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Resamples by the inverse of a 3x3 matrix over (y, x): frame and coverage; outside is zero.
+
+    `moved` (height, width, 2) is how far each place of the result still lies from where the matrix brings it.
+    """
     h, w = shape or a.shape
     inv = np.linalg.inv(matrix)
     y, x = np.indices((h, w)).astype(float)
+    if moved is not None:
+        y, x = y - moved[..., 0], x - moved[..., 1]
     sy = inv[0, 0] * y + inv[0, 1] * x + inv[0, 2]
     sx = inv[1, 0] * y + inv[1, 1] * x + inv[1, 2]
     cover = (sy >= -0.5) & (sy <= a.shape[0] - 0.5) & (sx >= -0.5) & (sx <= a.shape[1] - 0.5)

@@ -82,6 +82,9 @@ class Fit:
     method: str = "shift"
     matched: int = 0
     residual: float | None = None
+    #: Places of the agreeing stars on the reference, and where the rigid transform brings the frame's.
+    places: np.ndarray | None = None
+    brought: np.ndarray | None = None
 
 
 def matrix(shape: tuple[int, int], dy: float, dx: float, angle: float) -> np.ndarray:
@@ -110,8 +113,8 @@ def _settle(shape: tuple[int, int], src: np.ndarray, dst: np.ndarray, start: np.
     n = int(inliers.sum())
     if n < max(LEAST_PAIRS, len(i) / 2):
         return None
-    error = src[i][inliers] @ t[:2, :2].T + t[:2, 2] - dst[j][inliers]
-    return Fit(*_from_matrix(shape, t), method, n, float(np.sqrt((error**2).sum(1).mean())))
+    places, brought = dst[j][inliers], src[i][inliers] @ t[:2, :2].T + t[:2, 2]
+    return Fit(*_from_matrix(shape, t), method, n, float(np.sqrt(((brought - places) ** 2).sum(1).mean())), places, brought)
 
 
 def register(reference: np.ndarray, reference_stars: np.ndarray, moving: np.ndarray, moving_stars: np.ndarray, radius: float = 6.0, most: int = 200, blind: int = 30) -> Fit:

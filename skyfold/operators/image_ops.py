@@ -105,12 +105,13 @@ def shifts_to_reference(frames: DataFrame, references: DataFrame, group: Sequenc
 FITS = {"dy": "double", "dx": "double", "angle": "double", "method": "string", "matched": "int", "residual": "double"}
 
 
-def register_to_reference(frames: DataFrame, references: DataFrame, group: Sequence[str], frame: str, sigma: float = 5.0) -> DataFrame:
+def register_to_reference(frames: DataFrame, references: DataFrame, group: Sequence[str], frame: str, sigma: float = 5.0, cells: int = 0) -> DataFrame:
     """(group..., frame, dy, dx, angle, method, matched, residual): rigid placement of each frame on its group's reference.
 
     References are one row a group (group..., r_data). Stars decide; `method` says whether they were paired near the
     correlation's shift (`stars`), by their distances (`distances`), or whether the shift alone was left (`shift`, with null
-    residual). A reference's stars are detected once for consecutive frames of its group.
+    residual). A reference's stars are detected once for consecutive frames of its group. With `cells`, a column `field` holds
+    what the stars lack after that, as a smooth grid (cells, cells, 2), or null where too few stars agree.
     """
     joined = frames.join(references, list(group))
 
@@ -127,9 +128,15 @@ def register_to_reference(frames: DataFrame, references: DataFrame, group: Seque
                 a = _array(d, h, w)
                 # a reference with too few stars leaves the shift, whatever the frame holds
                 found.append(R.register(reference, stars, a, K.detect_stars(a, k=sigma) if len(stars) >= R.LEAST_PAIRS else stars[:0]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*group, frame)), *(pa.array([getattr(f, n) for f in found], types[t]) for n, t in FITS.items())], names=[*group, frame, *FITS])
+            arrays = [*(batch.column(k) for k in (*group, frame)), *(pa.array([getattr(f, n) for f in found], types[t]) for n, t in FITS.items())]
+            if cells:
+                sizes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)
+                fields = [None if f.places is None else restore.displacement_field(f.places, f.brought, size, cells) for f, size in zip(found, sizes, strict=True)]
+                arrays.append(pa.array([None if f is None else f.ravel() for f in fields], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*group, frame, *FITS, *(["field"] if cells else [])])
 
-    return joined.select(*group, frame, "height", "width", "data", "r_data").mapInArrow(run, f"{_kinds(frames, (*group, frame))}, " + ", ".join(f"{n} {t}" for n, t in FITS.items()))
+    kinds = FITS | ({"field": "array<double>"} if cells else {})
+    return joined.select(*group, frame, "height", "width", "data", "r_data").mapInArrow(run, f"{_kinds(frames, (*group, frame))}, " + ", ".join(f"{n} {t}" for n, t in kinds.items()))
 
 
 DEBAYER = {"bilinear": K.debayer_bilinear, "gradient": K.debayer_gradient, "directional": K.debayer_directional}
@@ -149,18 +156,47 @@ def debayer(frames: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
     return frames.select(*keys, "height", "width", "data").mapInArrow(run, f"{_kinds(frames, keys)}, channel int, height int, width int, data array<double>")
 
 
+_PLACED = ("height", "width", "dy", "dx", "angle", "field")
+
+
+def _placed(frames: DataFrame) -> DataFrame:
+    return frames.withColumns({n: F.lit(v).cast(t) for n, v, t in (("angle", 0.0, "double"), ("field", None, "array<double>")) if n not in frames.columns})
+
+
+def _warped(batch: pa.RecordBatch, scale: float = 1.0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, resampled frame and coverage of each row of a batch."""
+    for i, (d, h, w, dy, dx, angle, field) in enumerate(zip(batch.column("data"), *(batch.column(c).to_pylist() for c in _PLACED), strict=True)):
+        size, moved = (round(h * scale), round(w * scale)), None
+        if field:
+            cells = round((len(field) // 2) ** 0.5)
+            grid = np.reshape(field, (cells, cells, 2)) * scale
+            moved = np.stack([restore.upsample(grid[..., axis], size) for axis in (0, 1)], -1)
+        yield i, *K.lanczos_warp(_array(d, h, w), np.diag([scale, scale, 1.0]) @ R.matrix((h, w), dy, dx, angle), size, moved=moved)
+
+
 def warp_frames(frames: DataFrame, keys: Sequence[str], scale: float = 1.0) -> DataFrame:
-    """Frames (with dy, dx and, where they turn, angle) resampled onto the reference grid, `scale` times finer: pixels (keys..., y, x, v) that are covered."""
-    frames = frames if "angle" in frames.columns else frames.withColumn("angle", F.lit(0.0))
+    """Frames (with dy, dx and, where they turn or bend, angle and field) resampled onto the reference grid, `scale` times finer: pixels (keys..., y, x, v) that are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (d, h, w, dy, dx, angle) in enumerate(zip(batch.column("data"), *(batch.column(c).to_pylist() for c in ("height", "width", "dy", "dx", "angle")), strict=True)):
-                a, cover = K.lanczos_warp(_array(d, h, w), np.diag([scale, scale, 1.0]) @ R.matrix((h, w), dy, dx, angle), (round(h * scale), round(w * scale)))
+            for i, a, cover in _warped(batch, scale):
                 y, x = np.nonzero(cover)
                 yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(k)[i].as_py()] * len(y), batch.column(k).type) for k in keys), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(a[y, x])], names=[*keys, "y", "x", "v"])
 
-    return frames.select(*keys, "height", "width", "data", "dy", "dx", "angle").mapInArrow(run, f"{_kinds(frames, keys)}, y int, x int, v double")
+    return _placed(frames).select(*keys, "data", *(c for c in _PLACED if c not in keys)).mapInArrow(run, f"{_kinds(frames, keys)}, y int, x int, v double")
+
+
+def align_frames(frames: DataFrame, keys: Sequence[str], crop: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The same, as whole frames (keys..., height, width, data) cut to rows top to bottom and columns left to right; zero where not covered."""
+    top, bottom, left, right = crop or (0, None, 0, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, a, _ in _warped(batch):
+                cut, at = a[top:bottom, left:right], pa.array([i])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array([n], pa.int32()) for n in cut.shape), pa.array([cut.ravel()], pa.list_(pa.float64()))], names=[*keys, "height", "width", "data"])
+
+    return _placed(frames).select(*keys, "data", *_PLACED).mapInArrow(run, f"{_kinds(frames, keys)}, height int, width int, data array<double>")
 
 
 def drizzle(frames: DataFrame, keys: Sequence[str], frame: str, scale: float = 2.0) -> DataFrame:

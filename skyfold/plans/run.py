@@ -12,6 +12,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import tomllib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions import kernels as K
+from skyfold.functions import restore
 from skyfold.functions import scalars as S
 from skyfold.operators import combine as C
 from skyfold.operators import image_ops as I
@@ -32,9 +34,17 @@ PRESETS: dict[str, dict] = {
     "galaxy": {"combine": "sigma_clip", "post": ("background_mesh", "median_cascade", "local_contrast")},
     "emission": {"combine": "winsorized", "post": ("background_surface", "starlet", "reduce_stars")},
     "star_field": {"combine": "percentile", "post": ("background_mesh", "bilateral")},
+    "quality": {"combine": "sigma_clip", "sigma": 2.5, "iterations": 5, "elastic": True, "post": ("background_mesh", "median_cascade", "local_contrast")},
+    "narrowband": {"combine": "sigma_clip", "sigma": 2.5, "post": ("background_mesh", "starlet", "reduce_stars")},
+    "planetary": {"combine": "percentile", "clean": (), "post": ("richardson_lucy",)},
+    "lunar": {"combine": "percentile", "clean": (), "weighted": False, "post": ("local_contrast",)},
 }
 
 
+#: Names of configuration sections that differ from the plan's parameters (fixed values).
+CONFIG_NAMES = {"stacking_method": "combine", "stacking_sigma": "sigma", "stacking_iters": "iterations", "quality_sigma": "outlier_sigma", "post_steps": "post", "clean_steps": "clean"}
+
+
 @dataclass(frozen=True)
 class StackPlan:
     """Parameters of a run."""
@@ -52,6 +62,22 @@ class StackPlan:
     drizzle: float = 1.0
     weighted: bool = True
     formats: tuple[str, ...] = ("fits",)
+    elastic: bool = False
+
+    @staticmethod
+    def from_toml(text: str, **explicit: object) -> StackPlan:
+        """A plan from configuration text: plain names, or sections whose names are prefixes (`[shift] sigma` is shift_sigma).
+
+        `preset` sets the starting point and explicit parameters win; names that a plan does not have are left out.
+        """
+        given: dict[str, object] = {}
+        for name, value in tomllib.loads(text).items():
+            for key, v in value.items() if isinstance(value, dict) else [("", value)]:
+                whole = "_".join(p for p in (name, key) if p).replace("-", "_")
+                given[CONFIG_NAMES.get(whole, whole)] = tuple(v) if isinstance(v, list) else v
+        start = PRESETS.get(str(given.get("preset")), {})
+        known = {f.name for f in dataclasses.fields(StackPlan)}
+        return dataclasses.replace(StackPlan(**start), **({k: v for k, v in given.items() if k in known} | explicit))
 
     @staticmethod
     def preset(name: str, **explicit: object) -> StackPlan:
@@ -82,6 +108,11 @@ class Phases:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def clear(self) -> None:
+        """Removes all phases of this plan, as after a run whose results are written."""
+        place, fs = self._place(self.folder)
+        fs.delete(place, True)
+
     def _done(self, path: str) -> bool:
         """Spark's committer marks a whole table."""
         marker, fs = self._place(f"{path}/_SUCCESS")
@@ -139,6 +170,19 @@ def _whole_planes(pixels: DataFrame, name: str) -> DataFrame:
     return F.broadcast(whole) if pixels.count() * 8 <= REFERENCE_BYTES else whole
 
 
+def less_vignette(frames: DataFrame, vignette: DataFrame) -> DataFrame:
+    """Planes less the map of their channel and size, not below zero; others stay as they are."""
+    j = frames.join(F.broadcast(vignette.select("channel", "height", "width", F.col("data").alias("_m"))), ["channel", "height", "width"], "left")
+    less = F.zip_with("data", "_m", lambda v, m: F.greatest(v - m, F.lit(0.0)))
+    return j.withColumn("data", F.when(F.col("_m").isNull(), F.col("data")).otherwise(less)).select(*frames.columns)
+
+
+def load_vignette(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
+    """A stored map at a frame's size: (channel, height, width, data), at most three planes."""
+    found = planes(files.scan(spark, path).filter("data IS NOT NULL"), ["path"]).filter("channel < 3")
+    return I.map_frames(found, ["channel"], lambda a: restore.resize(a, height, width))
+
+
 def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
     """snr, star_count, contrast, dynamic_range, fwhm and score of one frame."""
     sky, noise = float(np.median(a)), max(K.mad_sigma(a), 1e-6)
@@ -154,14 +198,18 @@ def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
 METRICS = {"snr": "double", "star_count": "int", "contrast": "double", "dynamic_range": "double", "fwhm": "double", "score": "double"}
 
 
-def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str, inputs: str = "") -> dict[str, DataFrame]:
+def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str, inputs: str = "", vignette: DataFrame | None = None) -> dict[str, DataFrame]:
     """Runs the phases over planes (frame_id, channel, frame_type, height, width, data) and returns metrics, shifts and the stack.
 
     Frames are placed by their stars, or by their shift where too few stars agree. A star fit whose pairs scatter by more than
     1.5 widths over the frame's signal-to-noise ratio (held to 1.5 to 6 pixels) is left out, as is a shift outlier.
 
+    A vignette map (channel, height, width, data) is taken off the planes of its size and channel.
+
     Phases that the folder holds from the same plan and `inputs` (a value that changes with the frames) are not run again.
     """
+    if vignette is not None:
+        inputs += f"-{vignette.agg(F.sum(F.xxhash64(*vignette.columns).cast('decimal(38,0)'))).first()[0]}"
     stored = Phases(spark, folder, plan.key(), inputs)
     kinds = {r[0] for r in frames.select("frame_type").distinct().collect()}
     dark = stored.get("dark", lambda: _masters(frames, "dark")) if "dark" in kinds else None
@@ -174,7 +222,8 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
 
     def clean() -> DataFrame:
         out = I.chain(_calibrated(lights, dark, flat), ["frame_id", "channel"], plan.clean)
-        return out if plan.debayer == "none" else I.debayer(out, ["frame_id"], plan.debayer)
+        out = out if plan.debayer == "none" else I.debayer(out, ["frame_id"], plan.debayer)
+        return out if vignette is None else less_vignette(out, vignette)
 
     cleaned = stored.get("cleaned", clean)
     lead = _lead(cleaned)
@@ -192,7 +241,7 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
         reference = lead.filter(F.col("frame_id") == best["frame_id"]).select(F.lit(0).alias("session"), F.col("data").alias("r_data"))
         if best["height"] * best["width"] * 8 <= REFERENCE_BYTES:
             reference = F.broadcast(reference)
-        placed = I.register_to_reference(all_frames, reference, ["session"], "frame_id", plan.star_sigma)
+        placed = I.register_to_reference(all_frames, reference, ["session"], "frame_id", plan.star_sigma, 16 if plan.elastic else 0)
         most = F.least(F.greatest(1.5 * F.col("fwhm") / F.greatest("snr", F.lit(1e-6)), F.lit(1.5)), F.lit(6.0))
         near = placed.join(kept.select("frame_id", most.alias("most")), "frame_id").filter("residual IS NULL OR residual <= most").drop("most")
         return G.shift_outliers(near, ["session"], plan.shift_sigma).filter("shift_ok").drop("shift_ok")
@@ -213,23 +262,45 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
     return {"metrics": gated, "shifts": shifts, "stack": stack}
 
 
-def stack_directory(spark: SparkSession, directory: str, output: str, plan: StackPlan | None = None) -> dict[str, DataFrame]:
-    """The run over a directory; writes the stack in the plan's formats, the quality report and the effective parameters."""
+def whole_image(spark: SparkSession, stack: DataFrame, post: tuple[str, ...] = ()) -> DataFrame:
+    """A stack (channel, y, x, value) as one image row (frame_id, channels, height, width, data), after the post steps."""
+    height, width, channels = (n + 1 for n in stack.agg(F.max("y"), F.max("x"), F.max("channel")).first())
+    size = height * width
+    # each plane's samples in row order, zero where no frame reached
+    cells = spark.range(channels * size).select(F.floor(F.col("id") / size).cast("int").alias("channel"), F.floor(F.col("id") % size / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    plane = _whole_planes(cells.join(stack, ["channel", "y", "x"], "left").select("channel", "y", "x", F.coalesce("value", F.lit(0.0)).alias("value")), "data")
+    plane = I.chain(plane, ["channel"], post) if post else plane
+    return plane.groupBy("height", "width").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "data"))), lambda p: p["data"])).alias("data")).select(F.lit(0).alias("frame_id"), F.lit(channels).alias("channels"), "height", "width", "data")
+
+
+def export_frames(result: dict[str, DataFrame], cleaned: DataFrame, output: str, kind: str = "fits", crop: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Writes every accepted frame, aligned and cropped to (top, bottom, left, right), as a file of its own for comparison.
+
+    Files are numbered by score and carry their place, score and shift; `png` gives previews. Returns (name, bytes).
+    """
+    order = Window.orderBy(F.desc("score"), "frame_id")
+    kept = result["metrics"].join(result["shifts"], "frame_id").select("frame_id", "score", "dy", "dx", *[c for c in ("angle", "field") if c in result["shifts"].columns])
+    kept = kept.withColumn("place", F.row_number().over(order) - 1)  # one row a frame
+    moved = I.align_frames(cleaned.join(kept, "frame_id"), ["frame_id", "channel"], crop)
+    whole = moved.groupBy("frame_id", "height", "width").agg((F.max("channel") + 1).alias("channels"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "data"))), lambda p: p["data"])).alias("data"))
+    text = lambda c, n: F.format_string(f"%.{n}f", c)
+    header = F.create_map(F.lit("FRAMEIDX"), F.col("place").cast("string"), F.lit("QSCORE"), text("score", 1), F.lit("SHIFT_Y"), text("dy", 2), F.lit("SHIFT_X"), text("dx", 2))
+    titled = whole.join(kept, "frame_id").select(F.format_string("frame_%05d", "place").alias("name"), header.alias("header"), "channels", "height", "width", "data")
+    return files.write_files(files.encode(titled, kind), output)
+
+
+def stack_directory(spark: SparkSession, directory: str, output: str, plan: StackPlan | None = None, vignette: DataFrame | None = None, keep_phases: bool = True) -> dict[str, DataFrame]:
+    """The run over a directory; writes the stack in the plan's formats, the quality report and the effective parameters.
+
+    Without `keep_phases` the stored phases go once everything is written, and nothing is returned."""
     plan = plan or StackPlan()
     found = files.discover(spark, directory).select("path", "frame_index", "frame_type")
     data = files.scan(spark, directory).filter("data IS NOT NULL")
     named = data.join(found, ["path", "frame_index"]).withColumn("frame_id", F.xxhash64("path", "frame_index"))
     frames = planes(named, ["frame_id", "frame_type"])
-    result = stack_frames(spark, frames, plan, output, manifest(spark, directory))
+    result = stack_frames(spark, frames, plan, output, manifest(spark, directory), vignette)
     stack = result["stack"]
-    height, width = (n + 1 for n in stack.agg(F.max("y"), F.max("x")).first())
-    # each plane's samples in row order, zero where no frame reached
-    channels = 1 + stack.agg(F.max("channel")).first()[0]
-    size = height * width
-    cells = spark.range(channels * size).select(F.floor(F.col("id") / size).cast("int").alias("channel"), F.floor(F.col("id") % size / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
-    plane = _whole_planes(cells.join(stack, ["channel", "y", "x"], "left").select("channel", "y", "x", F.coalesce("value", F.lit(0.0)).alias("value")), "data")
-    plane = I.chain(plane, ["channel"], plan.post) if plan.post else plane
-    image = plane.groupBy("height", "width").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "data"))), lambda p: p["data"])).alias("data")).select(F.lit(0).alias("frame_id"), F.lit(channels).alias("channels"), "height", "width", "data")
+    image = whole_image(spark, stack, plan.post)
     counts = result["metrics"].agg(F.count(F.lit(1)), F.count(F.when(F.col("accepted"), 1)), F.avg(F.when(F.col("fwhm") > 0, F.col("fwhm")))).first()
     header = {"RAWSTACK": "T" if not plan.post else "F", "NFRAMES": str(counts[1]), "NTOTAL": str(counts[0]), "COMBINE": plan.combine, "FWHM": f"{counts[2] or 0:.3f}"}
     titled = image.select(F.lit("stack").alias("name"), F.create_map(*[F.lit(x) for kv in header.items() for x in kv]).alias("header"), "channels", "height", "width", "data")
@@ -238,6 +309,9 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
     report(result["metrics"].join(named.select("frame_id", "path"), "frame_id")).write.mode("overwrite").option("header", True).csv(f"{output.rstrip('/')}/report")
     config = files.effective_config({k: v for k, v in dataclasses.asdict(plan).items()})
     files.write_files(spark.createDataFrame([("plan.toml", config.encode())], "name string, content binary"), output).collect()
+    if not keep_phases:
+        Phases(spark, output, plan.key(), manifest(spark, directory)).clear()
+        return {}
     return result | {"image": image}
 
 

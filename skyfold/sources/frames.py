@@ -154,6 +154,21 @@ def encode(frames: DataFrame, kind: str = "fits") -> DataFrame:
     return frames.select("name", "header", "channels", "height", "width", "data").mapInArrow(run, "name string, content binary")
 
 
+def luminance(frames: DataFrame) -> DataFrame:
+    """Scanned frames of any layout as one plane: weighted planes of three or more, the first of fewer."""
+    size = F.col("height") * F.col("width")
+    plane = lambda c: F.slice("data", c * size + 1, size)
+    mixed = F.zip_with(F.zip_with(plane(0), plane(1), lambda r, g: 0.299 * r + 0.587 * g), plane(2), lambda v, b: v + 0.114 * b)
+    return frames.withColumn("data", F.when(F.col("channels") >= 3, mixed).otherwise(plane(0))).withColumn("channels", F.when(F.col("channels").isNotNull(), 1))
+
+
+def rgb(frames: DataFrame) -> DataFrame:
+    """Scanned frames of any layout as three planes: the first three, or the only one three times."""
+    size = F.col("height") * F.col("width")
+    first = F.slice("data", 1, size)
+    return frames.withColumn("data", F.when(F.col("channels") >= 3, F.slice("data", 1, 3 * size)).otherwise(F.concat(first, first, first))).withColumn("channels", F.when(F.col("channels").isNotNull(), 3))
+
+
 def effective_config(values: dict[str, object]) -> str:
     """Parameters of a run as TOML text."""
     return "".join(f"{k} = {json.dumps(v)}\n" for k, v in sorted(values.items()) if v is not None)
