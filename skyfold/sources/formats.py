@@ -107,15 +107,23 @@ def write_ser(frames: np.ndarray, colour: int = 0, observer: str = "") -> bytes:
     return head + frames.astype("u1" if bits == 8 else "<u2").tobytes()
 
 
-def read_xisf(data: bytes) -> tuple[np.ndarray, dict[str, str]]:
-    """First image of a monolithic file with an uncompressed attachment: (channels, height, width)."""
+def xisf_header(data: bytes) -> tuple[dict[str, str], dict[str, str]]:
+    """Attributes of a monolithic file's first image, and its keywords."""
     if data[:8] != b"XISF0100":
         raise ValueError("no XISF file")
     size = struct.unpack("<I", data[8:12])[0]
     root = ET.fromstring(data[16 : 16 + size].rstrip(b"\0"))
     space = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
     image = root.find(f"{space}Image")
-    if image is None or image.get("compression"):
+    if image is None:
+        raise ValueError("no image")
+    return dict(image.attrib), {k.get("name", ""): k.get("value", "").strip("'").strip() for k in image.findall(f"{space}FITSKeyword")}
+
+
+def read_xisf(data: bytes) -> tuple[np.ndarray, dict[str, str]]:
+    """First image of a monolithic file with an uncompressed attachment: (channels, height, width)."""
+    image, words = xisf_header(data)
+    if image.get("compression"):
         raise ValueError("no uncompressed image")
     width, height, channels = map(int, image.get("geometry", "").split(":"))
     where = image.get("location", "").split(":")
@@ -123,7 +131,7 @@ def read_xisf(data: bytes) -> tuple[np.ndarray, dict[str, str]]:
         raise ValueError("only attached blocks are read")
     a = np.frombuffer(data, _XISF_TYPES[image.get("sampleFormat", "Float32")], width * height * channels, int(where[1])).astype(np.float64)
     a = a.reshape(height, width, channels).transpose(2, 0, 1) if image.get("pixelStorage", "Planar") == "Normal" else a.reshape(channels, height, width)
-    return a, {k.get("name", ""): k.get("value", "").strip("'").strip() for k in image.findall(f"{space}FITSKeyword")}
+    return a, words
 
 
 def write_xisf(a: np.ndarray, keywords: dict[str, Any] | None = None) -> bytes:
@@ -141,8 +149,8 @@ def write_xisf(a: np.ndarray, keywords: dict[str, Any] | None = None) -> bytes:
     return b"XISF0100" + struct.pack("<II", len(xml), 0) + xml + bytes(start - 16 - len(xml)) + body
 
 
-def read_tiff(data: bytes) -> np.ndarray:
-    """First page of an uncompressed strip TIFF as float64: (height, width) or (height, width, channels), three at most."""
+def tiff_tags(data: bytes) -> tuple[str, dict[int, list[int]]]:
+    """Byte order and whole-number tags of a TIFF's first page."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("no TIFF file")
@@ -156,6 +164,12 @@ def read_tiff(data: bytes) -> np.ndarray:
             code, width = sizes[kind]
             raw = entry[8:12] if n * width <= 4 else data[(o := struct.unpack(order + "I", entry[8:12])[0]) : o + n * width]
             tags[tag] = list(struct.unpack(f"{order}{n}{code}", raw[: n * width]))
+    return order, tags
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """First page of an uncompressed strip TIFF as float64: (height, width) or (height, width, channels), three at most."""
+    order, tags = tiff_tags(data)
     if tags.get(259, [1])[0] != 1:
         raise ValueError("only uncompressed TIFF is read")
     width, height, channels = tags[256][0], tags[257][0], tags.get(277, [1])[0]

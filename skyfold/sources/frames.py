@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,23 @@ from skyfold.sources import formats
 _SCHEMA = "path string, frame_index int, format string, header map<string,string>, channels int, height int, width int, data array<double>"
 
 
+class Ranged:
+    """A file as bytes that are read where they are asked for; its first part is read once."""
+
+    FIRST = 1 << 16
+
+    def __init__(self, file: pyarrow.NativeFile, length: int):
+        self.file, self.length = file, length
+        self.head = file.read_at(min(self.FIRST, length), 0)
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, at: slice) -> bytes:
+        start, stop, _ = at.indices(self.length)
+        return self.head[start:stop] if stop <= len(self.head) else self.file.read_at(max(stop - start, 0), start)
+
+
 def _decode(path: str, data: bytes, samples: bool) -> list[tuple]:
     """(index, format, header, array or None) of a file's frames."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -36,22 +54,29 @@ def _decode(path: str, data: bytes, samples: bool) -> list[tuple]:
         text = {k: str(v) for k, v in h.items()}
         return [(i, "ser", text, formats.read_ser(data, i) if samples else None) for i in range(h["frames"])]
     if kind in ("tif", "tiff"):
-        a = formats.read_tiff(data)
-        return [(0, "tiff", {"NAXIS1": str(a.shape[1]), "NAXIS2": str(a.shape[0])}, a if samples else None)]
+        _, tags = formats.tiff_tags(data)
+        return [(0, "tiff", {"NAXIS1": str(tags[256][0]), "NAXIS2": str(tags[257][0])}, formats.read_tiff(data) if samples else None)]
     if kind == "xisf":
+        if not samples:
+            return [(0, "xisf", formats.xisf_header(data)[1], None)]
         a, header = formats.read_xisf(data)
-        return [(0, "xisf", header, a if samples else None)]
+        return [(0, "xisf", header, a)]
     return []
 
 
 def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = "*.{fits,fit,ser,xisf,tif,tiff}", recursive: bool = False) -> DataFrame:
-    """Frames under a path: path, frame_index, format, header, channels, height, width and data (channels, rows, columns)."""
+    """Frames under a path: path, frame_index, format, header, channels, height, width and data (channels, rows, columns).
+
+    Without samples, files of a mounted path are read only as far as their headers go; other file systems, which Arrow may not
+    reach with Spark's settings, give whole files.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, blob in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                for index, kind, header, a in _decode(p, blob.as_py(), samples):
+            blobs = ((p, b.as_py()) for p, b in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)) if "content" in batch.schema.names else _headers(batch)
+            for p, blob in blobs:
+                for index, kind, header, a in _decode(p, blob, samples):
                     cube = None if a is None else a.transpose(2, 0, 1) if a.ndim == 3 and a.shape[-1] == 3 else a.reshape(-1, *a.shape[-2:])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -62,7 +87,15 @@ def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = "*
                         names=["path", "frame_index", "format", "header", "channels", "height", "width", "data"],
                     )
 
-    return files.select("path", "content").mapInArrow(run, _SCHEMA)
+    mounted = not samples and ("://" not in path or path.startswith("file:"))
+    return files.select("path", "length" if mounted else "content").mapInArrow(run, _SCHEMA)
+
+
+def _headers(batch: pa.RecordBatch) -> Iterator[tuple[str, Ranged]]:
+    fs = pyarrow.fs.LocalFileSystem()
+    for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+        with fs.open_input_file(re.sub("^file:/*", "/", path)) as file:
+            yield path, Ranged(file, length)
 
 
 def discover(spark: SparkSession, path: str, **options: object) -> DataFrame:

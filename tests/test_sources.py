@@ -86,3 +86,19 @@ def test_session_info_and_config(spark, tmp_path):
     r = files.session_info(spark, str(tmp_path)).first()
     assert (r["object"], r["depth"], r["fov_x"], r["ra"]) == ("M 31", 12, None, 0.1)
     assert files.effective_config({"b": 1, "a": "x", "c": None}) == 'a = "x"\nb = 1\n'
+
+
+def test_header_scan_reads_ranges(spark, tmp_path):
+    a = np.random.default_rng(6).random((3, 200, 180)).astype("f4").astype(float)
+    many = {f"KEY{i}": i for i in range(900)}  # a header longer than the first part
+    (tmp_path / "a.fits").write_bytes(formats.write_fits(a, many))
+    (tmp_path / "b.xisf").write_bytes(formats.write_xisf(a, {"OBJECT": "M 42"}))
+    (tmp_path / "c.tif").write_bytes(formats.write_tiff(a))
+    (tmp_path / "d d.ser").write_bytes(formats.write_ser(np.rint(a * 1000), 8))
+    plain = lambda rows: sorted((r["path"], r["frame_index"], r["format"], tuple(sorted(r["header"].items()))) for r in rows)
+    heads = files.scan(spark, str(tmp_path), samples=False)
+    assert "content" not in heads._jdf.queryExecution().executedPlan().toString().split("FileScan")[1].split("ReadSchema")[1]
+    found = heads.collect()
+    assert len(found) == 6 and all(r["data"] is None for r in found)
+    assert plain(found) == plain(files.scan(spark, str(tmp_path)).collect())
+    assert dict(plain(found)[0][3])["KEY899"] == "899"
