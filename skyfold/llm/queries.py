@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import bpe, flac, html_extract, packing, sharding, simhash, store, substring_dedup, topk, toxicity, warc
+from skyfold.llm import bpe, conversation_trie, flac, html_extract, packing, periodic_runs, quality, sharding, simhash, store, substring_dedup, topk, toxicity, warc
 
 #: The public tokenizer's file; SKYFOLD_TOKENIZERS names another folder.
 _FOLDER = os.environ.get("SKYFOLD_TOKENIZERS")
@@ -63,6 +63,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"), conversation_trie.rebuilt)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.describe_runs(_table(spark, sf_dir, "documents"), change=periodic_runs.imposed)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, and it needs this module
 
@@ -71,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_substring_dedup, op2_bpe, op3_sharding, op4_simhash, op5_html_extraction, op6_flac, op7_toxicity, op8_packing, op9_warc, op10_topk, pipeline)
+    for q in (op1_substring_dedup, op2_bpe, op3_sharding, op4_simhash, op5_html_extraction, op6_flac, op7_toxicity, op8_packing, op9_warc, op10_topk, op11_conversation_trie, op12_quality, op13_periodic_runs, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -138,4 +150,41 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op11_conversation_trie": """
+        WITH bits AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+        ), said AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS pos,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), counted AS (
+            SELECT conv_id, count(*) AS n FROM said GROUP BY conv_id
+        ), convs AS (
+            SELECT conv_id, n, conv_id - conv_id % 5 AS donor, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT % 9 AS h
+            FROM counted, bits
+        ), turns AS (
+            SELECT c.conv_id, pos + 1 AS depth, role, text FROM convs c JOIN said ON said.conv_id = c.donor AND pos < h
+            UNION ALL
+            SELECT c.conv_id, least(c.h, coalesce(d.n, 0)) + pos - c.h + 1, role, text
+            FROM convs c JOIN said ON said.conv_id = c.conv_id AND pos >= c.h LEFT JOIN convs d ON d.conv_id = c.donor
+        ), paths AS (
+            SELECT conv_id, depth, string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, octet_length(encode(text)) AS bytes FROM turns
+            UNION ALL
+            SELECT conv_id, 0, '', 0 FROM convs
+        ), nodes AS (
+            SELECT path, depth, CASE WHEN depth > 0 THEN left(path, 128 * (depth - 1)) END AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '') AS ends
+            FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS length FROM paths) GROUP BY path, depth
+        ), children AS (
+            SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+        ), under AS (
+            SELECT left(path, 128 * k) AS path, count(*) FILTER (n IS NULL) AS leaves, sum((n_convs - 1) * bytes) AS saved
+            FROM (SELECT nodes.*, children.n, unnest(range(depth + 1)) AS k FROM nodes LEFT JOIN children ON children.up = nodes.path) GROUP BY 1
+        )
+        SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(children.n, 0)::BIGINT AS n_children,
+               leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+        FROM nodes JOIN under USING (path) LEFT JOIN children ON children.up = nodes.path LEFT JOIN nodes parent ON parent.path = nodes.up
+    """,
 }
