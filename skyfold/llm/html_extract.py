@@ -7,13 +7,16 @@ or read like prose. What is never article (navigation,
 headers, footers, asides, forms, scripts, adverts, notices, comments, by tag, role, class or id) is left out before scoring.
 
 Edge cases: null or empty html, and pages without text, give the empty string; unclosed or cut tags, comments and attributes
-are closed at the end; character references are decoded, unknown ones stay as they are; text without any markup is one block.
+are closed at the end; end tags without a start say nothing; character references are decoded, unknown ones stay as they are;
+text without any markup is one block; of containers with equal points the one whose text comes first wins, then the inner one;
+an empty table gives no rows, and other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,18 +52,21 @@ _TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A whole attribute: its value is taken with it, so that words in values are never names.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 _GAPS = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("children", "drop", "hint", "link_chars", "parent", "score", "tag", "text_chars")
+    __slots__ = ("block", "children", "cleared", "drop", "first", "hint", "kept", "link_chars", "parent", "score", "tag", "text_chars")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
         self.children: list = []
+        self.block = self if parent is None or tag in _BLOCK else parent.block  # the block that it stands in
         self.drop, self.hint, self.score, self.text_chars, self.link_chars = 0, 0, 0.0, 0, 0
+        self.first, self.kept, self.cleared = -1, False, False
 
 
 def _describe(node: _Node, attributes: str) -> None:
@@ -71,7 +77,7 @@ def _describe(node: _Node, attributes: str) -> None:
     if not attributes.strip():
         return
     names = []
-    for name, value in _ATTRIBUTE.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):  # a stray quoted string has no name
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             names.append(value)
@@ -86,9 +92,20 @@ def _describe(node: _Node, attributes: str) -> None:
             node.drop = _BY_NAME
 
 
-def parse(page: str) -> _Node:
-    """The tree; leaves are strings."""
+def parse(page: str) -> list[_Node]:
+    """The tree's elements in page order, the root first; leaves are strings. Time grows with the page, however deep it nests."""
     root = node = _Node("#root", None)
+    nodes, opened = [root], Counter()
+
+    def close(up: _Node) -> _Node:
+        """Closes everything from the current element up to `up`."""
+        at = node
+        while at is not up:
+            opened[at.tag] -= 1
+            at = at.parent
+        opened[up.tag] -= 1
+        return up.parent
+
     at, n = 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
@@ -102,11 +119,11 @@ def parse(page: str) -> _Node:
         if not tag:
             continue
         if found[1]:  # an end tag closes up to its own start; without one it says nothing
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
             continue
         if not page.endswith(">", 0, at) and at == n:
             break  # a tag cut off at the end
@@ -115,22 +132,22 @@ def parse(page: str) -> _Node:
             at = end.end() if end else n
             continue
         if tag in _ENDS_P:  # blocks end an open paragraph, list items and cells their like
-            up = node
-            while up is not root and up.tag not in _BLOCK:
-                up = up.parent
+            up = node.block
             if up.tag == "p" or (tag == up.tag and tag in ("li", "dd", "dt", "td", "th", "tr")):
-                node = up.parent
+                node = close(up)
         child = _Node(tag, node)
+        nodes.append(child)
         node.children.append(child)
         if tag in ("article", "main"):
             up = node
-            while up is not None and up.drop != _ALWAYS:
-                up.drop = 0
+            while up is not None and not up.cleared and up.drop != _ALWAYS:
+                up.drop, up.cleared = 0, True
                 up = up.parent
         _describe(child, found[3] or "")
         if tag not in _VOID and not (found[3] or "").rstrip().endswith("/"):
             node = child
-    return root
+            opened[tag] += 1
+    return nodes
 
 
 def _blocks(root: _Node, strict: int) -> list[tuple[_Node, str, int]]:
@@ -185,18 +202,15 @@ def extract(page: str | None) -> str:
     """Main text of one page: its blocks joined by line feeds."""
     if not page:
         return ""
-    root = parse(page)
+    nodes = parse(page)
+    root = nodes[0]
     blocks = _blocks(root, _BY_NAME) or _blocks(root, _ALWAYS)
     if not blocks:
         return ""
-    touched: dict[int, _Node] = {}
-    for owner, text, linked in blocks:
-        up = owner
-        while up is not None:
-            up.text_chars += len(text)
-            up.link_chars += linked
-            touched[id(up)] = up
-            up = up.parent
+    for k, (owner, text, linked) in enumerate(blocks):
+        owner.text_chars += len(text)
+        owner.link_chars += linked
+        owner.first = k if owner.first < 0 else owner.first
         points = 1 + text.count(",") + min(len(text) / 100, 30)
         if linked > len(text) / 2:
             continue
@@ -205,8 +219,14 @@ def extract(page: str | None) -> str:
         while up is not None and level < 5:
             up.score += points / (1 if level == 0 else 2 * level)
             up, level = up.parent, level + 1
+    for node in reversed(nodes[1:]):  # children come after their parents, so one pass sums all subtrees
+        if node.first >= 0:
+            up = node.parent
+            up.text_chars += node.text_chars
+            up.link_chars += node.link_chars
+            up.first = node.first if up.first < 0 else min(up.first, node.first)
     best, most = root, -1.0
-    for node in touched.values():
+    for _, _, node in sorted((node.first, -k, node) for k, node in enumerate(nodes) if node.first >= 0):  # ties: the earlier text, then the inner element
         if node.tag in ("#root", "html") or (node.tag in _PARAGRAPH and node.tag not in ("blockquote", "td")):
             continue
         value = (node.score + (node.hint if node.score else 0)) * (1 - node.link_chars / max(1, node.text_chars))
@@ -217,23 +237,18 @@ def extract(page: str | None) -> str:
         up = up.parent
     if up is not None:  # an article that is split into sections is kept whole
         best = up
-    chosen = {id(best)}
+    best.kept = True
     if best.parent is not None:
         for sibling in best.parent.children:
-            if isinstance(sibling, str) or id(sibling) not in touched:
+            if isinstance(sibling, str) or sibling.first < 0:
                 continue
             density = sibling.link_chars / max(1, sibling.text_chars)
             prose = sibling.tag in _PARAGRAPH and sibling.text_chars >= 80 and density < 0.25
             if sibling.score * (1 - density) >= max(10.0, most * 0.2) or prose:
-                chosen.add(id(sibling))
-    kept = []
-    for owner, text, _ in blocks:
-        up = owner
-        while up is not None and id(up) not in chosen:
-            up = up.parent
-        if up is not None:
-            kept.append(text)
-    return "\n".join(kept)
+                sibling.kept = True
+    for node in nodes[1:]:
+        node.kept = node.kept or node.parent.kept
+    return "\n".join(text for owner, text, _ in blocks if owner.kept)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -6,13 +6,14 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from skyfold.llm import conversation_trie, periodic_runs, quality
+from skyfold.llm import conversation_trie, html_extract, periodic_runs, quality
 from skyfold.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -215,3 +216,30 @@ def test_quality_of_nulls_repeats_clashes_and_missing_labels(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
     for some in (labels.limit(0), labels.filter("quality = 1")):
         assert {r["score"] for r in quality.classify(docs, some).collect()} == {0.0}
+
+
+ARTICLE = "<p>" + "plain words of an article, with commas, " * 10 + "</p>"
+
+
+@pytest.mark.parametrize("kept", ['<p title="the hidden truth">KEEP</p>', '<p>x <a href="/hidden/gems">KEEP</a></p>', '<p data-id="comments-1">KEEP</p>', '<p data-hidden="false">KEEP</p>', "<p title='class=\"hidden\"'>KEEP</p>", '<p alt="id=sidebar" class = lead>KEEP</p>'])
+def test_values_of_other_attributes_drop_nothing(kept):
+    assert "KEEP" in html_extract.extract(f"<html><body><article>{ARTICLE}{kept}</article></body></html>")
+
+
+@pytest.mark.parametrize("gone", ["<p hidden>GONE</p>", '<p hidden="">GONE</p>', '<p aria-hidden="true">GONE</p>', '<div class="comments">GONE</div>', '<p style="display:none">GONE</p>', "<div id='sidebar'>GONE</div>", "<div data-x='1' ROLE=navigation>GONE</div>"])
+def test_furniture_and_hidden_elements_go(gone):
+    assert "GONE" not in html_extract.extract(f"<html><body><article>{ARTICLE}{gone}</article></body></html>")
+
+
+def test_very_deep_pages_take_time_in_proportion():
+    began = time.time()
+    assert html_extract.extract("<div>text, here " * 60_000 + "<b>" * 20_000 + "<p>x</p></i>" * 20_000)
+    assert time.time() - began < 30
+
+
+def test_equal_containers_and_odd_tables(spark):
+    part = f"<div>{ARTICLE}</div>"
+    assert html_extract.extract(f"<body>{part}{part}</body>").count("plain words") == 20  # the second scores like the first
+    pages = spark.createDataFrame([(1, "u", None, "x", 2), (None, None, "<p>a &amp; b</p>", "y", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted(map(repr, map(tuple, html_extract.extract_pages(pages).collect()))) == sorted([repr((1, "u", "", 0)), repr((None, None, "a & b", 5))])
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
