@@ -3,28 +3,32 @@
 A document's fingerprint is a SimHash of its distinct words, as edits that break several shingles each change few words: 32 bits
 a segment, by default six segments. Copies whose fingerprints differ in at most 11 of the 192 bits have a segment that differs in
 at most one, so each segment is indexed under its 32 variants with one bit left out; equal keys make candidates, and every
-candidate is verified on the whole shingle sets. Beyond 11 bits a candidate is still likely: where edits are scattered, as
-those of copies mostly are, the recall at a similarity of 0.8 is about 0.95; where a fifth of a text is new in one block of
-words that stand nowhere else, the fingerprints lie farther apart and most such pairs below 0.85 are missed.
+candidate is verified on the whole shingle sets. Equal sets count once, and under each key all members are compared with the
+smallest, so that a large group of copies costs a link a member. Where edits are scattered, this finds about 0.95 of the pairs
+at a similarity of 0.8; where a fifth of a text is new in one block, the fingerprints lie farther apart and it finds few.
 
-Equal sets count once. Under each key all members are compared with the smallest; keys whose members then lie in one component
-are settled, so that a large group of copies costs a link a member; the members of the others are split again by their rarest
-shingles, and those that share one are compared across components.
+So an exact way finishes the job (`exact`): in any common order, two similar sets share one of the first n - ceil(least n) + 1
+shingles of each. The order is that of the hashes, with shingles last that stand in more than `HEAVY` of the groups found so
+far (counted by partial aggregation). A document gives the first part of its hash order with its fingerprint; where heavy
+shingles use that part up, the whole set is read again. Members that share a prefix shingle with another group are first
+compared with that shingle's smallest member, and what then still lies in different groups is compared pair by pair, unless
+places and sizes rule it out. Without `exact`, the same runs over the members of segment keys that hold several groups alone.
 
 Edge cases: null or wordless texts equal each other and nothing else; with fewer words than a shingle the whole sequence is the
-one shingle; ASCII case and white space don't count; rows with one identifier are one document, compared by one of its texts;
+one shingle; ASCII case and white space don't count; rows with one identifier are one document, compared by each of its texts;
 rows without an identifier must be left out; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfold.llm import store, words
 from skyfold.llm.components import connected_components
@@ -32,6 +36,8 @@ from skyfold.llm.simhash import majority
 
 #: Text bytes whose words are hashed at once.
 SLICE_BYTES = 2_000_000
+#: Groups from which a shingle comes last in the order, and what a document gives of its order beyond the prefix: a share and a number.
+HEAVY, SLACK, SLACK_LEAST = 64, 0.08, 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -60,14 +66,19 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarr
                 yield own, np.unique(h[a:b])
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, segments: int) -> DataFrame:
-    """Per row: doc_id, set_key (a digest of its shingle set) and the fingerprint, two segments a number."""
+def _prefix(size: int, least: float) -> int:
+    """Shingles of a set of which similar sets share one."""
+    return size - int(np.ceil(least * size - 1e-9)) + 1 if size else 0
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, segments: int, least: float) -> DataFrame:
+    """Per row: doc_id, set_key (a digest of its shingle set), the set's size and first part, and the fingerprint, two segments a number."""
     seeds = words.constants(segments // 2, seed)
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, prints, held, sizes, total = [], [], [], [], 0
+            keys, counts, firsts, prints, held, sizes, total = [], [], [], [], [], [], 0
 
             def flush(prints=prints, held=held, sizes=sizes) -> None:
                 every, n = np.concatenate(held), np.array(sizes, np.int64)
@@ -78,6 +89,8 @@ def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, se
 
             for shingles, distinct in _sets(batch.column(text), shingle):
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                counts.append(len(shingles))
+                firsts.append(shingles[: _prefix(len(shingles), least) + int(SLACK * len(shingles)) + SLACK_LEAST].tobytes())
                 held.append(distinct)
                 sizes.append(len(distinct))
                 total += len(distinct)
@@ -87,22 +100,24 @@ def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, se
             if held:
                 flush()
             found = np.concatenate(prints, axis=1) if prints else np.zeros((len(seeds), 0), np.int64)
-            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), *map(pa.array, found)], names=["doc_id", "set_key", *(f"p{k}" for k in range(len(seeds)))])
+            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(firsts, pa.binary()), *map(pa.array, found)], names=["doc_id", "set_key", "size", "first", *(f"p{k}" for k in range(len(seeds)))])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, size long, first binary, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
 
 
-def _whole(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """Per document: id and the bytes of its whole shingle set."""
+def _whole(docs: DataFrame, doc_id: str, text: str, shingle: int, taken: DataFrame) -> DataFrame:
+    """(node, hashes): whole shingle sets, as bytes, of the sets `taken` (node, set_key, id)."""
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(doc_id), pa.array([s.tobytes() for s, _ in _sets(batch.column(text), shingle)], pa.binary())], names=["id", "hashes"])
+            found = [s.tobytes() for s, _ in _sets(batch.column(text), shingle)]
+            yield pa.record_batch([pa.array([hashlib.blake2b(f, digest_size=16).digest() for f in found], pa.binary()), pa.array(found, pa.binary())], names=["set_key", "hashes"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    owners = taken.select(F.col("id").alias("_doc")).distinct()
+    named = docs.select(F.col(doc_id).alias("_id"), text).join(owners, F.col("_id") == F.col("_doc"), "left_semi")
+    return named.select(text).mapInArrow(run, "set_key binary, hashes binary").join(taken, "set_key").groupBy("node").agg(F.min("hashes").alias("hashes"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -128,33 +143,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return named.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _by_rare_shingles(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different groups, all that can be similar among them: with shingles in order of their frequency among
-    the members, similar sets share one of the first n - ceil(least n) + 1 of each."""
-    kind = members.schema["id"].dataType.simpleString()
-
-    @store.trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
-            sizes = np.array([len(x) for x in found], np.int64)
-            row = pa.array(np.repeat(np.arange(len(found)), sizes))
-            yield pa.record_batch([batch.column("id").take(row), batch.column("group").take(row), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), pa.array(np.repeat(sizes, sizes))], names=["id", "group", "shingle", "size"])
-
-    whole = store.materialize(members.join(sets, "id").select("id", "group", "hashes").mapInArrow(run, f"id {kind}, group {kind}, shingle long, size long"), "open-shingles")
-    counts = whole.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "shingle"))
-    first = whole.join(counts, "shingle").withColumn("place", place).filter((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1))
-    first = store.materialize(first.select("id", "group", "shingle", "size", "place"), "rare-shingles")
-    # only pairs with a member outside the shingle's largest group are listed
-    largest = first.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups"))
-    shared = first.join(largest.filter("groups > 1"), "shingle")
-    outside = shared.filter("group != largest").select("shingle", F.col("id").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"), F.col("place").alias("at"))
+@store.trimmed
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle, size, at) of rows (node, bytes, size); at counts from 0 in the order of hashes."""
+    for batch in batches:
+        found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        at = np.concatenate([*(np.arange(n, dtype=np.int64) for n in lengths.tolist()), np.zeros(0, np.int64)])
+        row = pa.array(np.repeat(np.arange(len(found)), lengths))
+        yield pa.record_batch([batch.column(0).take(row), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), batch.column(2).take(row), pa.array(at)], names=["node", "shingle", "size", "at"])
+
+
+_LISTED = "node long, shingle long, size long, at long"
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """(shingle, groups) of the shingles that stand in several groups."""
+    return rows.groupBy("shingle", "group").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+
+
+def _prefixes(members: DataFrame, whole: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(node, group, shingle, size, place) of the prefix shingles that stand in several groups of the members (node, group, size, first)."""
+    rows = members.select("node", "first", "size").mapInArrow(_listed, _LISTED)
+    group = members.select("node", "group")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    shared = store.materialize(rows.join(often, "shingle").join(group, "node"), "shared-shingles")
+    crossing = store.materialize(shared.join(_spread(shared), "shingle").withColumn("heavy", (F.col("groups") > HEAVY).cast("int")).drop("groups"), "crossing-shingles")
+    length = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+
+    # documents whose part is used up by heavy shingles are read whole
+    given = F.least(F.col("size"), length + F.floor(F.col("size") * SLACK) + SLACK_LEAST)
+    short = crossing.groupBy("node", "size").agg(F.sum("heavy").alias("heavy")).filter((given < F.col("size")) & (given - F.col("heavy") < length)).select("node")
+    short = store.materialize(short, "short-prefixes")
+    if not short.isEmpty():
+        more = store.materialize(whole(short).mapInArrow(_listed, _LISTED).join(group, "node"), "whole-prefixes")
+        others = rows.join(short, "node", "left_anti").join(more.select("shingle").distinct(), "shingle", "left_semi").join(group, "node")
+        columns = ["shingle", "node", "size", "at", "group"]
+        again = store.materialize(more.select(*columns).unionByName(others.select(*columns)), "more-shingles")
+        heavy = crossing.filter("heavy = 1").select("shingle", "heavy").distinct()
+        again = again.join(_spread(again).select("shingle"), "shingle").join(heavy, "shingle", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
+        crossing = crossing.join(more.select("shingle").distinct(), "shingle", "left_anti").join(short, "node", "left_anti").unionByName(again.select(*crossing.columns))
+
+    # shingles of one group keep their places but need no row; heavy ones come after all others
+    along = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, all_of = F.sum("heavy").over(along), F.sum("heavy").over(Window.partitionBy("node"))
+    place = F.when(F.col("heavy") == 1, F.col("size") - all_of + before).otherwise(F.col("at") + 1 - before)
+    first = crossing.withColumn("place", place).filter(F.col("place") <= length)
+    return store.materialize(first.select("node", "group", "shingle", "size", "place"), "prefix-shingles")
+
+
+def _crossing(first: DataFrame, least: float, star: bool) -> DataFrame:
+    """Pairs (a, b) of different groups that share a prefix shingle: with its smallest member, or all that can be similar."""
+    own = ["node", "group", "size", "place"]
+    low = first.groupBy("shingle").agg(F.min(F.struct(*own)).alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1")
+    if star:
+        pairs = first.join(low, "shingle").filter(F.col("group") != F.col("low.group")).select("node", "size", "place", F.col("low.node").alias("x"), F.col("low.size").alias("m"), F.col("low.place").alias("at"))
+    else:  # only pairs with a member outside the shingle's largest group are listed
+        first = first.join(low.select("shingle"), "shingle", "left_semi")
+        largest = first.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
+        shared = first.join(largest, "shingle")
+        outside = shared.filter("group != largest").select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"), F.col("place").alias("at"))
+        pairs = outside.join(shared, "shingle").filter((F.col("g") != F.col("group")) & ((F.col("group") == F.col("largest")) | (F.col("x") < F.col("node"))))
     # no more can be shared than follows the first shared shingle of either
     left = F.least(F.col("size") - F.col("place"), F.col("m") - F.col("at")) + 1
     possible = (left >= least / (1 + least) * (F.col("size") + F.col("m")) - 1e-9) & (F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9)
-    pairs = outside.join(shared.select("shingle", "id", "group", "size", "place"), "shingle").filter((F.col("g") != F.col("group")) & possible)
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    return pairs.filter(possible | (F.lit(star) & (F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9))).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _variants(segments: int) -> str:
@@ -163,29 +216,77 @@ def _variants(segments: int) -> str:
     return f"flatten(transform(array({numbers}), (v, k) -> transform(sequence(0, 31), i -> shiftleft(cast(32 * k + i as bigint), 32) | (v & ~shiftleft(1L, i)))))"
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, segments: int = 6) -> DataFrame:
-    """Per row: doc_id and component_id, the smallest doc_id that links of similarity `least` or more reach."""
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, segments: int = 6, exact: bool = True) -> DataFrame:
+    """Per row: doc_id, set_key (a digest of its shingle set), component_id, the smallest doc_id that links of similarity `least`
+    or more reach, and kept_key, the smallest set_key of that doc_id's texts in the component. Rows are the input's, not fewer."""
     if segments % 2 or segments < 2:
         raise ValueError("segments come in pairs")
-    marked = store.materialize(_marked(docs, doc_id, text, shingle, seed, segments), "shingle-sets")
+    marked = store.materialize(_marked(docs, doc_id, text, shingle, seed, segments, least), "shingle-sets")
     parts = [f"p{k}" for k in range(segments // 2)]
     # one word sequence or shingle set has one fingerprint, so any of its rows gives it
-    distinct = store.materialize(marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts)), "distinct-sets")
-    by_key = Window.partitionBy("key")
-    keyed = distinct.select("id", F.explode(F.expr(_variants(segments))).alias("key"))
-    keyed = keyed.withColumns({"n": F.count(F.lit(1)).over(by_key), "pivot": F.min("id").over(by_key)}).filter("n > 1")
-    keyed = store.materialize(keyed, "segment-keys")
-
-    taken = keyed.select("id").distinct()
-    sets = store.materialize(_whole(docs.join(taken, docs[doc_id] == taken["id"], "left_semi"), doc_id, text, shingle), "whole-sets")
-    stars = keyed.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    found = store.materialize(_verified(stars, sets, least), "star-links")
-
-    # members of keys that still hold several components: those that share a rare shingle are compared too
-    joined = connected_components(found)
-    group = keyed.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    group = group.withColumns({"l": F.min("group").over(by_key), "h": F.max("group").over(by_key), "m": F.count(F.lit(1)).over(by_key)})
-    members = store.materialize(group.filter("l != h AND m > 2").select("id", "group").distinct(), "open-members")
-    links = store.materialize(found.unionByName(_verified(_by_rare_shingles(members, sets, least), sets, least)), "links")
-    groups = distinct.select("set_key", "id").join(connected_components(links), F.col("id") == F.col("node"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "id").alias("component_id"))
-    return marked.join(groups, F.col("set_key") == F.col("_key")).select("doc_id", "component_id")
+    sets = marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts), F.max("size").alias("size"), F.first("first").alias("first"))
+    sets = store.materialize(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+
+    def whole(of: DataFrame) -> DataFrame:
+        """(node, hashes, size) of the nodes' sets."""
+        taken = of.select("node").distinct().join(sets.select("node", "set_key", "id"), "node")
+        return _whole(docs, doc_id, text, shingle, taken).select("node", "hashes", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = store.materialize(pairs, f"{name}-pairs")
+        taken = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        held = store.materialize(whole(taken), f"{name}-sets")
+        return store.materialize(_verified(pairs, held.select(F.col("node").alias("id"), "hashes"), least), f"{name}-links")
+
+    def grouped(links: DataFrame) -> DataFrame:
+        joined = connected_components(links).withColumnRenamed("node", "of")
+        return sets.join(joined, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node"))
+
+    keyed = sets.select("node", F.explode(F.expr(_variants(segments))).alias("key"))
+    pivots = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    keyed = store.materialize(keyed.join(pivots, "key").select("key", "node", "pivot"), "segment-keys")
+    links = verified(keyed.filter("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "star")
+    members = store.materialize(grouped(links).select("node", "group", "size", "first"), "star-groups")
+    if not exact:
+        mixed = keyed.join(members.select("node", "group"), "node")
+        open_keys = mixed.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h"), F.count(F.lit(1)).alias("m")).filter("l != h AND m > 2").select("key")
+        members = store.materialize(members.join(mixed.join(open_keys, "key").select("node").distinct(), "node"), "open-members")
+    first = _prefixes(members, whole, least)
+    links = links.unionByName(verified(_crossing(first, least, True), "low"))
+    regrouped = grouped(links).select("node", F.col("group").alias("now"))
+    first = store.materialize(first.join(regrouped, "node").drop("group").withColumnRenamed("now", "group"), "regrouped")
+    links = links.unionByName(verified(_crossing(first, least, False), "cross"))
+
+    final = store.materialize(grouped(links).select("set_key", "id", "group"), "groups")
+    least_of = final.groupBy("group").agg(F.min(F.struct("id", "set_key")).alias("low")).select(F.col("group").alias("of"), F.col("low.id").alias("component_id"), F.col("low.set_key").alias("kept_key"))
+    named = final.join(least_of, F.col("group") == F.col("of")).select(F.col("set_key").alias("_key"), "component_id", "kept_key")
+    return marked.join(named, F.col("set_key") == F.col("_key")).select("doc_id", "set_key", "component_id", "kept_key")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
+    """The documents, one of each component: the smallest doc_id, and where it has several texts one of the text that links.
+
+    A row stays away only if its shingle set is linked to that of a row that stays. Of rows with one doc_id and equal shingle
+    sets the smallest text stays; of entirely equal ones any. Rows without an identifier must be left out.
+    """
+    found = near_copies(docs, doc_id, text, **options)
+    found = store.materialize(found.select(F.col("doc_id").alias("_doc"), F.col("set_key").alias("_set"), ((F.col("doc_id") == F.col("component_id")) & (F.col("set_key") == F.col("kept_key"))).alias("_kept")), "decided")
+    several = store.materialize(found.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_doc"), "several")
+    kept = found.filter("_kept").select("_doc", "_set")
+    out = docs.join(kept.join(several, "_doc", "left_anti"), docs[doc_id] == F.col("_doc"), "left_semi")
+    if several.isEmpty():
+        return out
+    names, shingle, key = docs.columns, int(options.get("shingle", 5)), store.free_name(docs, "set_key")
+
+    @store.trimmed
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s, _ in _sets(batch.column(names.index(text)), shingle)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*names, key])
+
+    rows = docs.join(several, docs[doc_id] == F.col("_doc"), "left_semi").mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    rows = store.materialize(rows.join(kept.distinct(), (F.col(doc_id) == F.col("_doc")) & (F.col(key) == F.col("_set")), "left_semi"), "several-kept")
+    least_text = rows.groupBy(F.col(doc_id).alias("_doc"), F.col(key).alias("_set")).agg(F.min(text).alias("_text"))
+    same = (F.col(doc_id) == F.col("_doc")) & (F.col(key) == F.col("_set")) & F.col(text).eqNullSafe(F.col("_text"))
+    chosen = rows.join(least_text, same, "left_semi").dropDuplicates([doc_id, key])
+    return out.unionByName(chosen.select(*names))

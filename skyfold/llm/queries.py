@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import bpe, conversation_trie, flac, html_extract, packing, periodic_runs, quality, sharding, simhash, store, substring_dedup, topk, toxicity, warc
-
-#: The public tokenizer's file; SKYFOLD_TOKENIZERS names another folder.
-_FOLDER = os.environ.get("SKYFOLD_TOKENIZERS")
-BYTE_BPE = f"{_FOLDER}/byte_bpe_50k.json" if _FOLDER else str(public_tokenizers.path("byte_bpe_50k.json"))
+from skyfold.llm import pipeline as corpus
+from skyfold.llm.tokenizer_files import BYTE_BPE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +71,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # at the repository's top, and it needs this module
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 QUERIES = {
