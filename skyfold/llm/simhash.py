@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.llm import store
@@ -114,8 +114,8 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     if most > 3:
         raise ValueError("two halves with one free bit find at most three differing bits")
     keyed = distinct.select("fingerprint", F.explode(_variants("fingerprint", 2, 32)).alias("key"))
-    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    keyed = store.materialize(keyed, "keys")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # partial sums, so a hot key meets no task
+    keyed = store.materialize(keyed.join(counts, "key"), "keys")
     light = keyed.filter(F.col("n") <= LIGHT_KEY).groupBy("key").agg(F.collect_list("fingerprint").alias("members")).select("members")
     # the half that the key does not fix
     other = F.expr("CASE WHEN key < shiftleft(32L, 32) THEN shiftrightunsigned(fingerprint, 32) ELSE fingerprint & 4294967295L END")
