@@ -66,19 +66,35 @@ def debayer_bilinear(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
     return np.stack(out, -1)
 
 
+#: The published 5x5 kernels of gradient-corrected interpolation, in eighths. Rows are lines of the mosaic.
+GRADIENT_KERNELS = {
+    # green where the filter is red or blue
+    "green": [[0, 0, -1, 0, 0], [0, 0, 2, 0, 0], [-1, 2, 4, 2, -1], [0, 0, 2, 0, 0], [0, 0, -1, 0, 0]],
+    # a colour at green whose own filters stand left and right, then above and below
+    "beside": [[0, 0, 0.5, 0, 0], [0, -1, 0, -1, 0], [-1, 4, 5, 4, -1], [0, -1, 0, -1, 0], [0, 0, 0.5, 0, 0]],
+    "above": [[0, 0, -1, 0, 0], [0, -1, 4, -1, 0], [0.5, 0, 5, 0, 0.5], [0, -1, 4, -1, 0], [0, 0, -1, 0, 0]],
+    # red where the filter is blue, and the other way round
+    "across": [[0, 0, -1.5, 0, 0], [0, 2, 0, 2, 0], [-1.5, 0, 6, 0, -1.5], [0, 2, 0, 2, 0], [0, 0, -1.5, 0, 0]],
+}
+
+
 def debayer_gradient(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
-    """Bilinear colours corrected by the Laplacian of the raw channel at the place (5x5 support, gains 1/2, 5/8 and 3/4)."""
+    """Gradient-corrected linear interpolation with the four 5x5 kernels; edges are mirrored at the outer samples."""
     masks = bayer_masks(raw.shape, pattern)
-    cross = np.zeros((5, 5))
-    cross[2, 0] = cross[0, 2] = cross[4, 2] = cross[2, 4] = -0.25
-    cross[2, 2] = 1
-    detail = convolve(raw, cross)
-    rgb = debayer_bilinear(raw, pattern)
-    gain = {"G": {"R": 0.5, "B": 0.5}, "R": {"G": 0.625, "B": 0.75}, "B": {"G": 0.625, "R": 0.75}}
-    for i, c in enumerate("RGB"):
-        for at, k in gain[c].items():
-            rgb[..., i] += np.where(masks[at], k * detail * 0.5, 0)
-    return np.maximum(rgb, 0)
+    p = np.pad(raw.astype(float), 2, mode="reflect")
+    h, w = raw.shape
+    found = {}
+    for name, kernel in GRADIENT_KERNELS.items():
+        found[name] = sum(k / 8 * p[i : i + h, j : j + w] for i, row in enumerate(kernel) for j, k in enumerate(row) if k)
+    out = []
+    for c, other in (("R", "B"), ("G", None), ("B", "R")):
+        if other is None:
+            out.append(np.where(masks["G"], raw, found["green"]))
+            continue
+        lines = masks[c].any(axis=1, keepdims=True)  # lines of the mosaic that have this colour's filters
+        at_green = np.where(lines, found["beside"], found["above"])
+        out.append(np.where(masks[c], raw, np.where(masks[other], found["across"], at_green)))
+    return np.stack(out, -1)
 
 
 def debayer_directional(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
@@ -473,9 +489,11 @@ def surface(a: np.ndarray, mask: np.ndarray | None = None, rounds: int = 3) -> n
 
 
 def star_mask(shape: tuple[int, int], stars: np.ndarray, fwhm: float) -> np.ndarray:
+    """One at the places of all stars, falling off by their width."""
     m = np.zeros(shape)
-    for y, x in stars[:500, :2] if len(stars) else ():
-        m[min(shape[0] - 1, int(round(y))), min(shape[1] - 1, int(round(x)))] = 1
+    if len(stars):
+        y, x = np.minimum(np.rint(stars[:, :2]).astype(int), np.array(shape) - 1).T
+        m[y, x] = 1
     m = gaussian(m, max(fwhm, 0.5))
     return m / m.max() if m.max() > 0 else m
 

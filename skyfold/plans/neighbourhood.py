@@ -112,6 +112,14 @@ def _diffusion_sql(rounds: int, kappa: float, gamma: float) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT session, frame_id, y, x, round(v, 3) AS v FROM d{rounds}"
 
 
+def _lattice_sql(radius: int) -> str:
+    """Neighbours with their own places (ny, nx); edges mirrored between the outer samples and beyond (radius 1) or at them (2)."""
+    at = (lambda c: f"CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} > 7 THEN 15 - ({c}) ELSE {c} END") if radius == 1 else (lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c}) ELSE {c} END")
+    steps = f"(SELECT unnest(generate_series(-{radius}, {radius})) AS d)"
+    return f"""SELECT a.session, a.frame_id, a.y, a.x, a.v, s.d AS dy, t.d AS dx, b.y AS ny, b.x AS nx, b.v AS u FROM px a, {steps} s, {steps} t, px b
+        WHERE b.session = a.session AND b.frame_id = a.frame_id AND b.y = {at("a.y + s.d")} AND b.x = {at("a.x + t.d")}"""
+
+
 _WEIGHT = "exp(-0.5 * dy * dy) * exp(-0.5 * dx * dx)"
 ORACLE_SQL = {
     "filter_median": _MEDIAN_SQL,
@@ -127,5 +135,13 @@ ORACLE_SQL = {
     "filter_gaussian": f"WITH {PIXELS_SQL}, n AS ({_around(4)}) SELECT session, frame_id, y, x, round(sum({_WEIGHT} * u) / sum({_WEIGHT}), 3) AS v FROM n GROUP BY session, frame_id, y, x",
     "filter_bilateral": f"""WITH {PIXELS_SQL}, n AS ({_around(3)}), w AS (SELECT *, exp(-(dy * dy + dx * dx) / 4.5::DOUBLE) * exp(-((u - v) * (u - v)) / 7200.0::DOUBLE) AS w FROM n)
         SELECT session, frame_id, y, x, round(sum(w * u) / sum(w), 3) AS v FROM w GROUP BY session, frame_id, y, x""",
+    "filter_green_bilinear": f"""WITH {PIXELS_SQL}, n AS ({_lattice_sql(1)})
+        SELECT session, frame_id, y, x, round(CASE WHEN (y + x) % 2 = 1 THEN any_value(v)
+            ELSE sum((2 - abs(dy)) * (2 - abs(dx)) * u) FILTER ((ny + nx) % 2 = 1) / sum((2 - abs(dy)) * (2 - abs(dx))) FILTER ((ny + nx) % 2 = 1) END, 3) AS v
+        FROM n GROUP BY session, frame_id, y, x""",
+    "filter_green_gradient": f"""WITH {PIXELS_SQL}, n AS ({_lattice_sql(2)})
+        SELECT session, frame_id, y, x, round(CASE WHEN (y + x) % 2 = 1 THEN any_value(v)
+            ELSE (4 * any_value(v) + 2 * sum(u) FILTER (abs(dy) + abs(dx) = 1) - sum(u) FILTER (abs(dy) + abs(dx) = 2 AND dy * dx = 0)) / 8 END, 3) AS v
+        FROM n GROUP BY session, frame_id, y, x""",
     "filter_diffusion": _diffusion_sql(5, 200.0, 0.1),
 }

@@ -52,6 +52,19 @@ def _winsor_oracle(sigma: float = 3.0, iterations: int = 3) -> str:
         SELECT session, y, x, round(avg(greatest(least(v, c + {sigma} * s), c - {sigma} * s)), 3) AS value, count(*) AS n_used, CAST(0 AS BIGINT) AS n_rejected FROM f GROUP BY session, y, x"""
 
 
+def _esd_oracle(most: int = 130, significance: float = 0.05) -> str:
+    """The farthest sample of a sorted list is its first or its last; critical values are listed for up to `most` samples."""
+    limits = ", ".join(f"({n}, {C.esd_limit(n, significance)!r}::DOUBLE)" for n in range(3, most + 1))
+    return f"""WITH RECURSIVE {PIXELS_SQL}, critical(n, c) AS (VALUES {limits}),
+        st AS (SELECT session, y, x, list(v ORDER BY v) AS l, count(*) AS n0, CAST(0 AS BIGINT) AS i, TRUE AS more FROM px GROUP BY session, y, x
+            UNION ALL
+            SELECT session, y, x, CASE WHEN NOT hit THEN l WHEN low THEN l[2:] ELSE l[:-2] END, n0, i + 1, hit
+            FROM (SELECT *, greatest(m - l[1], l[-1] - m) / greatest(s, 1e-12) > c AS hit, m - l[1] >= l[-1] - m AS low
+                  FROM (SELECT st.*, list_avg(l) AS m, list_stddev_samp(l) AS s, c FROM st JOIN critical ON critical.n = n0 - 2 * i WHERE more AND i < greatest(1, n0 // 4)))),
+        last AS (SELECT session, y, x, arg_max(l, i) AS l, any_value(n0) AS n0 FROM st GROUP BY session, y, x)
+        SELECT session, y, x, round(list_avg(l), 3) AS value, CAST(len(l) AS BIGINT) AS n_used, CAST(n0 - len(l) AS BIGINT) AS n_rejected FROM last"""
+
+
 def _fit_oracle(iterations: int = 5) -> str:
     w = "WINDOW w AS (PARTITION BY session, y, x)"
     parts = [PIXELS_SQL, "k0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY session, y, x ORDER BY v, frame_id) - 1 AS DOUBLE) AS r, TRUE AS k FROM px)"]
@@ -163,6 +176,7 @@ def _online_sql(source: str, keys: str, sigma: float) -> str:
 
 
 ORACLE_SQL = {
+    "stack_esd": _esd_oracle(),
     "stack_mean": f"WITH {PIXELS_SQL} SELECT session, y, x, round(avg(v), 3) AS value, count(*) AS n_used, CAST(0 AS BIGINT) AS n_rejected {_GROUP}",
     "stack_median": f"WITH {PIXELS_SQL} SELECT session, y, x, round(median(v), 3) AS value, count(*) AS n_used, CAST(0 AS BIGINT) AS n_rejected {_GROUP}",
     "stack_sigma_clip": _clip_oracle(True),
