@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import kernels as K
 from skyfold.functions import registration as R
 from skyfold.functions import restore
+from skyfold.operators import tiles as T
 
 
 def _array(row_data: pa.Scalar, height: int, width: int) -> np.ndarray:
@@ -186,6 +187,19 @@ def warp_frames(frames: DataFrame, keys: Sequence[str], scale: float = 1.0) -> D
     return _placed(frames).select(*keys, "data", *(c for c in _PLACED if c not in keys)).mapInArrow(run, f"{_kinds(frames, keys)}, y int, x int, v double")
 
 
+def warp_tiles(frames: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """The same as blocks of tiles (keys..., y0, x0, th, tw, block); samples that are not covered are NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, a, cover in _warped(batch):
+                parts = T.cut_array(np.where(cover, a, np.nan), size)
+                at = pa.array([i] * len(parts))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *T.blocks(parts)], names=[*keys, *T.NAMES])
+
+    return _placed(frames).select(*keys, "data", *(c for c in _PLACED if c not in keys)).mapInArrow(run, f"{_kinds(frames, keys)}, {T.KINDS}")
+
+
 def align_frames(frames: DataFrame, keys: Sequence[str], crop: tuple[int, int, int, int] | None = None) -> DataFrame:
     """The same, as whole frames (keys..., height, width, data) cut to rows top to bottom and columns left to right; zero where not covered."""
     top, bottom, left, right = crop or (0, None, 0, None)

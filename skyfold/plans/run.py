@@ -26,6 +26,8 @@ from skyfold.operators import combine as C
 from skyfold.operators import image_ops as I
 from skyfold.operators import metrics as M
 from skyfold.operators import selection as G
+from skyfold.operators import tiles as T
+from skyfold.plans import calibration
 from skyfold.sources import frames as files
 
 #: Named starting points (fixed values); explicit parameters win.
@@ -63,6 +65,8 @@ class StackPlan:
     weighted: bool = True
     formats: tuple[str, ...] = ("fits",)
     elastic: bool = False
+    #: A folder of calibration frames besides those that lie with the lights.
+    calibration: str = ""
 
     @staticmethod
     def from_toml(text: str, **explicit: object) -> StackPlan:
@@ -145,9 +149,9 @@ def _lead(frames: DataFrame) -> DataFrame:
 
 
 def _masters(frames: DataFrame, kind: str) -> DataFrame:
-    """Median master (channel, y, x, value) of one kind of calibration frames."""
-    px = I.to_pixels(frames.filter(F.col("frame_type") == kind), ["frame_id", "channel"])
-    return C.median(px, ["channel", "y", "x"]).select("channel", "y", "x", "value")
+    """Median master (channel, y, x, value) of one kind of calibration frames, by tiles."""
+    found = T.stack_frames(frames.filter(F.col("frame_type") == kind), ["channel"], "frame_id", "median")
+    return T.to_pixels(found, ["channel"]).select("channel", "y", "x", "value")
 
 
 def _calibrated(lights: DataFrame, dark: DataFrame | None, flat: DataFrame | None) -> DataFrame:
@@ -198,12 +202,15 @@ def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
 METRICS = {"snr": "double", "star_count": "int", "contrast": "double", "dynamic_range": "double", "fwhm": "double", "score": "double"}
 
 
-def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str, inputs: str = "", vignette: DataFrame | None = None) -> dict[str, DataFrame]:
+def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder: str, inputs: str = "", vignette: DataFrame | None = None, meta: DataFrame | None = None) -> dict[str, DataFrame]:
     """Runs the phases over planes (frame_id, channel, frame_type, height, width, data) and returns metrics, shifts and the stack.
 
     Frames are placed by their stars, or by their shift where too few stars agree. A star fit whose pairs scatter by more than
     1.5 widths over the frame's signal-to-noise ratio (held to 1.5 to 6 pixels) is left out, as is a shift outlier.
 
+    `meta` (frame_id, frame_type, header) gives the settings by which lights and calibration frames are matched; without it
+    all settings agree.
+
     A vignette map (channel, height, width, data) is taken off the planes of its size and channel.
 
     Phases that the folder holds from the same plan and `inputs` (a value that changes with the frames) are not run again.
@@ -211,17 +218,17 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
     if vignette is not None:
         inputs += f"-{vignette.agg(F.sum(F.xxhash64(*vignette.columns).cast('decimal(38,0)'))).first()[0]}"
     stored = Phases(spark, folder, plan.key(), inputs)
-    kinds = {r[0] for r in frames.select("frame_type").distinct().collect()}
-    dark = stored.get("dark", lambda: _masters(frames, "dark")) if "dark" in kinds else None
-    flat = None
-    if "flat" in kinds:
-        from skyfold.operators.pixelwise import flat_norm
-
-        flat = stored.get("flat", lambda: flat_norm(_masters(frames, "flat")))
+    if meta is None:
+        meta = frames.select("frame_id", "frame_type", F.create_map().cast("map<string,string>").alias("header")).distinct()
+    sizes = frames.groupBy("frame_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    about = stored.get("settings", lambda: calibration.settings(meta, sizes))
+    grouped, chosen = calibration.matched(about)
+    grouped, chosen = stored.get("light_groups", lambda: grouped), stored.get("matched", lambda: chosen)
+    made = stored.get("masters", lambda: calibration.masters(frames, chosen))
     lights = frames.filter("frame_type = 'light'").select("frame_id", "channel", "height", "width", "data")
 
     def clean() -> DataFrame:
-        out = I.chain(_calibrated(lights, dark, flat), ["frame_id", "channel"], plan.clean)
+        out = I.chain(calibration.calibrate(lights, grouped, made, plan.debayer != "none"), ["frame_id", "channel"], plan.clean)
         out = out if plan.debayer == "none" else I.debayer(out, ["frame_id"], plan.debayer)
         return out if vignette is None else less_vignette(out, vignette)
 
@@ -253,13 +260,19 @@ def stack_frames(spark: SparkSession, frames: DataFrame, plan: StackPlan, folder
         aligned = cleaned.join(shifts, "frame_id").join(kept.select("frame_id", weight.alias("weight")), "frame_id")
         if plan.drizzle != 1.0:
             return I.drizzle(aligned, ["channel"], "frame_id", plan.drizzle).select("channel", "y", "x", "value", F.col("frames").cast("long").alias("n_used"))
-        px = I.warp_frames(aligned, ["frame_id", "channel", "weight"])
         extra = {"sigma": plan.sigma, "iterations": plan.iterations} if plan.combine in ("sigma_clip", "winsorized") else {}
+        if plan.combine in T.VECTOR:
+            blocks = I.warp_tiles(aligned, ["frame_id", "channel", "weight"], T.side(shifts.count()))
+            return T.combine_tiles(blocks, ["channel"], plan.combine, "frame_id", None if plan.combine == "median" else "weight", **extra)
+        px = I.warp_frames(aligned, ["frame_id", "channel", "weight"])
         extra |= {} if plan.combine in ("median", "online") else {"weight": "weight"}
         return C.combine(px, ["channel", "y", "x"], "v", plan.combine, **extra).select("channel", "y", "x", "value", "n_used")
 
     stack = stored.get("stack", combined)
-    return {"metrics": gated, "shifts": shifts, "stack": stack}
+    if "y0" not in stack.columns:
+        return {"metrics": gated, "shifts": shifts, "stack": stack}
+    px = T.to_pixels(stack, ["channel"]).filter("n_used + n_rejected > 0").select("channel", "y", "x", "value", "n_used")
+    return {"metrics": gated, "shifts": shifts, "stack": px, "tiles": stack}
 
 
 def whole_image(spark: SparkSession, stack: DataFrame, post: tuple[str, ...] = ()) -> DataFrame:
@@ -269,6 +282,12 @@ def whole_image(spark: SparkSession, stack: DataFrame, post: tuple[str, ...] = (
     # each plane's samples in row order, zero where no frame reached
     cells = spark.range(channels * size).select(F.floor(F.col("id") / size).cast("int").alias("channel"), F.floor(F.col("id") % size / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
     plane = _whole_planes(cells.join(stack, ["channel", "y", "x"], "left").select("channel", "y", "x", F.coalesce("value", F.lit(0.0)).alias("value")), "data")
+    return _one_image(plane, post)
+
+
+def _one_image(plane: DataFrame, post: tuple[str, ...]) -> DataFrame:
+    """Planes (channel, height, width, data) as one image row, after the post steps."""
+    channels = plane.agg(F.max("channel")).first()[0] + 1
     plane = I.chain(plane, ["channel"], post) if post else plane
     return plane.groupBy("height", "width").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "data"))), lambda p: p["data"])).alias("data")).select(F.lit(0).alias("frame_id"), F.lit(channels).alias("channels"), "height", "width", "data")
 
@@ -294,13 +313,17 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
 
     Without `keep_phases` the stored phases go once everything is written, and nothing is returned."""
     plan = plan or StackPlan()
+    inputs = manifest(spark, directory)
     found = files.discover(spark, directory).select("path", "frame_index", "frame_type")
     data = files.scan(spark, directory).filter("data IS NOT NULL")
+    if plan.calibration:
+        inputs += f"+{manifest(spark, plan.calibration)}"
+        found = found.unionByName(files.discover(spark, plan.calibration).filter("frame_type != 'light'").select("path", "frame_index", "frame_type"))
+        data = data.unionByName(files.scan(spark, plan.calibration).filter("data IS NOT NULL"))
     named = data.join(found, ["path", "frame_index"]).withColumn("frame_id", F.xxhash64("path", "frame_index"))
     frames = planes(named, ["frame_id", "frame_type"])
-    result = stack_frames(spark, frames, plan, output, manifest(spark, directory), vignette)
-    stack = result["stack"]
-    image = whole_image(spark, stack, plan.post)
+    result = stack_frames(spark, frames, plan, output, inputs, vignette, named.select("frame_id", "frame_type", "header"))
+    image = _one_image(T.to_planes(result["tiles"], ["channel"]), plan.post) if "tiles" in result else whole_image(spark, result["stack"], plan.post)
     counts = result["metrics"].agg(F.count(F.lit(1)), F.count(F.when(F.col("accepted"), 1)), F.avg(F.when(F.col("fwhm") > 0, F.col("fwhm")))).first()
     header = {"RAWSTACK": "T" if not plan.post else "F", "NFRAMES": str(counts[1]), "NTOTAL": str(counts[0]), "COMBINE": plan.combine, "FWHM": f"{counts[2] or 0:.3f}"}
     titled = image.select(F.lit("stack").alias("name"), F.create_map(*[F.lit(x) for kv in header.items() for x in kv]).alias("header"), "channels", "height", "width", "data")
@@ -310,7 +333,7 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
     config = files.effective_config({k: v for k, v in dataclasses.asdict(plan).items()})
     files.write_files(spark.createDataFrame([("plan.toml", config.encode())], "name string, content binary"), output).collect()
     if not keep_phases:
-        Phases(spark, output, plan.key(), manifest(spark, directory)).clear()
+        Phases(spark, output, plan.key(), inputs).clear()
         return {}
     return result | {"image": image}
 
