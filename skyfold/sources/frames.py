@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ def write_files(encoded: DataFrame, directory: str) -> DataFrame:
         fs.create_dir(base, recursive=True)
         for batch in batches:
             for name, blob in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
-                temporary = f"{base}/.{name}.{os.getpid()}.tmp"
+                temporary = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}.tmp"  # no two attempts of a job share a number
                 with fs.open_output_stream(temporary) as out:
                     out.write(blob.as_py())
                 fs.move(temporary, f"{base}/{name}")
