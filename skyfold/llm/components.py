@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = store.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     state = None
     for _ in range(MOST_ROUNDS):
-        edges = store.materialize(_star(_star(edges, True), False), "star")
+        last, edges = edges, store.materialize(_star(_star(edges, True), False), "star")
+        store.discard(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

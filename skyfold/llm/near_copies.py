@@ -1,18 +1,20 @@
 """Near copies by SimHash: documents whose sets of word shingles reach a Jaccard similarity.
 
 A document's fingerprint is a SimHash of its distinct words, as edits that break several shingles each change few words: 32 bits
-a segment, by default six segments. Copies whose fingerprints differ in at most 11 of the 192 bits have a segment that differs in
-at most one, so each segment is indexed under its 32 variants with one bit left out; equal keys make candidates, and every
-candidate is verified on the whole shingle sets. Equal sets count once, and under each key all members are compared with the
-smallest, so that a large group of copies costs a link a member. Where edits are scattered, this finds about 0.95 of the pairs
-at a similarity of 0.8; where a fifth of a text is new in one block, the fingerprints lie farther apart and it finds few.
+a segment, by default four segments. Copies whose fingerprints differ in at most seven of the 128 bits have a segment that
+differs in at most one, so each segment is indexed under its 32 variants with one bit left out; equal keys make candidates, and
+candidates whose fingerprints are not far apart are verified on the whole shingle sets. Equal sets count once, and under each
+key all members are compared with the smallest, so that a large group of copies costs a link a member. Where edits are
+scattered, this finds most pairs; where a fifth of a text is new in one block, the fingerprints lie farther apart.
 
 So an exact way finishes the job (`exact`): in any common order, two similar sets share one of the first n - ceil(least n) + 1
 shingles of each. The order is that of the hashes, with shingles last that stand in more than `HEAVY` of the groups found so
-far (counted by partial aggregation). A document gives the first part of its hash order with its fingerprint; where heavy
-shingles use that part up, the whole set is read again. Members that share a prefix shingle with another group are first
-compared with that shingle's smallest member, and what then still lies in different groups is compared pair by pair, unless
-places and sizes rule it out. Without `exact`, the same runs over the members of segment keys that hold several groups alone.
+far. A document gives the first part of its hash order; where heavy shingles use that part up, the whole set is read again.
+Members that share a prefix shingle with another group are first compared with that shingle's smallest member, and what then
+still lies in different groups is compared pair by pair, unless sizes or the number of common prefix shingles rule it out.
+
+Members of one key or shingle stream through a task in sorted order, and nothing of them is held: a document has many keys and
+shingles, so the rows of even the most common one are a small part of all.
 
 Edge cases: null or wordless texts equal each other and nothing else; with fewer words than a shingle the whole sequence is the
 one shingle; ASCII case and white space don't count; rows with one identifier are one document, compared by each of its texts;
@@ -37,7 +39,9 @@ from skyfold.llm.simhash import majority
 #: Text bytes whose words are hashed at once.
 SLICE_BYTES = 2_000_000
 #: Groups from which a shingle comes last in the order, and what a document gives of its order beyond the prefix: a share and a number.
-HEAVY, SLACK, SLACK_LEAST = 64, 0.08, 6
+HEAVY, SLACK, SLACK_LEAST = 64, 0.04, 6
+#: Share of differing bits up to which candidates of the fingerprints are verified; the exact search finds what lies beyond.
+NEAR = 0.3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,14 +75,14 @@ def _prefix(size: int, least: float) -> int:
     return size - int(np.ceil(least * size - 1e-9)) + 1 if size else 0
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, segments: int, least: float) -> DataFrame:
-    """Per row: doc_id, set_key (a digest of its shingle set), the set's size and first part, and the fingerprint, two segments a number."""
+def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, segments: int) -> DataFrame:
+    """Per row: doc_id, set_key (a digest of its shingle set), the set's size and the fingerprint, two segments a number."""
     seeds = words.constants(segments // 2, seed)
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, firsts, prints, held, sizes, total = [], [], [], [], [], [], 0
+            keys, counts, prints, held, sizes, total = [], [], [], [], [], 0
 
             def flush(prints=prints, held=held, sizes=sizes) -> None:
                 every, n = np.concatenate(held), np.array(sizes, np.int64)
@@ -90,7 +94,6 @@ def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, se
             for shingles, distinct in _sets(batch.column(text), shingle):
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 counts.append(len(shingles))
-                firsts.append(shingles[: _prefix(len(shingles), least) + int(SLACK * len(shingles)) + SLACK_LEAST].tobytes())
                 held.append(distinct)
                 sizes.append(len(distinct))
                 total += len(distinct)
@@ -100,10 +103,10 @@ def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, se
             if held:
                 flush()
             found = np.concatenate(prints, axis=1) if prints else np.zeros((len(seeds), 0), np.int64)
-            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(firsts, pa.binary()), *map(pa.array, found)], names=["doc_id", "set_key", "size", "first", *(f"p{k}" for k in range(len(seeds)))])
+            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), *map(pa.array, found)], names=["doc_id", "set_key", "size", *(f"p{k}" for k in range(len(seeds)))])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, size long, first binary, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, size int, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
 
 
 def _whole(docs: DataFrame, doc_id: str, text: str, shingle: int, taken: DataFrame) -> DataFrame:
@@ -143,18 +146,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return named.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-@store.trimmed
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingle, size, at) of rows (node, bytes, size); at counts from 0 in the order of hashes."""
-    for batch in batches:
-        found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        at = np.concatenate([*(np.arange(n, dtype=np.int64) for n in lengths.tolist()), np.zeros(0, np.int64)])
-        row = pa.array(np.repeat(np.arange(len(found)), lengths))
-        yield pa.record_batch([batch.column(0).take(row), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), batch.column(2).take(row), pa.array(at)], names=["node", "shingle", "size", "at"])
+def _listed(docs: DataFrame, doc_id: str, text: str, shingle: int, sets: DataFrame, least: float | None) -> DataFrame:
+    """(node, shingle, at) of the first part, in the order of hashes, of the sets (node, set_key, id); of all of it without `least`."""
+
+    @store.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                wanted, rows, found = part.column("set_key").to_pylist(), [], []
+                for i, (own, _) in enumerate(_sets(part.column("text"), shingle)):
+                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == wanted[i]:  # not another text of that number
+                        rows.append(i)
+                        found.append(own if least is None else own[: _given(len(own), least)])
+                if not rows:
+                    continue
+                lengths = np.array([len(x) for x in found], np.int64)
+                at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths.tolist()])
+                node = part.column("node").take(pa.array(np.repeat(np.array(rows), lengths)))
+                yield pa.record_batch([node, pa.array(np.concatenate(found).view(np.int64)), pa.array(at)], names=["node", "shingle", "at"])
+
+    owners = sets.select(F.col("id").alias("_doc"), "set_key", "node")
+    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(owners, F.col("_id") == F.col("_doc"))
+    return named.select("node", "set_key", "text").mapInArrow(run, "node long, shingle long, at int")
 
 
-_LISTED = "node long, shingle long, size long, at long"
+def _given(size: int, least: float) -> int:
+    return min(size, _prefix(size, least) + int(SLACK * size) + SLACK_LEAST)
+
+
+@store.trimmed
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle those whose shingle occurs in several nodes; rows of one shingle may be repeated."""
+    held = None  # the last row, until the next one tells whether it stays
+    kept = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        s, n = whole.column("shingle").to_numpy(), whole.column("node").to_numpy()
+        same = s[1:] == s[:-1]
+        keep = np.zeros(len(s), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= kept
+        fresh = np.ones(len(s), bool)  # a row that is repeated counts once
+        fresh[1:] = ~(same & (n[1:] == n[:-1]))
+        held, kept = whole.slice(len(s) - 1), bool(keep[-1])
+        out = whole.slice(0, len(s) - 1).filter(pa.array((keep & fresh)[:-1]))
+        if not fresh[-1] and len(s) > 1:
+            held, kept = whole.slice(len(s) - 2, 1), bool(keep[-2])
+            out = whole.slice(0, len(s) - 2).filter(pa.array((keep & fresh)[:-2]))
+        if out.num_rows:
+            yield out
+    if held is not None and kept:
+        yield held
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -162,52 +208,61 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shingle", "group").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
 
 
-def _prefixes(members: DataFrame, whole: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """(node, group, shingle, size, place) of the prefix shingles that stand in several groups of the members (node, group, size, first)."""
-    rows = members.select("node", "first", "size").mapInArrow(_listed, _LISTED)
-    group = members.select("node", "group")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    shared = store.materialize(rows.join(often, "shingle").join(group, "node"), "shared-shingles")
+def _prefixes(members: DataFrame, listed: Callable[[DataFrame, float | None], DataFrame], least: float) -> DataFrame:
+    """(node, group, shingle, size) of the prefix shingles that stand in several groups of the members (node, group, size, ...)."""
+    about = members.select("node", "group", "size")
+    rows = listed(members, least).repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_repeated, "node long, shingle long, at int")
+    shared = store.materialize(rows.join(about, "node"), "shared-shingles")
     crossing = store.materialize(shared.join(_spread(shared), "shingle").withColumn("heavy", (F.col("groups") > HEAVY).cast("int")).drop("groups"), "crossing-shingles")
+    store.discard(shared)
     length = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
 
     # documents whose part is used up by heavy shingles are read whole
     given = F.least(F.col("size"), length + F.floor(F.col("size") * SLACK) + SLACK_LEAST)
     short = crossing.groupBy("node", "size").agg(F.sum("heavy").alias("heavy")).filter((given < F.col("size")) & (given - F.col("heavy") < length)).select("node")
     short = store.materialize(short, "short-prefixes")
+    used = [crossing, short]
     if not short.isEmpty():
-        more = store.materialize(whole(short).mapInArrow(_listed, _LISTED).join(group, "node"), "whole-prefixes")
-        others = rows.join(short, "node", "left_anti").join(more.select("shingle").distinct(), "shingle", "left_semi").join(group, "node")
+        more = store.materialize(listed(members.join(short, "node"), None).dropDuplicates(["node", "shingle"]).join(about, "node"), "whole-prefixes")
+        asked = more.select("shingle").distinct()
+        others = listed(members.join(short, "node", "left_anti"), least).dropDuplicates(["node", "shingle"]).join(asked, "shingle", "left_semi").join(about, "node")
         columns = ["shingle", "node", "size", "at", "group"]
         again = store.materialize(more.select(*columns).unionByName(others.select(*columns)), "more-shingles")
         heavy = crossing.filter("heavy = 1").select("shingle", "heavy").distinct()
-        again = again.join(_spread(again).select("shingle"), "shingle").join(heavy, "shingle", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
-        crossing = crossing.join(more.select("shingle").distinct(), "shingle", "left_anti").join(short, "node", "left_anti").unionByName(again.select(*crossing.columns))
+        found = again.join(_spread(again).select("shingle"), "shingle").join(heavy, "shingle", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
+        crossing = crossing.join(asked, "shingle", "left_anti").join(short, "node", "left_anti").unionByName(found.select(*crossing.columns))
+        used += [more, again]
 
     # shingles of one group keep their places but need no row; heavy ones come after all others
     along = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before, all_of = F.sum("heavy").over(along), F.sum("heavy").over(Window.partitionBy("node"))
     place = F.when(F.col("heavy") == 1, F.col("size") - all_of + before).otherwise(F.col("at") + 1 - before)
     first = crossing.withColumn("place", place).filter(F.col("place") <= length)
-    return store.materialize(first.select("node", "group", "shingle", "size", "place"), "prefix-shingles")
+    first = store.materialize(first.select("node", "group", "shingle", "size"), "prefix-shingles")
+    store.discard(*used)
+    return first
 
 
 def _crossing(first: DataFrame, least: float, star: bool) -> DataFrame:
-    """Pairs (a, b) of different groups that share a prefix shingle: with its smallest member, or all that can be similar."""
-    own = ["node", "group", "size", "place"]
+    """Pairs (a, b) of different groups that share prefix shingles: with each shingle's smallest member, or all that can be similar.
+
+    Of two sets, the one whose prefix ends earlier has all its shared prefix shingles in the other's prefix too, so no more than
+    these and what follows its prefix can be shared: pairs with fewer common prefix shingles than similarity asks for are out.
+    """
+    own = ["node", "group", "size"]
     low = first.groupBy("shingle").agg(F.min(F.struct(*own)).alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1")
     if star:
-        pairs = first.join(low, "shingle").filter(F.col("group") != F.col("low.group")).select("node", "size", "place", F.col("low.node").alias("x"), F.col("low.size").alias("m"), F.col("low.place").alias("at"))
+        pairs = first.join(low, "shingle").filter(F.col("group") != F.col("low.group")).select("node", "size", F.col("low.node").alias("x"), F.col("low.size").alias("m"))
     else:  # only pairs with a member outside the shingle's largest group are listed
         first = first.join(low.select("shingle"), "shingle", "left_semi")
         largest = first.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
         shared = first.join(largest, "shingle")
-        outside = shared.filter("group != largest").select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"), F.col("place").alias("at"))
+        outside = shared.filter("group != largest").select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"))
         pairs = outside.join(shared, "shingle").filter((F.col("g") != F.col("group")) & ((F.col("group") == F.col("largest")) | (F.col("x") < F.col("node"))))
-    # no more can be shared than follows the first shared shingle of either
-    left = F.least(F.col("size") - F.col("place"), F.col("m") - F.col("at")) + 1
-    possible = (left >= least / (1 + least) * (F.col("size") + F.col("m")) - 1e-9) & (F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9)
-    return pairs.filter(possible | (F.lit(star) & (F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9))).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    pairs = pairs.filter(F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9)
+    common = pairs.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("s"), F.max("m").alias("m"))
+    after = F.greatest(F.ceil(F.col("s") * least - 1e-9), F.ceil(F.col("m") * least - 1e-9)) - 1
+    return common.filter(F.col("c") + after >= least / (1 + least) * (F.col("s") + F.col("m")) - 1e-9).select("a", "b")
 
 
 def _variants(segments: int) -> str:
@@ -216,46 +271,62 @@ def _variants(segments: int) -> str:
     return f"flatten(transform(array({numbers}), (v, k) -> transform(sequence(0, 31), i -> shiftleft(cast(32 * k + i as bigint), 32) | (v & ~shiftleft(1L, i)))))"
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, segments: int = 6, exact: bool = True) -> DataFrame:
+@store.trimmed
+def _to_the_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, size) sorted by key and node: the key's smallest node a, b and both sizes."""
+    key, low, low_size = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, n, s = (batch.column(c).to_numpy() for c in ("key", "node", "size"))
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = k[1:] != k[:-1]
+        fresh[0] = k[0] != key
+        starts = np.where(fresh, np.arange(len(k)), -1)
+        at = np.maximum.accumulate(starts)
+        a, m = np.where(at < 0, low, n[at]), np.where(at < 0, low_size, s[at])
+        key, low, low_size = k[-1], a[-1], m[-1]
+        keep = a != n
+        yield pa.record_batch([pa.array(a[keep]), pa.array(n[keep]), pa.array(m[keep].astype(np.int32)), pa.array(s[keep].astype(np.int32))], names=["a", "b", "m", "s"])
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, segments: int = 4, exact: bool = True) -> DataFrame:
     """Per row: doc_id, set_key (a digest of its shingle set), component_id, the smallest doc_id that links of similarity `least`
     or more reach, and kept_key, the smallest set_key of that doc_id's texts in the component. Rows are the input's, not fewer."""
     if segments % 2 or segments < 2:
         raise ValueError("segments come in pairs")
-    marked = store.materialize(_marked(docs, doc_id, text, shingle, seed, segments, least), "shingle-sets")
+    marked = store.materialize(_marked(docs, doc_id, text, shingle, seed, segments), "shingle-sets")
     parts = [f"p{k}" for k in range(segments // 2)]
     # one word sequence or shingle set has one fingerprint, so any of its rows gives it
-    sets = marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts), F.max("size").alias("size"), F.first("first").alias("first"))
+    sets = marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts), F.max("size").alias("size"))
     sets = store.materialize(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
-    def whole(of: DataFrame) -> DataFrame:
-        """(node, hashes, size) of the nodes' sets."""
-        taken = of.select("node").distinct().join(sets.select("node", "set_key", "id"), "node")
-        return _whole(docs, doc_id, text, shingle, taken).select("node", "hashes", (F.octet_length("hashes") / 8).cast("long").alias("size"))
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = store.materialize(pairs, f"{name}-pairs")
-        taken = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        held = store.materialize(whole(taken), f"{name}-sets")
-        return store.materialize(_verified(pairs, held.select(F.col("node").alias("id"), "hashes"), least), f"{name}-links")
+        taken = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "set_key", "id"), "node")
+        held = store.materialize(_whole(docs, doc_id, text, shingle, taken), f"{name}-sets")
+        found = store.materialize(_verified(pairs, held.select(F.col("node").alias("id"), "hashes"), least), f"{name}-links")
+        store.discard(pairs, held)
+        return found
 
     def grouped(links: DataFrame) -> DataFrame:
         joined = connected_components(links).withColumnRenamed("node", "of")
         return sets.join(joined, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node"))
 
-    keyed = sets.select("node", F.explode(F.expr(_variants(segments))).alias("key"))
-    pivots = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    keyed = store.materialize(keyed.join(pivots, "key").select("key", "node", "pivot"), "segment-keys")
-    links = verified(keyed.filter("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "star")
-    members = store.materialize(grouped(links).select("node", "group", "size", "first"), "star-groups")
-    if not exact:
-        mixed = keyed.join(members.select("node", "group"), "node")
-        open_keys = mixed.groupBy("key").agg(F.min("group").alias("l"), F.max("group").alias("h"), F.count(F.lit(1)).alias("m")).filter("l != h AND m > 2").select("key")
-        members = store.materialize(members.join(mixed.join(open_keys, "key").select("node").distinct(), "node"), "open-members")
-    first = _prefixes(members, whole, least)
-    links = links.unionByName(verified(_crossing(first, least, True), "low"))
-    regrouped = grouped(links).select("node", F.col("group").alias("now"))
-    first = store.materialize(first.join(regrouped, "node").drop("group").withColumnRenamed("now", "group"), "regrouped")
-    links = links.unionByName(verified(_crossing(first, least, False), "cross"))
+    keyed = sets.select(F.explode(F.expr(_variants(segments))).alias("key"), "node", "size").repartition("key").sortWithinPartitions("key", "node")
+    stars = keyed.mapInArrow(_to_the_smallest, "a long, b long, m int, s int").filter(F.least("m", "s") >= least * F.greatest("m", "s") - 1e-9).select("a", "b").distinct()
+    prints = lambda c, o: sets.select(F.col("node").alias(c), *(F.col(p).alias(f"{o}{p}") for p in parts))
+    far = sum((F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in parts), F.lit(0))
+    stars = stars.join(prints("a", "x"), "a").join(prints("b", "y"), "b").filter(far <= int(NEAR * 32 * segments)).select("a", "b")
+    links = verified(stars, "star")
+    if exact:
+        members = store.materialize(grouped(links).select("node", "set_key", "id", "group", "size"), "star-groups")
+        first = _prefixes(members, lambda of, share: _listed(docs, doc_id, text, shingle, of, share), least)
+        links = links.unionByName(verified(_crossing(first, least, True), "low"))
+        regrouped = grouped(links).select("node", F.col("group").alias("now"))
+        again = store.materialize(first.join(regrouped, "node").drop("group").withColumnRenamed("now", "group"), "regrouped")
+        links = links.unionByName(verified(_crossing(again, least, False), "cross"))
+        store.discard(members, first, again)
 
     final = store.materialize(grouped(links).select("set_key", "id", "group"), "groups")
     least_of = final.groupBy("group").agg(F.min(F.struct("id", "set_key")).alias("low")).select(F.col("group").alias("of"), F.col("low.id").alias("component_id"), F.col("low.set_key").alias("kept_key"))

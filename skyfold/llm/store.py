@@ -35,7 +35,17 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyfold-{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `materialize` gave, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

