@@ -129,7 +129,7 @@ class Phases:
 
 def manifest(spark: SparkSession, directory: str) -> str:
     """One value for the paths, sizes and times of a directory's frame files."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fits,fit,ser,xisf,tif,tiff}").load(directory).select("path", "length", "modificationTime")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files.PATTERN).load(directory).select("path", "length", "modificationTime")
     n, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")), F.lit(0))).first()
     return f"{n}-{total}"
 

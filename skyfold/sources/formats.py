@@ -9,6 +9,8 @@ from typing import Any
 
 import numpy as np
 
+from skyfold.sources import tiff
+
 #: Fixed values of the formats.
 _FITS_BLOCK = 2880
 _FITS_TYPES = {8: ">u1", 16: ">i2", 32: ">i4", -32: ">f4", -64: ">f8"}
@@ -149,38 +151,11 @@ def write_xisf(a: np.ndarray, keywords: dict[str, Any] | None = None) -> bytes:
     return b"XISF0100" + struct.pack("<II", len(xml), 0) + xml + bytes(start - 16 - len(xml)) + body
 
 
-def tiff_tags(data: bytes) -> tuple[str, dict[int, list[int]]]:
-    """Byte order and whole-number tags of a TIFF's first page."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("no TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    sizes = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
-    tags: dict[int, list[int]] = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
-        if kind in sizes:
-            code, width = sizes[kind]
-            raw = entry[8:12] if n * width <= 4 else data[(o := struct.unpack(order + "I", entry[8:12])[0]) : o + n * width]
-            tags[tag] = list(struct.unpack(f"{order}{n}{code}", raw[: n * width]))
-    return order, tags
-
-
 def read_tiff(data: bytes) -> np.ndarray:
-    """First page of an uncompressed strip TIFF as float64: (height, width) or (height, width, channels), three at most."""
-    order, tags = tiff_tags(data)
-    if tags.get(259, [1])[0] != 1:
-        raise ValueError("only uncompressed TIFF is read")
-    width, height, channels = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-    bits, form = tags.get(258, [1])[0], tags.get(339, [1])[0]
-    kind = np.dtype(f"{order}{'f' if form == 3 else 'i' if form == 2 else 'u'}{bits // 8}")
-    body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    a = np.frombuffer(body, kind, width * height * channels).astype(np.float64)
-    if channels == 1:
-        return a.reshape(height, width)
-    a = a.reshape(channels, height, width).transpose(1, 2, 0) if tags.get(284, [1])[0] == 2 else a.reshape(height, width, channels)
-    return a[..., :3]
+    """First page of a TIFF as float64: (height, width) or (height, width, channels); of more than three channels the first three."""
+    order, found = tiff.directories(data)
+    a = tiff.page_array(data, order, found[0])
+    return a[..., 0] if a.shape[2] == 1 else a[..., :3]
 
 
 def write_tiff(a: np.ndarray) -> bytes:

@@ -19,7 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.functions import scalars as S
-from skyfold.sources import formats
+from skyfold.sources import formats, raw, tiff
+
+#: Endings of raw files of the TIFF/EP family, and of all files that are scanned (fixed values).
+RAW = ("dng", "nef", "nrw", "arw", "sr2", "pef", "3fr", "iiq", "cr2")
+PATTERN = "*.{" + ",".join(("fits", "fit", "fts", "ser", "xisf", "tif", "tiff", *RAW)) + "}"
 
 _SCHEMA = "path string, frame_index int, format string, header map<string,string>, channels int, height int, width int, data array<double>"
 
@@ -42,7 +46,7 @@ class Ranged:
 
 
 def _decode(path: str, data: bytes, samples: bool) -> list[tuple]:
-    """(index, format, header, array or None) of a file's frames."""
+    """(index, format, header, array or None) of a file's frames; an array is (height, width) or (channels, height, width)."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("fits", "fit", "fts"):
         if not samples:
@@ -53,10 +57,22 @@ def _decode(path: str, data: bytes, samples: bool) -> list[tuple]:
     if kind == "ser":
         h = formats.ser_header(data)
         text = {k: str(v) for k, v in h.items()}
-        return [(i, "ser", text, formats.read_ser(data, i) if samples else None) for i in range(h["frames"])]
+        planes = lambda a: a.transpose(2, 0, 1) if a.ndim == 3 else a
+        return [(i, "ser", text, planes(formats.read_ser(data, i)) if samples else None) for i in range(h["frames"])]
     if kind in ("tif", "tiff"):
-        _, tags = formats.tiff_tags(data)
-        return [(0, "tiff", {"NAXIS1": str(tags[256][0]), "NAXIS2": str(tags[257][0])}, formats.read_tiff(data) if samples else None)]
+        order, found = tiff.directories(data)
+        out = []
+        for i, page in enumerate(p for p in found if p.number(254) & 5 == 0):
+            channels = min(page.number(277, 1), 3)  # a fourth one is no colour
+            header = {"IMAGETYP": "Light Frame", "NAXIS": str(2 if channels == 1 else 3), "NAXIS1": str(page.number(256)), "NAXIS2": str(page.number(257))} | ({} if channels == 1 else {"NAXIS3": str(channels)})
+            out.append((i, "tiff", header, tiff.page_array(data, order, page)[..., :3].transpose(2, 0, 1) if samples else None))
+        return out
+    if kind in RAW:
+        try:
+            a, header = raw.read(data) if samples else (None, raw.header(data))
+        except ValueError as reason:  # one foreign file does not stop a scan; it has no samples
+            a, header = None, {"IMAGETYP": "Light Frame", "UNREAD": str(reason)}
+        return [(0, "raw", header, a)]
     if kind == "xisf":
         if not samples:
             return [(0, "xisf", formats.xisf_header(data)[1], None)]
@@ -65,7 +81,7 @@ def _decode(path: str, data: bytes, samples: bool) -> list[tuple]:
     return []
 
 
-def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = "*.{fits,fit,ser,xisf,tif,tiff}", recursive: bool = False) -> DataFrame:
+def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = PATTERN, recursive: bool = False) -> DataFrame:
     """Frames under a path: path, frame_index, format, header, channels, height, width and data (channels, rows, columns).
 
     Without samples, files of a mounted path are read only as far as their headers go; other file systems, which Arrow may not
@@ -78,7 +94,7 @@ def scan(spark: SparkSession, path: str, samples: bool = True, pattern: str = "*
             blobs = ((p, b.as_py()) for p, b in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)) if "content" in batch.schema.names else _headers(batch)
             for p, blob in blobs:
                 for index, kind, header, a in _decode(p, blob, samples):
-                    cube = None if a is None else a.transpose(2, 0, 1) if a.ndim == 3 and a.shape[-1] == 3 else a.reshape(-1, *a.shape[-2:])
+                    cube = None if a is None else a.reshape(-1, *a.shape[-2:])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([p]), pa.array([index], pa.int32()), pa.array([kind]), pa.array([list(header.items())], pa.map_(pa.string(), pa.string())),
@@ -175,6 +191,10 @@ def encode(frames: DataFrame, kind: str = "fits") -> DataFrame:
                     out.append(formats.write_fits(a[0] if c == 1 else a, dict(header or {})))
                 elif kind == "xisf":
                     out.append(formats.write_xisf(a, dict(header or {})))
+                elif kind == "tif":  # a page a plane, whole numbers
+                    out.append(tiff.write([np.rint(p)[..., None].astype("u2") for p in a], tiff.LZW, 2))
+                elif kind == "dng":
+                    out.append(raw.write_dng(np.rint(a[0]).astype("u2"), dict(header or {}).get("BAYERPAT", "RGGB")))
                 elif kind == "tiff":
                     out.append(formats.write_tiff(a))
                 elif kind == "png":
