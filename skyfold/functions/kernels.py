@@ -268,31 +268,6 @@ def contrast_denoise(a: np.ndarray, sigma: float = 1.5, k: float = 3.0) -> np.nd
     return w * s + (1 - w) * a
 
 
-def block_match(a: np.ndarray, sigma: float, block: int = 4, group: int = 8, search: int = 6) -> np.ndarray:
-    """Collaborative filtering: like blocks are stacked, transformed along the stack, thresholded and averaged back."""
-    h, w = a.shape
-    total, weights = np.zeros((h, w)), np.zeros((h, w))
-    step = max(1, block // 2)
-    views = np.lib.stride_tricks.sliding_window_view(a.astype(float), (block, block))
-    for y in {*range(0, h - block + 1, step), h - block}:
-        for x in {*range(0, w - block + 1, step), w - block}:
-            y0, x0 = max(0, y - search), max(0, x - search)
-            near = views[y0 : y + search + 1, x0 : x + search + 1]
-            d = ((near - views[y, x]) ** 2).mean((2, 3))
-            order = np.argsort(d, axis=None, kind="stable")[: 1 << (min(group, d.size).bit_length() - 1)]
-            ys, xs = np.unravel_index(order, d.shape)
-            stack = np.fft.fft(np.fft.fft2(near[ys, xs]), axis=0)
-            limit = 2.7 * sigma * block * len(order) ** 0.5
-            kept = np.abs(stack) >= limit
-            kept[0, 0, 0] = True
-            clean = np.fft.ifft2(np.fft.ifft(stack * kept, axis=0)).real
-            wt = 1 / max(1, int(kept.sum()))
-            for i in range(len(order)):
-                total[y0 + ys[i] : y0 + ys[i] + block, x0 + xs[i] : x0 + xs[i] + block] += wt * clean[i]
-                weights[y0 + ys[i] : y0 + ys[i] + block, x0 + xs[i] : x0 + xs[i] + block] += wt
-    return total / np.maximum(weights, 1e-12)
-
-
 def diffuse(a: np.ndarray, rounds: int = 10, kappa: float = 50.0, gamma: float = 0.1, option: int = 1) -> np.ndarray:
     """Anisotropic diffusion with periodic edges."""
     a, gamma = a.astype(float), min(max(gamma, 1e-6), 0.25)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyfold.functions import collaborative, detect
 from skyfold.functions import kernels as K
 from skyfold.functions import registration as R
 from skyfold.functions import restore
@@ -125,10 +126,10 @@ def register_to_reference(frames: DataFrame, references: DataFrame, group: Seque
             for name, d, r, h, w in zip(names, batch.column("data"), batch.column("r_data"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True):
                 if held != (name, h, w):
                     held, reference = (name, h, w), _array(r, h, w)
-                    stars = K.detect_stars(reference, k=sigma)
+                    stars = detect.detect(reference, k=sigma)
                 a = _array(d, h, w)
                 # a reference with too few stars leaves the shift, whatever the frame holds
-                found.append(R.register(reference, stars, a, K.detect_stars(a, k=sigma) if len(stars) >= R.LEAST_PAIRS else stars[:0]))
+                found.append(R.register(reference, stars, a, detect.detect(a, k=sigma) if len(stars) >= R.LEAST_PAIRS else stars[:0]))
             arrays = [*(batch.column(k) for k in (*group, frame)), *(pa.array([getattr(f, n) for f in found], types[t]) for n, t in FITS.items())]
             if cells:
                 sizes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)
@@ -233,7 +234,8 @@ FILTERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "non_local_means": lambda a: K.non_local_means(a, 80.0),
     "median_cascade": lambda a: K.median_cascade(a, 2),
     "contrast": lambda a: K.contrast_denoise(a),
-    "block_match": lambda a: K.block_match(a, K.mad_sigma(a)),
+    "block_match": lambda a: collaborative.block_match(a, K.mad_sigma(a)),
+    "rotational_gradient": lambda a: collaborative.rotational_gradient(a, (a.shape[0] - 1) / 2, (a.shape[1] - 1) / 2),
     "diffusion": lambda a: K.diffuse(a, 5, 200.0),
     "richardson_lucy": lambda a: K.richardson_lucy(a, K.moffat_psf(5, 1.2, 2.5), 5),
     "tv_deconvolution": lambda a: K.tv_deconvolve(a, K.moffat_psf(5, 1.2, 2.5), 10),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfold.functions import detect as D
 from skyfold.functions import kernels as K
 from skyfold.operators import combine as C
 from skyfold.operators import image_ops as I
@@ -41,6 +42,13 @@ def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "y", "x", "flux", "peak", "roundness")
 
 
+def local_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection on the local noise map, with significance and the number of samples over the noise."""
+    columns = {"y": "double", "x": "double", "flux": "double", "peak": "double", "roundness": "double", "snr": "double", "samples": "double"}
+    found = I.flat_map_frames(frames(spark, sf_dir), KEYS, columns, lambda a: D.detect(a, k=3.0, border=1, least_samples=1, roundest=1.0).tolist())
+    return _rounded(found, *columns)
+
+
 def frame_fwhm(spark: SparkSession, sf_dir: str) -> DataFrame:
     def measure(a):
         stars = K.detect_stars(a, k=3.0, border=1)
@@ -88,7 +96,7 @@ def postprocess_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(I.to_pixels(I.chain(whole, ["session"], ("hot_pixels", "background_mesh", "median_cascade", "reduce_stars", "local_contrast")), ["session"]), "v")
 
 
-QUERIES = {f"filter_{name}": _filtered(name) for name in I.FILTERS} | {q.__name__: q for q in (tiled_median, detect_stars, frame_fwhm, register_frames, drizzle, batch_stack, postprocess_chain)}
+QUERIES = {f"filter_{name}": _filtered(name) for name in I.FILTERS} | {q.__name__: q for q in (tiled_median, detect_stars, local_stars, frame_fwhm, register_frames, drizzle, batch_stack, postprocess_chain)}
 
 _MEDIAN_SQL = f"""WITH {PIXELS_SQL}, n AS (SELECT a.session, a.frame_id, a.y, a.x, b.v FROM px a, (VALUES (-1), (0), (1)) s(dy), (VALUES (-1), (0), (1)) t(dx), px b
     WHERE b.session = a.session AND b.frame_id = a.frame_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7))
@@ -120,6 +128,17 @@ def _lattice_sql(radius: int) -> str:
         WHERE b.session = a.session AND b.frame_id = a.frame_id AND b.y = {at("a.y + s.d")} AND b.x = {at("a.x + t.d")}"""
 
 
+def _rotational_sql(shift: float = 1.0, degrees: float = 15.0) -> str:
+    """Bilinear samples at the places turned by both signs of the angle and moved inwards, from four joins each."""
+    parts = [PIXELS_SQL, f"polar AS (SELECT *, y - 3.5::DOUBLE AS dy, x - 3.5::DOUBLE AS dx, greatest(sqrt((y - 3.5::DOUBLE) * (y - 3.5::DOUBLE) + (x - 3.5::DOUBLE) * (x - 3.5::DOUBLE)) - {shift}, 0) / sqrt((y - 3.5::DOUBLE) * (y - 3.5::DOUBLE) + (x - 3.5::DOUBLE) * (x - 3.5::DOUBLE)) AS k FROM px)"]
+    for name, t in (("a", degrees), ("b", -degrees)):
+        c, s = f"cos(radians({t}::DOUBLE))", f"sin(radians({t}::DOUBLE))"
+        parts.append(f"{name}0 AS (SELECT session, frame_id, y, x, least(greatest(3.5 + k * (dy * {c} - dx * {s}), 0), 7) AS sy, least(greatest(3.5 + k * (dy * {s} + dx * {c}), 0), 7) AS sx FROM polar)")
+        parts.append(f"{name}1 AS (SELECT *, least(floor(sy), 6)::INTEGER AS iy, least(floor(sx), 6)::INTEGER AS ix FROM {name}0)")
+        parts.append(f"{name} AS (SELECT t.session, t.frame_id, t.y, t.x, sum((CASE WHEN p.y = iy THEN 1 - (sy - iy) ELSE sy - iy END) * (CASE WHEN p.x = ix THEN 1 - (sx - ix) ELSE sx - ix END) * p.v) AS v FROM {name}1 t JOIN px p ON p.session = t.session AND p.frame_id = t.frame_id AND p.y IN (iy, iy + 1) AND p.x IN (ix, ix + 1) GROUP BY ALL)")
+    return "WITH " + ", ".join(parts) + " SELECT session, frame_id, y, x, round(2 * px.v - a.v - b.v, 3) AS v FROM px JOIN a USING (session, frame_id, y, x) JOIN b USING (session, frame_id, y, x)"
+
+
 _WEIGHT = "exp(-0.5 * dy * dy) * exp(-0.5 * dx * dx)"
 ORACLE_SQL = {
     "filter_median": _MEDIAN_SQL,
@@ -135,6 +154,7 @@ ORACLE_SQL = {
     "filter_gaussian": f"WITH {PIXELS_SQL}, n AS ({_around(4)}) SELECT session, frame_id, y, x, round(sum({_WEIGHT} * u) / sum({_WEIGHT}), 3) AS v FROM n GROUP BY session, frame_id, y, x",
     "filter_bilateral": f"""WITH {PIXELS_SQL}, n AS ({_around(3)}), w AS (SELECT *, exp(-(dy * dy + dx * dx) / 4.5::DOUBLE) * exp(-((u - v) * (u - v)) / 7200.0::DOUBLE) AS w FROM n)
         SELECT session, frame_id, y, x, round(sum(w * u) / sum(w), 3) AS v FROM w GROUP BY session, frame_id, y, x""",
+    "filter_rotational_gradient": _rotational_sql(),
     "filter_green_bilinear": f"""WITH {PIXELS_SQL}, n AS ({_lattice_sql(1)})
         SELECT session, frame_id, y, x, round(CASE WHEN (y + x) % 2 = 1 THEN any_value(v)
             ELSE sum((2 - abs(dy)) * (2 - abs(dx)) * u) FILTER ((ny + nx) % 2 = 1) / sum((2 - abs(dy)) * (2 - abs(dx))) FILTER ((ny + nx) % 2 = 1) END, 3) AS v

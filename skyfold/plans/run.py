@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyfold.functions import detect, restore
 from skyfold.functions import kernels as K
-from skyfold.functions import restore
 from skyfold.functions import scalars as S
 from skyfold.operators import combine as C
 from skyfold.operators import image_ops as I
@@ -190,7 +190,7 @@ def load_vignette(spark: SparkSession, path: str, height: int, width: int) -> Da
 def _measure(a: np.ndarray, sigma: float) -> list[tuple]:
     """snr, star_count, contrast, dynamic_range, fwhm and score of one frame."""
     sky, noise = float(np.median(a)), max(K.mad_sigma(a), 1e-6)
-    stars = K.detect_stars(a, k=sigma)
+    stars = detect.detect(a, k=sigma)
     p1, p95, p99 = np.percentile(a, [1, 95, 99])
     fwhm = K.measure_fwhm(a, stars)
     top = float(stars[:, 3].max()) if len(stars) else p95

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from skyfold.functions import collaborative
 from skyfold.functions import kernels as K
 
 
@@ -50,7 +51,7 @@ def test_denoisers_lower_noise_and_keep_the_level():
     clean = np.add.outer(np.linspace(0, 40, 32), np.linspace(0, 40, 32)) + 200
     noisy = clean + rng.normal(0, 8, clean.shape)
     before = np.sqrt(((noisy - clean) ** 2).mean())
-    for out in (K.denoise_starlet(noisy), K.denoise_bayes_shrink(noisy, 3), K.bilateral(noisy, 30.0), K.non_local_means(noisy, 12.0), K.median_cascade(noisy), K.contrast_denoise(noisy), K.block_match(noisy, 8.0), K.diffuse(noisy, 10, 40.0)):
+    for out in (K.denoise_starlet(noisy), K.denoise_bayes_shrink(noisy, 3), K.bilateral(noisy, 30.0), K.non_local_means(noisy, 12.0), K.median_cascade(noisy), K.contrast_denoise(noisy), collaborative.block_match(noisy, 8.0), K.diffuse(noisy, 10, 40.0)):
         assert np.sqrt(((out - clean) ** 2).mean()) < before
         assert abs(out.mean() - clean.mean()) < 2
 
