@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.functions import scalars as S
-from skyfold.sources import formats, raw, tiff
+from skyfold.sources import formats, jpeg, raw, tiff
 
 #: Endings of raw files of the TIFF/EP family, and of all files that are scanned (fixed values).
 RAW = ("dng", "nef", "nrw", "arw", "sr2", "pef", "3fr", "iiq", "cr2")
@@ -199,6 +199,8 @@ def encode(frames: DataFrame, kind: str = "fits") -> DataFrame:
                     out.append(formats.write_tiff(a))
                 elif kind == "png":
                     out.append(formats.write_png(formats.preview(a)))
+                elif kind == "jpg":
+                    out.append(jpeg.write_jpeg(formats.preview(a)))
                 elif kind == "ser":
                     out.append(formats.write_ser(np.rint(a)))
                 else:
