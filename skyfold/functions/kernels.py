@@ -385,15 +385,22 @@ def rigid_fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return out
 
 
-def rigid_ransac(src: np.ndarray, dst: np.ndarray, limit: float = 2.0, trials: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Rigid transform with the largest consensus, refitted on it: matrix and inlier mask."""
+def rigid_ransac(src: np.ndarray, dst: np.ndarray, limit: float = 2.0, trials: int = 200, seed: int = 0, certainty: float = 0.9999) -> tuple[np.ndarray, np.ndarray]:
+    """Rigid transform with the largest consensus, refitted on it: matrix and inlier mask.
+
+    The trials end once a sample of inliers alone has been drawn with the given certainty, by the share that agrees so far.
+    """
     rng, best = np.random.default_rng(seed), np.zeros(len(src), bool)
-    for _ in range(trials):
-        i = rng.choice(len(src), min(3, len(src)), replace=False)
+    size, done, needed = min(3, len(src)), 0, trials
+    while done < needed:
+        i = rng.choice(len(src), size, replace=False)
         t = rigid_fit(src[i], dst[i])
         ok = np.hypot(*(src @ t[:2, :2].T + t[:2, 2] - dst).T) < limit
+        done += 1
         if ok.sum() > best.sum():
             best = ok
+            pure = (ok.sum() / len(src)) ** size
+            needed = min(trials, done if pure >= 1 else int(np.ceil(np.log(1 - certainty) / np.log1p(-pure))))
     return (rigid_fit(src[best], dst[best]) if best.sum() >= 2 else np.eye(3)), best
 
 

@@ -61,6 +61,48 @@ def pyramid_shift(reference: np.ndarray, moving: np.ndarray, levels: int = 4, le
     return dy * 2**last, dx * 2**last
 
 
+def masked_shift(reference: np.ndarray, moving: np.ndarray, reference_valid: np.ndarray, moving_valid: np.ndarray, overlap: float = 0.3) -> tuple[float, float, float]:
+    """Shift (dy, dx) that brings `moving` onto `reference`, and its correlation, from the valid samples of both alone.
+
+    For every shift the correlation coefficient is taken over the samples that are valid in both, by transforms; shifts whose
+    common samples are fewer than `overlap` of the most that any shift has are out. A parabola through the peak refines it.
+    """
+    shape = [a + b - 1 for a, b in zip(reference.shape, moving.shape, strict=True)]
+    level = lambda a, m: np.where(m, a - a[m].mean(), 0.0) if m.any() else np.zeros(a.shape)
+    r, m = level(reference.astype(float), reference_valid), level(moving.astype(float), moving_valid)
+    f = lambda a: np.fft.rfft2(a, shape)
+    over = lambda a, b: np.fft.irfft2(a * np.conj(b), shape)
+    fr, fm, fr2, fm2, vr, vm = f(r), f(m), f(r * r), f(m * m), f(reference_valid.astype(float)), f(moving_valid.astype(float))
+    n = np.maximum(np.rint(over(vr, vm)), 0)
+    safe = np.maximum(n, 1)
+    sr, sm = over(fr, vm), over(vr, fm)
+    spread = np.maximum(over(fr2, vm) - sr * sr / safe, 0) * np.maximum(over(vr, fm2) - sm * sm / safe, 0)
+    good = (n >= max(overlap * n.max(), 2)) & (spread > 1e-12 * max(spread.max(), 1e-30))
+    c = np.where(good, (over(fr, fm) - sr * sm / safe) / np.sqrt(np.where(good, spread, 1.0)), -1.0)
+    peak = np.unravel_index(c.argmax(), c.shape)
+    out = []
+    for axis, p in enumerate(peak):
+        line = np.take(c, peak[1 - axis], 1 - axis)
+        size = len(line)
+        a, b, d = line[(p - 1) % size], line[p], line[(p + 1) % size]
+        bend = a - 2 * b + d
+        sub = 0.5 * (a - d) / bend if bend < -1e-12 and min(a, d) > -1 else 0.0
+        out.append((p if p < reference.shape[axis] else p - size) + sub)
+    return float(out[0]), float(out[1]), float(c[peak])
+
+
+def clear_samples(a: np.ndarray, cell: int = 16, limit: float = 4.0) -> np.ndarray:
+    """Where the sky lies near the frame's own level: cells whose median is `limit` times the usual scatter of cells off it are not clear."""
+    h, w = a.shape
+    ny, nx = max(1, h // cell), max(1, w // cell)
+    grid = np.array([[np.median(a[i * h // ny : (i + 1) * h // ny, j * w // nx : (j + 1) * w // nx]) for j in range(nx)] for i in range(ny)])
+    low = np.percentile(grid, 25)  # clouds shine; the darker cells are the sky
+    own = grid[grid <= np.median(grid)]
+    ok = grid <= low + limit * max(K.mad_sigma(own), K.mad_sigma(a) / cell, 1e-9)
+    y, x = np.minimum(np.arange(h) * ny // h, ny - 1), np.minimum(np.arange(w) * nx // w, nx - 1)
+    return ok[np.ix_(y, x)]
+
+
 def mutual_pairs(src: np.ndarray, dst: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of points that are each other's nearest within the radius."""
     if not len(src) or not len(dst):
@@ -118,7 +160,8 @@ def _settle(shape: tuple[int, int], src: np.ndarray, dst: np.ndarray, start: np.
 
 
 def register(reference: np.ndarray, reference_stars: np.ndarray, moving: np.ndarray, moving_stars: np.ndarray, radius: float = 6.0, most: int = 200, blind: int = 30) -> Fit:
-    """Places a frame on its reference: stars near the correlation's shift, else stars by equal distances, else the shift.
+    """Places a frame on its reference: stars near the correlation's shift, else stars by equal distances, else the shift; where
+    clouds cover parts of a frame, the shift of the clear parts.
 
     Stars are rows (y, x, ...), brightest first; the `most` brightest decide. Frames that are turned so far that the shift
     pairs no stars are matched through the distances among the `blind` brightest.
@@ -131,4 +174,10 @@ def register(reference: np.ndarray, reference_stars: np.ndarray, moving: np.ndar
         t, agreed = T.rigid_from_pairs(src[:blind], dst[:blind])
         if agreed >= LEAST_PAIRS:
             fit = _settle(shape, src, dst, t, 3.0, "distances")
+    if fit is None:
+        valid = clear_samples(reference), clear_samples(moving)
+        if min(v.mean() for v in valid) < 0.95 and all(v.mean() > 0.1 for v in valid):  # parts of a frame are covered
+            my, mx, agreement = masked_shift(reference, moving, *valid)
+            if agreement > 0.3:
+                return Fit(my, mx, method="masked")
     return fit or Fit(dy, dx)
