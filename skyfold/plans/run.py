@@ -67,6 +67,9 @@ class StackPlan:
     elastic: bool = False
     #: A folder of calibration frames besides those that lie with the lights.
     calibration: str = ""
+    #: Steps of plans/post.py, run on the whole image after `post`, and a folder for previews of each.
+    chain: tuple[str, ...] = ()
+    sidecars: str = ""
 
     @staticmethod
     def from_toml(text: str, **explicit: object) -> StackPlan:
@@ -324,8 +327,12 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
     frames = planes(named, ["frame_id", "frame_type"])
     result = stack_frames(spark, frames, plan, output, inputs, vignette, named.select("frame_id", "frame_type", "header"))
     image = _one_image(T.to_planes(result["tiles"], ["channel"]), plan.post) if "tiles" in result else whole_image(spark, result["stack"], plan.post)
+    if plan.chain:
+        from skyfold.plans import post
+
+        image, _ = post.run_chain(spark, image, ["frame_id"], plan.chain, output, f"{plan.key()}-{inputs}", plan.sidecars or None)
     counts = result["metrics"].agg(F.count(F.lit(1)), F.count(F.when(F.col("accepted"), 1)), F.avg(F.when(F.col("fwhm") > 0, F.col("fwhm")))).first()
-    header = {"RAWSTACK": "T" if not plan.post else "F", "NFRAMES": str(counts[1]), "NTOTAL": str(counts[0]), "COMBINE": plan.combine, "FWHM": f"{counts[2] or 0:.3f}"}
+    header = {"RAWSTACK": "F" if plan.post or plan.chain else "T", "NFRAMES": str(counts[1]), "NTOTAL": str(counts[0]), "COMBINE": plan.combine, "FWHM": f"{counts[2] or 0:.3f}"}
     titled = image.select(F.lit("stack").alias("name"), F.create_map(*[F.lit(x) for kv in header.items() for x in kv]).alias("header"), "channels", "height", "width", "data")
     for kind in plan.formats:
         files.write_files(files.encode(titled, kind), output).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.operators import tiles as T
-from skyfold.plans import calibration, neighbourhood, stacking
+from skyfold.plans import calibration, neighbourhood, post, stacking
 from skyfold.plans.files import shared_folder
 from skyfold.plans.live import _stream
 from skyfold.plans.run import StackPlan
@@ -76,8 +76,19 @@ def matched_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.join(names, "light_group").select("iso", "exptime", "filter", "kind", "y", "x", "value", F.col("n_used").alias("frames")), "value")
 
 
+def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's clipped stack through a stored post-processing plan, with the reasons of refused steps."""
+    planes = T.to_planes(T.stack_frames(neighbourhood.frames(spark, sf_dir), ["session"], "frame_id", "sigma_clip"), ["session"])
+    images = planes.select("session", F.lit(1).alias("channels"), "height", "width", "data")
+    steps = ("hot_pixels", "saturated", "flatten", "chroma", "cascade", "sharpen", "reduce_stars", "local_contrast")
+    done, said = post.run_chain(spark, images, ["session"], steps, shared_folder(spark, "post-plan"))
+    refused = said.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("skipped").isNotNull(), F.concat("applied", F.lit(": "), "skipped")))), "; ").alias("refused"))
+    px = done.join(refused, "session").select("session", "refused", F.posexplode("data").alias("p", "v"))
+    return _rounded(px.select("session", F.floor(F.col("p") / SIDE).cast("int").alias("y"), (F.col("p") % SIDE).cast("int").alias("x"), "v", "refused"), "v")
+
+
 _METHODS = ("median", "sigma_clip", "winsorized", "percentile", "linear_fit", "trimmed_mean", "esd")
-QUERIES = {f"tile_{m}": _stack(m) for m in _METHODS} | {q.__name__: q for q in (tile_weighted_mean, live_tile_stack, calibration_sets, matched_masters)}
+QUERIES = {f"tile_{m}": _stack(m) for m in _METHODS} | {q.__name__: q for q in (tile_weighted_mean, live_tile_stack, calibration_sets, matched_masters, post_plan)}
 
 _SETS_SQL = """about AS (SELECT vec_id AS frame_id, ['light', 'dark', 'light', 'flat'][1 + vec_id % 4] AS kind, CASE WHEN vec_id % 4 = 3 THEN 1.0 WHEN vec_id // 4 % 2 = 0 THEN 30.0 ELSE 60.0 END::DOUBLE AS exptime,
         CASE WHEN vec_id // 8 % 2 = 0 THEN '800' ELSE '1600' END AS iso, vec_id % 5 - 10 AS temp, CASE WHEN vec_id // 16 % 2 = 0 THEN 'Ha' ELSE 'OIII' END AS filter FROM embeddings),
