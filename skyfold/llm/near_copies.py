@@ -11,7 +11,7 @@ So an exact way finishes the job (`exact`): in any common order, two similar set
 shingles of each. The order is that of the hashes, with shingles last that stand in more than `HEAVY` of the groups found so
 far. A document gives the first part of its hash order; where heavy shingles use that part up, the whole set is read again.
 Members that share a prefix shingle with another group are first compared with that shingle's smallest member, and what then
-still lies in different groups is compared pair by pair, unless sizes or the number of common prefix shingles rule it out.
+still lies in different groups is compared pair by pair, unless sizes or the first common shingle's places rule it out.
 
 Members of one key or shingle stream through a task in sorted order, and nothing of them is held: a document has many keys and
 shingles, so the rows of even the most common one are a small part of all.
@@ -39,7 +39,9 @@ from skyfold.llm.simhash import majority
 #: Text bytes whose words are hashed at once.
 SLICE_BYTES = 2_000_000
 #: Groups from which a shingle comes last in the order, and what a document gives of its order beyond the prefix: a share and a number.
-HEAVY, SLACK, SLACK_LEAST = 64, 0.04, 6
+HEAVY, SLACK, SLACK_LEAST = 8, 0.1, 6
+#: Bytes of whole sets up to which they go to the executors instead of being shuffled to their pairs.
+HELD_BYTES = 64 << 20
 #: Share of differing bits up to which candidates of the fingerprints are verified; the exact search finds what lies beyond.
 NEAR = 0.3
 
@@ -209,7 +211,7 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, listed: Callable[[DataFrame, float | None], DataFrame], least: float) -> DataFrame:
-    """(node, group, shingle, size) of the prefix shingles that stand in several groups of the members (node, group, size, ...)."""
+    """(node, group, shingle, size, place) of the prefix shingles that stand in several groups of the members (node, group, size, ...)."""
     about = members.select("node", "group", "size")
     rows = listed(members, least).repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_repeated, "node long, shingle long, at int")
     shared = store.materialize(rows.join(about, "node"), "shared-shingles")
@@ -238,31 +240,34 @@ def _prefixes(members: DataFrame, listed: Callable[[DataFrame, float | None], Da
     before, all_of = F.sum("heavy").over(along), F.sum("heavy").over(Window.partitionBy("node"))
     place = F.when(F.col("heavy") == 1, F.col("size") - all_of + before).otherwise(F.col("at") + 1 - before)
     first = crossing.withColumn("place", place).filter(F.col("place") <= length)
-    first = store.materialize(first.select("node", "group", "shingle", "size"), "prefix-shingles")
+    first = store.materialize(first.select("node", "group", "shingle", "size", "place"), "prefix-shingles")
     store.discard(*used)
     return first
 
 
 def _crossing(first: DataFrame, least: float, star: bool) -> DataFrame:
-    """Pairs (a, b) of different groups that share prefix shingles: with each shingle's smallest member, or all that can be similar.
+    """Pairs (a, b) of different groups that can be similar: with each shingle's smallest member, or all.
 
-    Of two sets, the one whose prefix ends earlier has all its shared prefix shingles in the other's prefix too, so no more than
-    these and what follows its prefix can be shared: pairs with fewer common prefix shingles than similarity asks for are out.
+    Of two similar sets the smaller one has a common shingle already among its first n - ceil(2 least n / (1 + least)) + 1, and
+    the larger one in its prefix; no more can be common than follows the first common shingle in either.
     """
-    own = ["node", "group", "size"]
-    low = first.groupBy("shingle").agg(F.min(F.struct(*own)).alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1")
+    index = F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - 1e-9) + 1
+    low = first.filter(index).groupBy("shingle").agg(F.min(F.struct("size", "node", "group", "place")).alias("low"))
+    mixed = first.groupBy("shingle").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1").select("shingle")
+    first = first.join(mixed, "shingle", "left_semi")
+    smaller = lambda rows: rows.filter(index).select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"), F.col("place").alias("at"))
     if star:
-        pairs = first.join(low, "shingle").filter(F.col("group") != F.col("low.group")).select("node", "size", F.col("low.node").alias("x"), F.col("low.size").alias("m"))
-    else:  # only pairs with a member outside the shingle's largest group are listed
-        first = first.join(low.select("shingle"), "shingle", "left_semi")
+        pairs = first.join(low, "shingle").select("shingle", "node", "group", "size", "place", F.col("low.node").alias("x"), F.col("low.group").alias("g"), F.col("low.size").alias("m"), F.col("low.place").alias("at"))
+    else:  # of a shingle's largest group and the others, no two members of the largest meet
         largest = first.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
         shared = first.join(largest, "shingle")
-        outside = shared.filter("group != largest").select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"))
-        pairs = outside.join(shared, "shingle").filter((F.col("g") != F.col("group")) & ((F.col("group") == F.col("largest")) | (F.col("x") < F.col("node"))))
-    pairs = pairs.filter(F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9)
-    common = pairs.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("s"), F.max("m").alias("m"))
-    after = F.greatest(F.ceil(F.col("s") * least - 1e-9), F.ceil(F.col("m") * least - 1e-9)) - 1
-    return common.filter(F.col("c") + after >= least / (1 + least) * (F.col("s") + F.col("m")) - 1e-9).select("a", "b")
+        inside, outside = shared.filter("group = largest").drop("largest"), shared.filter("group != largest").drop("largest")
+        pairs = smaller(outside).join(shared.drop("largest"), "shingle").unionByName(smaller(inside).join(outside, "shingle").select("shingle", "x", "g", "m", "at", "node", "group", "size", "place"))
+    fits = (F.col("g") != F.col("group")) & (F.col("m") <= F.col("size")) & (F.col("m") >= least * F.col("size") - 1e-9)
+    common = pairs.filter(fits).groupBy("x", "node").agg(F.min("place").alias("i"), F.min("at").alias("j"), F.max("size").alias("s"), F.max("m").alias("m"))
+    left = F.least(F.col("s") - F.col("i"), F.col("m") - F.col("j")) + 1
+    possible = F.lit(star) | (left >= least / (1 + least) * (F.col("s") + F.col("m")) - 1e-9)
+    return common.filter(possible).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _variants(segments: int) -> str:
@@ -305,7 +310,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
         pairs = store.materialize(pairs, f"{name}-pairs")
         taken = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "set_key", "id"), "node")
         held = store.materialize(_whole(docs, doc_id, text, shingle, taken), f"{name}-sets")
-        found = store.materialize(_verified(pairs, held.select(F.col("node").alias("id"), "hashes"), least), f"{name}-links")
+        whole = held.select(F.col("node").alias("id"), "hashes")
+        if (held.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) <= HELD_BYTES:
+            whole = F.broadcast(whole)
+        found = store.materialize(_verified(pairs, whole, least), f"{name}-links")
         store.discard(pairs, held)
         return found
 
