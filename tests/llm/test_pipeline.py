@@ -140,7 +140,7 @@ def test_pipeline_takes_empty_tables(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     cursor = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]
