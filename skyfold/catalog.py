@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyfold.plans import corrections, files, frames, imaging, live, matching, neighbourhood, stacking, stars, targets, tiled
+from skyfold.plans import corrections, files, frames, imaging, live, matching, neighbourhood, panels, stacking, stars, targets, tiled
 
 FLAGSHIP = "stack_sigma_clip"
-_MODULES = (stacking, frames, matching, imaging, neighbourhood, stars, targets, corrections, files, live, tiled)
+_MODULES = (stacking, frames, matching, imaging, neighbourhood, stars, targets, corrections, files, live, tiled, panels)
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

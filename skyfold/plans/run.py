@@ -333,6 +333,7 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
         image, _ = post.run_chain(spark, image, ["frame_id"], plan.chain, output, f"{plan.key()}-{inputs}", plan.sidecars or None)
     counts = result["metrics"].agg(F.count(F.lit(1)), F.count(F.when(F.col("accepted"), 1)), F.avg(F.when(F.col("fwhm") > 0, F.col("fwhm")))).first()
     header = {"RAWSTACK": "F" if plan.post or plan.chain else "T", "NFRAMES": str(counts[1]), "NTOTAL": str(counts[0]), "COMBINE": plan.combine, "FWHM": f"{counts[2] or 0:.3f}"}
+    header |= _facts(result["metrics"], named, plan.drizzle)
     titled = image.select(F.lit("stack").alias("name"), F.create_map(*[F.lit(x) for kv in header.items() for x in kv]).alias("header"), "channels", "height", "width", "data")
     for kind in plan.formats:
         files.write_files(files.encode(titled, kind), output).collect()
@@ -345,6 +346,25 @@ def stack_directory(spark: SparkSession, directory: str, output: str, plan: Stac
     return result | {"image": image}
 
 
+def _facts(metrics: DataFrame, named: DataFrame, scale: float) -> dict[str, str]:
+    """Keywords of a stack from its frames' headers: total exposure and dates of the accepted ones, and the sky solution of the
+    frame whose grid the stack lies on (finer by `scale`)."""
+    head = lambda *names: F.coalesce(*(F.try_element_at("header", F.lit(n)) for n in names))
+    used = metrics.filter("accepted").select("frame_id", "score").join(named.select("frame_id", "header"), "frame_id")
+    reference = F.max_by("header", F.struct("score", -F.col("frame_id")))
+    exposure = S.header_number(F.col("header"), "EXPTIME", "EXPOSURE")
+    row = used.agg(F.sum(exposure).alias("seconds"), F.min(head("DATE-OBS")).alias("first"), F.max(head("DATE-OBS")).alias("last"), reference.alias("header")).first()
+    out = {k: v for k, v in (("DATEFRST", row["first"]), ("DATELAST", row["last"])) if v}
+    if row["seconds"] is not None:
+        out["TOTEXP"] = f"{row['seconds']:.3f}"
+    sky = {k: v for k, v in (row["header"] or {}).items() if k in (*files.SKY, "CTYPE1", "CTYPE2")}
+    if scale != 1.0:
+        # pixel i of the frame is pixel scale * i of the stack, both counted from 0
+        move = {k: (lambda v: (v - 1) * scale + 1) if k.startswith("CRPIX") else (lambda v: v / scale) for k in sky if k.startswith(("CRPIX", "CD"))}
+        sky |= {k: repr(f(float(sky[k]))) for k, f in move.items()}
+    return out | sky
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """The quality report's rows."""
     name = F.element_at(F.split("path", "/"), -1)

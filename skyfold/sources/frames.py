@@ -179,6 +179,20 @@ def write_files(encoded: DataFrame, directory: str) -> DataFrame:
     return encoded.select("name", "content").mapInArrow(run, "name string, bytes long")
 
 
+#: Keywords of a sky solution, which files hold as numbers (fixed values).
+SKY = ("CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CD1_1", "CD1_2", "CD2_1", "CD2_2", "CDELT1", "CDELT2", "CROTA1", "CROTA2", "PC1_1", "PC1_2", "PC2_1", "PC2_2")
+
+
+def _numbers(header: dict[str, str]) -> dict[str, object]:
+    out: dict[str, object] = dict(header)
+    for k in SKY:
+        try:
+            out |= {k: float(out[k])} if k in out else {}
+        except (TypeError, ValueError):
+            pass  # kept as text
+    return out
+
+
 def encode(frames: DataFrame, kind: str = "fits") -> DataFrame:
     """(name, content) for frames (name, header map, channels, height, width, data)."""
 
@@ -188,7 +202,7 @@ def encode(frames: DataFrame, kind: str = "fits") -> DataFrame:
             for name, header, c, h, w, d in zip(*(batch.column(n).to_pylist() for n in ("name", "header", "channels", "height", "width")), batch.column("data"), strict=True):
                 a = np.asarray(d.values.to_numpy(zero_copy_only=False), float).reshape(c, h, w)
                 if kind == "fits":
-                    out.append(formats.write_fits(a[0] if c == 1 else a, dict(header or {})))
+                    out.append(formats.write_fits(a[0] if c == 1 else a, _numbers(dict(header or {}))))
                 elif kind == "xisf":
                     out.append(formats.write_xisf(a, dict(header or {})))
                 elif kind == "tif":  # a page a plane, whole numbers
