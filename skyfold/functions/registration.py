@@ -98,7 +98,7 @@ def clear_samples(a: np.ndarray, cell: int = 16, limit: float = 4.0) -> np.ndarr
     grid = np.array([[np.median(a[i * h // ny : (i + 1) * h // ny, j * w // nx : (j + 1) * w // nx]) for j in range(nx)] for i in range(ny)])
     low = np.percentile(grid, 25)  # clouds shine; the darker cells are the sky
     own = grid[grid <= np.median(grid)]
-    ok = grid <= low + limit * max(K.mad_sigma(own), K.mad_sigma(a) / cell, 1e-9)
+    ok = grid <= low + limit * max(K.mad_sigma(own), K.neighbour_noise(a) / 2, 1e-9)  # less than that is a star, not a cloud
     y, x = np.minimum(np.arange(h) * ny // h, ny - 1), np.minimum(np.arange(w) * nx // w, nx - 1)
     return ok[np.ix_(y, x)]
 
