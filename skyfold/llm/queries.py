@@ -137,7 +137,7 @@ ORACLE_SQL: dict[str, str] = {
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+            FROM (SELECT vec_id, min(v) AS v FROM whole WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN whole c ON c.vec_id <> q.vec_id
         ), ranked AS (
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
         )

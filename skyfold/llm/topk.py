@@ -17,7 +17,7 @@ beyond (a product that outgrows those wraps around); the bounds carry a margin f
 Pivots are a bounded sample (the `pivots` smallest hashes of distinct identifiers). Edge cases: vectors that are null, hold
 null, NaN or infinite components or have a null identifier take no part; vectors of other lengths are compared over zero-filled components; fewer than k
 candidates give fewer rows; equal scores go by smaller identifier; repeated identifiers are all candidates and, if divisible,
-asked once; an empty table gives no rows.
+asked once, with the least of their vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     index = store.materialize(index, "annuli")
     rings = index.select("annulus", "pivot", "low", "high", "n")
 
-    asked = keyed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v", "pivot", "distance")
+    asked = keyed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "pivot", "distance")).alias("least")).select("vec_id", "least.*")
     # queries of one cell are dealt to salts, so that a cell with many is many tasks' work
     salts = asked.count() // (QUERY_BLOCK * 256) + 1
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))

@@ -153,7 +153,10 @@ def _repeated(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Stores the pages as bundles: (archive binary, index array of (page_id, frame, offset)), one row a bundle."""
+    """Stores the pages as bundles: (bundle string, archive binary, index array of (page_id, frame, offset)), one row a bundle.
+
+    `bundle` names the writing partition and the bundle's place there, so that lookups need not read archives to tell them apart.
+    """
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"), F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).alias("size"))
     again = store.materialize(_repeated(named, least_bytes), "digests")
@@ -167,12 +170,12 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, part, nameless = Bundle(), TaskContext.get().partitionId(), 0
+        bundle, part, nameless, written = Bundle(), TaskContext.get().partitionId(), 0, 0
 
         def out() -> pa.RecordBatch:
             ids, frames, offsets = zip(*bundle.index, strict=True)
             index = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(frames, pa.int32()), pa.array(offsets, pa.int32())], ["page_id", "frame", "offset"])
-            return pa.record_batch({"archive": pa.array([bundle.finish()], pa.binary()), "index": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), index)})
+            return pa.record_batch({"bundle": [f"{part:06d}-{written:06d}"], "archive": pa.array([bundle.finish()], pa.binary()), "index": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), index)})
 
         for batch in batches:
             for p, u, b, d, r in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
@@ -182,17 +185,18 @@ def write_bundles(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                 bundle.add(p, write_record(p, u.as_py(), date, payload, d.as_py(), r.as_py(), name, p is None and len(payload) >= least_bytes))
                 if bundle.size >= BUNDLE_BYTES:
                     yield out()
-                    bundle = Bundle()
+                    bundle, written = Bundle(), written + 1
         if bundle.index:
             yield out()
 
     shaped = joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return store.materialize(shaped.mapInArrow(run, "archive binary, index array<struct<page_id:long,frame:int,offset:int>>"), "bundles")
+    return store.materialize(shaped.mapInArrow(run, "bundle string, archive binary, index array<struct<page_id:long,frame:int,offset:int>>"), "bundles")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
-    """(page_id, bundle, frame, offset) of every record that has an identifier, for equality joins; bundle is a digest of its bytes."""
-    return bundles.select(F.sha1("archive").alias("bundle"), F.explode("index").alias("e")).filter("e.page_id IS NOT NULL").select("e.page_id", "bundle", "e.frame", "e.offset")
+    """(page_id, bundle, frame, offset) of every record that has an identifier, for equality joins; written as a table and sorted by page_id,
+    it answers lookups alone."""
+    return bundles.select("bundle", F.explode("index").alias("e")).filter("e.page_id IS NOT NULL").select("e.page_id", "bundle", "e.frame", "e.offset")
 
 
 def read_by_id(bundles: DataFrame, wanted: DataFrame, page_id: str = "page_id") -> DataFrame:
@@ -200,10 +204,10 @@ def read_by_id(bundles: DataFrame, wanted: DataFrame, page_id: str = "page_id")
 
     Identifiers that no record has give no row; one that several records have gives each.
     """
-    # the index is cut down to the wanted records before it meets the archives
-    entries = bundles.select(F.sha1("archive").alias("of"), F.explode("index").alias("e")).join(wanted.select(F.col(page_id).alias("_wanted")).distinct(), F.col("e.page_id") == F.col("_wanted"), "left_semi")
-    entries = entries.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("e.frame", "e.offset", "e.page_id"))).alias("entries"))
-    held = bundles.select("archive").dropDuplicates(["archive"]).join(entries, F.sha1("archive") == F.col("of")).select("archive", "entries")
+    # only the index column is read to cut it down to the wanted records; Spark broadcasts what is left where its size is small
+    entries = record_index(bundles).join(wanted.select(F.col(page_id).alias("page_id")).distinct(), "page_id", "left_semi")
+    entries = entries.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "page_id"))).alias("entries"))
+    held = bundles.select("bundle", "archive").join(entries, "bundle").select("archive", "entries")
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -518,6 +518,10 @@ def test_warc_takes_any_url_and_finds_records(spark):
     found = {r["page_id"]: bytes(r["record"]) for r in warc.read_by_id(bundles, wanted).collect()}
     assert set(found) == {3, 70, 71}
     assert found[71].endswith(b"\r\n\r\npage 5") and found[3].endswith(b"\r\n\r\n")
+    assert bundles.select("bundle").distinct().count() == bundles.count() > 1
+    # equal bundles of different partitions stay apart, and a repeated identifier gives each of its records
+    twice = spark.createDataFrame([(7, "u", "same")] * 2, "page_id long, url string, html string").repartition(2)
+    assert [bytes(r["record"])[-4:] for r in warc.read_by_id(warc.write_bundles(twice), wanted.limit(0).union(spark.range(8))).collect()] == [b"same"] * 2
 
 
 def test_warc_archive_is_plain_zstandard():
@@ -555,5 +559,8 @@ def test_topk(spark, monkeypatch):
             best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
             assert got[q] == [(i, -s) for s, i in best]
     assert set(got) == {q for q in whole if q % 50 == 0}
+    repeated = [(50, [2.0, 1.0]), (50, [1.0, 3.0]), (50, [1.0, 3.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0])]
+    asked = topk.top_k(spark.createDataFrame(repeated, "vec_id long, embedding array<double>"), pivots=2).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in asked] == [(50, 1, 3 * 256**2), (50, 1, 256**2)]  # the least vector asks
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     assert topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).collect()[0]["vec_id"] == 1
