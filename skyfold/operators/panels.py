@@ -29,21 +29,27 @@ GRID = ["grid_ra", "grid_dec", "grid_scale", "grid_left", "grid_bottom", "grid_h
 
 def solution(panels: DataFrame) -> DataFrame:
     """Panels with a column `wcs` of SOLUTION's fields from their headers; null where a panel is not solved."""
-    n = lambda *names: S.header_number(F.col("header"), *names)
-    turn = F.radians(F.coalesce(n("CROTA2"), F.lit(0.0)))
-    has_cd, has_pc = n("CD1_1").isNotNull(), n("PC1_1").isNotNull()
-    entry = lambda i, j, turned: (
-        F.when(has_cd, F.coalesce(n(f"CD{i}_{j}"), F.lit(0.0))).when(has_pc, n(f"CDELT{i}") * F.coalesce(n(f"PC{i}_{j}"), F.lit(0.0))).otherwise(turned)
-    )
-    c11, c12 = entry(1, 1, n("CDELT1") * F.cos(turn)), entry(1, 2, -n("CDELT2") * F.sin(turn))
-    c21, c22 = entry(2, 1, n("CDELT1") * F.sin(turn)), entry(2, 2, n("CDELT2") * F.cos(turn))
-    values = [n("CRVAL1"), n("CRVAL2"), n("CRPIX1") - 1, n("CRPIX2") - 1, c11, c12, c21, c22]
-    flat = F.upper(F.try_element_at("header", F.lit("CTYPE1"))).rlike("^RA-.*-TAN$") & F.upper(F.try_element_at("header", F.lit("CTYPE2"))).rlike("^DEC.*-TAN$")
-    known = flat
-    for v in values:
-        known = known & v.isNotNull() & ~F.isnan(v)
-    known = known & (F.abs(c11 * c22 - c12 * c21) > 1e-30)
-    return panels.withColumn("wcs", F.when(known, F.struct(*(v.cast("double").alias(s) for v, s in zip(values, SOLUTION, strict=True)))))
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731 - a value that is named is evaluated once
+    names = ("CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CDELT1", "CDELT2", "CROTA2", *(f"{m}{i}_{j}" for m in ("CD", "PC") for i in (1, 2) for j in (1, 2)))
+    numbers = F.struct(*(S.header_number(F.col("header"), n).alias(n) for n in names))
+
+    def solved(n: Column) -> Column:
+        turn, zero = F.radians(F.coalesce(n["CROTA2"], F.lit(0.0))), F.lit(0.0)
+        turned = {(1, 1): n["CDELT1"] * F.cos(turn), (1, 2): -n["CDELT2"] * F.sin(turn), (2, 1): n["CDELT1"] * F.sin(turn), (2, 2): n["CDELT2"] * F.cos(turn)}
+        scaled = lambda i, j: n[f"CDELT{i}"] * F.coalesce(n[f"PC{i}_{j}"], zero)
+        matrix = [F.when(n["CD1_1"].isNotNull(), F.coalesce(n[f"CD{i}_{j}"], zero)).when(n["PC1_1"].isNotNull(), scaled(i, j)).otherwise(turned[i, j]) for i in (1, 2) for j in (1, 2)]
+        values = [n["CRVAL1"], n["CRVAL2"], n["CRPIX1"] - 1, n["CRPIX2"] - 1, *matrix]
+        return F.struct(*(v.alias(s) for v, s in zip(values, SOLUTION, strict=True)))
+
+    def usable(w: Column) -> Column:
+        known = F.abs(w["c11"] * w["c22"] - w["c12"] * w["c21"]) > 1e-30
+        for s in SOLUTION:
+            known = known & w[s].isNotNull() & ~F.isnan(w[s])
+        return F.when(known, w)
+
+    kind = lambda name: F.upper(F.try_element_at("header", F.lit(name)))
+    flat = kind("CTYPE1").rlike("^RA-.*-TAN$") & kind("CTYPE2").rlike("^DEC.*-TAN$")
+    return panels.withColumn("wcs", F.when(flat, once(numbers, lambda n: once(solved(n), usable))))
 
 
 def _basis(ra: Column, dec: Column) -> list[tuple[Column, Column, Column]]:
