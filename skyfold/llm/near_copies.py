@@ -7,14 +7,19 @@ candidates whose fingerprints are not far apart are verified on the whole shingl
 key all members are compared with the smallest, so that a large group of copies costs a link a member. Where edits are
 scattered, this finds most pairs; where a fifth of a text is new in one block, the fingerprints lie farther apart.
 
-So an exact way finishes the job (`exact`): in any common order, two similar sets share one of the first n - ceil(least n) + 1
-shingles of each. The order is that of the hashes, with shingles last that stand in more than `HEAVY` of the groups found so
-far. A document gives the first part of its hash order; where heavy shingles use that part up, the whole set is read again.
-Members that share a prefix shingle with another group are first compared with that shingle's smallest member, and what then
-still lies in different groups is compared pair by pair, unless sizes or the number of common prefix shingles rule it out.
+An exact way finishes the job (`exact`), and all of it works on those sets alone that can have a partner. Similar sets share at
+least `least` of each one's shingles, so a census of all shingles comes first: slices of documents send their hashes, cut to 40
+bits and packed, to buckets, which count for every document how many stand in another one too. Sets with too few are settled;
+equal cut hashes only let a set through that need not be. Of the others the shingles are listed, those that no second one of
+them has are dropped, and the rest are ordered by the number of sets they stand in: in any common order, two similar sets share
+one of the first n - o + 1 shingles of each, o being the overlap that their sizes ask for.
 
-Members of one key or shingle stream through a task in sorted order, and nothing of them is held: a document has many keys and
-shingles, so the rows of even the most common one are a small part of all.
+Sets that share such a shingle are first compared with one set a shingle, in rounds with other pivots while shingles stand in
+more than `HEAVY` groups and links are found, so that a large group of near copies costs a link a member. What then still lies
+in different groups is compared pair by pair, unless the places of the shared shingle rule it out, or the numbers of repeated
+shingles in each of `PARTS` parts of the hash range, whose minima bound the overlap from above.
+
+Members of one key stream through a task in sorted order, and nothing of them is held.
 
 Edge cases: null or wordless texts equal each other and nothing else; with fewer words than a shingle the whole sequence is the
 one shingle; ASCII case and white space don't count; rows with one identifier are one document, compared by each of its texts;
@@ -24,22 +29,26 @@ rows without an identifier must be left out; an empty table gives no rows; other
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyfold.llm import store, words
 from skyfold.llm.components import connected_components
 from skyfold.llm.simhash import majority
+from skyfold.llm.substring_dedup import _from_planes, _planes
 
 #: Text bytes whose words are hashed at once.
 SLICE_BYTES = 2_000_000
-#: Groups from which a shingle comes last in the order, and what a document gives of its order beyond the prefix: a share and a number.
-HEAVY, SLACK, SLACK_LEAST = 64, 0.04, 6
+#: Groups a shingle and links found from which another round of pivots follows, and rounds at most.
+HEAVY, SLACK_LEAST, ROUNDS = 64, 6, 3
+#: Documents of a slice of the census, entries of a bucket, and parts of the hash range that bound an overlap.
+SLICE_DOCS, BUCKET_ENTRIES, PARTS = 500, 3_000_000, 32
 #: Share of differing bits up to which candidates of the fingerprints are verified; the exact search finds what lies beyond.
 NEAR = 0.3
 
@@ -109,160 +118,149 @@ def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, se
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, size int, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
 
 
-def _whole(docs: DataFrame, doc_id: str, text: str, shingle: int, taken: DataFrame) -> DataFrame:
-    """(node, hashes): whole shingle sets, as bytes, of the sets `taken` (node, set_key, id)."""
+def _texts(docs: DataFrame, doc_id: str, text: str, sets: DataFrame) -> DataFrame:
+    """(node, set_key, text) of the documents that `sets` (node, set_key, id, ...) names; another text of that number may be among them."""
+    owners = sets.select(F.col("id").alias("_doc"), "set_key", "node")
+    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(owners, F.col("_id") == F.col("_doc"))
+    return named.select("node", "set_key", "text")
+
+
+def _owned(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Nodes and shingle sets of every slice of a batch of `_texts`, without other texts of their numbers."""
+    for begin in range(0, batch.num_rows, SLICE_DOCS):
+        part = batch.slice(begin, SLICE_DOCS)
+        wanted, rows, found = part.column("set_key").to_pylist(), [], []
+        for i, (own, _) in enumerate(_sets(part.column("text"), shingle)):
+            if len(own) and hashlib.blake2b(own.tobytes(), digest_size=16).digest() == wanted[i]:
+                rows.append(i)
+                found.append(own)
+        if rows:
+            yield part.column("node").to_numpy()[rows], found
+
+
+def _census(texts: DataFrame, shingle: int, n_buckets: int) -> DataFrame:
+    """(node, repeated): of each set the number of shingles that stand in another one too, or that look so by 40 bits of their hashes."""
 
     @store.trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s, _ in _sets(batch.column(text), shingle)]
-            yield pa.record_batch([pa.array([hashlib.blake2b(f, digest_size=16).digest() for f in found], pa.binary()), pa.array(found, pa.binary())], names=["set_key", "hashes"])
+            for nodes, found in _owned(batch, shingle):
+                owner = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])
+                values = np.concatenate(found)
+                order = np.argsort(values)
+                values, owner = values[order], owner[order]
+                bucket = ((values >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                chunk = int.from_bytes(hashlib.blake2b(nodes.tobytes(), digest_size=8).digest(), "little", signed=True)
+                keys = [_planes((values[cuts[u] : cuts[u + 1]] >> np.uint64(24)).astype(np.int64)) for u in used]
+                owners = [owner[cuts[u] : cuts[u + 1]].astype("<u2").tobytes() for u in used]
+                # the nodes themselves travel once
+                yield pa.record_batch([pa.array([*used, -1 - chunk % n_buckets], pa.int64()), pa.array([chunk] * (len(used) + 1), pa.int64()), pa.array([*keys, None], pa.binary()), pa.array([*map(zstandard.compress, owners), nodes.tobytes()], pa.binary())], names=["bucket", "chunk", "keys", "owners"])
+
+    def counted(group: pa.Table) -> pa.Table:
+        if group["bucket"][0].as_py() < 0:
+            return pa.table({"chunk": group["chunk"], "nodes": group["owners"], "counts": pa.nulls(len(group), pa.binary())})
+        lists = [_from_planes(x.as_py(), np.int64) for x in group["keys"]]
+        values = np.concatenate(lists)
+        order = np.argsort(values)
+        same = np.diff(values[order]) == 0
+        again = np.zeros(len(values), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        ends, counts = np.cumsum([len(x) for x in lists]), []
+        for x, end, owners in zip(lists, ends, group["owners"], strict=True):
+            owner = np.frombuffer(zstandard.decompress(owners.as_py()), "<u2")
+            counts.append(zstandard.compress(np.bincount(owner[again[end - len(x) : end]]).astype("<u4").tobytes()))
+        return pa.table({"chunk": group["chunk"], "nodes": pa.nulls(len(group), pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    owners = taken.select(F.col("id").alias("_doc")).distinct()
-    named = docs.select(F.col(doc_id).alias("_id"), text).join(owners, F.col("_id") == F.col("_doc"), "left_semi")
-    return named.select(text).mapInArrow(run, "set_key binary, hashes binary").join(taken, "set_key").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    @store.trimmed
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, counts in zip(batch.column("nodes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                nodes = np.frombuffer(nodes, np.int64)
+                total = np.zeros(len(nodes), np.int32)
+                for blob in counts:
+                    part = np.frombuffer(zstandard.decompress(blob), "<u4")
+                    total[: len(part)] += part.astype(np.int32)
+                yield pa.record_batch([pa.array(nodes), pa.array(total)], names=["node", "repeated"])
 
+    # a slice's rows and their order are the same whenever a task runs again
+    packed = texts.sortWithinPartitions("node").mapInArrow(listed, "bucket long, chunk long, keys binary, owners binary")
+    found = packed.groupBy("bucket").applyInArrow(counted, "chunk long, nodes binary, counts binary")
+    found = found.groupBy("chunk").agg(F.max("nodes").alias("nodes"), F.collect_list("counts").alias("counts"))
+    return found.select("nodes", "counts").mapInArrow(summed, "node long, repeated int").groupBy("node").agg(F.max("repeated").alias("repeated"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+
+def _profiles(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the sets (node, size, ...) with enough shingles among `rows` (node, shingle) that another one has: held, these shingles as
+    bytes, first, those of them that lie in the set's prefix, alone, the number of others, and parts, counts by part of the hash range."""
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                few, many = sorted((len(x), len(y)))
-                if few < least * many - 1e-9:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (few + many - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found, sizes = batch.column("found"), batch.column("size").to_numpy()
+            ends = np.cumsum(np.diff(found.offsets.to_numpy()))
+            flat = found.flatten().field("shingle").to_numpy()
+            held, first, alone, parts = [], [], [], []
+            for size, begin, end in zip(sizes.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                own = flat[begin:end]
+                held.append(np.sort(own.view(np.uint64)).tobytes())
+                alone.append(size - len(own))
+                first.append(own[: max(0, _prefix(size, least) - alone[-1])])
+                parts.append(np.bincount(own.view(np.uint64).astype(np.int64) & (PARTS - 1), minlength=PARTS).astype(np.int16) if size < 1 << 15 else None)
+            yield pa.record_batch([batch.column("node"), pa.array(held, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(alone, pa.int32()), pa.array(parts, pa.list_(pa.int16()))], names=["node", "held", "first", "alone", "parts"])
+
+    count = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+    rows = rows.repartition("shingle").dropDuplicates(["shingle", "node"]).withColumn("n", count).filter("n > 1")
+    rows = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("found"))
+    rows = rows.join(sets.select("node", "size"), "node").filter(F.size("found") >= F.ceil(F.col("size") * least - 1e-9))
+    kind = "node long, held binary, first array<long>, alone int, parts array<short>"
+    return rows.select("node", "size", "found").mapInArrow(run, kind).join(sets, "node")
 
-    named = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    named = named.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return named.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
-
-def _listed(docs: DataFrame, doc_id: str, text: str, shingle: int, sets: DataFrame, least: float | None) -> DataFrame:
-    """(node, shingle, at) of the first part, in the order of hashes, of the sets (node, set_key, id); of all of it without `least`."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
 
     @store.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                wanted, rows, found = part.column("set_key").to_pylist(), [], []
-                for i, (own, _) in enumerate(_sets(part.column("text"), shingle)):
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == wanted[i]:  # not another text of that number
-                        rows.append(i)
-                        found.append(own if least is None else own[: _given(len(own), least)])
-                if not rows:
-                    continue
-                lengths = np.array([len(x) for x in found], np.int64)
-                at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths.tolist()])
-                node = part.column("node").take(pa.array(np.repeat(np.array(rows), lengths)))
-                yield pa.record_batch([node, pa.array(np.concatenate(found).view(np.int64)), pa.array(at)], names=["node", "shingle", "at"])
+            keep = []
+            for x, y, both_sizes in zip(batch.column("x"), batch.column("y"), batch.column("sizes").to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+                keep.append(both >= least * (both_sizes - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    owners = sets.select(F.col("id").alias("_doc"), "set_key", "node")
-    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(owners, F.col("_id") == F.col("_doc"))
-    return named.select("node", "set_key", "text").mapInArrow(run, "node long, shingle long, at int")
+    side = lambda node, held, size: sets.select(F.col("node").alias(node), F.col("held").alias(held), F.col("size").alias(size))
+    named = pairs.join(side("b", "y", "m"), "b").join(side("a", "x", "s"), "a")
+    return named.select("a", "b", "x", "y", (F.col("m") + F.col("s")).alias("sizes")).mapInArrow(run, "a long, b long")
 
 
-def _given(size: int, least: float) -> int:
-    return min(size, _prefix(size, least) + int(SLACK * size) + SLACK_LEAST)
+def _possible(least: float) -> Column:
+    """Whether sets of sizes `size` and `m` can be similar, by sizes and by what their parts have in common at most."""
+    shared = F.expr(" + ".join(f"cast(least(parts[{k}], w[{k}]) as int)" for k in range(PARTS)))
+    near = F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9
+    return near & F.coalesce(shared >= least / (1 + least) * (F.col("size") + F.col("m")) - 1e-9, F.lit(True))
 
 
-@store.trimmed
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle those whose shingle occurs in several nodes; rows of one shingle may be repeated."""
-    held = None  # the last row, until the next one tells whether it stays
-    kept = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        s, n = whole.column("shingle").to_numpy(), whole.column("node").to_numpy()
-        same = s[1:] == s[:-1]
-        keep = np.zeros(len(s), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= kept
-        fresh = np.ones(len(s), bool)  # a row that is repeated counts once
-        fresh[1:] = ~(same & (n[1:] == n[:-1]))
-        held, kept = whole.slice(len(s) - 1), bool(keep[-1])
-        out = whole.slice(0, len(s) - 1).filter(pa.array((keep & fresh)[:-1]))
-        if not fresh[-1] and len(s) > 1:
-            held, kept = whole.slice(len(s) - 2, 1), bool(keep[-2])
-            out = whole.slice(0, len(s) - 2).filter(pa.array((keep & fresh)[:-2]))
-        if out.num_rows:
-            yield out
-    if held is not None and kept:
-        yield held
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """(shingle, groups) of the shingles that stand in several groups."""
-    return rows.groupBy("shingle", "group").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-
-
-def _prefixes(members: DataFrame, listed: Callable[[DataFrame, float | None], DataFrame], least: float) -> DataFrame:
-    """(node, group, shingle, size) of the prefix shingles that stand in several groups of the members (node, group, size, ...)."""
-    about = members.select("node", "group", "size")
-    rows = listed(members, least).repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_repeated, "node long, shingle long, at int")
-    shared = store.materialize(rows.join(about, "node"), "shared-shingles")
-    crossing = store.materialize(shared.join(_spread(shared), "shingle").withColumn("heavy", (F.col("groups") > HEAVY).cast("int")).drop("groups"), "crossing-shingles")
-    store.discard(shared)
-    length = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
-
-    # documents whose part is used up by heavy shingles are read whole
-    given = F.least(F.col("size"), length + F.floor(F.col("size") * SLACK) + SLACK_LEAST)
-    short = crossing.groupBy("node", "size").agg(F.sum("heavy").alias("heavy")).filter((given < F.col("size")) & (given - F.col("heavy") < length)).select("node")
-    short = store.materialize(short, "short-prefixes")
-    used = [crossing, short]
-    if not short.isEmpty():
-        more = store.materialize(listed(members.join(short, "node"), None).dropDuplicates(["node", "shingle"]).join(about, "node"), "whole-prefixes")
-        asked = more.select("shingle").distinct()
-        others = listed(members.join(short, "node", "left_anti"), least).dropDuplicates(["node", "shingle"]).join(asked, "shingle", "left_semi").join(about, "node")
-        columns = ["shingle", "node", "size", "at", "group"]
-        again = store.materialize(more.select(*columns).unionByName(others.select(*columns)), "more-shingles")
-        heavy = crossing.filter("heavy = 1").select("shingle", "heavy").distinct()
-        found = again.join(_spread(again).select("shingle"), "shingle").join(heavy, "shingle", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
-        crossing = crossing.join(asked, "shingle", "left_anti").join(short, "node", "left_anti").unionByName(found.select(*crossing.columns))
-        used += [more, again]
-
-    # shingles of one group keep their places but need no row; heavy ones come after all others
-    along = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before, all_of = F.sum("heavy").over(along), F.sum("heavy").over(Window.partitionBy("node"))
-    place = F.when(F.col("heavy") == 1, F.col("size") - all_of + before).otherwise(F.col("at") + 1 - before)
-    first = crossing.withColumn("place", place).filter(F.col("place") <= length)
-    first = store.materialize(first.select("node", "group", "shingle", "size"), "prefix-shingles")
-    store.discard(*used)
-    return first
-
-
-def _crossing(first: DataFrame, least: float, star: bool) -> DataFrame:
-    """Pairs (a, b) of different groups that share prefix shingles: with each shingle's smallest member, or all that can be similar.
-
-    Of two sets, the one whose prefix ends earlier has all its shared prefix shingles in the other's prefix too, so no more than
-    these and what follows its prefix can be shared: pairs with fewer common prefix shingles than similarity asks for are out.
-    """
-    own = ["node", "group", "size"]
-    low = first.groupBy("shingle").agg(F.min(F.struct(*own)).alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1")
-    if star:
-        pairs = first.join(low, "shingle").filter(F.col("group") != F.col("low.group")).select("node", "size", F.col("low.node").alias("x"), F.col("low.size").alias("m"))
-    else:  # only pairs with a member outside the shingle's largest group are listed
-        first = first.join(low.select("shingle"), "shingle", "left_semi")
-        largest = first.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
-        shared = first.join(largest, "shingle")
-        outside = shared.filter("group != largest").select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"))
-        pairs = outside.join(shared, "shingle").filter((F.col("g") != F.col("group")) & ((F.col("group") == F.col("largest")) | (F.col("x") < F.col("node"))))
-    pairs = pairs.filter(F.least("size", "m") >= least * F.greatest("size", "m") - 1e-9)
-    common = pairs.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("s"), F.max("m").alias("m"))
-    after = F.greatest(F.ceil(F.col("s") * least - 1e-9), F.ceil(F.col("m") * least - 1e-9)) - 1
-    return common.filter(F.col("c") + after >= least / (1 + least) * (F.col("s") + F.col("m")) - 1e-9).select("a", "b")
+def _pivoted(first: DataFrame, least: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of one set a shingle, another one each turn, with the shingle's sets of other groups."""
+    low = first.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "group", "size", "parts")).alias("low"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1")
+    low = low.select("shingle", F.col("low.node").alias("x"), F.col("low.group").alias("g"), F.col("low.size").alias("m"), F.col("low.parts").alias("w"))
+    pairs = first.join(low, "shingle").filter((F.col("g") != F.col("group")) & _possible(least))
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def _crossing(first: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different groups that share a prefix shingle and can be similar; one of the two lies outside the shingle's largest group."""
+    largest = first.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").drop("groups")
+    shared = first.join(largest, "shingle")
+    outside = shared.filter("group != largest").select("shingle", F.col("node").alias("x"), F.col("group").alias("g"), F.col("size").alias("m"), F.col("place").alias("at"), F.col("parts").alias("w"))
+    once = (F.col("g") != F.col("group")) & ((F.col("group") == F.col("largest")) | (F.col("x") < F.col("node")))
+    rest = F.ceil(least / (1 + least) * (F.col("size") + F.col("m")) - 1e-9) - 1  # shingles that may follow the first common one
+    n = store.shuffle_partitions(first.sparkSession)  # few bytes, but much work: the join is not to be coalesced
+    pairs = outside.repartition(n, "shingle").join(shared.repartition(n, "shingle"), "shingle").filter(once & (F.col("place") <= F.col("size") - rest) & (F.col("at") <= F.col("m") - rest) & _possible(least))
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _variants(segments: int) -> str:
@@ -301,34 +299,55 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     sets = marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts), F.max("size").alias("size"))
     sets = store.materialize(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
+    # what no partner is possible for is settled
+    n_shingles = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_buckets = max(store.shuffle_partitions(docs.sparkSession), n_shingles // BUCKET_ENTRIES + 1)
+    repeated = _census(_texts(docs, doc_id, text, sets), shingle, n_buckets)
+    candidates = store.materialize(sets.join(repeated, "node").filter(F.col("repeated") >= F.ceil(F.col("size") * least - 1e-9)).drop("repeated"), "candidate-sets")
+
+    @store.trimmed
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, found in _owned(batch, shingle):
+                node = np.repeat(nodes, [len(x) for x in found])
+                yield pa.record_batch([pa.array(node), pa.array(np.concatenate(found).view(np.int64))], names=["node", "shingle"])
+
+    rows = _texts(docs, doc_id, text, candidates).mapInArrow(listed, "node long, shingle long")
+    members = store.materialize(_profiles(rows, candidates.drop("id", "set_key"), least), "members")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = store.materialize(pairs, f"{name}-pairs")
-        taken = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "set_key", "id"), "node")
-        held = store.materialize(_whole(docs, doc_id, text, shingle, taken), f"{name}-sets")
-        found = store.materialize(_verified(pairs, held.select(F.col("node").alias("id"), "hashes"), least), f"{name}-links")
-        store.discard(pairs, held)
+        found = store.materialize(_verified(pairs, members, least), f"{name}-links")
+        store.discard(pairs)
         return found
 
-    def grouped(links: DataFrame) -> DataFrame:
+    def grouped(of: DataFrame, links: DataFrame) -> DataFrame:
         joined = connected_components(links).withColumnRenamed("node", "of")
-        return sets.join(joined, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node"))
+        return of.join(joined, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("component", "node")).drop("of", "component")
 
-    keyed = sets.select(F.explode(F.expr(_variants(segments))).alias("key"), "node", "size").repartition("key").sortWithinPartitions("key", "node")
+    keyed = members.select(F.explode(F.expr(_variants(segments))).alias("key"), "node", "size").repartition("key").sortWithinPartitions("key", "node")
     stars = keyed.mapInArrow(_to_the_smallest, "a long, b long, m int, s int").filter(F.least("m", "s") >= least * F.greatest("m", "s") - 1e-9).select("a", "b").distinct()
-    prints = lambda c, o: sets.select(F.col("node").alias(c), *(F.col(p).alias(f"{o}{p}") for p in parts))
+    prints = lambda c, o: members.select(F.col("node").alias(c), *(F.col(p).alias(f"{o}{p}") for p in parts))
     far = sum((F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in parts), F.lit(0))
     stars = stars.join(prints("a", "x"), "a").join(prints("b", "y"), "b").filter(far <= int(NEAR * 32 * segments)).select("a", "b")
     links = verified(stars, "star")
     if exact:
-        members = store.materialize(grouped(links).select("node", "set_key", "id", "group", "size"), "star-groups")
-        first = _prefixes(members, lambda of, share: _listed(docs, doc_id, text, shingle, of, share), least)
-        links = links.unionByName(verified(_crossing(first, least, True), "low"))
-        regrouped = grouped(links).select("node", F.col("group").alias("now"))
-        again = store.materialize(first.join(regrouped, "node").drop("group").withColumnRenamed("now", "group"), "regrouped")
-        links = links.unionByName(verified(_crossing(again, least, False), "cross"))
-        store.discard(members, first, again)
-
-    final = store.materialize(grouped(links).select("set_key", "id", "group"), "groups")
+        first = members.select("node", "size", "parts", "alone", F.posexplode("first").alias("at", "shingle"))
+        first = store.materialize(first.select("node", "shingle", "size", "parts", (F.col("alone") + F.col("at") + 1).alias("place")), "prefix-shingles")
+        for turn in range(ROUNDS + 1):
+            now = store.materialize(grouped(members.select("node"), links), "node-groups")
+            again = store.materialize(first.join(now, "node"), "regrouped")
+            spread = again.groupBy("shingle", "group").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"))
+            last = turn == ROUNDS or turn and (new.limit(SLACK_LEAST + 1).count() <= SLACK_LEAST or spread.filter(F.col("groups") > HEAVY).isEmpty())
+            new = verified(_crossing(again, least) if last else _pivoted(again, least, turn), "cross" if last else "pivot")
+            links = links.unionByName(new)
+            store.discard(now, again)
+            if last:
+                break
+        store.discard(first)
+
+    final = store.materialize(grouped(sets, links).select("set_key", "id", "group"), "groups")
+    store.discard(members, candidates)
     least_of = final.groupBy("group").agg(F.min(F.struct("id", "set_key")).alias("low")).select(F.col("group").alias("of"), F.col("low.id").alias("component_id"), F.col("low.set_key").alias("kept_key"))
     named = final.join(least_of, F.col("group") == F.col("of")).select(F.col("set_key").alias("_key"), "component_id", "kept_key")
     return marked.join(named, F.col("set_key") == F.col("_key")).select("doc_id", "set_key", "component_id", "kept_key")

@@ -127,3 +127,28 @@ def test_heavy_shingles_come_last_and_nothing_is_lost(spark, monkeypatch):
     docs += [(200 + i, t + " end of it") for i, t in docs[::7]]
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == components({i: shingles(t) for i, t in docs})
+
+
+def test_near_copies_that_do_not_link_are_told_apart_without_listing_their_pairs(spark, monkeypatch):
+    """Copies of one text, half of them edited too far to link: of these, few pairs are compared."""
+    rng = random.Random(3)
+    text = [f"w{k}" for k in range(150)]
+    docs = [(0, " ".join(text))]
+    for i in range(1, 200):
+        own = list(text)
+        for at in rng.sample(range(3, 147), rng.choice([1, 2, 8, 9])):
+            own[at] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    pairs = []
+    before = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda listed, *more: pairs.append(listed.count()) or before(listed, *more))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == components({i: shingles(t) for i, t in docs})
+    assert sum(pairs) <= 5 * len(docs)
+
+
+def test_census_counts_the_shingles_that_another_set_has(spark):
+    docs = [(1, "a b c d e f g h"), (2, "a b c d e f x y"), (3, "q r s t u v"), (4, None)]
+    sets = near_copies._marked(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 5, 42, 4).selectExpr("doc_id as id", "doc_id as node", "set_key")
+    texts = near_copies._texts(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", sets)
+    assert {r["node"]: r["repeated"] for r in near_copies._census(texts, 5, 3).collect()} == {1: 2, 2: 2, 3: 0}
