@@ -19,7 +19,8 @@ more than `HEAVY` groups and links are found, so that a large group of near copi
 in different groups is compared pair by pair, unless the places of the shared shingle rule it out, or the numbers of repeated
 shingles in each of `PARTS` parts of the hash range, whose minima bound the overlap from above.
 
-Members of one key stream through a task in sorted order, and nothing of them is held.
+Members of one key stream through a task in sorted order, and nothing of them is held. Texts and shingle sets are shuffled only
+where a bitmap of bounded size says that they may have a partner in a join; the others stay where they lie.
 
 Edge cases: null or wordless texts equal each other and nothing else; with fewer words than a shingle the whole sequence is the
 one shingle; ASCII case and white space don't count; rows with one identifier are one document, compared by each of its texts;
@@ -79,13 +80,17 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarr
                 yield own, np.unique(h[a:b])
 
 
+def _low(set_key: bytes) -> int:
+    return int.from_bytes(set_key[:8], "little", signed=True)
+
+
 def _prefix(size: int, least: float) -> int:
     """Shingles of a set of which similar sets share one."""
     return size - int(np.ceil(least * size - 1e-9)) + 1 if size else 0
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, segments: int) -> DataFrame:
-    """Per row: doc_id, set_key (a digest of its shingle set), the set's size and the fingerprint, two segments a number."""
+    """Per row: doc_id, set_key (a digest of its shingle set), low (its first 64 bits), the set's size and the fingerprint, two segments a number."""
     seeds = words.constants(segments // 2, seed)
 
     @store.trimmed
@@ -112,30 +117,46 @@ def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, se
             if held:
                 flush()
             found = np.concatenate(prints, axis=1) if prints else np.zeros((len(seeds), 0), np.int64)
-            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), *map(pa.array, found)], names=["doc_id", "set_key", "size", *(f"p{k}" for k in range(len(seeds)))])
+            yield pa.record_batch([batch.column(doc_id), pa.array(keys, pa.binary()), pa.array(map(_low, keys), pa.int64()), pa.array(counts, pa.int32()), *map(pa.array, found)], names=["doc_id", "set_key", "low", "size", *(f"p{k}" for k in range(len(seeds)))])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, size int, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, set_key binary, low long, size int, " + ", ".join(f"p{k} long" for k in range(len(seeds))))
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, sets: DataFrame) -> DataFrame:
-    """(node, set_key, text) of the documents that `sets` (node, set_key, id, ...) names; another text of that number may be among them."""
+def _texts(docs: DataFrame, doc_id: str, text: str, sets: DataFrame, bitmap: DataFrame | None = None) -> DataFrame:
+    """(node, set_key, text) of the documents that `sets` (node, set_key, id, ...) names; another text of that number may be among
+    them. Texts that no number in `bitmap` can have, by default a bitmap of the sets' numbers, are not shuffled."""
+    bitmap = store.key_bitmap(sets.select("id")) if bitmap is None else bitmap
     owners = sets.select(F.col("id").alias("_doc"), "set_key", "node")
-    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(owners, F.col("_id") == F.col("_doc"))
+    named = store.by_bitmap(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id", bitmap).join(owners, F.col("_id") == F.col("_doc"))
     return named.select("node", "set_key", "text")
 
 
+def _one_of_each(docs: DataFrame, doc_id: str, text: str, marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """As `_texts`, with the first 64 bits of set_key for the node: of every set the texts under its number.
+
+    Only texts whose number has another text or stands for a copy are looked up. The others, most of them, stay where they lie:
+    set_key is null there, and the node only orders them.
+    """
+    copies = marked.select("doc_id", "set_key").join(sets.select(F.col("set_key").alias("_key"), "id"), F.col("set_key") == F.col("_key")).filter("doc_id != id")
+    bitmap = store.key_bitmap(copies.select("doc_id"))
+    rest = store.by_bitmap(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id", bitmap, among=False)
+    owners = store.by_bitmap(sets.select("id", "set_key", F.col("low").alias("node")), "id", bitmap)
+    return rest.select(F.xxhash64("_id", "text").alias("node"), F.lit(None).cast("binary").alias("set_key"), "text").unionByName(_texts(docs, doc_id, text, owners, bitmap))
+
+
 def _owned(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Nodes and shingle sets of every slice of a batch of `_texts`, without other texts of their numbers."""
     for begin in range(0, batch.num_rows, SLICE_DOCS):
         part = batch.slice(begin, SLICE_DOCS)
-        wanted, rows, found = part.column("set_key").to_pylist(), [], []
+        wanted, node, nodes, found = part.column("set_key").to_pylist(), part.column("node").to_pylist(), [], []
         for i, (own, _) in enumerate(_sets(part.column("text"), shingle)):
-            if len(own) and hashlib.blake2b(own.tobytes(), digest_size=16).digest() == wanted[i]:
-                rows.append(i)
+            digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+            if len(own) and wanted[i] in (None, digest):
+                nodes.append(node[i] if wanted[i] else _low(digest))
                 found.append(own)
-        if rows:
-            yield part.column("node").to_numpy()[rows], found
+        if nodes:
+            yield np.array(nodes, np.int64), found
 
 
 def _census(texts: DataFrame, shingle: int, n_buckets: int) -> DataFrame:
@@ -231,7 +252,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (both_sizes - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda node, held, size: sets.select(F.col("node").alias(node), F.col("held").alias(held), F.col("size").alias(size))
+    named = store.by_bitmap(sets, "node", store.key_bitmap(pairs.select(F.explode(F.array("a", "b")))))
+    side = lambda node, held, size: named.select(F.col("node").alias(node), F.col("held").alias(held), F.col("size").alias(size))
     named = pairs.join(side("b", "y", "m"), "b").join(side("a", "x", "s"), "a")
     return named.select("a", "b", "x", "y", (F.col("m") + F.col("s")).alias("sizes")).mapInArrow(run, "a long, b long")
 
@@ -296,14 +318,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     marked = store.materialize(_marked(docs, doc_id, text, shingle, seed, segments), "shingle-sets")
     parts = [f"p{k}" for k in range(segments // 2)]
     # one word sequence or shingle set has one fingerprint, so any of its rows gives it
-    sets = marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts), F.max("size").alias("size"))
+    sets = marked.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.max(p).alias(p) for p in parts), F.max("low").alias("low"), F.max("size").alias("size"))
     sets = store.materialize(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
     # what no partner is possible for is settled
     n_shingles = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = max(store.shuffle_partitions(docs.sparkSession), n_shingles // BUCKET_ENTRIES + 1)
-    repeated = _census(_texts(docs, doc_id, text, sets), shingle, n_buckets)
-    candidates = store.materialize(sets.join(repeated, "node").filter(F.col("repeated") >= F.ceil(F.col("size") * least - 1e-9)).drop("repeated"), "candidate-sets")
+    # two sets with one low both get the larger count, which settles neither wrongly
+    repeated = _census(_one_of_each(docs, doc_id, text, marked, sets), shingle, n_buckets).withColumnRenamed("node", "low")
+    candidates = store.materialize(sets.join(repeated, "low").filter(F.col("repeated") >= F.ceil(F.col("size") * least - 1e-9)).drop("repeated", "low"), "candidate-sets")
 
     @store.trimmed
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +386,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     found = store.materialize(found.select(F.col("doc_id").alias("_doc"), F.col("set_key").alias("_set"), ((F.col("doc_id") == F.col("component_id")) & (F.col("set_key") == F.col("kept_key"))).alias("_kept")), "decided")
     several = store.materialize(found.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_doc"), "several")
     kept = found.filter("_kept").select("_doc", "_set")
-    out = docs.join(kept.join(several, "_doc", "left_anti"), docs[doc_id] == F.col("_doc"), "left_semi")
+    # a text is shuffled only where its number has several or may have none that stays
+    bitmap = store.key_bitmap(found.filter("NOT _kept").select("_doc").unionByName(several))
+    looked_up = store.by_bitmap(docs, doc_id, bitmap)
+    out = store.by_bitmap(docs.filter(F.col(doc_id).isNotNull()), doc_id, bitmap, among=False)
+    out = out.unionByName(looked_up.join(kept.join(several, "_doc", "left_anti"), looked_up[doc_id] == F.col("_doc"), "left_semi"))
     if several.isEmpty():
         return out
     names, shingle, key = docs.columns, int(options.get("shingle", 5)), store.free_name(docs, "set_key")
@@ -374,7 +401,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s, _ in _sets(batch.column(names.index(text)), shingle)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*names, key])
 
-    rows = docs.join(several, docs[doc_id] == F.col("_doc"), "left_semi").mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    rows = looked_up.join(several, looked_up[doc_id] == F.col("_doc"), "left_semi").mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
     rows = store.materialize(rows.join(kept.distinct(), (F.col(doc_id) == F.col("_doc")) & (F.col(key) == F.col("_set")), "left_semi"), "several-kept")
     least_text = rows.groupBy(F.col(doc_id).alias("_doc"), F.col(key).alias("_set")).agg(F.min(text).alias("_text"))
     same = (F.col(doc_id) == F.col("_doc")) & (F.col(key) == F.col("_set")) & F.col(text).eqNullSafe(F.col("_text"))

@@ -9,11 +9,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 4_000, 16 << 20
+#: Bits of a bitmap for each of its keys, and bits at least and at most.
+KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 12, 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +56,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def key_bitmap(keys: DataFrame) -> DataFrame:
+    """One row `_bits`: a bitmap of the hashes of the only column's values, of a bounded size (8 MB) whatever their number."""
+    size = min(max(LEAST_BITS, KEY_BITS * keys.count()), MOST_BITS) // 64
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(64 * size))
+    found = keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(size, np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return keys.sparkSession.createDataFrame(pa.table({"_bits": pa.array([bits], pa.list_(pa.int64()))}))
+
+
+def by_bitmap(df: DataFrame, column: str, bitmap: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose key may be in the bitmap, or the others, whose key surely isn't; no row is shuffled.
+
+    A join that takes the rows which may have a partner alone shuffles these alone. The column has the keys' type.
+    """
+    bits = free_name(df, "_bits")
+    at = F.pmod(F.xxhash64(df[column]), F.lit(64).cast("long") * F.size(bits))
+    hit = F.getbit(F.get(bits, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+    return df.join(F.broadcast(bitmap.toDF(bits)), hit, "left_semi" if among else "left_anti")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores put before it until no column has it."""
     while name in df.columns:

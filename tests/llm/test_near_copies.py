@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from skyfold.llm import near_copies
+from skyfold.llm import near_copies, store
 
 
 def shingles(text: str | None) -> frozenset:
@@ -152,3 +152,44 @@ def test_census_counts_the_shingles_that_another_set_has(spark):
     sets = near_copies._marked(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 5, 42, 4).selectExpr("doc_id as id", "doc_id as node", "set_key")
     texts = near_copies._texts(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", sets)
     assert {r["node"]: r["repeated"] for r in near_copies._census(texts, 5, 3).collect()} == {1: 2, 2: 2, 3: 0}
+
+
+def shuffled(spark) -> dict[int, int]:
+    """Bytes that each stage so far has written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = context._gateway
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark, tmp_path):
+    """Long words make texts much larger than their shingles' hashes; of 300 documents ten are copies or near copies."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.getrandbits(240):060x}" for _ in range(150)) for _ in range(290)]
+    rows = list(enumerate([*texts, *texts[:5], *(t + " end" for t in texts[5:10])]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, usual = set(shuffled(spark)), spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as with tables too large to be broadcast
+    try:
+        got = sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect())
+    finally:
+        spark.conf.set(name, usual)
+    assert got == list(range(290))
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 0.6 * sum(len(t) for _, t in rows)
+
+
+def test_a_bitmap_parts_rows_and_loses_none_of_its_keys(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id", "id as _bits")
+    keys = spark.range(0, 5000, 50)
+    for most, others in ((store.MOST_BITS, 300), (64, 4900)):  # a full bitmap lets more through
+        monkeypatch.setattr(store, "LEAST_BITS", min(store.LEAST_BITS, most))
+        monkeypatch.setattr(store, "MOST_BITS", most)
+        bitmap = store.key_bitmap(keys)
+        among, rest = ({r["id"] for r in store.by_bitmap(rows, "id", bitmap, side).collect()} for side in (True, False))
+        assert {k for k in range(0, 5000, 50)} <= among and len(among) <= 100 + others
+        assert among | rest == set(range(5000)) and not among & rest
+    none = store.key_bitmap(keys.limit(0))
+    assert store.by_bitmap(rows, "id", none).count() == 0 and store.by_bitmap(rows, "id", none, False).columns == ["id", "_bits"]
