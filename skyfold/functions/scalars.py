@@ -87,9 +87,10 @@ def normalize_id(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.upper(name), r"\s+", " "), r"^(M|NGC|IC|SH2-?|B) ?0*([0-9]+)$", "$1 $2"))
 
 
-def catalog_ids(text: Column) -> Column:
-    """All catalogue identifiers in a text."""
-    return F.regexp_extract_all(text, F.lit(r"(?i)\b((?:NGC|IC|M|Sh2-)\s?\d{1,4})\b"), 1)
+def catalog_ids(text: Column, digits: int | None = 4) -> Column:
+    """All catalogue identifiers in a text, of at most so many digits (None: of any number)."""
+    number = r"\d+" if digits is None else rf"\d{{1,{digits}}}"
+    return F.regexp_extract_all(text, F.lit(rf"(?i)\b((?:NGC|IC|M|Sh2-)\s?{number})\b"), 1)
 
 
 def strip_date(name: Column) -> Column:

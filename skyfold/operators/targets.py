@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from skyfold.functions import scalars as S
 
 
-def candidates(names: DataFrame, keys: Sequence[str], text: str, source: str, weight: float, lookup: Sequence[tuple[str, str]]) -> DataFrame:
-    """(keys..., source, target, confidence): catalogue identifiers in a text (0.95), names of the lookup that equal it (0.9) or
-    that it holds or is held by (0.75, five letters at least). The lookup (name, target) is a fixed small table."""
+def candidates(names: DataFrame, keys: Sequence[str], text: str, source: str, weight: float, lookup: Sequence[tuple[str, str]], digits: int | None = 4) -> DataFrame:
+    """(keys..., source, target, confidence): catalogue identifiers in a text (0.95, numbers of at most `digits` digits, None for
+    any), names of the lookup that equal it (0.9) or that it holds or is held by (0.75, five letters at least). The lookup
+    (name, target) is a fixed small table."""
     t = F.lower(F.col(text))
-    ids = names.select(*keys, F.explode(S.catalog_ids(F.col(text))).alias("_id")).select(*keys, S.normalize_id(F.col("_id")).alias("target"), F.lit(0.95).alias("confidence"))
+    ids = names.select(*keys, F.explode(S.catalog_ids(F.col(text), digits)).alias("_id")).select(*keys, S.normalize_id(F.col("_id")).alias("target"), F.lit(0.95).alias("confidence"))
     known = F.array(*[F.struct(F.lit(n.lower()).alias("name"), F.lit(target).alias("target")) for n, target in lookup if len(n) >= 5])
     key = F.col("_k.name")
     named = names.withColumn("_k", F.explode(known)).filter((t.contains(key) | key.contains(t)) & (F.length(t) > 0))

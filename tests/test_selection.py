@@ -101,3 +101,19 @@ def test_match_flats(spark):
     found = J.match_flats(lights, flats, ["camera"])
     assert sorted((r["id"], r["score"]) for r in found.collect()) == [(1, 50), (2, 50), (6, 0)]
     assert J.match_flats(lights, flats.limit(0), ["camera"]).count() == 0
+
+
+def test_target_inference_takes_page_numbers_of_any_length(spark, tmp_path):
+    import duckdb
+
+    from skyfold.plans import targets as P
+
+    urls = ["http://blog.tionble.example.com/en/9366/", "https://ththhe.example.com/es/98062?page=2", "https://blog.ththth.example.org/en/0224466#top", "http://m.therha.org/about", "http://tion.net/about"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r[c] for c in ("page_id", "source", "target", "confidence")) for r in P.target_inference(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(P.ORACLE_SQL["target_inference"]).fetchall())
+    assert [t for _, _, t, _ in got] == ["NGC 9366", "NGC 98062", "NGC 224466", "NGC 7000"]
+    # the default stays with the catalogues' own numbers
+    assert spark.range(1).select(S.catalog_ids(F.lit("NGC 7000 M31 NGC 98062"))).first()[0] == ["NGC 7000", "M31"]
