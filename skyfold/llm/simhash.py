@@ -115,7 +115,8 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
         raise ValueError("two halves with one free bit find at most three differing bits")
     keyed = distinct.select("fingerprint", F.explode(_variants("fingerprint", 2, 32)).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # partial sums, so a hot key meets no task
-    keyed = store.materialize(keyed.join(counts, "key"), "keys")
+    # sized by its input, the exploded side would be taken for a table small enough to broadcast
+    keyed = store.materialize(keyed.hint("merge").join(counts, "key"), "keys")
     light = keyed.filter(F.col("n") <= LIGHT_KEY).groupBy("key").agg(F.collect_list("fingerprint").alias("members")).select("members")
     # the half that the key does not fix
     other = F.expr("CASE WHEN key < shiftleft(32L, 32) THEN shiftrightunsigned(fingerprint, 32) ELSE fingerprint & 4294967295L END")
@@ -136,8 +137,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = store.materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
     distinct = store.materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     found = links(distinct.select("fingerprint"), most)
-    name = distinct.select(F.col("fingerprint").alias("f"), "first")
+    # these tables have a row a fingerprint or document: none is collected for a broadcast, however well its file is compressed
+    name = distinct.select(F.col("fingerprint").alias("f"), "first").hint("merge")
     edges = found.join(name, F.col("a") == F.col("f")).select("b", F.col("first").alias("x")).join(name, F.col("b") == F.col("f")).select(F.col("x").alias("a"), F.col("first").alias("b"))
     joined = connected_components(edges)
-    groups = distinct.join(joined, F.col("first") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", "first").alias("component_id"))
-    return marked.join(groups, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")
+    groups = distinct.join(joined.hint("merge"), F.col("first") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", "first").alias("component_id"))
+    return marked.join(groups.hint("merge"), F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")

@@ -226,6 +226,21 @@ def test_simhash_near_duplicates(spark):
     assert len(set(expected.values())) < len(expected)
 
 
+def test_simhash_broadcasts_no_table_of_its_keys(spark, monkeypatch):
+    plans, write = {}, simhash.store.materialize
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(simhash.store, "materialize", seen)
+    # an exploded table is sized like its input, so by the default threshold Spark would broadcast this small one
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10MB")
+    found = simhash.near_duplicates(spark.createDataFrame(corpus(), DOCS))
+    assert "SortMergeJoin" in plans["keys"] and "BroadcastHashJoin" not in plans["keys"] + plans["edges"]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_connect_what_pairs_connect(spark, monkeypatch):
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(20)}
