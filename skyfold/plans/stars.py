@@ -53,7 +53,7 @@ def blind_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = M.local_maxima(pixels(spark, sf_dir), KEYS, 1.0).filter("star <= 10")
     listed = stars.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("star", "y", "x"))).alias("own"))
     first = listed.groupBy("session").agg(F.min_by("own", "frame_id").alias("ref"))
-    joined = listed.join(first, "session")
+    joined = listed.join(F.broadcast(first), "session")  # one row a session; by key, a session's frames would be one task's
 
     def run(batches):
         import pyarrow as pa

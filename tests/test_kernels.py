@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from skyfold.functions import collaborative
 from skyfold.functions import kernels as K
@@ -120,3 +121,62 @@ def test_registration_and_warps():
     assert inliers[:40].all() and inliers.sum() <= 43
     assert np.allclose(m[:2, :2], r, atol=1e-2) and np.allclose(m[:2, 2], [5, -3], atol=0.5)
     assert np.allclose(K.lanczos_warp(a, np.eye(3))[0], a)
+
+
+def one_by_one(src, dst, tolerance, relative, least):
+    """The consensus by one fit a hypothesis."""
+    def pairs(p):
+        i, j = np.triu_indices(len(p), 1)
+        return i, j, np.hypot(*(p[i] - p[j]).T)
+
+    (ai, aj, ad), (bi, bj, bd) = pairs(src), pairs(dst)
+    order = np.argsort(bd)
+    bi, bj, bd = bi[order], bj[order], bd[order]
+    best, matrix, tried = 0, np.eye(3), 0
+    for i, j, d in sorted(zip(ai, aj, ad, strict=True), key=lambda t: -t[2]):
+        width = max(2 * tolerance, relative * d)
+        for k in range(*np.searchsorted(bd, [d - width, d + width])):
+            for p, q in ((bi[k], bj[k]), (bj[k], bi[k])):
+                tried += 1
+                t = K.rigid_fit(src[[i, j]], dst[[p, q]])
+                gap = np.hypot(*((src @ t[:2, :2].T + t[:2, 2])[:, None] - dst[None]).transpose(2, 0, 1))
+                ok = gap.min(1) < tolerance
+                if ok.sum() > best:
+                    best, matrix = int(ok.sum()), K.rigid_fit(src[ok], dst[gap[ok].argmin(1)])
+        if best >= 0.9 * min(len(src), len(dst)):
+            break
+    return (matrix, best, tried) if best >= least else (np.eye(3), 0, tried)
+
+
+@pytest.mark.parametrize("at_once", [7, 200_000])
+def test_rigid_from_pairs_counts_hypotheses_without_fitting_each(monkeypatch, at_once):
+    from skyfold.functions import stars as T
+
+    monkeypatch.setattr(T, "HYPOTHESES", at_once)
+    rng, fit = np.random.default_rng(5), K.rigid_fit
+    total = fits = 0
+    for k in range(60):
+        grid = [np.stack(np.divmod(rng.choice(64, n, replace=False), 8), 1).astype(float) for n in rng.integers(0, 11, 2)]
+        if k % 3 == 0:  # a turned copy with other stars
+            turned = (grid[0] @ fit(np.array([(0, 0), (1, 0)]), np.array([(2, 2), (2.8, 2.6)]))[:2, :2].T) + [3, -2]
+            grid[1] = np.concatenate([turned[: len(turned) // 2 + 1], grid[1]])
+        elif k % 3 == 1:  # repeated places have no direction
+            grid = [np.concatenate([g, g[:2]]) for g in grid]
+        matrix, best, tried = one_by_one(*grid, 0.6, 0.01, 3)
+        calls = []
+        monkeypatch.setattr(K, "rigid_fit", lambda a, b, calls=calls: calls.append(1) or fit(a, b))
+        found, n = T.rigid_from_pairs(*grid, 0.6, 0.01, 3)
+        monkeypatch.setattr(K, "rigid_fit", fit)
+        assert n == best and np.array_equal(found, matrix)
+        if k % 3 != 1:
+            total, fits = total + tried, fits + len(calls)
+    assert fits < total / 20
+
+
+def test_blind_match_keeps_a_session_out_of_one_task(spark):
+    from skyfold.plans import stars as P
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    plan = P.blind_match(session, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
