@@ -122,14 +122,13 @@ def colour_frames(planes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def map_colour(frames: DataFrame, keys: Sequence[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Colour frames with the kernel's result (height, width, 3); one frame at a time."""
+    """Colour frames with the kernel's result (height, width, 3); one frame at a time, small results in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (h, w) in enumerate(zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)):
-                out = np.asarray(kernel(np.stack([I._array(batch.column(c)[i], h, w) for c in "rgb"], -1)), float)
-                at = pa.array([i])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), *(pa.array([out[..., c].ravel()], pa.list_(pa.float64())) for c in range(3))], names=[*keys, "height", "width", "r", "g", "b"])
+            planes, height, width = [batch.column(c) for c in "rgb"], batch.column("height").to_pylist(), batch.column("width").to_pylist()
+            for rows, out in I.pieces(batch, lambda i, p=planes, h=height, w=width: kernel(np.stack([I._array(c[i], h[i], w[i]) for c in p], -1))):
+                yield I.colour_batch(batch, keys, rows, out)
 
     return frames.select(*keys, "height", "width", "r", "g", "b").mapInArrow(run, f"{I._kinds(frames, keys)}, height int, width int, r array<double>, g array<double>, b array<double>")
 
@@ -149,7 +148,7 @@ COLOUR: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "chroma": lambda a: R.reduce_chroma(a, 2.0),
     "chroma_wide": lambda a: R.reduce_chroma(a, 2.0, wide=12.0),
     "saturated": lambda a: R.repair_saturated(a),
-    "halos": lambda a: R.remove_halos(a, _stars(a), K.measure_fwhm(R.luminance(a), _stars(a))),
+    "halos": lambda a: R.remove_halos(a, stars := _stars(a), K.measure_fwhm(R.luminance(a), stars)),
     "hot_colour": lambda a: K.fix_hot_colour(a),
     "neutralise": lambda a: R.neutralise(a, K.star_mask(a.shape[:2], _stars(a), 2.5), max(64.0, min(a.shape[:2]) / 8)),
 }

@@ -158,6 +158,39 @@ def debayer(frames: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
     return frames.select(*keys, "height", "width", "data").mapInArrow(run, f"{_kinds(frames, keys)}, channel int, height int, width int, data array<double>")
 
 
+def pieces(batch: pa.RecordBatch, kernel: Callable[[int], np.ndarray], most: int = 1 << 18) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The kernel's results for a batch's rows, by numbers of rows: `most` samples at once, or one row's where these are more."""
+    rows, out, held = [], [], 0
+    for i in range(batch.num_rows):
+        rows.append(i)
+        out.append(np.asarray(kernel(i), float))
+        held += out[-1].size
+        if held >= most:
+            yield pa.array(rows), out
+            rows, out, held = [], [], 0
+    if rows:
+        yield pa.array(rows), out
+
+
+def colour_batch(batch: pa.RecordBatch, keys: Sequence[str], rows: pa.Array, out: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """Colour frames (height, width, 3) as rows (keys..., height, width, r, g, b), keys from the batch's rows."""
+    planes = [pa.array([a[..., c].ravel() for a in out], pa.list_(pa.float64())) for c in range(3)]
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), *(pa.array([a.shape[n] for a in out], pa.int32()) for n in (0, 1)), *planes], names=[*keys, "height", "width", "r", "g", "b"])
+
+
+def debayer_colour(frames: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+    """Mosaics as colour frames (keys..., height, width, r, g, b): the planes of `debayer` in one row, without a shuffle."""
+    kernel = DEBAYER[method]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, height, width = batch.column("data"), batch.column("height").to_pylist(), batch.column("width").to_pylist()
+            for rows, out in pieces(batch, lambda i, d=data, h=height, w=width: kernel(_array(d[i], h[i], w[i]))):
+                yield colour_batch(batch, keys, rows, out)
+
+    return frames.select(*keys, "height", "width", "data").mapInArrow(run, f"{_kinds(frames, keys)}, height int, width int, r array<double>, g array<double>, b array<double>")
+
+
 _PLACED = ("height", "width", "dy", "dx", "angle", "field")
 
 

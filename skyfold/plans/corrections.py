@@ -96,7 +96,8 @@ def colour_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colour_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debayered frames through the colour steps in order."""
-    rgb = O.colour_frames(I.debayer(frames(spark, sf_dir), KEYS, "bilinear"), KEYS)
+    mosaics = frames(spark, sf_dir).repartition(*KEYS)  # a file may be one row group, hence one task
+    rgb = I.debayer_colour(mosaics, KEYS, "bilinear")
 
     def kernel(a: np.ndarray) -> np.ndarray:
         for step in ("hot_colour", "saturated", "halos", "chroma_wide", "neutralise"):
