@@ -96,7 +96,8 @@ def colour_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colour_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debayered frames through the colour steps in order."""
-    mosaics = frames(spark, sf_dir).repartition(*KEYS)  # a file may be one row group, hence one task
+    # a file may be one row group, hence one task; a given number of partitions is not merged again by their few bytes
+    mosaics = frames(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)
     rgb = I.debayer_colour(mosaics, KEYS, "bilinear")
 
     def kernel(a: np.ndarray) -> np.ndarray:
